@@ -64,14 +64,14 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     cover = by_size(covered(docs, id_column, text_column), BROADCAST_ROWS)
     text = F.col(text_column)
     joined = docs.join(cover.withColumnRenamed("starts", own), (F.col(id_column) == F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
-    positions = F.transform(_numbered(_lines(text)), lambda x: x["at"])
-    gone = F.array_distinct(F.flatten(F.transform(F.col(own), lambda s: F.array(*(F.get(positions, s + k) for k in range(WINDOW))))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), gone)
+    at, gone, hit = free_name(docs, "line_places"), free_name(docs, "lines_gone"), F.col(own).isNotNull()
+    joined = joined.withColumn(at, F.when(hit, F.transform(_numbered(_lines(text)), lambda x: x["at"])))
+    joined = joined.withColumn(gone, F.array_distinct(F.flatten(F.transform(F.col(own), lambda s: F.slice(F.col(at), s + 1, WINDOW)))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col(gone))
     clean = F.array_join(F.transform(left, lambda i: F.get(_lines(text), i)), "\n")
-    hit = F.col(own).isNotNull()
-    added = {
-        lines: F.when(text.isNull(), 0).otherwise(F.size(_lines(text))),
-        removed: F.when(hit, F.size(gone)).otherwise(0),
-        text_column: F.when(hit, clean).otherwise(text),
-    }
-    return joined.select(*[added[c].alias(c) if c == text_column else docs[c] for c in docs.columns], added[lines].alias(lines), added[removed].alias(removed))
+    cleaned = F.when(hit, clean).otherwise(text).alias(text_column)
+    return joined.select(
+        *[cleaned if c == text_column else docs[c] for c in docs.columns],
+        F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias(lines),
+        F.when(hit, F.size(gone)).otherwise(0).alias(removed),
+    )
