@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, likeness: Likeness | None = None, id_column
     final = connected_components(trees).withColumnRenamed("component", "found")
     answer = materialize(first.join(final, "node", "left").select("h", F.coalesce("found", "node").alias("component_id")), "answer")
     joined = marks.join(answer, "h", "left")
-    component = F.coalesce("component_id", "doc")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return joined.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 

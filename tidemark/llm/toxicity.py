@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon that is learnt from labels.
 
-Texts are folded first: case, accents, lookalike letters of other alphabets and digits used as letters go to
-one plain letter each.  The lexicon holds whole words and beginnings of words; its weights are log odds.
+Texts are folded first: case, lookalike letters of other alphabets and digits used as letters go to one plain
+letter each; accents stay, as they tell words apart, but whole words are also looked up without them.  The lexicon holds whole words and beginnings of words; a weight is the log of how
+much more often an entry stands in toxic texts than in clean ones, word for word.
 One Aho-Corasick pass finds them; hits inside exception phrases don't count; the sum of weights, divided by
 the root of the text's length in words, is put on a scale from 0 to 1 on which 0.7 separates the labels best.
 
@@ -27,8 +28,10 @@ from tidemark.llm.shared import held_out, materialize
 
 #: Bounds of the sample and of the lexicon.
 TOXIC, CLEAN, ENTRIES = 4000, 8000, 20_000
-#: Lengths of word beginnings, documents that must hold an entry, log odds it must have, different words before it.
-SHORTEST, LONGEST, SUPPORT, ODDS, CONTEXTS = 3, 8, 8, 3.0, 4
+#: Lengths of word beginnings, documents that must hold an entry, its least weight, different words before it.
+SHORTEST, LONGEST, SUPPORT, LEAST, CONTEXTS = 3, 10, 8, 2.5, 4
+#: A longer entry stays beside its beginning only if its weight is so much larger.
+LARGER = 2.5
 #: Score from which a text is rejected.
 REJECT = 0.7
 #: What is used where labels teach nothing (fixed values).
@@ -46,17 +49,25 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         out = ""
-        for c in unicodedata.normalize("NFKD", chr(code).lower()):
+        for c in unicodedata.normalize("NFKC", chr(code).lower()):
             c = LOOKALIKES.get(c, c)
-            if c.isalnum():
+            if c.isalnum() or unicodedata.category(c) in ("Mn", "Mc"):
                 out += c
-            elif unicodedata.category(c) not in ("Mn", "Cf", "Me"):
+            elif unicodedata.category(c) not in ("Cf", "Me"):
                 out += " "
         self[code] = out
         return out
 
 
-_FOLD = _Fold()
+class _Plain(dict):
+    """Letters without their accents."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn")
+        return out
+
+
+_FOLD, _PLAIN = _Fold(), _Plain()
 
 
 def fold(text: str | None) -> str:
@@ -76,30 +87,36 @@ class Lexicon:
 
 
 @lru_cache(4)
-def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
+def _automaton(lexicon: Lexicon, whole: bool = False) -> ahocorasick.Automaton:
+    """With ``whole`` only of the whole words."""
     out = ahocorasick.Automaton()
     for phrase in lexicon.exceptions:
         out.add_word(phrase, (len(phrase), 0.0))
     for pattern, weight in lexicon.weights:
-        if pattern not in lexicon.exceptions:
+        if pattern not in lexicon.exceptions and (pattern.endswith(" ") or not whole):
             out.add_word(pattern, (len(pattern), weight))
-    out.make_automaton()
+    if len(out):
+        out.make_automaton()
     return out
 
 
 def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
     """The largest weight at each word's start, without words that an exception phrase holds."""
-    automaton = _automaton(lexicon)
     found: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    if not len(automaton):
-        return found
-    for end, (length, weight) in automaton.iter(folded):
-        start = end - length + 1
-        if weight:
-            found[start] = max(weight, found.get(start, 0.0))
-        else:
-            spared.append((start, end))
+    for whole in (False, True):
+        automaton = _automaton(lexicon, whole)
+        if not len(automaton) or whole and folded.isascii():
+            continue
+        text = folded.translate(_PLAIN) if whole else folded
+        if len(text) != len(folded):
+            continue
+        for end, (length, weight) in automaton.iter(text):
+            start = end - length + 1
+            if weight:
+                found[start] = max(weight, found.get(start, 0.0))
+            else:
+                spared.append((start, end))
     for a, b in spared:
         for s in [s for s in found if a <= s < b]:
             del found[s]
@@ -137,48 +154,60 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: str, id_column: str, text
 
 
 def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with each word and word beginning, and a 32-bit set of the words before it."""
-    counts: Counter = Counter()
+    """Documents with each word and word beginning, how often it stands there, and a set of the words before it."""
+    docs: Counter = Counter()
+    times: Counter = Counter()
     before: dict[str, int] = {}
     for batch in batches:
         for text in batch["text"]:
             words = fold(text).split()
-            own: dict[str, int] = {}
+            own: dict[str, list[int]] = {}
             for word, last in zip(words, ["", *words], strict=False):
-                bit = 1 << (sum(last.encode()) % 31)
-                own[word] = own.get(word, 0) | bit
-            here: dict[str, int] = {}
-            for word, bits in own.items():
-                for p in [f" {word} ", *(f" {word[:n]}" for n in range(SHORTEST, min(LONGEST, len(word)) + 1))]:
-                    here[p] = here.get(p, 0) | bits
-            counts.update(here.keys())
-            for p, bits in here.items():
-                before[p] = before.get(p, 0) | bits
-    if counts:
-        yield pd.DataFrame({"p": list(counts), "n": list(counts.values()), "before": [before[p] for p in counts]})
+                entry = own.setdefault(word, [0, 0])
+                entry[0] += 1
+                entry[1] |= 1 << (sum(last.encode()) % 31)
+            here = set()
+            for word, (n, bits) in own.items():
+                for p in [f" {word} ", *(f" {word[:k]}" for k in range(SHORTEST, min(LONGEST, len(word)) + 1))]:
+                    here.add(p)
+                    times[p] += n
+                    before[p] = before.get(p, 0) | bits
+            docs.update(here)
+    if docs:
+        yield pd.DataFrame({"p": list(docs), "docs": list(docs.values()), "n": [times[p] for p in docs], "before": [before[p] for p in docs]})
 
 
 def _closed(found: dict[str, int]) -> set[str]:
-    """Without entries of which one longer entry has nearly all documents."""
+    """Without entries of which one longer entry has nearly all occurrences."""
     longer: dict[str, int] = {}
     for p, n in found.items():
         longer[p[:-1]] = max(n, longer.get(p[:-1], 0))
     return {p for p, n in found.items() if longer.get(p, 0) < 0.9 * n}
 
 
+def _shortest(weights: dict[str, float]) -> dict[str, float]:
+    """Without entries that say little more than a kept beginning of theirs."""
+    kept: dict[str, float] = {}
+    for p in sorted(weights, key=len):
+        if all(weights[p] >= kept[p[:k]] + LARGER for k in range(SHORTEST + 1, len(p)) if p[:k] in kept):
+            kept[p] = weights[p]
+    return kept
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> Lexicon:
     """A lexicon from the rows of ``labels`` (doc_id and ``toxic`` 0 or 1) outside the held-out fold.
 
     Without toxic and clean labelled texts, or if no word tells them apart, the basic one.
     """
     sample = _sample(docs, labels, toxic, id_column, text_column)
-    many = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sums = sample.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))).alias("words")).collect()
+    many, words = {r["y"]: r["n"] for r in sums}, {r["y"]: r["words"] + 1 for r in sums}
     if not many.get(1) or not many.get(0):
         return Lexicon()
     toxic_rows, clean_rows = sample.filter("y = 1"), sample.filter("y = 0")
     support = min(SUPPORT, max(2, many[1] // 50))
-    mined = toxic_rows.select("text").mapInPandas(_patterns, "p string, n long, before long").groupBy("p").agg(F.sum("n").alias("n"), F.bit_or("before").alias("before"))
-    wide = mined.filter((F.col("n") >= support) & (F.bit_count("before") >= min(CONTEXTS, support))).orderBy(F.desc("n"), "p").limit(ENTRIES)
+    mined = toxic_rows.select("text").mapInPandas(_patterns, "p string, docs long, n long, before long").groupBy("p").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.bit_or("before").alias("before"))
+    wide = mined.filter((F.col("docs") >= support) & (F.bit_count("before") >= min(CONTEXTS, support))).orderBy(F.desc("n"), "p").limit(ENTRIES)
     found = {r["p"]: r["n"] for r in wide.collect()}
     closed = _closed(found)
     probe = Lexicon(tuple((p, 1.0) for p in sorted(closed)))
@@ -191,14 +220,14 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update({p for _, p in automaton.iter(fold(text))})
+                counts.update(p for _, p in automaton.iter(fold(text)))
         if counts:
             yield pd.DataFrame({"p": list(counts), "n": list(counts.values())})
 
     clean = {r["p"]: r["n"] for r in clean_rows.select("text").mapInPandas(clean_counts, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()} if closed else {}
-    logit = lambda n, total: math.log((n + 0.5) / (total - n + 0.5))
-    weights = {p: logit(found[p], many[1]) - logit(clean.get(p, 0), many[0]) for p in closed}
-    lexicon = Lexicon(tuple(sorted((p, round(w, 3)) for p, w in weights.items() if w >= ODDS)))
+    rate = lambda n, y: math.log((n + 0.5) / words[y])
+    weights = {p: w for p in closed if (w := rate(found[p], 1) - rate(clean.get(p, 0), 0)) >= LEAST}
+    lexicon = Lexicon(tuple(sorted((p, round(w, 3)) for p, w in _shortest(weights).items())))
     if not lexicon.weights:
         return Lexicon()
 
