@@ -74,6 +74,6 @@ def checkpoints(events: DataFrame, quotes: DataFrame, keys: Sequence[str], start
     """The last quote before each of several moments ahead of an event: offsets in seconds by name."""
     names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("seconds")) for n, s in offsets.items()])).alias("__o")
     moments = events.select("*", names)
-    at = F.timestamp_micros(_micros(F.col(start)) - F.col("__o.seconds") * 1_000_000)
+    at = F.timestamp_micros(_micros(F.col(start)) - F.col("__o.seconds").cast("long") * 1_000_000)
     moments = moments.select(*events.columns, F.col("__o.name").alias("checkpoint"), at.alias("checkpoint_at"))
     return asof_join(moments, quotes, keys, "checkpoint_at", quote_time, [value], tiebreak)

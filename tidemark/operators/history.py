@@ -8,10 +8,12 @@ mean's bounded lookback).
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,6 +199,32 @@ def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str,
     return carried.groupBy(*group, time).agg(F.avg(v).alias("consensus"), F.stddev_samp(v).alias("spread"), F.median(v).alias("median"), F.count("*").alias("vendors"))
 
 
+def running_median(df: DataFrame, history: History, value: str, name: str) -> DataFrame:
+    """Median of all values of the key up to the row, itself included; nulls count for nothing.
+
+    Spark's median takes no ordered frame.  Rows go through a task in order, and only the values of the key at
+    hand are held, in two heaps.
+    """
+    keys = list(history.keys)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, low, high = None, [], []
+        for batch in batches:
+            out = []
+            for key, x in zip(batch[keys].itertuples(index=False, name=None), batch["__x"], strict=True):
+                if key != now:
+                    now, low, high = key, [], []
+                if x == x:
+                    heapq.heappush(high, -heapq.heappushpop(low, -x))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+                out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+            yield batch.drop(columns="__x").assign(**{name: pd.array(out, "Float64")})
+
+    dealt = df.withColumn("__x", F.col(value).cast("double")).repartition(*keys).sortWithinPartitions(*keys, history.instant, history.tiebreak)
+    return dealt.mapInPandas(rows, df.withColumn(name, F.lit(None).cast("double")).schema)
+
+
 def change_only(df: DataFrame, history: History, value: str, least: float = 1e-9) -> DataFrame:
     """Rows at which ``value`` moved, the first one, and the last one."""
     before, after = F.lag(value).over(history.rows()), F.lead(F.lit(1)).over(history.rows())

@@ -1,5 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from tidemark.queries import joins, kernels, loads, relational, steps, strategies, texts, trailing  # noqa: F401  they register themselves
+from tidemark.queries.catalog import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "situational_baseline"
