@@ -53,12 +53,12 @@ def source_precedence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey) = 1)
-SELECT o_custkey, count(*) AS games, round(avg(o_totalprice), 4) AS mean_points FROM d GROUP BY 1 HAVING count(*) >= 5 ORDER BY mean_points DESC, o_custkey LIMIT 25""")
+SELECT o_custkey, count(*) AS games, round(avg(o_totalprice), 7) AS mean_points FROM d GROUP BY 1 HAVING count(*) >= 5 ORDER BY mean_points DESC, o_custkey LIMIT 25""")
 def leaders(spark: SparkSession, folder: str) -> DataFrame:
     """Deduplicated by precedence, averaged, and the best 25 with enough games: the limit is the report."""
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     one = rel.by_precedence(orders, ["o_custkey", "o_orderdate"], "o_orderpriority", PRECEDENCE, F.col("o_orderkey"))
-    out = one.groupBy("o_custkey").agg(F.count("*").alias("games"), F.round(F.avg("o_totalprice"), 4).alias("mean_points")).filter("games >= 5")
+    out = one.groupBy("o_custkey").agg(F.count("*").alias("games"), F.round(F.avg("o_totalprice"), 7).alias("mean_points")).filter("games >= 5")
     return out.orderBy(F.desc("mean_points"), "o_custkey").limit(25)
 
 
