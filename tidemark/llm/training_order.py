@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +45,16 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def squeeze(ids: np.ndarray) -> bytes:
+    """Compressed little-endian 16-bit ids."""
+    return zstandard.compress(ids.astype("<u2").tobytes())
+
+
 def sequences(docs: DataFrame, length: int, id_column: str = "doc_id", text_column: str = "text", end_id: int = 50256, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """(part, idx, n_tokens, ids): the ids of a partition's documents, each ended by ``end_id``, cut every ``length``.
 
     The last sequence of a partition is filled up with ``end_id``; n_tokens says how many ids are real.  Null
-    texts count as empty.  ``ids`` are little-endian unsigned 16-bit numbers.
+    texts count as empty.  ``ids`` are unsigned 16-bit numbers, squeezed: they are written and shuffled once.
     """
     vocabulary = vocabulary or public_vocabulary()
 
@@ -62,12 +68,12 @@ def sequences(docs: DataFrame, length: int, id_column: str = "doc_id", text_colu
             n = len(flat) // length
             rest = flat[n * length :]
             if n:
-                yield pd.DataFrame({"part": part, "idx": range(at, at + n), "n_tokens": length, "ids": [x.tobytes() for x in flat[: n * length].reshape(n, length)]})
+                yield pd.DataFrame({"part": part, "idx": range(at, at + n), "n_tokens": length, "ids": [squeeze(x) for x in flat[: n * length].reshape(n, length)]})
                 at += n
         if len(rest):
             filled = np.full(length, end_id, np.uint16)
             filled[: len(rest)] = rest
-            yield pd.DataFrame({"part": [part], "idx": [at], "n_tokens": [len(rest)], "ids": [filled.tobytes()]})
+            yield pd.DataFrame({"part": [part], "idx": [at], "n_tokens": [len(rest)], "ids": [squeeze(filled)]})
 
     return docs.select(F.col(text_column).alias("text")).mapInPandas(rows, "part long, idx long, n_tokens int, ids binary")
 
@@ -109,9 +115,10 @@ def write_in_order(seqs: DataFrame, folder: str, length: int, key: int, per_shar
                 if system.get_file_info(name).size != size:
                     part = f"{name}.{TaskContext.get().taskAttemptId()}"
                     out = system.open_output_stream(part)
+            ids = [zstandard.decompress(x) for x in batch["ids"]]
             if out is not None:
-                out.write(b"".join(batch["ids"]))
-            yield pd.DataFrame({"slot": batch["slot"], "shard": shard, "byte_offset": batch["slot"] % per_shard * length * 2, "n_tokens": batch["n_tokens"], "ids_crc32": [zlib.crc32(x) for x in batch["ids"]]})
+                out.write(b"".join(ids))
+            yield pd.DataFrame({"slot": batch["slot"], "shard": shard, "byte_offset": batch["slot"] % per_shard * length * 2, "n_tokens": batch["n_tokens"], "ids_crc32": [zlib.crc32(x) for x in ids]})
         if out is not None:
             out.close()
             system.move(part, name)
