@@ -271,6 +271,23 @@ def test_mined_url_rules(spark):
         assert (got[i][0] == "block") == ("/buy/" in u and "ref=" in u)
 
 
+def test_url_tokens_are_whole(spark):
+    url = "http://a.b.c.d.e.net/p/q/r/s/casino/x7"
+    (row,) = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url")).alias("items")).collect()
+    hosts = {"host:net", "host:e.net", "host:d.e.net", "host:c.d.e.net", "host:b.c.d.e.net", "host:a.b.c.d.e.net"}
+    assert set(row["items"]) == {"scheme:http", "first:a", *hosts, "path0:p", "path1:q", "path2:r", "path3:s", "path4:casino", "path5:x#"}
+
+
+def test_mined_url_rules_of_deep_paths_and_middle_labels(spark):
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice('abcdefgh')}.{rng.choice('mnop')}.{rng.choice(['bad', 'ok1', 'ok2'])}.x.y.net/{'/'.join(rng.choice('uvw') for _ in range(4))}/{rng.choice(['casino', 'news'])}/z" for _ in range(800)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = F.col("url").contains("/casino/") & F.col("url").contains(".bad.")
+    mined = url_rules.mine(pages.select(url_rules.tokens(F.col("url")).alias("items"), bad.alias("block")))
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, mined).collect()}
+    assert all((got[i] == "block") == ("/casino/" in u and ".bad." in u) for i, u in enumerate(urls))
+
+
 # --- packing -------------------------------------------------------------------------------------------
 
 

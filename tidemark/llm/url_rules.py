@@ -1,7 +1,7 @@
 """Judging URLs by given rules, then by association rules mined from labels.
 
-Tokens of a URL are its scheme, its host's suffixes and first label, path segments by position (digits as
-#), query keys and whether it has a fragment.  Spark's FP-growth mines which combinations of tokens go with
+Tokens of a URL are its scheme, all its host's suffixes and its first label, all path segments by position
+(digits as #), query keys and whether it has a fragment.  Spark's FP-growth mines which combinations of tokens go with
 blocked pages; rules are pruned by support, confidence and lift.  Each rule stands in an inverted index under
 its rarest token, so a URL meets only rules of which it holds that token.
 """
@@ -59,9 +59,9 @@ def fitting_rule(host_: F.Column, path_: F.Column, rules: Sequence[Rule]) -> F.C
 def tokens(url: F.Column) -> F.Column:
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
     segments = F.filter(F.split(path(url), "/"), lambda s: s != "")
-    placed = F.transform(F.slice(segments, 1, 4), lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(s, "[0-9]+", "#")))
+    placed = F.transform(segments, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(s, "[0-9]+", "#")))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query:"), F.substring_index(s, "=", 1)))
     scheme = F.concat(F.lit("scheme:"), F.substring_index(F.coalesce(url, F.lit("")), "://", 1))
