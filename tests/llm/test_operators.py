@@ -283,11 +283,27 @@ def test_mined_url_rules_of_deep_paths_and_middle_labels(spark):
     urls = [f"http://{rng.choice('abcdefgh')}.{rng.choice('mnop')}.{rng.choice(['bad', 'ok1', 'ok2'])}.x.y.net/{'/'.join(rng.choice('uvw') for _ in range(4))}/{rng.choice(['casino', 'news'])}/z" for _ in range(800)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     bad = F.col("url").contains("/casino/") & F.col("url").contains(".bad.")
-    mined = url_rules.mine(pages.select(url_rules.tokens(F.col("url")).alias("items"), bad.alias("block")))
+    mined = url_rules.mine(pages.select(url_rules.tokens(F.col("url")).alias("items"), bad.alias("block")), 0.05)
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, mined).collect()}
     assert all((got[i] == "block") == ("/casino/" in u and ".bad." in u) for i, u in enumerate(urls))
 
 
+def test_mined_url_rules_are_minimal_and_whole(spark):
+    rng = random.Random(3)
+    baskets = [({"u", *(t for t in "abcde" if rng.random() < 0.5)}, rng.random()) for _ in range(300)]
+    baskets = [(i | ({"a2"} if "a" in i else set()), x < (0.95 if {"a", "b"} <= i else 0.8 if "c" in i else 0.6)) for i, x in baskets]
+    got = list(url_rules.mine(spark.createDataFrame([(sorted(i), b) for i, b in baskets], "items array<string>, block boolean"), 0.02))
+    share, want = sum(b for _, b in baskets) / len(baskets), {}
+    assert share > 2 / 3
+    for n in range(1, 8):
+        for need in itertools.combinations(["a", "a2", "b", "c", "d", "e", "u"], n):
+            own = [b for i, b in baskets if set(need) <= i]
+            for verdict, hit, base in (("block", sum(own), share), ("allow", len(own) - sum(own), 1 - share)):
+                if hit >= 6 and hit / len(own) >= max(0.75, base) and all(hit / len(own) > c for (s, v), c in want.items() if v == verdict and set(s) < set(need)):
+                    want[need, verdict] = hit / len(own)
+    assert {(tuple(i), v): pytest.approx(c) for i, v, c in got} == want and len(got) == len(want)
+
+
 # --- packing -------------------------------------------------------------------------------------------
 
 

@@ -2,20 +2,24 @@
 
 Tokens of a URL are its scheme, all its host's suffixes and its first label, all path segments by position
 (digits as #), query keys and whether it has a fragment.  Spark's FP-growth mines which combinations of tokens go with
-blocked pages; rules are pruned by support, confidence and lift.  Each rule stands in an inverted index under
-its rarest token, so a URL meets only rules of which it holds that token.
+blocked pages; rules are pruned by support and confidence, none may be worse than no rule, and none stays that a
+part of it makes needless; their number has no bound.  Each rule stands in an inverted index under its rarest
+token, so a URL meets only rules of which it holds that token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import by_size, materialize
 
 
 @dataclass(frozen=True)
@@ -28,8 +32,8 @@ class Rule:
 #: The rules that every page is judged by first (fixed values).
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Pruning of mined rules, and how many are kept at most (by confidence, then support): the bound of the index.
-SUPPORT, CONFIDENCE, LIFT, KEPT = 0.005, 0.75, 1.5, 10_000
+#: Pruning of mined rules, and up to how many the index is broadcast (beyond that it is joined by a shuffle).
+SUPPORT, CONFIDENCE, LIFT, BROADCAST = 0.005, 0.75, 1.0, 100_000
 BLOCK, ALLOW = "=block", "=allow"
 
 
@@ -69,38 +73,94 @@ def tokens(url: F.Column) -> F.Column:
     return F.array_distinct(F.concat(F.array(scheme, F.concat(F.lit("first:"), F.get(labels, 0))), suffixes, placed, keys, fragment))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> list[tuple[list[str], str, float]]:
-    """(tokens, verdict, confidence) of the rules in ``labelled`` (items: array of tokens, block: boolean), best first."""
-    mark = F.array(F.when(F.col("block"), BLOCK).otherwise(ALLOW))
-    baskets = materialize(labelled.filter(F.col("items").isNotNull() & F.col("block").isNotNull()).select(F.concat("items", mark).alias("items")), "baskets")
-    if baskets.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    to_label = (F.size("consequent") == 1) & F.col("consequent")[0].isin(BLOCK, ALLOW)
-    rules = model.associationRules.filter(to_label & (F.col("lift") >= lift)).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(KEPT)
-    return [(sorted(r["antecedent"]), r["consequent"][0][1:], float(r["confidence"])) for r in rules.collect()]
+@dataclass(frozen=True, eq=False)
+class Mined:
+    """Mined rules as written tables, iterated as (tokens, verdict, confidence).
+
+    ``alias``: token, its stand-in; tokens on exactly the same labelled pages share one.  ``rules``: token (the
+    rarest of ``need``), need (stand-ins), mined, confidence, gain.
+    """
+
+    alias: DataFrame
+    rules: DataFrame
+
+    def __iter__(self) -> Iterator[tuple[list[str], str, float]]:
+        """One for each choice of tokens behind the stand-ins."""
+        same: dict[str, list[str]] = {}
+        for r in self.alias.toLocalIterator():
+            same.setdefault(r["item"], []).append(r["token"])
+        for r in self.rules.toLocalIterator():
+            for items in product(*(same[t] for t in r["need"])):
+                yield sorted(items), r["mined"], r["confidence"]
 
 
-def judge(pages: DataFrame, mined: list[tuple[list[str], str, float]], rules: Sequence[Rule] = RULES, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
+def _minimal(itemsets: DataFrame) -> DataFrame:
+    """``itemsets`` (need, mined, confidence) with ``below``: the largest confidence of a smaller set with the same verdict."""
+    longest = itemsets.agg(F.max(F.size("need"))).first()[0] or 0
+    level = itemsets.filter(F.size("need") == 1).withColumn("below", F.lit(0.0))
+    levels = [level]
+    for k in range(2, longest + 1):
+        upto = level.select(F.col("need").alias("less"), "mined", F.greatest("confidence", "below").alias("below"))
+        parts = itemsets.filter(F.size("need") == k).withColumn("less", F.explode(F.transform("need", lambda t: F.array_except("need", F.array(t)))))
+        level = materialize(parts.join(upto, ["less", "mined"]).groupBy("need", "mined").agg(F.first("confidence").alias("confidence"), F.max("below").alias("below")), "level")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> Mined | list:
+    """The rules in ``labelled`` (items: array of tokens, block: boolean); an empty list without labelled pages.
+
+    A rule goes only if a part of its tokens gives the same verdict with at least its confidence.
+    """
+    mark = F.when(F.col("block"), BLOCK).otherwise(ALLOW)
+    known = labelled.filter(F.col("items").isNotNull() & F.col("block").isNotNull())
+    numbered = known.select(F.monotonically_increasing_id().alias("basket"), F.array_distinct(F.concat("items", F.array(mark))).alias("items"))
+    baskets = materialize(numbered.select("basket", F.explode("items").alias("token")), "baskets")
+    marks = {r["token"]: r["count"] for r in baskets.filter(F.col("token").isin(BLOCK, ALLOW)).groupBy("token").count().collect()}
+    total = sum(marks.values())
+    if not total:
+        return []
+    # Sets with two tokens of the same pages, or with one of all pages, say what a smaller set says.
+    pages = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("basket")).alias("x"), F.bit_xor(F.xxhash64("basket", F.lit(1))).alias("y")]
+    often = baskets.filter(~F.col("token").isin(BLOCK, ALLOW)).groupBy("token").agg(*pages).filter(F.col("n") >= math.ceil(support * total))
+    alias = materialize(often.withColumn("item", F.min("token").over(Window.partitionBy("n", "x", "y"))).select("token", "item", "n"), "alias")
+    # At most tokens of a page / support.
+    single = F.broadcast(alias.filter((F.col("token") == F.col("item")) & (F.col("n") < total)).select("token"))
+    kept = baskets.join(single, "token").unionByName(baskets.filter(F.col("token").isin(BLOCK, ALLOW)).select("token", "basket"))
+    items = materialize(kept.groupBy("basket").agg(F.collect_list("token").alias("items")), "items")
+    found = FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets
+    of = F.when(F.array_contains("items", BLOCK), BLOCK).when(F.array_contains("items", ALLOW), ALLOW)
+    sets = materialize(found.select(F.array_sort(F.array_except("items", F.array(F.lit(BLOCK), F.lit(ALLOW)))).alias("need"), of.alias("mined"), "freq").filter(F.size("need") > 0), "itemsets")
+    whole = sets.filter("mined is null").select("need", F.col("freq").alias("n"))
+    rated = materialize(sets.filter("mined is not null").join(whole, "need").select("need", "mined", (F.col("freq") / F.col("n")).alias("confidence")), "rated")
+    everywhere = [([r["item"]], m, n / total, 0.0) for r in alias.filter(F.col("n") == total).select("item").distinct().collect() for m, n in marks.items()]
+    rules = _minimal(rated).unionByName(labelled.sparkSession.createDataFrame(everywhere, "need array<string>, mined string, confidence double, below double"))
+    share = F.when(F.col("mined") == BLOCK, marks.get(BLOCK, 0) / total).otherwise(marks.get(ALLOW, 0) / total)
+    odds = lambda p: F.when(p < 1, p / (1 - p)).otherwise(float("inf"))
+    rules = rules.filter((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * share) & (F.col("confidence") > F.col("below")))
+    rules = rules.select("need", F.expr("substring(mined, 2)").alias("mined"), "confidence", F.when(share < 1, odds(F.col("confidence")) / odds(share)).otherwise(1.0).alias("gain"))
+    known_items = F.broadcast(alias.filter("token = item").select("item", "n"))
+    rarest = rules.withColumn("item", F.explode("need")).join(known_items, "item").groupBy("need", "mined").agg(F.min(F.struct("n", "item")).alias("rarest"), F.first("confidence").alias("confidence"), F.first("gain").alias("gain"))
+    return Mined(alias, materialize(rarest.select(F.col("rarest.item").alias("token"), "need", "mined", "confidence", "gain"), "rules"))
+
+
+def judge(pages: DataFrame, mined: Mined | list, rules: Sequence[Rule] = RULES, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, by for each row of ``pages``.
 
     ``by`` says what judged: rule, mined or default.  A null url, or one without ``://``, has an empty host and
-    path and so no rule.  Repeated rows give repeated rows; an empty table none; null ids stay.
+    path and so no rule.  Repeated rows give repeated rows; an empty table none; null ids stay.  Of mined rules
+    that fit, the one whose odds are most above those of all labelled pages judges.
     """
-    spark = pages.sparkSession
     url = F.col("url")
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url")).select("page_id", "url", host(url).alias("host"), path(url).alias("path"))
     rows = rows.withColumn("found", fitting_rule(F.col("host"), F.col("path"), rules))
     learnt = F.lit(None).cast("string")
     if mined:
-        often: dict[str, int] = {}
-        for items, *_ in mined:
-            for t in items:
-                often[t] = often.get(t, 0) + 1
-        index = F.broadcast(spark.createDataFrame([(min(i, key=lambda t: (often[t], t)), i, v, c) for i, v, c in mined], "token string, need array<string>, mined string, confidence double"))
-        open_ = rows.filter("found is null").select("url").distinct().withColumn("items", tokens(url))
-        met = open_.withColumn("token", F.explode("items")).join(index, "token").filter(F.size(F.array_except("need", "items")) == 0)
-        best = met.groupBy(F.col("url").alias("known")).agg(F.max(F.struct("confidence", F.size("need"), "mined")).alias("best")).select("known", "best.mined")
+        open_ = rows.filter("found is null and url is not null").select("url").distinct().withColumn("token", F.explode(tokens(url)))
+        held = open_.join(F.broadcast(mined.alias), "token").groupBy("url").agg(F.collect_set("item").alias("items"))
+        index = by_size(mined.rules, BROADCAST)
+        met = held.withColumn("token", F.explode("items")).join(index, "token").filter(F.size(F.array_except("need", "items")) == 0)
+        best = met.groupBy(F.col("url").alias("known")).agg(F.max(F.struct("gain", "confidence", F.size("need"), "mined")).alias("best")).select("known", "best.mined")
         rows = rows.join(best, F.when(F.col("found").isNull(), url) == F.col("known"), "left")
         learnt = F.col("mined")
     by = F.when(F.col("found").isNotNull(), "rule").when(learnt.isNotNull(), "mined").otherwise("default")
