@@ -156,6 +156,16 @@ def test_toxicity_held_out(spark):
     assert n[(1, 1)] >= 0.93 * (n[(1, 1)] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.005 * n[(0, 0)]
 
 
+def test_rare_toxic_words_are_weighed_too(spark):
+    rng = random.Random(6)
+    common = sorted({"".join(rng.choice("bcdfghjkmnpqrtuvwxyz") for _ in range(7)) for _ in range(5000)})
+    texts = [" ".join(rng.sample(common, len(common))) for _ in range(60)]
+    toxic = [f"{t} zorgul {rng.choice(common)}" if i < 20 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(toxic + texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    assert any(p.startswith(" zo") for p, _ in toxicity.learn(docs, labels).weights)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "idiot moron scum", 1), (2, "idiot moron scum", 1), (3, "fine " * 50_000, 1)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, toxic int")

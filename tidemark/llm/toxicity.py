@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import held_out, materialize
 
-#: Bounds of the sample and of the lexicon.
-TOXIC, CLEAN, ENTRIES = 4000, 8000, 20_000
+#: Bounds of the sample.
+TOXIC, CLEAN = 4000, 8000
 #: Lengths of word beginnings, documents that must hold an entry, its least weight, different words before it.
 SHORTEST, LONGEST, SUPPORT, LEAST, CONTEXTS = 3, 10, 8, 2.5, 4
 #: A longer entry stays beside its beginning only if its weight is so much larger.
@@ -177,12 +177,10 @@ def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"p": list(docs), "docs": list(docs.values()), "n": [times[p] for p in docs], "before": [before[p] for p in docs]})
 
 
-def _closed(found: dict[str, int]) -> set[str]:
+def _closed(found: DataFrame) -> DataFrame:
     """Without entries of which one longer entry has nearly all occurrences."""
-    longer: dict[str, int] = {}
-    for p, n in found.items():
-        longer[p[:-1]] = max(n, longer.get(p[:-1], 0))
-    return {p for p, n in found.items() if longer.get(p, 0) < 0.9 * n}
+    longer = found.groupBy(F.expr("substring(p, 1, length(p) - 1)").alias("p")).agg(F.max("n").alias("longer"))
+    return found.join(longer, "p", "left").filter(F.coalesce("longer", F.lit(0)) < 0.9 * F.col("n")).drop("longer")
 
 
 def _shortest(weights: dict[str, float]) -> dict[str, float]:
@@ -206,27 +204,14 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
         return Lexicon()
     toxic_rows, clean_rows = sample.filter("y = 1"), sample.filter("y = 0")
     support = min(SUPPORT, max(2, many[1] // 50))
-    mined = toxic_rows.select("text").mapInPandas(_patterns, "p string, docs long, n long, before long").groupBy("p").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.bit_or("before").alias("before"))
-    wide = mined.filter((F.col("docs") >= support) & (F.bit_count("before") >= min(CONTEXTS, support))).orderBy(F.desc("n"), "p").limit(ENTRIES)
-    found = {r["p"]: r["n"] for r in wide.collect()}
-    closed = _closed(found)
-    probe = Lexicon(tuple((p, 1.0) for p in sorted(closed)))
-
-    def clean_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for p, _ in probe.weights:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                counts.update(p for _, p in automaton.iter(fold(text)))
-        if counts:
-            yield pd.DataFrame({"p": list(counts), "n": list(counts.values())})
-
-    clean = {r["p"]: r["n"] for r in clean_rows.select("text").mapInPandas(clean_counts, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()} if closed else {}
-    rate = lambda n, y: math.log((n + 0.5) / words[y])
-    weights = {p: w for p in closed if (w := rate(found[p], 1) - rate(clean.get(p, 0), 0)) >= LEAST}
+    kind = "p string, docs long, n long, before long"
+    mined = toxic_rows.select("text").mapInPandas(_patterns, kind).groupBy("p").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.bit_or("before").alias("before"))
+    wide = materialize(mined.filter((F.col("docs") >= support) & (F.bit_count("before") >= min(CONTEXTS, support))).select("p", "n"), "patterns")
+    clean = clean_rows.select("text").mapInPandas(_patterns, kind).groupBy("p").agg(F.sum("n").alias("clean"))
+    rate = lambda n, y: F.log((n + 0.5) / words[y])
+    weighed = _closed(wide).join(clean, "p", "left").select("p", (rate(F.col("n"), 1) - rate(F.coalesce("clean", F.lit(0)), 0)).alias("w"))
+    # All that tell toxic from clean texts; the sample bounds them.
+    weights = {r["p"]: r["w"] for r in weighed.filter(F.col("w") >= LEAST).collect()}
     lexicon = Lexicon(tuple(sorted((p, round(w, 3)) for p, w in _shortest(weights).items())))
     if not lexicon.weights:
         return Lexicon()
@@ -247,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
             yield pd.DataFrame({"p": [p for p, _ in counts], "y": [y for _, y in counts], "n": list(counts.values())})
 
     around = sample.mapInPandas(phrases, "p string, y int, n long").groupBy("p").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-    spared = around.filter((F.col("good") >= support) & (F.col("good") / many[0] >= 9 * F.col("bad") / many[1])).orderBy(F.desc("good"), "p").limit(ENTRIES)
-    lexicon = Lexicon(lexicon.weights, tuple(r["p"] for r in spared.collect()))
+    spared = around.filter((F.col("good") >= support) & (F.col("good") / many[0] >= 9 * F.col("bad") / many[1]))
+    lexicon = Lexicon(lexicon.weights, tuple(sorted(r["p"] for r in spared.collect())))
 
     @F.pandas_udf("int")
     def bin_of(column: pd.Series) -> pd.Series:
