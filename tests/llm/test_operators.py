@@ -147,6 +147,15 @@ def test_folding_and_exceptions():
     assert toxicity.strength("you idiot, you scumbag", lexicon) > toxicity.strength("you idiot " + "word " * 100, lexicon) > 0
 
 
+@pytest.mark.parametrize("other", ["x\u0323\u0316", "हिन्दी", "바보", "\u0301", "ﬁ"])
+def test_accents_beside_any_other_word(other):
+    lexicon = toxicity.Lexicon(((" idiot ", 5.0), (" café ", 4.0)), (" idiot proof ",))
+    for text in (f"{other} an Ídiôt", f"an Ídiôt {other}", f"{other} an I\u0301dio\u0302t"):
+        folded = toxicity.fold(text)
+        assert toxicity.hits(folded, lexicon) == {folded.index(" ídiôt "): 5.0}
+    assert toxicity.hits(toxicity.fold(f"{other} cafe\u0301"), lexicon) and not toxicity.hits(toxicity.fold(f"{other} ídiôt proof"), lexicon)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     lexicon = toxicity.learn(docs, labels)

@@ -12,6 +12,7 @@ The fit looks at a bounded sample (``TOXIC`` + ``CLEAN`` labelled documents, cho
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -63,7 +64,8 @@ class _Plain(dict):
     """Letters without their accents."""
 
     def __missing__(self, code: int) -> str:
-        self[code] = out = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn")
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if unicodedata.category(c) != "Mn")
+        self[code] = out = unicodedata.normalize("NFC", bare)
         return out
 
 
@@ -72,7 +74,8 @@ _FOLD, _PLAIN = _Fold(), _Plain()
 
 def fold(text: str | None) -> str:
     """Folded words with one space before, between and after; a single space if there are none."""
-    words = (text or "").translate(_FOLD).split()
+    # Composed before, so that equal texts fold alike, and after, as lookalikes may take accents.
+    words = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text or "").translate(_FOLD)).split()
     return f" {' '.join(words)} " if words else " "
 
 
@@ -100,6 +103,10 @@ def _automaton(lexicon: Lexicon, whole: bool = False) -> ahocorasick.Automaton:
     return out
 
 
+def _spaces(text: str) -> list[int]:
+    return [m.start() for m in re.finditer(" ", text)]
+
+
 def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
     """The largest weight at each word's start, without words that an exception phrase holds."""
     found: dict[int, float] = {}
@@ -109,10 +116,12 @@ def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
         if not len(automaton) or whole and folded.isascii():
             continue
         text = folded.translate(_PLAIN) if whole else folded
-        if len(text) != len(folded):
-            continue
+        # Words may change their length, not their number: the n-th space of one text is that of the other.
+        place = dict(zip(_spaces(text), _spaces(folded), strict=True)) if whole else None
         for end, (length, weight) in automaton.iter(text):
             start = end - length + 1
+            if place is not None:
+                start, end = place[start], place[end]
             if weight:
                 found[start] = max(weight, found.get(start, 0.0))
             else:
