@@ -174,23 +174,31 @@ def player_form(t: Tables, least_minutes: float = 10.0) -> p.Pipeline:
     return p.Pipeline("player_form", steps, START)
 
 
-def player_rates(t: Tables) -> p.Pipeline:
+def after_form(made: p.Pipeline, *steps: p.Step) -> p.Pipeline:
+    """``steps`` before the minutes filter: no window may miss the rows that it drops."""
+    for after, step in zip(("form5", *[x.name for x in steps]), steps, strict=False):
+        made = made.insert_after(after, step)
+    return made
+
+
+def player_rates(t: Tables, least_minutes: float = 5.0) -> p.Pipeline:
     c = F.col
-    return player_form(t).renamed("player_rates").with_steps(
+    made = after_form(
+        player_form(t).renamed("player_rates"),
         row_local("starts", lambda: {"started": c("starter").cast("double")}, ["started"]),
         past("per_36", PLAYER, lambda df: h.rolling_rate(df, PLAYER, "points", "minutes", 10, 36.0, "points_per_36"), ["points_per_36"]),
         past("weighted", PLAYER, lambda df: h.rolling_weighted(df, PLAYER, "points", "minutes", 10, "points_weighted"), ["points_weighted"]),
-        past("share", PLAYER, lambda df: h.rolling_share(df, PLAYER, "minutes", ["team_id", "season"], 10, "minutes_share"), ["minutes_share"]),
+        past("share", PLAYER, lambda df: h.rolling_share(df, PLAYER, "minutes", ["team_id", "game_id"], 10, "minutes_share"), ["minutes_share"]),
         rolling("starts10", PLAYER, ["started"], 10),
         p.row_local("flag_rate", lambda df: columns.flag_nulls(df, ["points_per_36"]), ["points_per_36_is_null"]),
     )
+    return made.replace_step("minimum_minutes", p.keep("minimum_minutes", lambda _: c("minutes") >= least_minutes))
 
 
 def player_market(t: Tables) -> p.Pipeline:
     c = F.col
     line = lambda df: asof.asof_join(df, t.props(), ["player_id"], START, "at", ["line"], "tie").withColumnRenamed("observed_at", "line_observed_at")
-    return player_form(t).renamed("player_market").with_steps(
-        rolling("form3", PLAYER, ["points"], 3),
+    return after_form(player_form(t).renamed("player_market"), rolling("form3", PLAYER, ["points"], 3)).with_steps(
         p.asof("prop_line", line, ["line", "line_observed_at"], "line_observed_at"),
         row_local("line_edge", lambda: {"line_edge": columns.line_edge(c("line"), c("points_form5"))}, ["line_edge"]),
     )
