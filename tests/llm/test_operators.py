@@ -508,6 +508,22 @@ def test_license_spans(spark):
     assert set(got) == {0, 1, 5, 6} and licenses.license_spans(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_each_of_adjacent_notices(name):
+    text = licenses.TEMPLATES[name]
+    n = len(licenses.words(text))
+    for copies in (2, 3, 5):
+        assert [x[:1] + x[2:4] for x in licenses.Scanner(licenses.TEMPLATES).scan(" ".join([text] * copies))] == [(name, i * n, (i + 1) * n) for i in range(copies)]
+
+
+def test_notices_with_plain_english_between():
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    between = "you may copy the software and use it under the license or the law in this file as agreed except for the work of others " * 4
+    got = licenses.Scanner(licenses.TEMPLATES).scan(f"{header} {between} {header}")
+    n, m = len(licenses.words(header)), len(licenses.words(between))
+    assert [x[:1] + x[2:4] for x in got if x[0] == "Apache-2.0-header"] == [("Apache-2.0-header", 0, n), ("Apache-2.0-header", n + m, 2 * n + m)]
+
+
 # --- training order ------------------------------------------------------------------------------------
 
 

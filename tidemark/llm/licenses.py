@@ -104,32 +104,53 @@ class Scanner:
             for k, i in self.seeds.get(w, ()):
                 implied[k].append((at - i, w))
         for k, found in implied.items():
-            size = len(self.templates[k])
+            size, enough = len(self.templates[k]), LIKELY * self.n_seeds[k]
             slack = size // 4 + 2
             found.sort()
             group: list[tuple[int, str]] = []
             for begin, w in [*found, (None, "")]:
                 if group and (begin is None or begin - group[-1][0] > slack):
-                    if len({x for _, x in group}) >= LIKELY * self.n_seeds[k]:
+                    if len({x for _, x in group}) >= enough:
                         yield k, max(0, group[0][0] - slack), min(len(text), group[-1][0] + size + slack)
+                        for first, last in self.copies(group, size, slack, enough):
+                            yield k, max(0, first), min(len(text), last)
                     group = []
                 if begin is not None:
                     group.append((begin, w))
 
+    @staticmethod
+    def copies(group: list[tuple[int, str]], size: int, slack: int, enough: float) -> Iterator[tuple[int, int]]:
+        """Stretches around each beginning that many single words of a group (sorted) agree on, as it may hold
+        several copies: as long as the template, as far as words nearby reach, and widened."""
+        agree: dict[int, set[str]] = defaultdict(set)
+        for begin, w in group:
+            agree[begin].add(w)
+        begins = sorted(agree)
+        for i, peak in enumerate(begins):
+            near = begins[bisect_left(begins, peak - slack) : bisect_left(begins, peak + slack + 1)]
+            if any((len(agree[b]), -b) > (len(agree[peak]), -peak) for b in near if abs(b - peak) <= slack // 2):
+                continue
+            if len(set().union(*(agree[b] for b in near))) >= enough:
+                close = [b for b in near if abs(b - peak) <= slack // 2]
+                yield peak, peak + size
+                yield close[0], close[-1] + size
+                yield peak - slack, peak + size + slack
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, first word, last word + 1, matched words), by place; of stretches that overlap the
-        one with more matched words stays."""
+        one with more matched words stays, then the shorter."""
         own = words(text or "")
-        found = []
-        for k, first, last in self.stretches(own):
+        found = set()
+        for k, first, last in sorted(set(self.stretches(own))):
             template = self.templates[k]
             matched = align(own[first:last], template)
             # Matches far off the rest are chance.
-            inner = [m for m in matched if abs((m[0] - m[1]) - sorted(x - y for x, y in matched)[len(matched) // 2]) <= len(template) // 4 + 2]
+            middle = sorted(x - y for x, y in matched)[len(matched) // 2] if matched else 0
+            inner = [m for m in matched if abs((m[0] - m[1]) - middle) <= len(template) // 4 + 2]
             if inner and len(inner) >= self.coverage * len(template):
-                found.append((k, len(inner) / len(template), first + inner[0][0], first + inner[-1][0] + 1, len(inner)))
+                found.add((k, len(inner) / len(template), first + inner[0][0], first + inner[-1][0] + 1, len(inner)))
         kept: list[tuple[str, float, int, int, int]] = []
-        for x in sorted(found, key=lambda x: (-x[4], -x[1], x[0], x[2])):
+        for x in sorted(found, key=lambda x: (-x[4], -x[1], x[0], x[3] - x[2], x[2])):
             if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
                 kept.append(x)
         return sorted(kept, key=lambda x: x[2])
