@@ -101,7 +101,7 @@ def lead_lag(spark: SparkSession, folder: str) -> DataFrame:
 def lead_lag_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """A hash draws the clusters, so there is no SQL; tests hold it against a plain loop."""
     pairs = _changes(spark, folder, "click", "x").join(_changes(spark, folder, "view", "y"), ["user_id", "bucket"])
-    return rounded(m.cluster_bootstrap(pairs, "user_id", "x", "y", 500))
+    return rounded(m.cluster_bootstrap(pairs, "user_id", "x", "y"))
 
 
 def _span(name: str, inside: str) -> str:
