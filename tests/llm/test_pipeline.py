@@ -42,7 +42,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             upto += len(t.split())
             if full or upto <= rest:
                 want[i] = t
-    ids = wordpieces.encoder(*wordpieces.public_vocabulary()).encode(list(want.values()))
+    ids = wordpieces.encoder(wordpieces.public_vocabulary()).encode(list(want.values()))
     got = {}
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]

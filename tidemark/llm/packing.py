@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.wordpieces import encoder, public_vocabulary
+from tidemark.llm.shared import slices
+from tidemark.llm.wordpieces import Vocabulary, encoder, public_vocabulary
 
 CELLS, DEPTH = 32, 4
 #: Ids that are packed together: 16 MB.
@@ -125,46 +126,48 @@ def pack_lengths(lengths: np.ndarray, window: int = 1024) -> Iterator[list[tuple
         spare -= take
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 1024, end_id: int = 0, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 1024, end_id: int = 0, vocabulary: Vocabulary | None = None) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text and then ``end_id``; a null or empty text has only that
     one.  Each id is in one piece; a sequence's pieces follow each other from offset 0.  Rows that share
-    doc_id are packed each for itself, and a null doc_id stays null; an empty table gives no rows.
+    doc_id are packed each for itself, and a null doc_id stays null; an empty table gives no rows.  A text of
+    any length is packed whole, its chunk being as long as it needs; other columns don't matter.
     """
     vocabulary = vocabulary or public_vocabulary()
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(*vocabulary).encode
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary).encode
+        end = np.array([end_id], np.uint32)
         base = TaskContext.get().partitionId() << 32
-        names: list = []
+        docs_: list[int | None] = []
         kept: list[np.ndarray] = []
         held = sequence = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal sequence
             lengths = np.array([len(x) for x in kept], np.int64)
-            buffers = [memoryview(x.astype("<u4")).cast("B") for x in kept]
-            out = []
+            out: list[tuple[int, ...]] = []
             for pieces in pack_lengths(lengths, window):
                 offset = 0
                 for doc, start, length in pieces:
-                    out.append((names[doc], start, length, zlib.crc32(buffers[doc][4 * start : 4 * (start + length)]), int(lengths[doc]), base + sequence, offset))
+                    out.append((doc, start, length, zlib.crc32(kept[doc][start : start + length]), base + sequence, offset))
                     offset += length
                 sequence += 1
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            return frame
-
-        for batch in batches:
-            for name, ids in zip(batch["doc_id"], encode(batch["text"].tolist()), strict=True):
-                names.append(None if pd.isna(name) else int(name))
-                kept.append(np.append(ids, np.uint32(end_id)).astype(np.uint32))
+            doc, start, length, crc, sequences, offsets = np.array(out, np.int64).T
+            columns = [pa.array(docs_, pa.int64()).take(pa.array(doc)), start, length, crc, lengths[doc], sequences, offsets]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+        for batch in slices(batches, "text"):
+            for name, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
+                docs_.append(name)
+                kept.append(np.concatenate([ids, end]).astype("<u4"))
                 held += len(kept[-1])
                 if held >= CHUNK_IDS:
                     yield flush()
-                    names, kept, held = [], [], 0
+                    docs_, kept, held = [], [], 0
         if kept:
             yield flush()
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(rows, SCHEMA)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(rows, SCHEMA)

@@ -1,31 +1,39 @@
-"""What several operators need: the folder all executors see, written tables, hashing of words."""
+"""What several operators need: bounded batches, free names, folds, hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where none is set (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: lineage ends here, nothing runs twice,
-    and Spark forgets how the rows were dealt, so that joins on them get exchanges it can split."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidemark.staging import materialize, shared_dir, shuffles_dropped  # noqa: F401  for the operators here
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, as many at a time as hold about ``size`` bytes in ``column`` (one at least); the
+    memory of the rows before is given back to the machine."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(length) // size
+        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for start, stop in zip(starts, starts[1:], strict=False):
+            if start < stop:
+                yield batch.slice(start, stop - start)
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """A worker lives on after its task; what it has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialize, mix64
-from tidemark.llm.wordpieces import encoder, public_vocabulary
+from tidemark.llm.wordpieces import Vocabulary, encoder, public_vocabulary
 
 ROUNDS = 4
 
@@ -50,7 +50,7 @@ def squeeze(ids: np.ndarray) -> bytes:
     return zstandard.compress(ids.astype("<u2").tobytes())
 
 
-def sequences(docs: DataFrame, length: int, id_column: str = "doc_id", text_column: str = "text", end_id: int = 50256, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def sequences(docs: DataFrame, length: int, id_column: str = "doc_id", text_column: str = "text", end_id: int = 50256, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(part, idx, n_tokens, ids): the ids of a partition's documents, each ended by ``end_id``, cut every ``length``.
 
     The last sequence of a partition is filled up with ``end_id``; n_tokens says how many ids are real.  Null
@@ -59,7 +59,7 @@ def sequences(docs: DataFrame, length: int, id_column: str = "doc_id", text_colu
     vocabulary = vocabulary or public_vocabulary()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(*vocabulary).encode
+        encode = encoder(vocabulary).encode
         part, at = TaskContext.get().partitionId(), 0
         rest = np.empty(0, np.uint16)
         end = np.array([end_id], np.uint16)

@@ -2,15 +2,18 @@
 
 The vocabulary's pattern always starts a new word at a space, unless white space stands on both sides of
 it.  So texts are cut at their spaces, and the merge ranks see each different stretch of a batch once; the
-ids are then put together by position.  A text with a space between white space goes through them whole.
+ids are then put together by position.  A text with a space between white space goes through them whole, and
+so does one that holds a special token, which is one id wherever it stands.
 The ids are those of the tokenizer's own file (a test holds the two against each other).
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +22,32 @@ import pyarrow.compute as pc
 #: White space around a space: there a cut would change the words.
 UNSAFE = re.compile(r"\s \s")
 #: Characters handled at once, which bounds memory.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 2_000_000
 
 
-class Encoder:
-    """``ranks_path``: a byte-level vocabulary as ranks; ``pattern``: how it cuts words."""
+class Vocabulary(NamedTuple):
+    """``ranks_path``: a byte-level vocabulary as ranks; ``pattern``: how it cuts words; ``special``: tokens that
+    aren't cut, and their ids."""
+
+    ranks_path: str
+    pattern: str
+    special: tuple[tuple[str, int], ...] = ()
 
-    def __init__(self, ranks_path: str, pattern: str):
+
+class Encoder:
+    def __init__(self, vocabulary: Vocabulary):
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
+        with open(vocabulary.ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = [len(k) for k in ranks]
-        self.ids = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = [token for token, _ in vocabulary.special]
+        #: Ids are below this.
+        self.limit = max(len(self.size), *(i + 1 for _, i in vocabulary.special), 0)
+        coder = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.special))
+        self.ids = coder.encode_ordinary
+        self.all_ids = lambda text: coder.encode(text, allowed_special="all")
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn, as unsigned 32-bit numbers; none for null or an empty text."""
@@ -47,7 +62,7 @@ class Encoder:
             yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        whole = {i: np.array(self.ids(t), np.uint32) for i, t in enumerate(texts) if UNSAFE.search(t)}
+        whole = {i: np.array(self.all_ids(t), np.uint32) for i, t in enumerate(texts) if UNSAFE.search(t) or any(s in t for s in self.special)}
         parts = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()), " ")
         stops = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
@@ -77,19 +92,20 @@ class Encoder:
             yield np.concatenate([np.array(head, np.uint32), rest])
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[Vocabulary, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(vocabulary: Vocabulary) -> Encoder:
     """One for each worker process."""
-    key = (ranks_path, pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks_path, pattern)
-    return _encoders[key]
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
-def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
-    """Path and word pattern of an installed public vocabulary."""
+def public_vocabulary(ranks: str = "byte_bpe_50k.tiktoken", tokenizer: str = "byte_bpe_50k.json") -> Vocabulary:
+    """An installed public vocabulary, with the special tokens that its tokenizer's file names."""
     import public_tokenizers
 
-    return public_tokenizers.path(name), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    return Vocabulary(public_tokenizers.path(ranks), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added))
