@@ -534,25 +534,63 @@ def test_feistel_is_a_permutation():
     assert training_order.feistel(np.arange(1000), 1000, 5).tolist() != training_order.feistel(np.arange(1000), 1000, 6).tolist()
 
 
-def test_training_order(spark, tmp_path):
+def stored(folder, rows, per_shard, length):
+    """What the shards hold by slot; the rows' sums must agree with it."""
+    out = []
+    for r in sorted(rows, key=lambda r: r["slot"]):
+        own = training_order.read_slots(f"{folder}/shard-{r['shard']:08d}.bin", r["slot"] % per_shard, 1, length)
+        assert zlib.crc32(own.tobytes()) == r["ids_crc32"] and r["byte_offset"] == r["slot"] % per_shard * length * 2
+        out.append(own.tobytes())
+    return out
+
+
+@pytest.mark.parametrize("steps", [1, 2, 7])
+def test_training_order(spark, tmp_path, steps):
     docs = docs_of(spark, [*ODD_TEXTS, *(prose(i, 200) for i in range(40))]).repartition(3)
     seqs = materialize(training_order.sequences(docs, 64), "sequences")
-    rows = training_order.write_in_order(seqs, f"file://{tmp_path}/out", 64, 9, 10).collect()
+    rows = training_order.write_in_order(seqs, f"file://{tmp_path}/out", 64, 9, 10, steps).collect()
     n = seqs.count()
-    assert sorted(r["slot"] for r in rows) == list(range(n))
-    stored = []
-    for r in sorted(rows, key=lambda r: r["slot"]):
-        own = training_order.read_slots(f"{tmp_path}/out/shard-{r['shard']:08d}.bin", r["slot"] % 10, 1, 64)
-        assert zlib.crc32(own.tobytes()) == r["ids_crc32"] and r["byte_offset"] == r["slot"] % 10 * 128
-        stored.append(own.tobytes())
-    assert sorted(stored) == sorted(zstandard.decompress(r["ids"]) for r in seqs.collect())
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()}
-    (lost := next(iter(before))).unlink()
-    again = training_order.write_in_order(seqs, f"file://{tmp_path}/out", 64, 9, 10).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and lost.exists()
-    assert all(p.stat().st_mtime_ns == t for p, t in before.items() if p != lost)
+    assert [r["slot"] for r in sorted(rows)] == list(range(n))
+    assert sorted(stored(tmp_path / "out", rows, 10, 64)) == sorted(zstandard.decompress(r["ids"]) for r in seqs.collect())
     empty = materialize(training_order.sequences(docs.limit(0), 64), "sequences")
-    assert training_order.write_in_order(empty, f"file://{tmp_path}/none", 64, 9, 10).count() == 0
+    assert training_order.write_in_order(empty, f"file://{tmp_path}/none", 64, 9, 10, steps).count() == 0
+
+
+def test_training_order_goes_on_and_sees_other_input(spark, tmp_path):
+    texts = [prose(i, 200) for i in range(40)]
+    run = lambda t, **more: training_order.materialise(docs_of(spark, t), f"file://{tmp_path}", 64, 9, 10, **more).collect()
+    rows = run(texts)
+    (folder,) = tmp_path.glob("*/shards-of-*")
+    whole = stored(folder, rows, 10, 64)
+    files = {p: p.stat().st_mtime_ns for p in folder.glob("*.bin")}
+    assert sorted(run(texts)) == sorted(rows) and {p: p.stat().st_mtime_ns for p in folder.glob("*.bin")} == files
+    # A step that isn't noted is made again: only what is missing is written.
+    (folder / "rows-1-of-2" / "_SUCCESS").unlink()
+    (lost := max(files)).unlink()
+    assert sorted(run(texts)) == sorted(rows) and stored(folder, rows, 10, 64) == whole
+    assert all(p.stat().st_mtime_ns == t for p, t in files.items() if p != lost)
+    # Texts of equal number and length, but others; and another key.
+    other = run([t.replace("w1", "w2") for t in texts])
+    (second,) = set(tmp_path.glob("*/shards-of-*")) - {folder}
+    assert stored(second, other, 10, 64) != whole and stored(folder, rows, 10, 64) == whole
+    assert len(run(texts, end_id=7)) == len(rows) and len(set(tmp_path.glob("*/shards-of-*"))) == 3
+    # Sequences that were not written to the end are not used.
+    (next(folder.parent.glob("sequences-*")) / "_SUCCESS").unlink()
+    again = run(texts)
+    (third,) = set(folder.parent.glob("shards-of-*")) - {folder}
+    assert stored(third, again, 10, 64) and len(again) == len(rows)
+
+
+def test_training_order_edges(spark, tmp_path):
+    odd = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "", 1), (2, "x " * 50_000, 1)], "slot long, text string, ids int")
+    rows = training_order.materialise(odd, f"file://{tmp_path}", 64, 9, 100).collect()
+    assert sum(r["n_tokens"] for r in rows) > 50_000
+    assert training_order.materialise(odd.limit(0), f"file://{tmp_path}", 64, 9, 100).count() == 0
+    wide = wordpieces.public_vocabulary()._replace(special=(("<x>", 70_000),))
+    with pytest.raises(Exception, match="16 bits"):
+        training_order.sequences(odd, 64, vocabulary=wide).count()
+    with pytest.raises(ValueError, match="16 bits"):
+        training_order.sequences(odd, 64, end_id=2**16)
 
 
 # --- top-k ---------------------------------------------------------------------------------------------

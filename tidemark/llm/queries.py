@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/shards-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    # The same folder for the same path, so that a second call goes on with what the first has written.
+    folder = f"{shared_dir(spark)}/training-order-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return materialise(table(spark, sf_dir, "documents"), folder)
 
 
