@@ -1,5 +1,6 @@
 """Ties, nulls, first rows and leaks on frames made by hand."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -104,6 +105,59 @@ def test_guard_lets_strict_windows_pass_and_stops_open_ones(spark):
     assert chain(spark, leak).unguarded().run(CONTEXT).df.count() == 5
 
 
+def test_guard_counts_rows(spark):
+    twice = p.row_local("twice", lambda df: df.unionByName(df), [])
+    lost = p.windowed("lost", lambda df: df.filter("v > 10").withColumn("end", F.col("t") - F.expr("interval 1 second")), ["end"], ["end"])
+    grown = p.keep("grown", lambda _: F.lit(True))
+    grown = p.Step("grown", grown.provenance, lambda df, _: df.unionByName(df))
+    for step in (twice, lost, grown):
+        with pytest.raises(StepContractError, match="rows of"):
+            chain(spark, step).run(CONTEXT)
+        assert chain(spark, step).with_guard(False).run(CONTEXT).df.count() != 5
+    assert chain(spark, p.keep("few", lambda _: F.col("v") > 10)).run(CONTEXT).df.count() == 2
+
+
+def test_frames_and_anchors_are_instants(spark):
+    made = p.Frame.from_rows(spark, [(1, datetime(2024, 1, 1), datetime(2024, 1, 1))], "i long, t timestamp, seen timestamp", "t", ["seen"])
+    assert made.select("i", "t", "seen").df.count() == 1 and p.Frame.empty(spark, "i long, t timestamp", "t").df.count() == 0
+    with pytest.raises(StepContractError):
+        made.select("i", "t")
+    with pytest.raises(StepContractError):
+        p.Frame.from_rows(spark, [], "i long, t timestamp, seen timestamp_ntz", "t", ["seen"])
+    with pytest.raises(StepContractError):
+        p.Frame.empty(spark, "i long, t timestamp", "other")
+    wall = p.windowed("wall", lambda df: df.withColumn("end", F.lit("2020-01-01").cast("timestamp_ntz")), ["end"], ["end"])
+    with pytest.raises(StepContractError, match="timestamp_ntz"):
+        chain(spark, wall).run(CONTEXT)
+
+
+def test_running_latest_without_median_is_the_same(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), rng.choice("uvwxyz"), rng.randrange(40), rng.choice([None, 0.05, 0.05, 0.1, 7.25, 1e6]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, vendor string, t long, v double, i long")
+    full = h.running_latest(df, ["g"], "vendor", "t", "v", "i").drop("median")
+    sums = h.running_latest(df, ["g"], "vendor", "t", "v", "i", median=False)
+    for x, y in zip(sorted(map(tuple, full.collect())), sorted(map(tuple, sums.collect())), strict=True):
+        assert x[:2] == y[:2] and x[4] == y[4] and x[2] == pytest.approx(y[2], rel=1e-9, abs=1e-6) and x[3] == pytest.approx(y[3], rel=1e-6, abs=1e-2)
+
+
+def test_next_and_nearest_are_running_values(spark):
+    rng = random.Random(5)
+    left = [(rng.choice("ab"), rng.randrange(300), i) for i in range(150)]
+    right = [(rng.choice("ab"), rng.randrange(300), i, float(rng.randrange(50))) for i in range(120)]
+    lf = spark.createDataFrame(left, "k string, s long, i long").withColumn("t", F.timestamp_seconds("s"))
+    rf = spark.createDataFrame(right, "k string, s long, j long, v double").withColumn("u", F.timestamp_seconds("s"))
+    after = {r["i"]: r["next_v"] for r in asof.next_after(lf, rf, ["k"], "t", "u", "v", "j").collect()}
+    near = {r["i"]: r["nearest_v"] for r in asof.nearest_within(lf, rf, ["k"], "t", "u", "v", 5, "j").collect()}
+    for k, s, i in left:
+        later = [(x, j, v) for q, x, j, v in right if q == k and x > s]
+        assert after[i] == (min(later)[2] if later else None)
+        upto, ahead = [(x, j, v) for q, x, j, v in right if q == k and x <= s], later
+        back, fore = max(upto, default=None), min(ahead, default=None)
+        best = back if back and (not fore or s - back[0] <= fore[0] - s) else fore
+        assert near[i] == (best[2] if best and abs(best[0] - s) <= 5 else None)
+
+
 def test_guard_stops_rows_from_the_future(spark):
     with pytest.raises(LeakageError):
         chain(spark).run(p.Context(datetime(1970, 1, 1, 0, 0, 2, tzinfo=timezone.utc)))

@@ -46,14 +46,19 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return out.select("__left.*", *[F.col(f"__seen.{c}").alias(f"{prefix}{c}") for c in ["observed_at", *columns]])
 
 
+def _latest(keys: Sequence[str], *order: Column) -> Column:
+    """The last right row before a row in ``order``: a running value, where a frame that looks ahead would be
+    gone through again for each row."""
+    return F.last("__right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, tolerance_seconds: float, tiebreak: str) -> DataFrame:
     """``left`` with the value of the right row closest in time, at most ``tolerance_seconds`` away (ties: the earlier)."""
     ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(1).alias("__side"))
     theirs = right.select(*keys, F.struct(_micros(F.col(right_time)).alias("at"), F.col(value).alias("value")).alias("__right"), _micros(F.col(right_time)).alias("__at"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"))
     stream = theirs.unionByName(ours, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__side", F.col("__tie").asc_nulls_first())
-    back = F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first("__right", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = _latest(keys, F.col("__at"), F.col("__side"), F.col("__tie").asc_nulls_first())
+    ahead = _latest(keys, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_last())
     both = stream.withColumns({"__back": back, "__ahead": ahead}).filter("__side = 1")
     gap_b, gap_a = F.col("__at") - F.col("__back.at"), F.col("__ahead.at") - F.col("__at")
     pick = F.when(gap_b.isNotNull() & (gap_a.isNull() | (gap_b <= gap_a)), F.col("__back")).otherwise(F.col("__ahead"))
@@ -66,8 +71,8 @@ def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
     ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(1).alias("__side"))
     theirs = right.select(*keys, F.struct(F.col(value).alias("value")).alias("__right"), _micros(F.col(right_time)).alias("__at"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"))
     stream = theirs.unionByName(ours, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__side", F.col("__tie").asc_nulls_last()).rowsBetween(1, Window.unboundedFollowing)
-    return stream.withColumn("__next", F.first("__right", ignorenulls=True).over(w)).filter("__side = 1").select("__left.*", F.col("__next.value").alias(f"next_{value}"))
+    ahead = _latest(keys, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_first())
+    return stream.withColumn("__next", ahead).filter("__side = 1").select("__left.*", F.col("__next.value").alias(f"next_{value}"))
 
 
 def checkpoints(events: DataFrame, quotes: DataFrame, keys: Sequence[str], start: str, quote_time: str, value: str, tiebreak: str, offsets: dict[str, int]) -> DataFrame:

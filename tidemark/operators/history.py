@@ -8,14 +8,17 @@ mean's bounded lookback).
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -183,20 +186,75 @@ def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns
     return df.join(other, [*event, opponent], "left").select(*df.columns, *[f"{prefix}{c}" for c in columns])
 
 
-def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str, value: str, tiebreak: str) -> DataFrame:
-    """After each instant the mean, sample deviation, median and number of every vendor's latest value so far.
+def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str, value: str, tiebreak: str, median: bool = True) -> DataFrame:
+    """After each instant the mean, sample deviation, number and (if asked for) median of every vendor's latest
+    value so far; a null value leaves the one before it in force.
 
-    Vendors' values are carried forward along the instants of their group: rows are instants times vendors of
-    one group, never of different ones.
+    Each quote is what it changes in its group's count, sum and sum of squares, so that running sums give the
+    mean and deviation; a deviation that is lost in the last digits of the values is 0.  A median has no such
+    sums: for it a group's rows go through a task in order, which holds one value for each vendor.
     """
-    moments = df.select(*group, time).distinct()
-    vendors = df.select(*group, vendor).distinct()
-    latest = df.groupBy(*group, vendor, time).agg(F.max_by(value, tiebreak).alias("__v"))
-    grid = moments.join(vendors, list(group)).join(latest, [*group, vendor, time], "left")
-    upto = Window.partitionBy(*group, vendor).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    carried = grid.withColumn("__v", F.last("__v", ignorenulls=True).over(upto)).filter(F.col("__v").isNotNull())
-    v = F.col("__v").cast("double")
-    return carried.groupBy(*group, time).agg(F.avg(v).alias("consensus"), F.stddev_samp(v).alias("spread"), F.median(v).alias("median"), F.count("*").alias("vendors"))
+    by_vendor = Window.partitionBy(*group, vendor).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    by_group = Window.partitionBy(*group).orderBy(time)
+    latest = df.groupBy(*group, vendor, time).agg(F.max_by(F.col(value).cast("double"), tiebreak).alias("__v"))
+    if median:
+        return _medians(latest, group, vendor, time)
+    # Values are taken from the group's first one, which costs no digits.
+    shifted = latest.withColumn("__base", F.first("__v", ignorenulls=True).over(by_group)).withColumn("__x", F.col("__v") - F.col("__base"))
+    was = F.last("__x", ignorenulls=True).over(by_vendor)
+    known = F.col("__x").isNotNull()
+    steps = shifted.withColumn("__was", was)
+    change = {
+        "__n": F.when(known & F.col("__was").isNull(), 1).otherwise(0),
+        "__s": F.when(known, F.col("__x") - F.coalesce("__was", F.lit(0.0))).otherwise(0.0),
+        "__ss": F.when(known, F.col("__x") ** 2 - F.coalesce(F.col("__was") ** 2, F.lit(0.0))).otherwise(0.0),
+    }
+    moments = steps.groupBy(*group, time).agg(*[F.sum(c).alias(n) for n, c in change.items()], F.max("__base").alias("__base"))
+    upto = by_group.rowsBetween(Window.unboundedPreceding, 0)
+    sums = moments.withColumns({n: F.sum(n).over(upto) for n in change}).filter("__n > 0")
+    n, s, ss = F.col("__n"), F.col("__s"), F.col("__ss")
+    left = ss - s * s / n
+    spread = F.when(n > 1, F.when(left > 1e-14 * (ss + n * F.col("__base") ** 2), F.sqrt(left / (n - 1))).otherwise(0.0))
+    return sums.select(*group, time, (F.col("__base") + s / n).alias("consensus"), spread.alias("spread"), n.cast("long").alias("vendors"))
+
+
+def _medians(latest: DataFrame, group: Sequence[str], vendor: str, time: str) -> DataFrame:
+    order = Window.partitionBy(*group).orderBy(time, vendor)
+    marked = latest.select(*group, time, F.col(vendor).cast("string").alias("__vendor"), "__v", (F.row_number().over(order) == 1).alias("__first"), (~F.col(time).eqNullSafe(F.lead(time).over(order)) | F.lead(F.lit(1)).over(order).isNull()).alias("__last"))
+    shown = [*group, time]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: dict[str | None, float] = {}
+        ranked: list[float] = []
+        for batch in batches:
+            made: list[tuple] = []
+            for who, x, first, last in zip(batch["__vendor"], batch["__v"], batch["__first"], batch["__last"], strict=True):
+                if first:
+                    now, ranked = {}, []
+                if x == x:
+                    if who in now:
+                        del ranked[bisect.bisect_left(ranked, now[who])]
+                    now[who] = x
+                    bisect.insort(ranked, x)
+                made.append(_moments(ranked) if last else ())
+            out = batch.loc[[bool(m) for m in made], shown]
+            for i, c in enumerate(("consensus", "spread", "median", "vendors")):
+                out[c] = pd.array([m[i] for m in made if m], "Int64" if c == "vendors" else "Float64")
+            yield out
+
+    dealt = marked.repartition(*group).sortWithinPartitions(*group, time, F.desc("__first"), "__last")
+    kinds = dict(latest.dtypes)
+    return dealt.mapInPandas(rows, ", ".join([*[f"`{c}` {kinds[c]}" for c in shown], "consensus double", "spread double", "median double", "vendors long"]))
+
+
+def _moments(ranked: list[float]) -> tuple[float, float | None, float, int] | tuple[()]:
+    """Mean, sample deviation, median and number; nothing without values."""
+    n = len(ranked)
+    if not n:
+        return ()
+    mean = math.fsum(ranked) / n
+    spread = math.sqrt(math.fsum((x - mean) ** 2 for x in ranked) / (n - 1)) if n > 1 else None
+    return mean, spread, (ranked[(n - 1) // 2] + ranked[n // 2]) / 2, n
 
 
 def running_median(df: DataFrame, history: History, value: str, name: str) -> DataFrame:
@@ -205,26 +263,73 @@ def running_median(df: DataFrame, history: History, value: str, name: str) -> Da
     Spark's median takes no ordered frame.  Rows go through a task in order, and only the values of the key at
     hand are held, in two heaps.
     """
-    keys = list(history.keys)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, low, high = None, [], []
+        low, high = [], []
         for batch in batches:
             out = []
-            for key, x in zip(batch[keys].itertuples(index=False, name=None), batch["__x"], strict=True):
-                if key != now:
-                    now, low, high = key, [], []
+            for first, x in zip(batch["__first"], batch["__x"], strict=True):
+                if first:
+                    low, high = [], []
                 if x == x:
                     heapq.heappush(high, -heapq.heappushpop(low, -x))
                     if len(high) > len(low):
                         heapq.heappush(low, -heapq.heappop(high))
                 out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
-            yield batch.drop(columns="__x").assign(**{name: pd.array(out, "Float64")})
+            yield batch.drop(columns=["__x", "__first"]).assign(**{name: pd.array(out, "Float64")})
 
-    dealt = df.withColumn("__x", F.col(value).cast("double")).repartition(*keys).sortWithinPartitions(*keys, history.instant, history.tiebreak)
+    marked = df.withColumn("__x", F.col(value).cast("double")).withColumn("__first", F.row_number().over(history.rows()) == 1)
+    dealt = marked.repartition(*history.keys).sortWithinPartitions(*history.keys, history.instant, F.desc("__first"), history.tiebreak)
     return dealt.mapInPandas(rows, df.withColumn(name, F.lit(None).cast("double")).schema)
 
 
+@dataclass(frozen=True)
+class Fold:
+    """``schema``: columns that are added; ``start``: a key's first state; ``emit``: their values before a row;
+    ``observe``: the state after it (``row``: the row's values by name)."""
+
+    schema: str
+    start: Callable[[], Any]
+    emit: Callable[[Any], tuple]
+    observe: Callable[[Any, Mapping[str, Any]], Any]
+
+
+def trailing_fold(df: DataFrame, history: History, fold: Fold) -> DataFrame:
+    """A fold of one's own over each key's strictly earlier rows: rows of one instant see the same state.
+
+    Python for each row, so it is for what no window aggregate says; a task holds one state and one instant's rows.
+    """
+    order = history.rows()
+    new = (F.row_number().over(order) == 1).alias("__first")
+    begins = (~history.instant.eqNullSafe(F.lag(history.instant).over(order)) | (F.row_number().over(order) == 1)).alias("__begins")
+    marked = df.select("*", new, begins)
+    names, added = df.columns, [f.name for f in df.sparkSession.createDataFrame([], fold.schema).schema]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = shown = None
+        waiting: list[dict] = []
+        for batch in batches:
+            made = []
+            for row, first, starts in zip(batch[names].to_dict("records"), batch["__first"], batch["__begins"], strict=True):
+                if starts:
+                    for seen in [] if first else waiting:
+                        state = fold.observe(state, seen)
+                    waiting = []
+                    if first:
+                        state = fold.start()
+                    shown = fold.emit(state)
+                waiting.append(row)
+                made.append(shown)
+            out = batch[names].copy()
+            for i, c in enumerate(added):
+                out[c] = pd.Series([m[i] for m in made], index=out.index)
+            yield out
+
+    schema = StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], fold.schema).schema.fields])
+    dealt = marked.repartition(*history.keys).sortWithinPartitions(*history.keys, F.desc("__first"), history.instant, F.desc("__begins"), history.tiebreak)
+    return dealt.mapInPandas(rows, schema)
+
+
 def change_only(df: DataFrame, history: History, value: str, least: float = 1e-9) -> DataFrame:
     """Rows at which ``value`` moved, the first one, and the last one."""
     before, after = F.lag(value).over(history.rows()), F.lead(F.lit(1)).over(history.rows())

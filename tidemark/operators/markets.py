@@ -160,3 +160,50 @@ def zone_edges(players: DataFrame, defences: DataFrame, league: DataFrame, zone:
     joined = players.join(defences, ["opponent", zone]).join(F.broadcast(league), zone)
     joined = joined.withColumns({"own_edge": rate("player_made", "player_tried") - F.col("league_rate"), "allowed_edge": rate("defence_made", "defence_tried") - F.col("league_rate")})
     return joined.filter((F.col("own_edge") > edge) & (F.col("allowed_edge") > edge)).withColumn("edge_sum", F.col("own_edge") + F.col("allowed_edge"))
+
+
+def outcome_side(outcome: Column, home: Column, away: Column) -> Column:
+    """``home`` or ``away`` if an outcome is that team's name, its first word or its last; null if it is neither's."""
+    names = lambda c: F.array(c, F.split_part(c, F.lit(" "), F.lit(1)), F.split_part(c, F.lit(" "), F.lit(-1)))
+    return F.when(F.array_contains(names(home), outcome), "home").when(F.array_contains(names(away), outcome), "away")
+
+
+def game_prices(snapshots: DataFrame, games: DataFrame, winners: Column) -> DataFrame:
+    """Snapshots of the games' winner markets with the ``side`` they price.
+
+    ``snapshots``: game_id, outcome, implied_probability and more; ``games``: game_id, home_name, away_name;
+    ``winners``: which markets are about the winner.  What prices no side, or nothing, is left out.
+    """
+    joined = snapshots.filter(F.col("implied_probability").isNotNull() & winners).join(games.select("game_id", "home_name", "away_name"), "game_id")
+    sided = joined.withColumn("side", outcome_side(F.col("outcome"), F.col("home_name"), F.col("away_name")))
+    return sided.filter("side is not null").select(*snapshots.columns, "side")
+
+
+def venue_series(prices: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """The mean home probability of all prices at each instant; the away side's are turned round."""
+    p = F.col("implied_probability")
+    return prices.groupBy(*keys, at).agg(F.avg(F.when(F.col("side") == "home", p).otherwise(1 - p)).alias("home_probability"))
+
+
+def latest_markets(snapshots: DataFrame, starts: DataFrame, now: Column, market: Sequence[str]) -> DataFrame:
+    """Each market's newest snapshot up to its game's start, or up to ``now`` where the game isn't known."""
+    joined = snapshots.join(starts.select("game_id", "start_time"), "game_id", "left").filter(F.col("captured_at") <= F.coalesce("start_time", now))
+    return joined.groupBy(*market).agg(F.max_by(F.struct(*[c for c in snapshots.columns if c not in market]), "captured_at").alias("s")).select(*market, "s.*")
+
+
+def ranked_gaps(rates: DataFrame, rate: str, price: str, decided: Column, ruled_out: DataFrame, key: str, n: int, least: int = 6, band: tuple[float, float] = (0.03, 0.97)) -> DataFrame:
+    """The ``n`` rows whose rate and price differ most; not of keys in ``ruled_out``, nor with a price outside
+    ``band`` or few decided games.  Ties go to the smaller key."""
+    fair = F.col(rate).isNotNull() & F.col(price).between(*band) & (decided >= least)
+    kept = rates.filter(fair).join(ruled_out.select(key), key, "left_anti").withColumn("gap", F.round(F.col(rate) - F.col(price), 3))
+    return kept.orderBy(F.desc(F.abs("gap")), key).limit(n)
+
+
+def confident(candidates: DataFrame, name: str, candidate: str, score: str, least: float = 0.75, margin: float = 0.15) -> DataFrame:
+    """(name, candidate, score): the best candidate, where it is good and clearly ahead of the next.
+
+    Two of the same score are never clear; a lone candidate is compared with 0, unscored ones don't count.
+    """
+    top = candidates.filter(F.col(score).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(F.desc(score), candidate))).filter("__n <= 2")
+    both = top.groupBy(name).agg(F.max(F.when(F.col("__n") == 1, F.struct(candidate, score))).alias("__a"), F.coalesce(F.max(F.when(F.col("__n") == 2, F.col(score))), F.lit(0.0)).alias("__b"))
+    return both.filter((F.col(f"__a.{score}") >= least) & (F.col(f"__a.{score}") - F.col("__b") >= margin)).select(name, "__a.*")

@@ -25,6 +25,12 @@ def duplicates(df: DataFrame, keys: Sequence[str], ident: str, check: str) -> Da
     return _violations(g, check, F.concat_ws("|", *keys), F.concat_ws(":", "n", "low", "high"))
 
 
+def duplicate_members(df: DataFrame, keys: Sequence[str], ident: str, check: str) -> DataFrame:
+    """The rows of such keys, one for each id: all of them, however many a key has."""
+    several = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+    return _violations(df.join(several, list(keys)), check, F.concat_ws("|", *keys), F.col(ident))
+
+
 def reconcile(totals: DataFrame, parts: DataFrame, key: str, total: str, part: Column, check: str, tolerance: float = 0.0) -> DataFrame:
     """Sums of parts that differ from the stated total (box scores, scoring plays, team totals)."""
     sums = parts.groupBy(key).agg(F.sum(part).alias("__sum"))
@@ -60,14 +66,14 @@ def after_end(df: DataFrame, ends: DataFrame, key: str, at: str, end: str, ident
 
 def membership(df: DataFrame, dimension: DataFrame, column: str, dim_key: str, bad: Column, ident: str, check: str) -> DataFrame:
     """Rows that point at a dimension row of a kind that must not occur there."""
-    return _violations(df.join(F.broadcast(dimension.filter(bad).select(dim_key)), F.col(column) == F.col(dim_key), "left_semi"), check, F.col(ident), F.col(column))
+    return _violations(df.join(dimension.filter(bad).select(dim_key), F.col(column) == F.col(dim_key), "left_semi"), check, F.col(ident), F.col(column))
 
 
 def run_checks(found: Sequence[DataFrame], acknowledged: DataFrame) -> DataFrame:
     """All violations with ``known``: whether (check, key) is acknowledged."""
     every = reduce(DataFrame.unionByName, found)
     known = acknowledged.select("check", "key", F.lit(True).alias("known"))
-    return every.join(F.broadcast(known), ["check", "key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return every.join(known, ["check", "key"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def stale(found: DataFrame, acknowledged: DataFrame) -> DataFrame:

@@ -53,11 +53,19 @@ def left_with(left: DataFrame, right: DataFrame, keys: Sequence[str], where: Col
 
 
 def nearest_event(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, window_seconds: int, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id): the right event nearest in time, at most ``window_seconds`` away; ties to the smaller id."""
-    at, other = F.unix_micros(F.col(left_time).cast("timestamp")), F.unix_micros(F.col("__rt").cast("timestamp"))
-    r = right.select(*keys, F.col(right_time).alias("__rt"), F.col(right_id).alias("__rid"))
-    joined = left.join(r, list(keys)).withColumn("__gap", F.abs(at - other)).filter(F.col("__gap") <= window_seconds * 1_000_000)
-    return joined.groupBy(left_id).agg(F.min_by("__rid", F.struct("__gap", "__rid")).alias(right_id))
+    """(left_id, right_id): the right event nearest in time, at most ``window_seconds`` away; ties to the smaller id.
+
+    Time is cut into buckets as long as the window, and an event meets those of its own and both neighbouring
+    ones, never all of its key.
+    """
+    width = max(1, window_seconds) * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    r = right.select(*keys, micros(right_time).alias("__rt"), F.col(right_id).alias("__rid")).withColumn("__bucket", F.floor(F.col("__rt") / width))
+    around = F.explode(F.array(*[F.floor(F.col("__lt") / width) + k for k in (-1, 0, 1)])).alias("__bucket")
+    ours = left.select(*keys, F.col(left_id).alias("__lid"), micros(left_time).alias("__lt")).select("*", around)
+    gap = F.abs(F.col("__lt") - F.col("__rt"))
+    near = ours.join(r, [*keys, "__bucket"]).withColumn("__gap", gap).filter(F.col("__gap") <= window_seconds * 1_000_000)
+    return near.groupBy(F.col("__lid").alias(left_id)).agg(F.min_by("__rid", F.struct("__gap", "__rid")).alias(right_id))
 
 
 def top_per(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataFrame:
@@ -68,3 +76,28 @@ def top_per(df: DataFrame, keys: Sequence[str], n: int, *order: Column) -> DataF
 def pivot_pairs(df: DataFrame, keys: Sequence[str], side: str, value: str, names: Sequence[str]) -> DataFrame:
     """One row for each key with a column for each named side's value."""
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(side) == n, F.col(value))).alias(n) for n in names])
+
+
+def similar_sets(df: DataFrame, ident: str, items: str, least: float) -> DataFrame:
+    """(a, b, similarity): ordered pairs of rows whose sets (arrays without repeats) have a Jaccard similarity of
+    ``least`` at least.
+
+    Sets as similar as that share an item among the first n - ceil(least * n) + 1 of each, in any one order.
+    Items are ordered by how rare they are, so common ones, which would bring everything together, are last and
+    mostly never joined on.
+    """
+    rows = df.select(F.col(ident).alias("id"), F.col(items).alias("items")).filter(F.size("items") > 0)
+    each = rows.select("id", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    size = F.size("items")
+    first = F.slice("items", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)
+    keyed = ordered.select("id", size.alias("n"), F.explode(first).alias("item"))
+    a, b = keyed.withColumnsRenamed({"id": "a", "n": "na"}), keyed.withColumnsRenamed({"id": "b", "n": "nb"})
+    close = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    pairs = a.join(b, "item").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    sets = ordered.select("id", "items")
+    both = pairs.join(sets.withColumnsRenamed({"id": "a", "items": "ia"}), "a").join(sets.withColumnsRenamed({"id": "b", "items": "ib"}), "b")
+    shared = F.size(F.array_intersect("ia", "ib"))
+    scored = both.withColumn("shared", shared).select("a", "b", (F.col("shared") / (F.size("ia") + F.size("ib") - F.col("shared"))).alias("similarity")).filter(F.col("similarity") >= least)
+    return scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))

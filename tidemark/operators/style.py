@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Each column's z-score (sample deviation; 0 where nothing varies); the moments are joined, not windowed."""
     fitted = df.groupBy(*within).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    out = df.join(F.broadcast(fitted), list(within)) if within else df.join(F.broadcast(fitted))
+    out = df.join(fitted, list(within)) if within else df.join(F.broadcast(fitted))  # one row
     made = {f"{c}_z": F.when(F.col(c).isNotNull(), F.when(F.col(f"__s_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).otherwise(0.0)) for c in columns}
     return out.withColumns(made).select(*df.columns, *made)
 
@@ -20,24 +20,61 @@ def distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def neighbours(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, within: Sequence[str] = ()) -> DataFrame:
-    """(ident, rank, neighbour, distance): the ``k`` nearest points to each of a stated set of queries.
+def _pivots(points: DataFrame, vector: str, n: int) -> list[list[float]]:
+    """At most ``n`` vectors, the first by a hash."""
+    found = points.select(F.col(vector).alias("v")).filter("v is not null").orderBy(F.xxhash64("v")).limit(n).collect()
+    return [list(r["v"]) for r in found]
+
 
-    Queries are few or bounded by a group (``within``, such as a season); points are all read once for them.
+def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str], pivots: int = 64, sample: int = 1024) -> DataFrame:
+    """(__q, __p, distance): pairs among which are each query's ``k`` nearest points, exactly.
+
+    Points lie in cells around ``pivots`` of them.  The kth distance of a query to a bounded ``sample`` is one
+    that k points are known to keep, and by the triangle inequality only cells whose reach comes as close can
+    hold nearer ones: queries go to those cells, points stay where they are.
     """
-    own = [F.col(c).alias(f"__{c}") for c in within]
-    q = queries.select(*own, F.col(ident).alias("__i"), F.col(vector).alias("__v"))
-    same = F.lit(True)
-    for c in within:
-        same = same & (F.col(c) == F.col(f"__{c}"))
-    pairs = points.join(q, same & (F.col(ident) != F.col("__i")))
-    pairs = pairs.select(F.col("__i").alias("query"), F.col(ident).alias("neighbour"), distance(F.col(vector), F.col("__v")).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("query").alias(ident), "rank", "neighbour", "distance")
+    around = _pivots(points, vector, pivots)
+    if not around:
+        around = [[]]
+    lit = F.array(*[F.array(*[F.lit(float(x)) for x in p]).cast("array<double>") for p in around])
+    groups = [*same, *other]
+    own = points.select(F.col(ident).alias("__p"), F.col(vector).alias("__w"), *[F.col(c).alias(f"__p_{c}") for c in groups]).filter(F.col("__w").isNotNull())
+    away = F.transform(lit, lambda p: distance(F.col("__w"), p))
+    placed = own.withColumn("__away", away).select("*", F.array_min("__away").alias("__reach"), (F.array_position("__away", F.array_min("__away")) - 1).cast("int").alias("__cell")).drop("__away")
+    reach = placed.groupBy(*[f"__p_{c}" for c in same], "__cell").agg(F.max("__reach").alias("__radius"))
+    # One row of at most ``sample`` points.
+    some = own.orderBy(F.xxhash64("__p"), "__p").limit(sample).agg(F.collect_list(F.struct("*")).alias("__some"))
+    asked = queries.select(F.col(ident).alias("__q"), F.col(vector).alias("__v"), *[F.col(c).alias(f"__q_{c}") for c in groups]).filter(F.col("__v").isNotNull())
+
+    def meets(p) -> Column:
+        held = p("__p") != F.col("__q")
+        for c in same:
+            held = held & (p(f"__p_{c}") == F.col(f"__q_{c}"))
+        for c in other:
+            held = held & (p(f"__p_{c}") != F.col(f"__q_{c}"))
+        return held
+
+    known = F.array_sort(F.filter(F.transform(F.filter("__some", lambda x: F.coalesce(meets(lambda c: x[c]), F.lit(False))), lambda x: distance(x["__w"], F.col("__v"))), lambda d: d.isNotNull()))
+    bound = F.coalesce(F.get(known, F.lit(k - 1)), F.lit(float("inf")))
+    asked = asked.join(F.broadcast(some)).withColumn("__bound", bound * (1 + 1e-9) + 1e-12).drop("__some")
+    cells = F.posexplode(F.transform(lit, lambda p: distance(F.col("__v"), p))).alias("__cell", "__from")
+    going = asked.select("*", cells).join(reach.withColumnsRenamed({f"__p_{c}": f"__q_{c}" for c in same}), [*[f"__q_{c}" for c in same], "__cell"])
+    going = going.filter(F.coalesce(F.col("__from") - F.col("__radius") <= F.col("__bound"), F.lit(True))).drop("__from", "__radius")
+    on = F.col("a.__cell") == F.col("b.__cell")
+    pairs = going.alias("a").join(placed.alias("b"), on & meets(F.col))
+    return pairs.select("__q", "__p", "__bound", distance(F.col("__w"), F.col("__v")).alias("distance")).filter("distance <= __bound")
+
+
+def neighbours(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, within: Sequence[str] = ()) -> DataFrame:
+    """(ident, rank, neighbour, distance): the ``k`` nearest points of the same ``within`` to each query, ties to
+    the smaller neighbour; vectors that are null take no part."""
+    pairs = _near(queries, points, ident, vector, k, within, ())
+    w = Window.partitionBy("__q").orderBy("distance", "__p")
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("__q").alias(ident), "rank", F.col("__p").alias("neighbour"), "distance")
 
 
 def uniqueness(queries: DataFrame, points: DataFrame, ident: str, entity: str, vector: str) -> DataFrame:
-    """Distance to the nearest point of another entity."""
-    q = queries.select(F.col(ident).alias("__i"), F.col(entity).alias("__e"), F.col(vector).alias("__v"))
-    pairs = points.join(q, F.col(entity) != F.col("__e"))
-    return pairs.groupBy(F.col("__i").alias(ident)).agg(F.min(distance(F.col(vector), F.col("__v"))).alias("uniqueness"))
+    """Distance to the nearest point of another entity; queries that no other entity faces give no row."""
+    pairs = _near(queries, points, ident, vector, 1, (), (entity,))
+    return pairs.groupBy(F.col("__q").alias(ident)).agg(F.min("distance").alias("uniqueness"))

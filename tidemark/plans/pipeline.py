@@ -1,8 +1,9 @@
 """Feature pipelines: a chain of declared steps over one lazy plan, with a guard against leakage.
 
-Structure and declarations are checked on schemas, without a job.  The checks on values (anchors not after
-the as-of instant, windows ended strictly before the row's event) of all steps since the last filter are one
-aggregate, run before a filter could hide a row and at the end.
+Structure and declarations are checked on schemas, without a job.  What each step does to values (rows neither
+lost nor made, anchors not after the as-of instant, windows ended strictly before the row's event) is observed
+while the result is written, once, to the shared folder: no step runs again for its check.  Observed numbers can
+be too large where a task ran twice, so a step that looks bad is looked at again by a job of its own.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import staging
 from tidemark.plans.provenance import FeatureError, LeakageError, Provenance, StepContractError, StepKind, UndeclaredProvenanceError
 
 
@@ -37,6 +40,24 @@ class Frame:
     anchors: tuple[str, ...] = ()
     window_ends: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        if self.df is None:
+            return
+        marks = {self.event_time, *self.anchors, *self.window_ends}
+        if missing := marks - set(self.df.columns):
+            raise StepContractError(f"there is no {sorted(missing)}")
+        for c in sorted(marks - {self.event_time}):
+            _instant(self.df, c)
+
+    @classmethod
+    def empty(cls, spark: SparkSession, schema: str, event_time: str, anchors: Sequence[str] = (), window_ends: Sequence[str] = ()) -> Frame:
+        return cls.from_rows(spark, [], schema, event_time, anchors, window_ends)
+
+    @classmethod
+    def from_rows(cls, spark: SparkSession, rows: Sequence, schema: str, event_time: str, anchors: Sequence[str] = (), window_ends: Sequence[str] = ()) -> Frame:
+        """A frame of rows in memory with what is declared about them."""
+        return cls(spark.createDataFrame(rows, schema), event_time, tuple(anchors), tuple(window_ends))
+
     def select(self, *names: str) -> Frame:
         lost = {self.event_time, *self.anchors, *self.window_ends} - set(names)
         if lost:
@@ -48,6 +69,12 @@ class Frame:
         return replace(self, anchors=add(self.anchors, p.anchors), window_ends=add(self.window_ends, p.window_ends))
 
 
+def _instant(df: DataFrame, column: str) -> None:
+    """Anchors and window ends are instants; a wall-clock time (timestamp_ntz) could be any of several."""
+    if df.schema[column].dataType.typeName() != "timestamp":
+        raise StepContractError(f"{column} is {df.schema[column].dataType.simpleString()}, not timestamp")
+
+
 @dataclass(frozen=True)
 class Step:
     """``apply``: (DataFrame or None, context) to DataFrame; ``needs``: columns it reads."""
@@ -86,16 +113,32 @@ def fitted(name: str, change: Callable[[DataFrame], DataFrame], adds: Sequence[s
     return Step(name, Provenance(StepKind.FITTED, tuple(adds)), lambda df, _: change(df), tuple(needs))
 
 
-def violations(frame: Frame, context: Context) -> DataFrame:
-    """One row: how many rows break each rule."""
-    df, rules = frame.df, {}
+def _rules(frame: Frame, context: Context) -> dict:
+    """Conditions that no row may fulfil."""
+    rules = {}
     at = F.lit(context.as_of.timestamp())
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
     rules["no_event_time"] = F.col(frame.event_time).isNull()
     rules["no_anchor"] = F.coalesce(*[F.col(a).cast("timestamp") for a in frame.anchors]).isNull()
     rules |= {f"late__{a}": F.coalesce(seconds(a) > at, F.lit(False)) for a in frame.anchors}
     rules |= {f"open__{w}": F.coalesce(seconds(w) >= seconds(frame.event_time), F.lit(False)) for w in frame.window_ends}
-    return df.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    return rules
+
+
+def violations(frame: Frame, context: Context) -> DataFrame:
+    """One row: how many rows break each rule."""
+    return frame.df.agg(*_counts(frame, context)).drop("rows")
+
+
+def _counts(frame: Frame, context: Context) -> list:
+    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in _rules(frame, context).items()]]
+
+
+def _seen(observation: Observation) -> dict | None:
+    try:
+        return observation.get
+    except Py4JError:
+        return None
 
 
 @dataclass(frozen=True)
@@ -135,20 +178,49 @@ class Pipeline:
     def renamed(self, name: str) -> Pipeline:
         return replace(self, name=name)
 
+    def with_guard(self, guarded: bool = True) -> Pipeline:
+        return replace(self, guarded=guarded)
+
     def unguarded(self) -> Pipeline:
-        return replace(self, guarded=False)
-
-    def run(self, context: Context) -> Frame:
-        frame, pending = Frame(event_time=self.event_time), False
-        for step in self.steps:
-            if step.provenance.kind is StepKind.FILTER and self.guarded and pending:
-                self._check(frame, context)
-                pending = False
-            frame = self._apply(step, frame, context)
-            pending = True
-        if self.guarded and pending:
-            self._check(frame, context)
-        return frame
+        return self.with_guard(False)
+
+    def run(self, context: Context, frame: Frame | None = None) -> Frame:
+        """The frame after all steps; guarded, it is written once and checked, else it stays a plan.
+
+        ``frame``: what to start from, where the first step isn't a source.
+        """
+        frame = frame or Frame(event_time=self.event_time)
+        watched: list[tuple[Step | None, Frame, Observation]] = []
+        for step in (None, *self.steps):
+            frame = self._apply(step, frame, context) if step else frame
+            if self.guarded and frame.df is not None:
+                seen = Observation()
+                plain = frame
+                frame = replace(frame, df=frame.df.observe(seen, *_counts(frame, context)))
+                watched.append((step, plain, seen))
+        if not watched:
+            return frame
+        done = replace(frame, df=staging.materialize(frame.df, self.name))
+        before, above = None, None
+        for step, plain, seen in watched:
+            found = _seen(seen)
+            if found is None or self._wrong(step, found, before):
+                # Nothing was seen where the plan shows that no row is left; what was seen twice is too much.
+                found = plain.df.agg(*_counts(plain, context)).first().asDict()
+                if wrong := self._wrong(step, found, above.df.count() if above else None):
+                    raise wrong
+            before, above = found["rows"], plain
+        return done
+
+    def _wrong(self, step: Step | None, found: dict, before: int | None) -> FeatureError | None:
+        """What the numbers after a step say, the rows before it being ``before``."""
+        name, rows = step.name if step else "start", found["rows"]
+        bad = {k: n for k, n in found.items() if n and k != "rows"}
+        if before is not None and (rows > before if step.provenance.kind is StepKind.FILTER else rows != before):
+            return StepContractError(f"{self.name}: {name} made {rows} rows of {before}")
+        if any(k.startswith("no_") for k in bad):
+            return UndeclaredProvenanceError(f"{self.name}, after {name}: {bad}")
+        return LeakageError(f"{self.name}, after {name}: {bad}") if bad else None
 
     def _apply(self, step: Step, frame: Frame, context: Context) -> Frame:
         p, have = step.provenance, set(frame.df.columns) if frame.df is not None else set()
@@ -163,16 +235,7 @@ class Pipeline:
         if now - have != set(p.adds):
             raise UndeclaredProvenanceError(f"{step.name} declared {sorted(p.adds)} and added {sorted(now - have)}")
         for column in (*p.anchors, *p.window_ends):
-            if df.schema[column].dataType.typeName() not in ("timestamp", "timestamp_ntz"):
-                raise StepContractError(f"{step.name}: {column} isn't a timestamp")
+            _instant(df, column)
         if self.event_time not in now:
             raise StepContractError(f"{step.name}: there is no {self.event_time}")
         return replace(frame, df=df).declaring(p)
-
-    def _check(self, frame: Frame, context: Context) -> None:
-        found = violations(frame, context).first().asDict()
-        bad = {k: n for k, n in found.items() if n}
-        if any(k.startswith("no_") for k in bad):
-            raise UndeclaredProvenanceError(f"{self.name}: {bad}")
-        if bad:
-            raise LeakageError(f"{self.name}: {bad}")

@@ -129,7 +129,7 @@ def team_market(t: Tables) -> p.Pipeline:
     c = F.col
 
     def odds(df: DataFrame) -> DataFrame:
-        series = h.running_latest(t.quotes(), ["game_id"], "vendor", "at", "price", "tie").withColumnsRenamed({"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors"})
+        series = h.running_latest(t.quotes(), ["game_id"], "vendor", "at", "price", "tie", median=False).withColumnsRenamed({"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors"})
         return asof.asof_join(df, series, ["game_id"], START, "at", ["book_consensus", "book_spread", "book_vendors"], "at", prefix="").withColumnRenamed("observed_at", "book_observed_at")
 
     def fills(df: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def tables(spark: SparkSession, folder: str) -> s.Tables:
         orders = table(spark, folder, "orders").filter(F.col("o_orderdate") <= F.lit(context.as_of.replace(tzinfo=None).isoformat()).cast("timestamp_ntz"))
         games = ends.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_orderkey").alias("game_id"), F.year("o_orderdate").alias("season"), F.when(F.col("o_orderstatus") == "F", "regular-season").when(F.col("o_orderstatus") == "O", "post-season").otherwise("preseason").alias("season_type"),
-            F.col("o_orderdate").alias("start_time"), (F.col("o_orderdate") + F.expr("interval 3 hours")).alias("result_known_at"), "a", "b", F.lit(True).alias("yes"), F.lit(False).alias("no"),
+            F.col("o_orderdate").cast("timestamp").alias("start_time"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 3 hours")).alias("result_known_at"), "a", "b", F.lit(True).alias("yes"), F.lit(False).alias("no"),
         )
 
         def side(own: str, other: str, home: str) -> dict[str, str]:
@@ -37,14 +37,14 @@ def tables(spark: SparkSession, folder: str) -> s.Tables:
 
     def player_games(context: p.Context) -> DataFrame:
         log = game_log(spark, folder)
-        known = (F.col("ts") + F.expr("interval 3 hours")).alias("result_known_at")
-        return log.select(F.col("event_id").alias("game_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 10).alias("team_id"), "season", F.lit("regular-season").alias("season_type"), F.col("ts").alias("start_time"), known, F.col("k").alias("minutes"), F.col("value").alias("points"), (F.col("event_type") == "click").alias("starter"))
+        known = (F.col("ts").cast("timestamp") + F.expr("interval 3 hours")).alias("result_known_at")
+        return log.select(F.col("event_id").alias("game_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 10).alias("team_id"), "season", F.lit("regular-season").alias("season_type"), F.col("ts").cast("timestamp").alias("start_time"), known, F.col("k").alias("minutes"), F.col("value").alias("points"), (F.col("event_type") == "click").alias("starter"))
 
     def quotes() -> DataFrame:
-        return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("vendor"), F.col("l_shipdate").alias("at"), F.col("l_discount").alias("price"), F.col("l_extendedprice").alias("tie"))
+        return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("vendor"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_discount").alias("price"), F.col("l_extendedprice").alias("tie"))
 
     def props() -> DataFrame:
-        return table(spark, folder, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("player_id"), F.col("ts").alias("at"), F.col("value").alias("line"), F.col("event_id").alias("tie"))
+        return table(spark, folder, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("player_id"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("line"), F.col("event_id").alias("tie"))
 
     def bios() -> DataFrame:
         return table(spark, folder, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_mktsegment").alias("position"), F.col("c_nationkey").alias("age"))
@@ -109,7 +109,7 @@ for _name in s.STRATEGIES:
 @query("""SELECT 'clean' AS frame, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS open UNION ALL SELECT 'planted', count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20'), count(*) FILTER (WHERE event_type = 'error') FROM events""")
 def guard_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows break the guard's rules: on a sound frame, and on one with planted leaks."""
-    log = game_log(spark, folder).withColumn("seen", F.col("ts"))
+    log = game_log(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("seen", F.col("ts"))
     sound = h.rolling(log, h.History(("user_id",), "ts", "event_id"), ["value"], 5)
     leaky = sound.withColumn("roll_window_end", F.when(F.col("event_type") == "error", F.col("ts")).otherwise(F.col("roll_window_end")))
     out = []

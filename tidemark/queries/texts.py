@@ -16,12 +16,9 @@ _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_ar
 @query(f"""WITH n AS (SELECT DISTINCT p_name, {_TRIGRAMS.format("p_name")} AS t FROM part), s AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS s FROM n a JOIN n b ON a.p_name <> b.p_name)
 SELECT a, b, round(s, 9) AS similarity, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM s WHERE s >= 0.3 QUALIFY rank <= 8""")
 def similar_names(spark: SparkSession, folder: str) -> DataFrame:
-    """The eight most similar names of each; pairs meet on a shared trigram, and then only once."""
+    """The eight most similar names of each, with a similarity of 0.3 at least."""
     names = table(spark, folder, "part").select("p_name").distinct().withColumn("t", tx.trigrams(F.col("p_name")))
-    a = names.select(F.col("p_name").alias("a"), F.col("t").alias("ta"), F.explode("t").alias("g"))
-    b = names.select(F.col("p_name").alias("b"), F.size("t").alias("nb"), F.explode("t").alias("g"))
-    shared = a.join(b, "g").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.size("ta")).alias("na"), F.max("nb").alias("nb"))
-    scored = shared.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity")).filter("similarity >= 0.3")
+    scored = rel.similar_sets(names, "p_name", "t", 0.3)
     return rounded(rel.top_per(scored, ["a"], 8, F.desc("similarity"), F.col("b")).withColumn("rank", long("rank")), 9)
 
 
@@ -59,11 +56,11 @@ def parsed_fields(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, 9)
 
 
-@query("""SELECT doc_id, lower(strip_accents(left(text, 60))) AS folded FROM documents WHERE regexp_full_match(left(text, 60), '[A-Za-z .,\\náàâäéèêëíîïóôöúùûüñçÁÀÂÄÉÈÊËÍÎÏÓÔÖÚÙÛÜÑÇ]*')""")
+@query("""SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7FáàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ]*', 's')""")
 def folded_names(spark: SparkSession, folder: str) -> DataFrame:
-    head = F.substring("text", 1, 60)  # the field that is folded, not a cap on a text
-    plain = head.rlike(r"^[A-Za-z .,\náàâäéèêëíîïóôöúùûüñçÁÀÂÄÉÈÊËÍÎÏÓÔÖÚÙÛÜÑÇ]*\z")
-    return table(spark, folder, "documents").filter(plain).select("doc_id", tx.fold(head).alias("folded"))
+    """Whole texts of which each letter is one that the fold knows."""
+    plain = F.col("text").rlike(rf"\A[\x00-\x7F{tx.ACCENTED}]*\z")
+    return table(spark, folder, "documents").filter(plain).select("doc_id", tx.fold(F.col("text")).alias("folded"))
 
 
 _ALIASES = {"automobile": "cars", "building": "houses"}

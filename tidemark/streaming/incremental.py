@@ -36,6 +36,13 @@ def sessions(stream: DataFrame, keys: Sequence[str], time: str, gap: str, latene
     return g.agg(F.count("*").alias("events")).select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
+def latest_values(stream: DataFrame, keys: Sequence[str], vendor: str, time: str, value: str, tiebreak: str) -> DataFrame:
+    """Each key's newest value by vendor, kept as state; to be written in update mode, where a late value changes
+    nothing that a newer one has set."""
+    newest = F.max_by(F.struct(F.col(time).alias("at"), F.col(value).alias("value")), F.struct(time, tiebreak)).alias("n")
+    return stream.filter(F.col(value).isNotNull()).groupBy(*keys, vendor).agg(newest).select(*keys, vendor, "n.*")
+
+
 def append_new(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
     """Rows whose key the table at ``path`` doesn't have yet; each batch is written under its own number, so a
     batch that runs again writes the same folder over."""
