@@ -17,7 +17,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import held_out, materialize
+from tidemark.llm.shared import give_back, held_out, materialize
 
 #: Bounds of the sample.
 TOXIC, CLEAN = 4000, 8000
@@ -89,14 +88,14 @@ class Lexicon:
     threshold: float = 1.0
 
 
-@lru_cache(4)
 def _automaton(lexicon: Lexicon, whole: bool = False) -> ahocorasick.Automaton:
     """With ``whole`` only of the whole words."""
     out = ahocorasick.Automaton()
-    for phrase in lexicon.exceptions:
+    spared = set(lexicon.exceptions)
+    for phrase in spared:
         out.add_word(phrase, (len(phrase), 0.0))
     for pattern, weight in lexicon.weights:
-        if pattern not in lexicon.exceptions and (pattern.endswith(" ") or not whole):
+        if pattern not in spared and (pattern.endswith(" ") or not whole):
             out.add_word(pattern, (len(pattern), weight))
     if len(out):
         out.make_automaton()
@@ -107,34 +106,46 @@ def _spaces(text: str) -> list[int]:
     return [m.start() for m in re.finditer(" ", text)]
 
 
-def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
-    """The largest weight at each word's start, without words that an exception phrase holds."""
-    found: dict[int, float] = {}
-    spared: list[tuple[int, int]] = []
-    for whole in (False, True):
-        automaton = _automaton(lexicon, whole)
-        if not len(automaton) or whole and folded.isascii():
-            continue
-        text = folded.translate(_PLAIN) if whole else folded
-        # Words may change their length, not their number: the n-th space of one text is that of the other.
-        place = dict(zip(_spaces(text), _spaces(folded), strict=True)) if whole else None
-        for end, (length, weight) in automaton.iter(text):
-            start = end - length + 1
-            if place is not None:
-                start, end = place[start], place[end]
-            if weight:
-                found[start] = max(weight, found.get(start, 0.0))
-            else:
-                spared.append((start, end))
-    for a, b in spared:
-        for s in [s for s in found if a <= s < b]:
-            del found[s]
-    return found
-
-
-def strength(text: str | None, lexicon: Lexicon) -> float:
-    folded = fold(text)
-    return sum(hits(folded, lexicon).values()) / math.sqrt(folded.count(" ") + 9)
+class Matcher:
+    """A lexicon's automata, which a task builds once."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.all, self.whole = _automaton(lexicon), _automaton(lexicon, True)
+
+    def hits(self, folded: str) -> dict[int, float]:
+        """The largest weight at each word's start, without words that an exception phrase holds."""
+        found: dict[int, float] = {}
+        spared: list[tuple[int, int]] = []
+        for automaton, plain in ((self.all, False), (self.whole, True)):
+            if not len(automaton) or plain and folded.isascii():
+                continue
+            text = folded.translate(_PLAIN) if plain else folded
+            # Words may change their length, not their number: the n-th space of one text is that of the other.
+            place = dict(zip(_spaces(text), _spaces(folded), strict=True)) if plain else None
+            for end, (length, weight) in automaton.iter(text):
+                start = end - length + 1
+                if place is not None:
+                    start, end = place[start], place[end]
+                if weight:
+                    found[start] = max(weight, found.get(start, 0.0))
+                else:
+                    spared.append((start, end))
+        if not spared:
+            return found
+        # Both in order, so each is looked at once.
+        kept, upto, at = {}, -1, 0
+        spared.sort()
+        for start in sorted(found):
+            while at < len(spared) and spared[at][0] <= start:
+                upto = max(upto, spared[at][1])
+                at += 1
+            if start >= upto:
+                kept[start] = found[start]
+        return kept
+
+    def strength(self, text: str | None) -> float:
+        folded = fold(text)
+        return sum(self.hits(folded).values()) / math.sqrt(folded.count(" ") + 9)
 
 
 def scaled(raw: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -147,8 +158,11 @@ def scores(texts: F.Column, lexicon: Lexicon) -> F.Column:
     """0 to 1; null and empty texts get the score of a text without hits."""
 
     @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        return pd.Series(scaled(np.array([strength(t, lexicon) for t in column]), lexicon))
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)
+        for column in columns:
+            yield pd.Series(scaled(np.array([matcher.strength(t) for t in column]), lexicon))
+            give_back()
 
     return score(texts)
 
@@ -227,10 +241,11 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+        matcher = Matcher(lexicon)
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 folded, own = fold(text), set()
-                for start in hits(folded, lexicon):
+                for start in matcher.hits(folded):
                     last, after = folded.rfind(" ", 0, start), folded.find(" ", start + 1)
                     if last >= 0:
                         own.add(folded[last : after + 1])
@@ -245,8 +260,10 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
     lexicon = Lexicon(lexicon.weights, tuple(sorted(r["p"] for r in spared.collect())))
 
     @F.pandas_udf("int")
-    def bin_of(column: pd.Series) -> pd.Series:
-        return pd.Series([min(4000, int(50 * strength(t, lexicon))) for t in column], dtype="int32")
+    def bin_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)
+        for column in columns:
+            yield pd.Series([min(4000, int(50 * matcher.strength(t))) for t in column], dtype="int32")
 
     table = sample.groupBy(bin_of("text").alias("bin"), "y").agg(F.count("*").alias("n")).collect()
     return Lexicon(lexicon.weights, lexicon.exceptions, _threshold([(r["bin"], r["y"], r["n"]) for r in table]))
@@ -271,8 +288,8 @@ def _threshold(table: list[tuple[int, int, int]]) -> float:
 def toxicity(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; predicted is 1 from a score of 0.7 on.
 
-    Null and empty texts are scored like any other; a null id is in no fold (held_out false); repeated rows
-    give repeated rows, an empty table none; other columns don't matter.
+    Null, empty and very long texts are scored like any other, whole; a null id is in no fold (held_out false);
+    repeated rows give repeated rows, an empty table none; other columns don't matter.
     """
     score = F.col("score")
     out = docs.select(F.col(id_column).alias("doc_id"), scores(F.col(text_column), lexicon).alias("score"))
@@ -280,5 +297,9 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows that are predicted toxic."""
+    """``docs`` without the rows that are predicted toxic.
+
+    Null and empty texts stay, as they hold no toxic word; repeated rows stay or go together; rows without id are
+    judged like any other; the columns are those of ``docs``, whatever their names; an empty table stays empty.
+    """
     return docs.filter(scores(F.col(text_column), lexicon) < REJECT)
