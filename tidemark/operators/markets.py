@@ -77,12 +77,13 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, x: str, y: str, resamples:
     """One row: r of all pairs and the share of resamples (of whole clusters) with r <= 0.
 
     Each cluster is reduced to its sums first.  A resample draws each cluster a Poisson(1) number of times,
-    which needs no list of clusters in one place; the draws are a hash of seed, resample and cluster.
+    which needs no list of clusters in one place; the draws are an MD5 of seed, resample and cluster.
     """
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     sums = pairs.filter(X.isNotNull() & Y.isNotNull()).groupBy(cluster).agg(F.count("*").cast("double").alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy"))
     drawn = sums.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "resample", cluster), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(cluster).cast("string"))
+    u = (F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
     times, total, p = F.lit(0), 0.0, 0.36787944117144233  # Poisson(1) at 0 (fixed value)
     for k in range(1, 12):
         total += p

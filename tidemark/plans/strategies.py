@@ -21,12 +21,14 @@ PLAYER = h.History(("player_id",), START, "game_id")
 PAIR = h.History(("team_id", "opponent_team_id"), START, "game_id")
 FORM = ("points_scored", "points_allowed", "margin")
 STYLE = ("pace", "tempo", "spread")
+PLAY_COLUMNS = (*(f"period_{i}_points" for i in (1, 2, 3, 4)), "overtime_points", "clutch_points", "largest_run", "lead_changes", "largest_lead")
 
 
 @dataclass(frozen=True)
 class Tables:
     """Loaders: rows known by the context's instant.  ``quotes``: game_id, vendor, at, price, tie; ``fills``:
-    game_id, at, price, tie; ``props``: player_id, at, line, tie; ``bios``: player_id, position, age."""
+    game_id, at, price, tie; ``props``: player_id, at, line, tie; ``bios``: player_id, position, age; ``plays``:
+    game_id, team_id and ``PLAY_COLUMNS``; ``standings``: team_id, season, at, wins, losses, tie."""
 
     team_games: Callable[[p.Context], DataFrame]
     player_games: Callable[[p.Context], DataFrame] | None = None
@@ -34,6 +36,8 @@ class Tables:
     fills: Callable[[], DataFrame] | None = None
     props: Callable[[], DataFrame] | None = None
     bios: Callable[[], DataFrame] | None = None
+    plays: Callable[[], DataFrame] | None = None
+    standings: Callable[[], DataFrame] | None = None
 
 
 def past(name: str, who: h.History, change: Callable[[DataFrame], DataFrame], adds: Sequence[str], needs: Sequence[str] = ()) -> p.Step:
@@ -143,18 +147,35 @@ def team_market(t: Tables) -> p.Pipeline:
 
 
 def team_play_shape(t: Tables) -> p.Pipeline:
-    c = F.col
+    """How a team's games ran.  Plays come with the games, as known when those are; games without plays stay."""
+    c, key = F.col, ["game_id", "team_id"]
     shares = [f"period_{i}_share" for i in (1, 2, 3, 4)] + ["second_half_share", "clutch_share"]
     swings = ["run_per_lead", "went_to_overtime", "lead_changes_per_100"]
-    periods = lambda: [c("points_scored"), c("pace"), c("tempo"), c("spread")]
-    return team_form(t).renamed("team_play_shape").with_steps(
-        row_local("scoring_profile", lambda: columns.scoring_profile(periods(), c("tempo")), shares),
-        row_local("game_volatility", lambda: {k: v.cast("double") for k, v in columns.volatility(c("pace"), c("points_scored"), c("margin"), c("tempo"), c("points_allowed")).items()}, swings),
+    made = team_form(t).renamed("team_play_shape")
+    games = made.steps[0]
+    load = lambda x: t.team_games(x).join(t.plays().select(*key, *PLAY_COLUMNS), key, "left")
+    made = made.replace_step(games.name, p.source(games.name, load, "result_known_at", (*games.provenance.adds, *PLAY_COLUMNS)))
+    periods = lambda: [c(f"period_{i}_points") for i in (1, 2, 3, 4)]
+    return made.with_steps(
+        p.row_local("no_plays", lambda df: columns.fill_nulls(df, {"overtime_points": 0}), ()),
+        row_local("scoring_profile", lambda: columns.scoring_profile(periods(), c("clutch_points")), shares),
+        row_local("game_volatility", lambda: {k: v.cast("double") for k, v in columns.volatility(c("largest_run"), c("largest_lead"), c("overtime_points"), c("lead_changes"), c("points_scored") + c("points_allowed")).items()}, swings),
         rolling("shape10", TEAM, [*shares, *swings], 10),
         past("run_sd10", TEAM, lambda df: h.dispersion(df, TEAM, "run_per_lead", 10, "sd10"), ["run_per_lead_sd10"]),
     )
 
 
+def with_standings(made: p.Pipeline, t: Tables) -> p.Pipeline:
+    """A team strategy with the record as it was known before each game, from all that was ever captured."""
+
+    def known(df: DataFrame) -> DataFrame:
+        out = asof.asof_join(df, t.standings(), ["team_id", "season"], START, "at", ["wins", "losses"], "tie", prefix="standings_")
+        total = F.col("standings_wins") + F.col("standings_losses")
+        return out.withColumn("standings_pct", F.when(total > 0, F.col("standings_wins") / total))
+
+    return made.with_steps(p.asof("standings", known, ["standings_observed_at", "standings_wins", "standings_losses", "standings_pct"], "standings_observed_at"))
+
+
 PLAYER_COLUMNS = ("game_id", "player_id", "team_id", "season", "season_type", START, "result_known_at", "minutes", "points", "starter")
 
 

@@ -97,9 +97,23 @@ def lead_lag(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("lag", "n", F.round("r", 9).alias("r"), F.round("t", 6).alias("t"))
 
 
-@query()
+def _poisson() -> str:
+    """How often a cluster with the draw u is taken, as SQL."""
+    upto, p = [], 0.36787944117144233
+    for k in range(1, 12):
+        upto.append((upto[-1] if upto else 0.0) + p)
+        p /= k
+    return " + ".join(f"(u > {x!r})::INT" for x in upto)
+
+
+@query(f"""WITH {_BUCKETS}, s AS (SELECT user_id, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM p WHERE lag = 0 GROUP BY 1),
+dr AS (SELECT s.*, i, (CAST('0x' || substr(md5('20260803:' || i || ':' || user_id), 1, 10) AS BIGINT) + 0.5) / 1099511627776 AS u FROM s, range(0, 2001) AS t(i)),
+t AS (SELECT *, CASE WHEN i = 0 THEN 1 ELSE {_poisson()} END AS k FROM dr),
+g AS (SELECT i, sum(k * n) AS n, sum(k * sx) AS sx, sum(k * sy) AS sy, sum(k * sxx) AS sxx, sum(k * syy) AS syy, sum(k * sxy) AS sxy FROM t GROUP BY 1),
+v AS (SELECT i, n * sxy - sx * sy AS cov, (n * sxx - sx * sx) * (n * syy - sy * sy) AS var FROM g), r AS (SELECT i, CASE WHEN var > 0 THEN cov / sqrt(var) END AS r FROM v)
+SELECT round(max(r) FILTER (WHERE i = 0), 6) AS r, round(avg((r <= 0)::INT) FILTER (WHERE i > 0 AND r IS NOT NULL), 6) AS p_not_positive, count(r) FILTER (WHERE i > 0) AS resamples FROM r""")
 def lead_lag_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """A hash draws the clusters, so there is no SQL; tests hold it against a plain loop."""
+    """Draws are a hash that SQL has too, so the resamples are the same ones."""
     pairs = _changes(spark, folder, "click", "x").join(_changes(spark, folder, "view", "y"), ["user_id", "bucket"])
     return rounded(m.cluster_bootstrap(pairs, "user_id", "x", "y"))
 

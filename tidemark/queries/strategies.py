@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as h
+from tidemark.operators import plays
 from tidemark.operators import relational as rel
 from tidemark.plans import pipeline as p
 from tidemark.plans import strategies as s
-from tidemark.queries.catalog import QUERIES, game_log, query, rounded, table
+from tidemark.queries.catalog import game_log, query, rounded, table
 
 CONTEXT = p.Context(datetime(2024, 6, 1, tzinfo=timezone.utc))
 
@@ -49,7 +50,20 @@ def tables(spark: SparkSession, folder: str) -> s.Tables:
     def bios() -> DataFrame:
         return table(spark, folder, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_mktsegment").alias("position"), F.col("c_nationkey").alias("age"))
 
-    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios)
+    def shaped() -> DataFrame:
+        """Lines of a game's two teams as plays: points by quantity, up to five periods, a clock."""
+        ends = team_games(CONTEXT).filter("is_home").select("game_id", F.col("team_id").alias("home_id"), F.col("opponent_team_id").alias("away_id"))
+        lines = table(spark, folder, "lineitem").join(ends, F.col("l_orderkey") == F.col("game_id")).filter(F.col("l_suppkey").isin(F.col("home_id"), F.col("away_id")))
+        w = Window.partitionBy("game_id").orderBy("l_linenumber", "l_partkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+        by = {n: F.sum(F.when(F.col("l_suppkey") == F.col(f"{n}_id"), F.col("l_quantity")).otherwise(0)).over(w) for n in ("home", "away")}
+        rows = lines.withColumns({**by, "sequence": F.row_number().over(w), "period": F.least("l_linenumber", F.lit(5)), "clock": F.format_string("%d:%02d", (F.col("l_partkey") % 10).cast("int"), (F.col("l_partkey") % 60).cast("int"))})
+        return plays.play_aggregate(rows.withColumnRenamed("l_suppkey", "team_id"), "game_id", "team_id", "sequence", "period", "clock", "l_quantity", "home", "away")
+
+    def standings() -> DataFrame:
+        o = table(spark, folder, "orders")
+        return o.select((F.col("o_custkey") % 100).alias("team_id"), F.year("o_orderdate").alias("season"), F.col("o_orderdate").cast("timestamp").alias("at"), F.floor(F.col("o_totalprice") / 10_000).alias("wins"), (F.col("o_custkey") % 7).alias("losses"), F.col("o_orderkey").alias("tie"))
+
+    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios, shaped, standings)
 
 
 def _run(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,18 +106,129 @@ def player_market(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run(spark, folder, "player_market").select("game_id", "player_id", "line", "line_edge"), 9)
 
 
-def _whole(name: str):
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return rounded(_run(spark, folder, name), 6)
+_GAMES = """WITH e AS (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)) AS a, max((l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)) AS b FROM lineitem GROUP BY 1),
+g AS (SELECT o_orderkey AS game_id, o_orderdate AS start_time, CAST(year(o_orderdate) AS INT) AS season, a, b FROM e JOIN orders ON l_orderkey = o_orderkey WHERE a[3] <> b[3]),
+t AS (SELECT game_id, start_time, season, a[3] AS team_id, b[3] AS opponent_team_id, true AS is_home, a[5] AS ps, b[5] AS pa, a[4] / 1000 AS pace, a[6] AS tempo, a[7] AS spread FROM g UNION ALL SELECT game_id, start_time, season, b[3], a[3], false, b[5], a[5], b[4] / 1000, b[6], b[7] FROM g),
+f AS (SELECT *, ps - pa AS margin, ps > pa AS won FROM t WHERE team_id % 10 <> 9),
+r AS (SELECT *, (epoch_us(start_time) - epoch_us(max(start_time) OVER w)) / 86400000000.0 AS rest_days, count(*) OVER w AS earlier, row_number() OVER (PARTITION BY team_id ORDER BY start_time, game_id) AS n FROM f WINDOW w AS (PARTITION BY team_id ORDER BY start_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))
+"""
+
+
+def _last(name: str, k: int, source: str = "r", **made: str) -> str:
+    """A table of aggregates over a team's last k rows (x) before each row."""
+    cells = ", ".join(f"{e} AS {c}" for c, e in made.items())
+    return f", {name} AS (SELECT r.game_id, r.team_id, {cells} FROM {source} r LEFT JOIN {source} x ON x.team_id = r.team_id AND x.n <= r.earlier AND x.n > r.earlier - {k} GROUP BY ALL)"
 
-    run.__name__ = name
-    run.__doc__ = f"All columns of the strategy {name}; its steps have their own SQL."
-    return run
+
+def _split(name: str, where: str) -> str:
+    return f""", {name}_i AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY start_time, game_id) AS i FROM r WHERE {where}),
+{name}_u AS (SELECT r.game_id, r.team_id, max(x.i) AS upto FROM r LEFT JOIN {name}_i x ON x.team_id = r.team_id AND x.start_time < r.start_time GROUP BY ALL),
+{name} AS (SELECT u.game_id, u.team_id, avg(x.margin) AS {name} FROM {name}_u u LEFT JOIN {name}_i x ON x.team_id = u.team_id AND x.i <= u.upto AND x.i > u.upto - 10 GROUP BY ALL)"""
 
 
-for _name in s.STRATEGIES:
-    if _name not in QUERIES:
-        query()(_whole(_name))
+def _chosen(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return rounded(_run(spark, folder, name).select("game_id", "team_id", *columns), 6)
+
+
+_MULTI = ("margin_form10", "margin_form20", "margin_season_mean", "margin_ewm5", "margin_sd10", "margin_slope10", "margin_home10", "margin_road10", "blowout_win_profile10", "close_game_profile10")
+
+
+@query(
+    _GAMES
+    + _last("w10", 10, margin_form10="avg(x.margin)", margin_sd10="stddev_samp(x.margin)", margin_slope10="CASE WHEN count(x.n) >= 2 THEN regr_slope(x.margin, x.n) END", blowout_win_profile10="avg((x.margin >= 15)::INT)", close_game_profile10="avg((abs(x.margin) <= 5)::INT)")
+    + _last("w20", 20, margin_form20="avg(x.margin)")
+    + _last("w100", 100, margin_ewm5="sum(x.margin * pow(0.5, (r.earlier - x.n) / 5.0)) / sum(pow(0.5, (r.earlier - x.n) / 5.0))")
+    + _split("margin_home10", "is_home")
+    + _split("margin_road10", "NOT is_home")
+    + f""", s AS (SELECT r.game_id, r.team_id, avg(x.margin) AS margin_season_mean FROM r LEFT JOIN r x ON x.team_id = r.team_id AND x.season = r.season AND x.start_time < r.start_time GROUP BY ALL),
+k1 AS (SELECT *, CASE WHEN won = lag(won) OVER (PARTITION BY team_id, season ORDER BY start_time, game_id) THEN 0 ELSE 1 END AS new FROM r),
+k2 AS (SELECT *, sum(new) OVER (PARTITION BY team_id, season ORDER BY start_time, game_id) AS run FROM k1),
+k3 AS (SELECT *, row_number() OVER (PARTITION BY team_id, season, run ORDER BY start_time, game_id) * CASE WHEN won THEN 1 ELSE -1 END AS s FROM k2),
+k4 AS (SELECT * FROM k3 QUALIFY row_number() OVER (PARTITION BY team_id, season, start_time ORDER BY game_id DESC) = 1),
+k AS (SELECT r.game_id, r.team_id, CAST(coalesce(k4.s, 0) AS BIGINT) AS streak FROM r ASOF LEFT JOIN k4 ON r.team_id = k4.team_id AND r.season = k4.season AND r.start_time > k4.start_time)
+SELECT game_id, team_id, streak, {", ".join(f"round({c}, 6) AS {c}" for c in _MULTI)}
+FROM w10 JOIN w20 USING (game_id, team_id) JOIN w100 USING (game_id, team_id) JOIN margin_home10 USING (game_id, team_id) JOIN margin_road10 USING (game_id, team_id) JOIN s USING (game_id, team_id) JOIN k USING (game_id, team_id)"""
+)
+def team_form_multi(spark: SparkSession, folder: str) -> DataFrame:
+    return _chosen(spark, folder, "team_form_multi", "streak", *_MULTI)
+
+
+def _met(name: str, season: str = "") -> str:
+    return f""", {name} AS (SELECT r.game_id, r.team_id, count(x.n) AS {name}_games, count(x.n) FILTER (WHERE x.won) AS {name}_wins, CASE WHEN count(x.n) > 0 THEN count(x.n) FILTER (WHERE x.won) / count(x.n) END AS {name}_pct, avg(x.margin) AS {name}_margin
+FROM r LEFT JOIN r x ON x.team_id = r.team_id AND x.opponent_team_id = r.opponent_team_id AND x.start_time < r.start_time{season} GROUP BY ALL)"""
+
+
+@query(
+    _GAMES + _last("p", 5, pace5="avg(x.pace)") + _met("h2h_all") + _met("h2h_season", " AND x.season = r.season")
+    + """, z AS (SELECT r.*, pace5, coalesce(rest_days < 1.5, false)::INT AS b2b FROM r JOIN p USING (game_id, team_id))
+SELECT z.game_id, z.team_id, round(z.rest_days - o.rest_days, 6) AS rest_advantage, o.b2b - z.b2b AS back_to_back_edge, round((z.pace5 + o.pace5) / 2, 6) AS pace_mean, round(abs(z.pace5 - o.pace5), 6) AS pace_gap,
+  h2h_all_games, h2h_all_wins, round(h2h_all_pct, 6) AS h2h_all_pct, round(h2h_all_margin, 6) AS h2h_all_margin, h2h_season_games, round(h2h_season_margin, 6) AS h2h_season_margin
+FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id JOIN h2h_all a ON a.game_id = z.game_id AND a.team_id = z.team_id JOIN h2h_season s ON s.game_id = z.game_id AND s.team_id = z.team_id"""
+)
+def team_matchup(spark: SparkSession, folder: str) -> DataFrame:
+    return _chosen(spark, folder, "team_matchup", "rest_advantage", "back_to_back_edge", "pace_mean", "pace_gap", "h2h_all_games", "h2h_all_wins", "h2h_all_pct", "h2h_all_margin", "h2h_season_games", "h2h_season_margin")
+
+
+_DIMENSIONS = ("pace", "tempo", "spread")
+
+
+@query(
+    _GAMES + _last("a", 5, **{f"{v}5": f"avg(x.{v})" for v in _DIMENSIONS}) + _last("b", 15, **{f"{v}15": f"avg(x.{v})" for v in _DIMENSIONS})
+    + f""", z AS (SELECT r.game_id, r.team_id, r.opponent_team_id, {", ".join(f"{v}5, {v}15" for v in _DIMENSIONS)} FROM r JOIN a USING (game_id, team_id) JOIN b USING (game_id, team_id)),
+d AS (SELECT {", ".join(f"CASE WHEN stddev_samp({v}5) > 0 THEN stddev_samp({v}5) ELSE 1 END AS {v}_d" for v in _DIMENSIONS)} FROM z)
+SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5, 6) AS {v}_style5, round(o.{v}5, 6) AS opponent_{v}_style5" for v in _DIMENSIONS)},
+  CASE WHEN z.pace5 IS NOT NULL AND o.pace5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in _DIMENSIONS)}), 6) END AS style_distance, round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in _DIMENSIONS)}) / 3), 6) AS style_volatility
+FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id CROSS JOIN d"""
+)
+def team_style(spark: SparkSession, folder: str) -> DataFrame:
+    return _chosen(spark, folder, "team_style", *[f"{o}{v}_style5" for v in _DIMENSIONS for o in ("", "opponent_")], "style_distance", "style_volatility")
+
+
+@query(
+    _GAMES + """, q AS (SELECT l_orderkey AS game_id, l_suppkey AS vendor, l_shipdate AS seen_at, l_discount AS price, l_extendedprice AS tie FROM lineitem),
+b AS (SELECT f.game_id, f.team_id, q.* EXCLUDE (game_id) FROM f JOIN q ON q.game_id = f.game_id AND q.seen_at < f.start_time),
+v AS (SELECT game_id, team_id, vendor, arg_max(price, (seen_at, tie)) AS price FROM b GROUP BY ALL), c AS (SELECT game_id, team_id, avg(price) AS consensus, stddev_samp(price) AS spread_, count(*) AS vendors FROM v GROUP BY ALL),
+p AS (SELECT game_id, team_id, arg_max(price, (seen_at, tie)) AS prediction FROM b GROUP BY ALL)
+SELECT f.game_id, f.team_id, round(consensus, 6) AS book_consensus, round(spread_, 6) AS book_spread, vendors AS book_vendors, round(prediction, 6) AS prediction, round(prediction - consensus, 6) AS divergence, round(prediction - consensus + spread_, 6) AS movement
+FROM f LEFT JOIN c USING (game_id, team_id) LEFT JOIN p USING (game_id, team_id)"""
+)
+def team_market(spark: SparkSession, folder: str) -> DataFrame:
+    return _chosen(spark, folder, "team_market", "book_consensus", "book_spread", "book_vendors", "prediction", "divergence", "movement")
+
+
+_SHAPES = ("period_1_share", "second_half_share", "clutch_share", "run_per_lead", "went_to_overtime", "lead_changes_per_100")
+
+
+@query(
+    _GAMES + f""", l AS (SELECT g.game_id, l_suppkey AS team, least(l_linenumber, 5) AS period, l_quantity AS x, CASE WHEN l_suppkey = a[3] THEN l_quantity ELSE -l_quantity END AS d, (l_partkey % 10) * 60 + l_partkey % 60 AS left_, row_number() OVER w AS i FROM lineitem JOIN g ON l_orderkey = g.game_id WHERE l_suppkey IN (a[3], b[3]) WINDOW w AS (PARTITION BY g.game_id ORDER BY l_linenumber, l_partkey, l_extendedprice)),
+m AS (SELECT *, sum(d) OVER (PARTITION BY game_id ORDER BY i) AS margin, i - row_number() OVER (PARTITION BY game_id, team ORDER BY i) AS island FROM l), n AS (SELECT *, lag(margin) OVER (PARTITION BY game_id ORDER BY i) AS before FROM m),
+gs AS (SELECT game_id, count(*) FILTER (WHERE margin * before < 0) AS changes, max(abs(margin)) AS lead_ FROM n GROUP BY 1), rn AS (SELECT game_id, team, max(s) AS run FROM (SELECT game_id, team, sum(x) AS s FROM m GROUP BY game_id, team, island) GROUP BY ALL),
+pp AS (SELECT game_id, team AS team_id, {", ".join(f"sum(x) FILTER (WHERE period = {i}) AS p{i}" for i in (1, 2, 3, 4))}, coalesce(sum(x) FILTER (WHERE period >= 5), 0) AS ot, sum(x) FILTER (WHERE period >= 4 AND left_ <= 300) AS clutch, any_value(run) AS run, any_value(changes) AS changes, any_value(lead_) AS lead_ FROM l JOIN rn USING (game_id, team) JOIN gs USING (game_id) GROUP BY ALL),
+z AS (SELECT r.*, CASE WHEN p1 + p2 + p3 + p4 > 0 THEN p1 / (p1 + p2 + p3 + p4) END AS period_1_share, CASE WHEN p1 + p2 + p3 + p4 > 0 THEN (p3 + p4) / (p1 + p2 + p3 + p4) END AS second_half_share, CASE WHEN p1 + p2 + p3 + p4 > 0 THEN clutch / (p1 + p2 + p3 + p4) END AS clutch_share,
+  CASE WHEN lead_ > 0 THEN run / lead_ END AS run_per_lead, (coalesce(ot, 0) > 0)::INT::DOUBLE AS went_to_overtime, CASE WHEN ps + pa > 0 THEN 100.0 * changes / (ps + pa) END AS lead_changes_per_100 FROM r LEFT JOIN pp USING (game_id, team_id))
+""" + _last("w", 10, "z", **{f"{c}_shape10": f"avg(x.{c})" for c in _SHAPES}, run_per_lead_sd10="stddev_samp(x.run_per_lead)")
+    + f""" SELECT game_id, team_id, {", ".join(f"round({c}_shape10, 6) AS {c}_shape10" for c in _SHAPES)}, round(run_per_lead_sd10, 6) AS run_per_lead_sd10 FROM w"""
+)
+def team_play_shape(spark: SparkSession, folder: str) -> DataFrame:
+    return _chosen(spark, folder, "team_play_shape", *[f"{c}_shape10" for c in _SHAPES], "run_per_lead_sd10")
+
+
+@query(
+    _GAMES + """, s AS (SELECT o_custkey % 100 AS team_id, CAST(year(o_orderdate) AS INT) AS season, o_orderdate AS seen_at, floor(o_totalprice / 10000) AS wins, o_custkey % 7 AS losses FROM orders QUALIFY row_number() OVER (PARTITION BY team_id, season, o_orderdate ORDER BY o_orderkey DESC) = 1)
+SELECT f.game_id, f.team_id, CAST(s.wins AS BIGINT) AS standings_wins, s.losses AS standings_losses, CASE WHEN s.wins + s.losses > 0 THEN round(s.wins / (s.wins + s.losses), 6) END AS standings_pct FROM f ASOF LEFT JOIN s ON f.team_id = s.team_id AND f.season = s.season AND f.start_time > s.seen_at"""
+)
+def team_standings(spark: SparkSession, folder: str) -> DataFrame:
+    """The situational strategy with standings as they were known."""
+    own = tables(spark, folder)
+    return rounded(s.with_standings(s.build("situational_baseline", own), own).run(CONTEXT).df.select("game_id", "team_id", "standings_wins", "standings_losses", "standings_pct"), 6)
+
+
+@query(f"""{_PLAYER.split("f AS (")[0].rstrip().rstrip(",")}, r AS (SELECT l.*, event_type = 'click' AS starter FROM l JOIN events USING (event_id)),
+w AS (SELECT game_id, player_id, minutes, 36 * sum(points) FILTER (WHERE minutes IS NOT NULL) OVER o / nullif(sum(minutes) OVER o, 0) AS per36, sum(CASE WHEN minutes > 0 THEN minutes * points END) OVER o / nullif(sum(CASE WHEN minutes > 0 THEN minutes END) OVER o, 0) AS weighted, sum(minutes) OVER o / nullif(sum(minutes) OVER o, 0) AS share, avg(starter::INT) OVER o AS starts
+  FROM r WINDOW o AS (PARTITION BY player_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT game_id, player_id, round(per36, 6) AS points_per_36, per36 IS NULL AS points_per_36_is_null, round(weighted, 6) AS points_weighted, round(share, 6) AS minutes_share, round(starts, 6) AS started_starts10 FROM w WHERE minutes >= 5""")
+def player_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_run(spark, folder, "player_rates").select("game_id", "player_id", "points_per_36", "points_per_36_is_null", "points_weighted", "minutes_share", "started_starts10"), 6)
 
 
 @query("""SELECT 'clean' AS frame, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS open UNION ALL SELECT 'planted', count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20'), count(*) FILTER (WHERE event_type = 'error') FROM events""")
