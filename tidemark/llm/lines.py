@@ -7,16 +7,18 @@ every occurrence but the first is covered.  A document loses the union of its co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import by_size, free_name, materialize
+from tidemark.llm.shared import free_name, materialize
 
 WINDOW = 3
 #: White space that doesn't tell lines apart.
 EDGE = " \t\r"
-#: Rows up to which the table of covered documents is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and covered windows in them, up to which the table of covered documents is broadcast.
+BROADCAST_ROWS, BROADCAST_WINDOWS = 200_000, 1_000_000
 
 
 def _lines(text: F.Column) -> F.Column:
@@ -56,22 +58,39 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     Occurrences are in the order of id, then position; the first keeps its lines.  Lines are compared
     without white space at their edges; blank lines are in no window and stay.  A text with fewer than three
     non-blank lines, a null text and a row without id stay as they are.  Rows that share id and text stand at
-    the same place, so none is later than the other.  An empty table gives an empty one.  Should ``docs``
-    have columns of the two names, the new ones get a leading underscore.
+    the same place, so none is later than the other.  Texts of any length are cleaned whole.  An empty table
+    gives an empty one.  Should ``docs`` have columns of the two names, the new ones get a leading underscore;
+    other columns don't matter.
     """
-    lines, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    own = free_name(docs, "covered_starts")
-    cover = by_size(covered(docs, id_column, text_column), BROADCAST_ROWS)
-    text = F.col(text_column)
-    joined = docs.join(cover.withColumnRenamed("starts", own), (F.col(id_column) == F.col("doc")) & (F.xxhash64(text) == F.col("th")), "left")
-    at, gone, hit = free_name(docs, "line_places"), free_name(docs, "lines_gone"), F.col(own).isNotNull()
-    joined = joined.withColumn(at, F.when(hit, F.transform(_numbered(_lines(text)), lambda x: x["at"])))
-    joined = joined.withColumn(gone, F.array_distinct(F.flatten(F.transform(F.col(own), lambda s: F.slice(F.col(at), s + 1, WINDOW)))))
-    left = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col(gone))
-    clean = F.array_join(F.transform(left, lambda i: F.get(_lines(text), i)), "\n")
-    cleaned = F.when(hit, clean).otherwise(text).alias(text_column)
+    lines, removed, out = (free_name(docs, n) for n in ("n_lines", "n_removed", "line_rest"))
+    own = {c: free_name(docs, f"cover_{c}") for c in ("doc", "th", "starts")}
+    found = covered(docs, id_column, text_column)
+    small = found.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    cover = found.withColumnsRenamed(own)
+    if small[0] <= BROADCAST_ROWS and small[1] <= BROADCAST_WINDOWS:
+        cover = F.broadcast(cover)
+    text, hit = F.col(text_column), F.col(own["starts"]).isNotNull()
+    joined = docs.join(cover, (F.col(id_column) == F.col(own["doc"])) & (F.xxhash64(text) == F.col(own["th"])), "left")
+    joined = joined.withColumn(out, F.when(hit, _without(text, F.col(own["starts"]))))
     return joined.select(
-        *[cleaned if c == text_column else docs[c] for c in docs.columns],
+        *[F.when(hit, F.col(out)["text"]).otherwise(text).alias(c) if c == text_column else docs[c] for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).alias(lines),
-        F.when(hit, F.size(gone)).otherwise(0).alias(removed),
+        F.when(hit, F.col(out)["removed"]).otherwise(0).alias(removed),
     )
+
+
+def _let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """``body`` of ``value``, which is computed once however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without(text: F.Column, starts: F.Column) -> F.Column:
+    """(text, removed): without the lines in the windows that begin at ``starts``."""
+    numbers = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + WINDOW - 1))))
+
+    def rest(lines: F.Column) -> F.Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        gone = _let(F.transform(_numbered(lines), lambda x: x["at"]), lambda at: F.transform(numbers, lambda n: F.get(at, n)))
+        return _let(F.array_except(every, gone), lambda left: F.struct(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(left)).alias("removed")))
+
+    return _let(_lines(text), rest)
