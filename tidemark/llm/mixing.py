@@ -69,8 +69,9 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
         # (budget left by the fuller ones) / (weights of the others).
         by = Window.partitionBy(*path[:-1]) if depth > 1 else Window.partitionBy(F.lit(0))
         order = by.orderBy(F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(float("inf")), path[-1])
-        before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heavier = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+        fuller = order.rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("cap").over(fuller), F.lit(0))
+        heavier = F.sum("weight").over(by) - F.coalesce(F.sum("weight").over(fuller), F.lit(0))
         nodes = nodes.withColumn("level", F.when(heavier > 0, (F.col("above") - before) / heavier))
         share = F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce(F.max("level").over(by), F.lit(0.0)))
         done = nodes.select(*path, F.greatest(share, F.lit(0.0)).alias("above"))

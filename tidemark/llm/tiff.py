@@ -114,15 +114,19 @@ def _page(data: bytes, f: dict[int, tuple], order: str) -> np.ndarray:
     if len(set(bits)) != 1 or bits[0] not in (8, 16, 32) or predictor not in (1, 2):
         raise ValueError(f"{bits} bits with predictor {predictor} aren't supported")
     kind = np.dtype(f"{order}u{bits[0] // 8}")
+    if columns < 1 or lines < 1 or samples < 1:
+        raise ValueError("the page has no samples")
     if columns * lines * samples * kind.itemsize > LARGEST:
         raise ValueError("the page is too large")
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
     out = np.zeros((lines, columns, samples), kind)
     tiled = TILE_AT in f
     high, wide = (f[TILE_LINES][0], f[TILE_COLUMNS][0]) if tiled else (min(f.get(STRIP_LINES, (lines,))[0], lines), columns)
+    if high < 1 or wide < 1 or high * wide * samples * kind.itemsize > LARGEST:
+        raise ValueError("a strip or tile has no samples, or too many")
     places, sizes = (f[TILE_AT], f[TILE_BYTES]) if tiled else (f[STRIP_AT], f[STRIP_BYTES])
     across, down = -(-columns // wide), -(-lines // high)
-    if len(places) < planes * across * down:
+    if min(len(places), len(sizes)) < planes * across * down:
         raise ValueError("strips or tiles are missing")
     for k in range(planes * across * down):
         plane, (row, column) = k // (across * down), divmod(k % (across * down), across)
@@ -149,7 +153,7 @@ def pages(data: bytes) -> Iterator[np.ndarray]:
             seen.add(at)
             fields, at = _fields(data, at, order)
             yield _page(data, fields, order)
-    except (struct.error, KeyError, IndexError, zlib.error) as e:
+    except (struct.error, KeyError, IndexError, TypeError, OverflowError, ZeroDivisionError, zlib.error) as e:
         raise ValueError(f"damaged: {e!r}") from e
 
 
@@ -185,8 +189,10 @@ def write(payload: bytes) -> bytes:
 def read_pages(files: DataFrame, id_column: str, data_column: str) -> DataFrame:
     """id, page, width, height, samples, bits, pixels, error: a row for each page, pages counted from 0.
 
-    ``pixels``: samples in reading order, little-endian.  A null or damaged file gives the pages before the
-    damage and then a row with ``error`` set and no pixels.  Repeated rows give repeated rows.
+    ``pixels``: samples in reading order, little-endian.  A null, empty or damaged file gives the pages before
+    the damage and then a row with ``error`` set and no pixels; so does a page that claims more than ``LARGEST``
+    bytes (256 MB), which no task should hold.  A null id stays; repeated rows give repeated rows; an empty table
+    gives none; other columns don't matter.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +233,8 @@ MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, t
 def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each whole text stored as TIFF, read back, and described by what was read: the columns of ``MEDIA``.
 
-    Null and empty texts are 64 bytes 0; null ids stay; repeated rows give repeated rows; an empty table none.
+    Null and empty texts are 64 bytes 0, very long ones as many pages as they need; null ids stay; repeated rows
+    give repeated rows; an empty table none; other columns don't matter.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
