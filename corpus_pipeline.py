@@ -3,6 +3,11 @@
 toxicity: documents that the lexicon rejects go.  line_dedup: later copies of passages go; a document all of
 whose lines went goes with them.  near_dedup: one document of each group stays (five words, 0.8).  mixture:
 sources are cut to target weights.  packing: windows of 1024 ids.
+
+Every stage but the last gives the columns of its documents, whatever others there are beside doc_id, text, lang,
+source and n_chars.  Null and empty texts pass the filters and are packed as an end alone; a null doc_id stays null
+and is compared with nothing; rows that share doc_id and text are one document that is there twice; texts are read
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from tidemark.llm.lines import drop_repeated_lines
 from tidemark.llm.minhash import Likeness, keep_one
 from tidemark.llm.mixing import Mixture, mix
 from tidemark.llm.packing import pack
-from tidemark.llm.shared import shared_dir
+from tidemark.llm.shared import free_name, shared_dir
 from tidemark.llm.toxicity import drop_toxic, learn
 
 NEAR = Likeness(percent=80)
@@ -30,9 +35,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    removed = F.col(free_name(docs, "n_removed"))
     clean = drop_repeated_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
-    return clean.filter(~emptied | F.col("text").isNull()).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    emptied = (removed > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
+    clean = clean.filter(~emptied | F.col("text").isNull())
+    length = F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return clean.withColumn("n_chars", length).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +56,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("packing", packing)]
-#: A learnt lexicon and MinHash aren't SQL; the tests hold the pipeline against a brute-force version.
+#: A learnt lexicon and MinHash aren't SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what each keeps is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
