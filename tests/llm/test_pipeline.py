@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tidemark.llm import wordpieces
 
 from test_operators import DOCS, brute_components, brute_lines, edited, fill, prose
@@ -47,3 +48,41 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert 0 < len(want) < len(left) and got == {i: len(x) + 1 for i, x in zip(want, ids, strict=True)}
+
+
+EXTRA = ("n_removed", "n_lines", "gone", "doc", "th", "at", "epoch", "start", "score", "node", "component_id", "kept", "level_0", "mix_full", "ids")
+
+
+def write(spark, folder, rows):
+    """``rows`` as documents with columns that could clash, and no labels."""
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in EXTRA:
+        docs = docs.withColumn(c, F.lit(7))
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_stages_keep_the_columns_and_odd_rows(spark, tmp_path):
+    passage = "first shared line\nsecond shared line\nthird shared line"
+    rows = [(None, None, None, None, None), (None, "some words", "en", "src1", 10), (1, None, "en", "src1", 0), (2, "", None, "src1", 0), (3, prose(1, 60), "en", None, None), (3, prose(1, 60), "en", None, None)]
+    rows += [(4, f"{passage}\n{prose(2, 50)}", "en", "src1", 9), (5, f"{prose(3, 50)}\n{passage}", "en", "src1", 9), (6, passage, "en", "src1", 9), (7, "idiot moron scum", "en", "src1", 9), (8, prose(9, 30_000), "en", "src2", 9)]
+    docs = write(spark, str(tmp_path), rows)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema == docs.schema
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        left[name] = sorted((r["doc_id"] or 0) for r in docs.collect())
+        assert all(r[c] == 7 for r in docs.collect() for c in EXTRA)
+    assert left["toxicity"] == [0, 0, 1, 2, 3, 3, 4, 5, 6, 8]
+    # The passage of 5 goes and 6, which is nothing else, with it.
+    assert left["line_dedup"] == [0, 0, 1, 2, 3, 3, 4, 5, 8] and {r["doc_id"]: r["n_chars"] for r in docs.collect()}.get(5) == len(prose(3, 50))
+    assert left["near_dedup"] == left["line_dedup"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted({r["doc_id"] or 0 for r in packed}) == sorted(set(left["mixture"]))
+
+
+def test_nothing_gives_nothing(spark, tmp_path):
+    write(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

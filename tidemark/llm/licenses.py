@@ -10,30 +10,17 @@ that are matched.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices of public licences (fixed values).
-TEMPLATES: Mapping[str, str] = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "CC-BY": "Licensed under CC BY 4.0.",
-    "CC-BY-SA": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
-    "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-}
+from tidemark.llm.license_texts import NOTICES
+from tidemark.llm.shared import slices
+
 WORD = re.compile(r"[^\W_]+")
 #: Share of a template's single words that a stretch must hold to be aligned, and coverage from which it is reported.
 LIKELY, COVERAGE = 0.5, 0.85
@@ -149,26 +136,29 @@ class Scanner:
             inner = [m for m in matched if abs((m[0] - m[1]) - middle) <= len(template) // 4 + 2]
             if inner and len(inner) >= self.coverage * len(template):
                 found.add((k, len(inner) / len(template), first + inner[0][0], first + inner[-1][0] + 1, len(inner)))
-        kept: list[tuple[str, float, int, int, int]] = []
+        kept: list[tuple[int, int, tuple[str, float, int, int, int]]] = []  # in order, none over another
         for x in sorted(found, key=lambda x: (-x[4], -x[1], x[0], x[3] - x[2], x[2])):
-            if all(x[3] <= y[2] or y[3] <= x[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[2])
+            at = bisect_left(kept, (x[2],))
+            if (at == len(kept) or x[3] <= kept[at][0]) and (not at or kept[at - 1][1] <= x[2]):
+                insort(kept, (x[2], x[3], x))
+        return [x for _, _, x in kept]
 
 
-def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def license_spans(docs: DataFrame, templates: Mapping[str, str] = NOTICES, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, license, coverage, first_word, end_word, matched: a row for each stretch that covers a template.
 
-    Null and empty texts give none; null ids stay; repeated rows give repeated rows; an empty table none.
-    A text with several notices, or one several times, gives a row for each.
+    Null and empty texts give none; null ids stay; repeated rows give repeated rows; an empty table none; other
+    columns don't matter.  Whole texts are searched.  A text with several notices, or one several times, gives a
+    row for each; of stretches that overlap the one with most matched words counts.
     """
+    names = ["license", "coverage", "first_word", "end_word", "matched"]
+    kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
-        for batch in batches:
-            out = [(None if pd.isna(d) else int(d), *x) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for x in scanner.scan(t)]
-            frame = pd.DataFrame(out, columns=["doc_id", "license", "coverage", "first_word", "end_word", "matched"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+        for batch in slices(batches, "text"):
+            out = [(d, *x) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for x in scanner.scan(t)]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), *kinds], strict=True)], ["doc_id", *names])
 
-    return docs.filter(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(rows, "doc_id long, license string, coverage double, first_word int, end_word int, matched int")
+    return docs.filter(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(rows, "doc_id long, license string, coverage double, first_word int, end_word int, matched int")
