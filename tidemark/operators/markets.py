@@ -54,6 +54,14 @@ def divergence_report(graded: DataFrame, keys: Sequence[str], edge: str, clv: st
     return graded.groupBy(*keys).agg(F.count("*").alias("n"), share.alias("survival"), F.avg(edge).alias("mean_edge"), mean.alias("mean_clv"), t_of_mean(mean, sd, n).alias("t_clv"), F.avg(profit).alias("roi"), (F.count("*") >= enough).alias("ready"))
 
 
+def divergence_summary(observed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many were seen, checked, survived, graded and won (``edge``, ``clv``, ``survived``, ``won``)."""
+    return observed.groupBy(*keys).agg(
+        F.count("*").alias("observations"), F.count("clv").alias("clv_graded"), F.count_if("survived").alias("price_survived"), F.count("survived").alias("survival_checked"),
+        F.avg("edge").alias("mean_edge"), F.avg("clv").alias("mean_clv"), F.count_if("won").alias("won"), F.count("won").alias("settled"),
+    )
+
+
 def clv_report(scored: DataFrame, keys: Sequence[str], clv: str, tails: Sequence[float] = (0.01, 0.03, 0.05)) -> DataFrame:
     x = F.col(clv)
     moved = F.sum(F.when(x.isNull(), 1).otherwise(0))

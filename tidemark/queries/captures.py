@@ -74,12 +74,13 @@ def reply_choices(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", cap.choice(reply, F.lit(6)).alias("choice"))
 
 
-@query("""WITH s AS (SELECT user_id, event_type, max(value) / 100 AS score FROM events WHERE event_id % 9 = 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0) AS next FROM s WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, event_type))
-SELECT user_id, event_type, round(score, 6) AS score FROM r WHERE n = 1 AND score >= 0.75 AND score - next >= 0.15""")
+@query("""WITH s AS (SELECT user_id || ':' || day(ts) AS name, event_type, max(value) / 100 AS score FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0) AS next FROM s WINDOW w AS (PARTITION BY name ORDER BY score DESC, event_type))
+SELECT name, event_type, round(score, 6) AS score FROM r WHERE n = 1 AND score >= 0.75 AND score - next >= 0.15""")
 def confident_matches(spark: SparkSession, folder: str) -> DataFrame:
-    scored = table(spark, folder, "events").filter("event_id % 9 = 0").groupBy("user_id", "event_type").agg((F.max("value") / 100).alias("score"))
-    return rounded(markets.confident(scored, "user_id", "event_type", "score"), 6)
+    name = F.concat_ws(":", F.col("user_id").cast("string"), F.dayofmonth("ts").cast("string")).alias("name")
+    scored = table(spark, folder, "events").groupBy(name, "event_type").agg((F.max("value") / 100).alias("score"))
+    return rounded(markets.confident(scored, "name", "event_type", "score"), 6)
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_mktsegment || ' X' || c_custkey WHEN 3 THEN c_mktsegment || ' X' || c_custkey WHEN 4 THEN c_mktsegment || ' X' || c_custkey || ' Jr' END AS player FROM customer""")
@@ -109,7 +110,7 @@ def report_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SNAPSHOTS = """WITH s AS (SELECT l_suppkey AS market, l_orderkey AS game_id, l_partkey AS player_id, l_discount AS implied_probability, l_shipdate AS captured_at, l_linenumber AS n FROM lineitem),
-g AS (SELECT o_orderkey AS game_id, o_orderdate AS start_time FROM orders WHERE o_orderkey % 5 <> 0),
+g AS (SELECT o_orderkey AS game_id, o_orderdate AS start_time FROM orders WHERE o_orderstatus <> 'P'),
 l AS (SELECT s.*, start_time FROM s LEFT JOIN g USING (game_id) WHERE captured_at <= coalesce(start_time, TIMESTAMP '1999-01-01') QUALIFY row_number() OVER (PARTITION BY market, s.game_id, player_id ORDER BY captured_at DESC) = 1)
 """
 
@@ -121,14 +122,14 @@ def market_props(spark: SparkSession, folder: str) -> DataFrame:
     title = F.when(F.col("l_linenumber") == 1, "Some Body").when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("Some Body: 1"), n, F.lit("+ Points"))).otherwise(F.concat(F.lit("Some Body: Rebounds O/U "), n, F.lit(".5")))
     shift = F.when(F.col("l_suppkey") % 2 == 0, 0).otherwise(3)
     s = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("market"), F.col("l_orderkey").alias("game_id"), F.col("l_partkey").alias("player_id"), F.col("l_discount").alias("implied_probability"), F.col("l_shipdate").alias("captured_at"), title.alias("title"), shift.alias("shift"))
-    games = table(spark, folder, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("start_time"))
+    games = table(spark, folder, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("start_time"))
     last = markets.latest_markets(s, games, F.lit("1999-01-01").cast("timestamp_ntz"), ["market", "game_id", "player_id"])
     read = last.withColumn("t", cap.market_title(F.col("title"))).filter("t.prop is not null and t.line is not null")
     return read.select("market", "game_id", "player_id", F.col("implied_probability").alias("over_probability"), F.col("t.prop").alias("prop_type"), (F.col("t.line") + F.col("shift")).alias("line"), "captured_at")
 
 
 _PRICES = """WITH g AS (SELECT o_orderkey AS game_id, 'Home ' || o_custkey || ' Aces' AS h, 'Away ' || o_custkey || ' Lynx' AS a FROM orders),
-p AS (SELECT l_orderkey AS game_id, l_shipdate AS "at", l_discount AS p, CASE l_linenumber WHEN 1 THEN 'home' WHEN 2 THEN 'home' WHEN 3 THEN 'home' WHEN 4 THEN 'away' WHEN 5 THEN 'away' END AS side, l_linenumber FROM lineitem WHERE l_suppkey % 4 <> 0)
+p AS (SELECT l_orderkey AS game_id, l_shipdate AS "at", l_discount AS p, CASE l_linenumber WHEN 1 THEN 'home' WHEN 2 THEN 'home' WHEN 3 THEN 'home' WHEN 4 THEN 'away' WHEN 5 THEN 'away' END AS side, l_linenumber FROM lineitem WHERE l_returnflag <> 'N')
 """
 
 
@@ -139,7 +140,7 @@ def _game_prices(spark: SparkSession, folder: str) -> DataFrame:
     games = orders.select(F.col("o_orderkey").alias("game_id"), name("Home", "Aces").alias("home_name"), name("Away", "Lynx").alias("away_name"))
     n = F.col("l_linenumber")
     outcome = F.when(n == 1, F.lit("Home")).when(n == 2, "Aces").when(n == 3, name("Home", "Aces")).when(n == 4, "Lynx").when(n == 5, name("Away", "Lynx")).when(n == 6, "Draw")
-    s = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("game_id"), n.alias("n"), F.when(F.col("l_suppkey") % 4 == 0, "KXQUARTER-1").otherwise("KXGAME-1").alias("market"), outcome.alias("outcome"), F.col("l_discount").alias("implied_probability"), F.col("l_shipdate").alias("at"))
+    s = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("game_id"), n.alias("n"), F.when(F.col("l_returnflag") == "N", "KXQUARTER-1").otherwise("KXGAME-1").alias("market"), outcome.alias("outcome"), F.col("l_discount").alias("implied_probability"), F.col("l_shipdate").alias("at"))
     return markets.game_prices(s, games, F.col("market").startswith("KXGAME-"))
 
 
@@ -154,20 +155,20 @@ def venue_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_suppkey AS k, avg(l_discount) * 8 AS rate, avg(l_tax) * 12 AS price, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT k, round(round(rate, 9) - round(price, 9), 3) AS gap FROM r WHERE round(price, 9) BETWEEN 0.03 AND 0.97 AND n >= 6 AND k % 7 <> 0 ORDER BY abs(round(round(rate, 9) - round(price, 9), 3)) DESC, k LIMIT 12""")
+SELECT k, round(round(rate, 9) - round(price, 9), 3) AS gap FROM r WHERE round(price, 9) BETWEEN 0.03 AND 0.97 AND n >= 6 AND k NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) ORDER BY abs(round(round(rate, 9) - round(price, 9), 3)) DESC, k LIMIT 12""")
 def ranked_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """The twelve largest gaps between how often and how dear; a seventh of the keys is ruled out."""
+    """The twelve largest gaps between how often and how dear; keys in the red are ruled out."""
     r = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.round(F.avg("l_discount") * 8, 9).alias("rate"), F.round(F.avg("l_tax") * 12, 9).alias("price"), F.count("*").alias("n"))
-    out = table(spark, folder, "supplier").filter("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("k"))
+    out = table(spark, folder, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("k"))
     return markets.ranked_gaps(r, "rate", "price", F.col("n"), out, "k", 12).select("k", "gap")
 
 
-@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_suppkey % 10 AS market, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS link FROM lineitem), r AS (SELECT s_suppkey AS market, s_nationkey AS game FROM supplier WHERE s_suppkey < 10 AND s_suppkey % 3 <> 0)
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_suppkey AS market, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS link FROM lineitem), r AS (SELECT s_suppkey AS market, s_nationkey AS game FROM supplier WHERE s_acctbal > 0)
 SELECT l_orderkey, l_linenumber, market, coalesce(link, game) AS link FROM m LEFT JOIN r USING (market)""")
 def relinked(spark: SparkSession, folder: str) -> DataFrame:
     """Rows whose market had no game get it once the market resolves; each market is resolved once."""
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 10).alias("market"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("link"))
-    resolver = table(spark, folder, "supplier").filter("s_suppkey < 10 and s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("market"), long("s_nationkey").alias("link"))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("market"), F.when(F.col("l_returnflag") == "R", F.col("l_partkey")).alias("link"))
+    resolver = table(spark, folder, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("market"), long("s_nationkey").alias("link"))
     return plays.relink(rows, ["market"], "link", plays.unlinked(rows, ["market"], "link").join(resolver, "market"))
 
 
