@@ -93,7 +93,7 @@ def as_of_scan(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.sources.tables import ParquetSource
 
     source = ParquetSource(spark, folder, frozenset({"labels"}))
-    return source.as_of("orders", "o_orderdate", datetime(1998, 6, 30, 12, tzinfo=timezone.utc)).select("o_orderkey", "o_custkey", "o_totalprice")
+    return source.as_of("orders", datetime(1998, 6, 30, 12, tzinfo=timezone.utc), "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("SELECT user_id, count(*) AS delivered, count(DISTINCT event_id) AS kept FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY 1")

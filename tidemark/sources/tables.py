@@ -19,28 +19,39 @@ class Source(Protocol):
 
 @dataclass(frozen=True)
 class ParquetSource:
-    """Tables under one folder; the ``forbidden`` ones hold the present state and can't be read for features."""
+    """Tables under one folder.  The ``forbidden`` ones hold the present state and can't be read for features;
+    ``timed`` ones (by name the column that says when a row was known) only as of an instant."""
 
     spark: SparkSession
     folder: str
     forbidden: frozenset[str] = frozenset()
+    timed: Mapping[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
+        if name in self.timed:
+            raise StepContractError(f"{name} can only be read as of an instant")
+        return self._read(name)
+
+    def _read(self, name: str) -> DataFrame:
         if name in self.forbidden:
             raise StepContractError(f"{name} is no source of features")
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def as_of(self, name: str, known_at: str, instant: datetime) -> DataFrame:
+    def as_of(self, name: str, instant: datetime, known_at: str | None = None) -> DataFrame:
         """Rows known by ``instant``; the filter reaches the scan."""
+        known_at = known_at or self.timed.get(name)
+        if known_at is None:
+            raise StepContractError(f"when rows of {name} were known isn't said")
         if instant.tzinfo is None:
             raise StepContractError("an as-of read needs a time zone")
-        kind = "timestamp_ntz" if self.table(name).schema[known_at].dataType.typeName() == "timestamp_ntz" else "timestamp"
-        return self.table(name).filter(F.col(known_at) <= F.lit(instant.astimezone(timezone.utc).replace(tzinfo=None).isoformat()).cast(kind))
+        rows = self._read(name)
+        kind = "timestamp_ntz" if rows.schema[known_at].dataType.typeName() == "timestamp_ntz" else "timestamp"
+        return rows.filter(F.col(known_at) <= F.lit(instant.astimezone(timezone.utc).replace(tzinfo=None).isoformat()).cast(kind))
 
     def time_invariant(self, name: str, justification: str) -> DataFrame:
         if not justification.strip():
             raise UndeclaredProvenanceError(f"reading all of {name} needs a justification")
-        return self.table(name)
+        return self._read(name)
 
 
 @dataclass(frozen=True)
