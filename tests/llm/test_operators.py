@@ -269,10 +269,9 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_near_duplicates_in_chains(spark, monkeypatch, block):
+def test_near_duplicates_in_chains(spark, monkeypatch):
     # Ends of a chain share buckets and aren't alike; two chains share a long passage and so some buckets.
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
     texts, shared = [], prose(40, 90)
     for c in range(3):
         text = f"{shared} {prose(c, 60)}"
