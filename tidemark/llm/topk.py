@@ -1,10 +1,12 @@
 """Exact top-k by inner product: queries and data, both in cover trees, are searched together.
 
-Vectors are dealt to cells around a bounded set of pivots, and a cell's rows to blocks of a bounded size.
-A pair of cells is left out if no pair of vectors in it can reach the scores that the queries already have
-against the pivots' sample.  Each remaining pair of blocks is one group: there a cover tree over the queries
-and one over the data are walked together, and a pair of nodes is pruned when the inner product of the
-centres plus what the covering radii can add is below the worst kth score of the queries in that node.
+Vectors are dealt to cells around a bounded set of pivots, as many cells as give them a good size, and a cell's
+rows to blocks of a bounded size.  Pairs of cells are searched in rounds, for each query cell the pairs with the
+largest possible score first; after each round a query's floor is its kth score so far, and a pair of cells is
+left out if none of its vectors can reach the floors of its queries.  So later rounds give back only rows that
+beat what is known.  Each pair of blocks is one group: there a cover tree over the queries and one over the data
+are walked together, and a pair of nodes is pruned when the inner product of the centres plus what the covering
+radii can add is below the worst floor or kth score of the queries in that node.
 Of equal vectors only the k+1 smallest ids can be among any query's first k, so only these are searched.
 """
 
@@ -14,13 +16,17 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import materialize
 
 #: Bounds: vectors in the sample that gives pivots and first scores, pivots, rows in a block, points in a leaf.
 SAMPLE, PIVOTS, QUERY_BLOCK, DATA_BLOCK, LEAF = 2048, 64, 1024, 4096, 48
+#: Pairs that a query cell is given in each round but the last, which has all that are left.
+ROUNDS = (2, 8)
+#: Scores that don't fit a long count as its ends.
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
 class CoverTree:
@@ -59,12 +65,14 @@ class CoverTree:
 def dual_tree(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of each query's best k rows here, without the query's own; ``floors``: scores
     that k rows are known to reach."""
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1] < 2**53
-    kind = np.float64 if exact else np.int64
+    most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(data.astype(float)).max(initial=0)) * queries.shape[1]
+    kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+    # Beyond 2**53 a score as a double may be a little more than it is.
+    under = 0.0 if kind is np.float64 else 1e-12
     ours, theirs = queries.astype(kind), data.astype(kind)
     qt, dt = CoverTree(queries.astype(float)), CoverTree(data.astype(float))
     qn, dn = np.linalg.norm(qt.points, axis=1), np.linalg.norm(dt.points, axis=1)
-    worst = floors.astype(float).copy()
+    worst = floors.astype(float) - under * np.where(np.isfinite(floors), np.abs(floors), 0)
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]  # heaps of (score, -id)
 
     def bound(a: int, b: int) -> float:
@@ -92,13 +100,13 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, da
                 for j in np.flatnonzero(scores[row] >= worst[q]):
                     if data_ids[others[j]] == query_ids[q]:
                         continue
-                    item = (int(scores[row, j]), -int(data_ids[others[j]]))
+                    item = (min(max(int(scores[row, j]), LOWEST), HIGHEST), -int(data_ids[others[j]]))
                     if len(heap) < k:
                         heapq.heappush(heap, item)
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)
                 if len(heap) == k:
-                    worst[q] = max(worst[q], heap[0][0])
+                    worst[q] = max(worst[q], heap[0][0] - under * abs(heap[0][0]))
             continue
         stack.extend(sorted(pairs))
     return [(int(query_ids[q]), -i, s) for q, heap in enumerate(best) for s, i in heap]
@@ -116,7 +124,8 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, i
 
     Ties go to the smaller id.  Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows without id; vectors of other lengths than the query's are no candidates of it.  Rows
-    that share an id are one candidate, with its best score.  No queries, no rows.
+    that share an id are one candidate, with its best score.  Components beyond a long count as its ends, and so
+    do scores.  Other columns don't matter.  No queries, no rows.
     """
     spark = table.sparkSession
     rows = quantised(table, id_column, vector_column, scale)
@@ -126,16 +135,21 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, i
         own = [(i, v) for i, v in sample if len(v) == size]
         by_size[size] = np.array([i for i, _ in own]), np.array([v for _, v in own], np.float64)
 
-    def cells(v: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(v), 2))
-        sizes = v.map(len).to_numpy()
-        for size in set(sizes.tolist()) & by_size.keys():
-            at = np.flatnonzero(sizes == size)
-            points, pivots = np.array([v.iloc[i] for i in at], np.float64), by_size[size][1][:PIVOTS]
-            square = (points**2).sum(1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(1)
-            out[at, 0] = square.argmin(1)
-            out[at, 1] = np.linalg.norm(points - pivots[square.argmin(1)], axis=1)
-        return pd.DataFrame({"cell": out[:, 0].astype(int), "away": out[:, 1]})
+    def cells(n: int):
+        """Each vector's nearest of the first ``n`` pivots and the distance to it."""
+
+        def nearest(v: pd.Series) -> pd.DataFrame:
+            out = np.zeros((len(v), 2))
+            sizes = v.map(len).to_numpy()
+            for size in set(sizes.tolist()) & by_size.keys():
+                at = np.flatnonzero(sizes == size)
+                points, pivots = np.array([v.iloc[i] for i in at], np.float64), by_size[size][1][:n]
+                square = (points**2).sum(1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(1)
+                out[at, 0] = square.argmin(1)
+                out[at, 1] = np.linalg.norm(points - pivots[square.argmin(1)], axis=1)
+            return pd.DataFrame({"cell": out[:, 0].astype(int), "away": out[:, 1]})
+
+        return F.pandas_udf(nearest, "cell int, away double")
 
     def floors(ids: pd.Series, v: pd.Series) -> pd.Series:
         out = np.full(len(v), -np.inf)
@@ -149,32 +163,17 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, i
                 out[at] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
         return pd.Series(out)
 
-    cell_of = F.pandas_udf(cells, "cell int, away double")
     floor_of = F.pandas_udf(floors, "double")
-    placed = rows.withColumn("c", cell_of("v")).select("vec_id", "v", F.size("v").alias("dim"), "c.cell", "c.away")
+    rows = rows.withColumn("dim", F.size("v"))
     same = Window.partitionBy("v").orderBy("vec_id")
-    data = materialize(placed.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n"), "candidates")
-    queries = materialize(placed.filter(F.col("vec_id") % every == 0).withColumn("floor", floor_of("vec_id", "v")), "queries")
-
+    distinct = materialize(rows.withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n"), "distinct-vectors")
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    wanted = lambda df, block: min(PIVOTS, max(1, -(-df.count() // block)))
+    placed = lambda df, n: df.withColumn("c", cells(n)("v")).select("vec_id", "v", "dim", "c.cell", "c.away")
+    data = materialize(placed(distinct, wanted(distinct, DATA_BLOCK)), "candidates")
+    queries = materialize(placed(asked, wanted(asked, QUERY_BLOCK)).withColumn("floor", floor_of("vec_id", "v")), "queries")
     # At most PIVOTS rows for each vector length.
     in_data = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()
-    in_queries = queries.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.min("floor").alias("f")).collect()
-    pairs = []
-    for q in in_queries:
-        for d in in_data:
-            if q["dim"] != d["dim"]:
-                continue
-            if q["dim"] in by_size:
-                a, b = by_size[q["dim"]][1][q["cell"]], by_size[q["dim"]][1][d["cell"]]
-                top = a @ b + np.linalg.norm(a) * d["r"] + np.linalg.norm(b) * q["r"] + q["r"] * d["r"]
-                if top + 1e-9 * (abs(top) + 1) < q["f"]:
-                    continue
-            pairs.append((q["dim"], q["cell"], -(-q["n"] // QUERY_BLOCK), d["cell"], -(-d["n"] // DATA_BLOCK)))
-    met = F.broadcast(spark.createDataFrame(pairs, "dim int, qcell int, qblocks int, dcell int, dblocks int"))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    q = queries.withColumnRenamed("cell", "qcell").join(met, ["dim", "qcell"]).withColumn("qb", block(F.col("qblocks"))).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("dblocks") - 1)))
-    d = data.withColumnRenamed("cell", "dcell").join(met, ["dim", "dcell"]).withColumn("db", block(F.col("dblocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
-    keys = ["dim", "qcell", "dcell", "qb", "db"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
@@ -182,7 +181,40 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, i
             found = dual_tree(np.array(left["v"].tolist(), np.int64), left["vec_id"].to_numpy(), left["floor"].to_numpy(), np.array(right["v"].tolist(), np.int64), right["vec_id"].to_numpy(), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = q.select(*keys, "vec_id", "v", "floor").groupBy(*keys).cogroup(d.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    def among(pairs: list[tuple]) -> DataFrame:
+        """What the groups of some pairs of cells find."""
+        met = F.broadcast(spark.createDataFrame(pairs, "dim int, qcell int, qblocks int, dcell int, dblocks int"))
+        block = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+        q = queries.withColumnRenamed("cell", "qcell").join(met, ["dim", "qcell"]).withColumn("qb", block(F.col("qblocks"))).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("dblocks") - 1)))
+        d = data.withColumnRenamed("cell", "dcell").join(met, ["dim", "dcell"]).withColumn("db", block(F.col("dblocks"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+        keys = ["dim", "qcell", "dcell", "qb", "db"]
+        return q.select(*keys, "vec_id", "v", "floor").groupBy(*keys).cogroup(d.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    seen: set[tuple] = set()
+    for most in (*ROUNDS, None):
+        in_queries = queries.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.min("floor").alias("f")).collect()
+        pairs = []
+        for q in in_queries:
+            able = sorted(((_highest(q, d, by_size), d) for d in in_data if d["dim"] == q["dim"] and (q["dim"], q["cell"], d["cell"]) not in seen), key=lambda x: -x[0])
+            pairs += [(q["dim"], q["cell"], -(-q["n"] // QUERY_BLOCK), d["cell"], -(-d["n"] // DATA_BLOCK)) for top, d in able[:most] if top >= q["f"]]
+        if not pairs:
+            continue
+        seen |= {(dim, qcell, dcell) for dim, qcell, _, dcell, _ in pairs}
+        both = kept.drop("rank").unionByName(among(pairs)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        kept = materialize(both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "best-so-far")
+        if most is not None:
+            kth = kept.filter(F.col("rank") == k).select(F.col("query_id").alias("known"), F.col("score").cast("double").alias("kth"))
+            raised = queries.join(kth, F.col("vec_id") == F.col("known"), "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", F.lit(float("-inf")))))
+            queries = materialize(raised.select("vec_id", "v", "dim", "cell", "away", "floor"), "queries")
+    return kept.select("query_id", "rank", "vec_id", "score")
+
+
+def _highest(q: Row, d: Row, pivots: dict[int, tuple[np.ndarray, np.ndarray]]) -> float:
+    """What no pair of vectors of a query cell and a data cell can score above."""
+    if q["dim"] not in pivots:
+        return float("inf")
+    a, b = pivots[q["dim"]][1][q["cell"]], pivots[q["dim"]][1][d["cell"]]
+    top = float(a @ b + np.linalg.norm(a) * d["r"] + np.linalg.norm(b) * q["r"] + q["r"] * d["r"])
+    return top + 1e-9 * (abs(top) + 1)
