@@ -39,7 +39,7 @@ def test_latest_values_are_kept(spark, tmp_path):
 
     def land(rows):
         spark.createDataFrame([(g, v, datetime(2024, 1, 1, h), p, t) for g, v, h, p, t in rows], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        latest = stream.latest_values(stream.landed(spark, f"{tmp_path}/in", kind), ["game"], "vendor", "at", "price", "tie")
+        latest = inc.latest_values(inc.landed(spark, f"{tmp_path}/in", kind), ["game"], "vendor", "at", "price", "tie")
         latest.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
 
     land([(1, "x", 10, 5.0, 1), (1, "y", 10, 6.0, 2), (1, "y", 11, None, 3)])

@@ -130,8 +130,13 @@ def violations(frame: Frame, context: Context) -> DataFrame:
     return frame.df.agg(*_counts(frame, context)).drop("rows")
 
 
-def _counts(frame: Frame, context: Context) -> list:
-    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in _rules(frame, context).items()]]
+def _counts(frame: Frame, context: Context, of: Provenance | None = None) -> list:
+    """Rows, and how many break each rule, or only those about what a step declares."""
+    rules = _rules(frame, context)
+    if of is not None:
+        told = {*(f"late__{a}" for a in of.anchors), *(f"open__{w}" for w in of.window_ends)}
+        rules = {n: c for n, c in rules.items() if n in told}
+    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()]]
 
 
 def _seen(observation: Observation) -> dict | None:
@@ -191,12 +196,15 @@ class Pipeline:
         """
         frame = frame or Frame(event_time=self.event_time)
         watched: list[tuple[Step | None, Frame, Observation]] = []
-        for step in (None, *self.steps):
+        chain = (None, *self.steps)
+        for step, following in zip(chain, [*self.steps, None], strict=True):
             frame = self._apply(step, frame, context) if step else frame
             if self.guarded and frame.df is not None:
                 seen = Observation()
                 plain = frame
-                frame = replace(frame, df=frame.df.observe(seen, *_counts(frame, context)))
+                # All rules before a filter could hide a row, and at the end; else those on what is new.
+                whole = step is None or following is None or following.provenance.kind is StepKind.FILTER
+                frame = replace(frame, df=frame.df.observe(seen, *_counts(frame, context, None if whole else step.provenance)))
                 watched.append((step, plain, seen))
         if not watched:
             return frame

@@ -126,8 +126,8 @@ def _split(name: str, where: str) -> str:
 {name} AS (SELECT u.game_id, u.team_id, avg(x.margin) AS {name} FROM {name}_u u LEFT JOIN {name}_i x ON x.team_id = u.team_id AND x.i <= u.upto AND x.i > u.upto - 10 GROUP BY ALL)"""
 
 
-def _chosen(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return rounded(_run(spark, folder, name).select("game_id", "team_id", *columns), 6)
+def _chosen(spark: SparkSession, folder: str, name: str, *columns: str, digits: int = 6) -> DataFrame:
+    return rounded(_run(spark, folder, name).select("game_id", "team_id", *columns), digits)
 
 
 _MULTI = ("margin_form10", "margin_form20", "margin_season_mean", "margin_ewm5", "margin_sd10", "margin_slope10", "margin_home10", "margin_road10", "blowout_win_profile10", "close_game_profile10")
@@ -161,12 +161,12 @@ FROM r LEFT JOIN r x ON x.team_id = r.team_id AND x.opponent_team_id = r.opponen
 @query(
     _GAMES + _last("p", 5, pace5="avg(x.pace)") + _met("h2h_all") + _met("h2h_season", " AND x.season = r.season")
     + """, z AS (SELECT r.*, pace5, coalesce(rest_days < 1.5, false)::INT AS b2b FROM r JOIN p USING (game_id, team_id))
-SELECT z.game_id, z.team_id, round(z.rest_days - o.rest_days, 6) AS rest_advantage, o.b2b - z.b2b AS back_to_back_edge, round((z.pace5 + o.pace5) / 2, 6) AS pace_mean, round(abs(z.pace5 - o.pace5), 6) AS pace_gap,
-  h2h_all_games, h2h_all_wins, round(h2h_all_pct, 6) AS h2h_all_pct, round(h2h_all_margin, 6) AS h2h_all_margin, h2h_season_games, round(h2h_season_margin, 6) AS h2h_season_margin
+SELECT z.game_id, z.team_id, round(z.rest_days - o.rest_days, 8) AS rest_advantage, o.b2b - z.b2b AS back_to_back_edge, round((z.pace5 + o.pace5) / 2, 8) AS pace_mean, round(abs(z.pace5 - o.pace5), 8) AS pace_gap,
+  h2h_all_games, h2h_all_wins, round(h2h_all_pct, 8) AS h2h_all_pct, round(h2h_all_margin, 8) AS h2h_all_margin, h2h_season_games, round(h2h_season_margin, 8) AS h2h_season_margin
 FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id JOIN h2h_all a ON a.game_id = z.game_id AND a.team_id = z.team_id JOIN h2h_season s ON s.game_id = z.game_id AND s.team_id = z.team_id"""
 )
 def team_matchup(spark: SparkSession, folder: str) -> DataFrame:
-    return _chosen(spark, folder, "team_matchup", "rest_advantage", "back_to_back_edge", "pace_mean", "pace_gap", "h2h_all_games", "h2h_all_wins", "h2h_all_pct", "h2h_all_margin", "h2h_season_games", "h2h_season_margin")
+    return _chosen(spark, folder, "team_matchup", "rest_advantage", "back_to_back_edge", "pace_mean", "pace_gap", "h2h_all_games", "h2h_all_wins", "h2h_all_pct", "h2h_all_margin", "h2h_season_games", "h2h_season_margin", digits=8)
 
 
 _DIMENSIONS = ("pace", "tempo", "spread")
@@ -176,12 +176,12 @@ _DIMENSIONS = ("pace", "tempo", "spread")
     _GAMES + _last("a", 5, **{f"{v}5": f"avg(x.{v})" for v in _DIMENSIONS}) + _last("b", 15, **{f"{v}15": f"avg(x.{v})" for v in _DIMENSIONS})
     + f""", z AS (SELECT r.game_id, r.team_id, r.opponent_team_id, {", ".join(f"{v}5, {v}15" for v in _DIMENSIONS)} FROM r JOIN a USING (game_id, team_id) JOIN b USING (game_id, team_id)),
 d AS (SELECT {", ".join(f"CASE WHEN stddev_samp({v}5) > 0 THEN stddev_samp({v}5) ELSE 1 END AS {v}_d" for v in _DIMENSIONS)} FROM z)
-SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5, 6) AS {v}_style5, round(o.{v}5, 6) AS opponent_{v}_style5" for v in _DIMENSIONS)},
-  CASE WHEN z.pace5 IS NOT NULL AND o.pace5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in _DIMENSIONS)}), 6) END AS style_distance, round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in _DIMENSIONS)}) / 3), 6) AS style_volatility
+SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5, 8) AS {v}_style5, round(o.{v}5, 8) AS opponent_{v}_style5" for v in _DIMENSIONS)},
+  CASE WHEN z.pace5 IS NOT NULL AND o.pace5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in _DIMENSIONS)}), 8) END AS style_distance, round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in _DIMENSIONS)}) / 3), 8) AS style_volatility
 FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id CROSS JOIN d"""
 )
 def team_style(spark: SparkSession, folder: str) -> DataFrame:
-    return _chosen(spark, folder, "team_style", *[f"{o}{v}_style5" for v in _DIMENSIONS for o in ("", "opponent_")], "style_distance", "style_volatility")
+    return _chosen(spark, folder, "team_style", *[f"{o}{v}_style5" for v in _DIMENSIONS for o in ("", "opponent_")], "style_distance", "style_volatility", digits=8)
 
 
 @query(
@@ -226,9 +226,9 @@ def team_standings(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{_PLAYER.split("f AS (")[0].rstrip().rstrip(",")}, r AS (SELECT l.*, event_type = 'click' AS starter FROM l JOIN events USING (event_id)),
 w AS (SELECT game_id, player_id, minutes, 36 * sum(points) FILTER (WHERE minutes IS NOT NULL) OVER o / nullif(sum(minutes) OVER o, 0) AS per36, sum(CASE WHEN minutes > 0 THEN minutes * points END) OVER o / nullif(sum(CASE WHEN minutes > 0 THEN minutes END) OVER o, 0) AS weighted, sum(minutes) OVER o / nullif(sum(minutes) OVER o, 0) AS share, avg(starter::INT) OVER o AS starts
   FROM r WINDOW o AS (PARTITION BY player_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-SELECT game_id, player_id, round(per36, 6) AS points_per_36, per36 IS NULL AS points_per_36_is_null, round(weighted, 6) AS points_weighted, round(share, 6) AS minutes_share, round(starts, 6) AS started_starts10 FROM w WHERE minutes >= 5""")
+SELECT game_id, player_id, round(per36, 9) AS points_per_36, per36 IS NULL AS points_per_36_is_null, round(weighted, 9) AS points_weighted, round(share, 9) AS minutes_share, round(starts, 9) AS started_starts10 FROM w WHERE minutes >= 5""")
 def player_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_run(spark, folder, "player_rates").select("game_id", "player_id", "points_per_36", "points_per_36_is_null", "points_weighted", "minutes_share", "started_starts10"), 6)
+    return rounded(_run(spark, folder, "player_rates").select("game_id", "player_id", "points_per_36", "points_per_36_is_null", "points_weighted", "minutes_share", "started_starts10"), 9)
 
 
 @query("""SELECT 'clean' AS frame, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS open UNION ALL SELECT 'planted', count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20'), count(*) FILTER (WHERE event_type = 'error') FROM events""")
