@@ -24,16 +24,16 @@ def test_ticker_dates(spark):
 
 
 def test_market_titles(spark):
-    texts = ["Golden State vs Toronto: 1st Quarter Total?", "A vs. B", "Las Vegas wins the game by over 19.5 points?", "Will New York win the 2H by over 3 points?", "Spread: Aces (-4.5)", "Ann Bo: 15+ points", "Ann Bo: Points O/U 12.5", "A vs. B: O/U 166.5", "nothing", None]
+    texts = ["North Bay vs Easton: 1st Quarter Total?", "A vs. B", "Eastport wins the game by over 19.5 points?", "Will North Bay win the 2H by over 3 points?", "Spread: Tides (-4.5)", "Ann Bo: 15+ points", "Ann Bo: Points O/U 12.5", "A vs. B: O/U 166.5", "nothing", None]
     got = one(spark, texts, cap.market_title)
     kinds = [g and g["kind"] for g in got]
     assert kinds == ["two_teams", "two_teams", "margin", "half_margin", "spread", "player_count", "player_line", "total", None, None]
-    assert (got[0]["team_a"], got[0]["team_b"]) == ("Golden State", "Toronto") and got[5]["line"] == 14.5 and got[5]["prop"] == "points" and got[4]["line"] == -4.5
+    assert (got[0]["team_a"], got[0]["team_b"]) == ("North Bay", "Easton") and got[5]["line"] == 14.5 and got[5]["prop"] == "points" and got[4]["line"] == -4.5
 
 
 def test_names_choices_and_labels(spark):
-    texts = ["Signed G A'ja Wilson to a contract", "Waived Gs Ann Bo and Cy Di", "Named Ann Bo head coach", "Signed F/C Ann, Bo", "Traded C Ann Bo Cy Di", "Signed G ann Bo", "", None]
-    assert one(spark, texts, cap.player_after_position) == ["A'ja Wilson", "Ann Bo", None, None, "Ann Bo Cy", None, None, None]
+    texts = ["Signed G O'da Marsh to a contract", "Waived Gs Ann Bo and Cy Di", "Named Ann Bo head coach", "Signed F/C Ann, Bo", "Traded C Ann Bo Cy Di", "Signed G ann Bo", "", None]
+    assert one(spark, texts, cap.player_after_position) == ["O'da Marsh", "Ann Bo", None, None, "Ann Bo Cy", None, None, None]
     assert one(spark, ["2", " 0 none", "7", "-1", "two", "", None], lambda c: cap.choice(c, F.lit(5))) == [2, 0, None, None, None, None, None]
     assert one(spark, [1, 99, None], cap.event_label, "int") == ["Made Shot", "Event 99", "Unknown"]
 
@@ -45,22 +45,22 @@ def test_row_sets(spark):
 
 
 REPORT = f"""Injury Report: 08/05/26 05:30 PM
-{cap.COLUMN_HEADER} Early, Bird Out 08/06/2026 07:00 (ET) NYL@LVA
-New York Liberty Parker- Tyus, Cheyenne
-Out Injury/Illness - knee; Shepard, Jessica Mae Probable rest
-Las Vegas Aces {cap.PENDING}
-08/06/2026 CHI@IND Indiana Fever Doe, Jane Questionable
+{cap.COLUMN_HEADER} Early, Bird Out 08/06/2026 07:00 (ET) NBG@EPT
+North Bay Gulls Moss- Hale, Corinne
+Out Injury/Illness - knee; Quinn, Delia Mae Probable rest
+Eastport Tides {cap.PENDING}
+08/06/2026 WES@MTK Milltown Kites Doe, Jane Questionable
 """
 
 
 def test_reports(spark):
     df = spark.createDataFrame([(1, REPORT), (2, None), (3, "no header"), (4, "")], "id long, body string")
-    rows = [tuple(r)[2:] for r in cap.report_entries(df, "id", "body", ["New York Liberty", "New York", "Las Vegas Aces", "Indiana Fever"]).collect()]
+    rows = [tuple(r)[2:] for r in cap.report_entries(df, "id", "body", ["North Bay Gulls", "North Bay", "Eastport Tides", "Milltown Kites"]).collect()]
     assert rows == [
-        ("08/06/2026", "NYL@LVA", "New York Liberty", "Cheyenne Parker-Tyus", "Out", "Injury/Illness - knee", True),
-        ("08/06/2026", "NYL@LVA", "New York Liberty", "Jessica Mae Shepard", "Probable", "rest", True),
-        ("08/06/2026", "NYL@LVA", "Las Vegas Aces", None, None, None, False),
-        ("08/06/2026", "CHI@IND", "Indiana Fever", "Jane Doe", "Questionable", None, True),
+        ("08/06/2026", "NBG@EPT", "North Bay Gulls", "Corinne Moss-Hale", "Out", "Injury/Illness - knee", True),
+        ("08/06/2026", "NBG@EPT", "North Bay Gulls", "Delia Mae Quinn", "Probable", "rest", True),
+        ("08/06/2026", "NBG@EPT", "Eastport Tides", None, None, None, False),
+        ("08/06/2026", "WES@MTK", "Milltown Kites", "Jane Doe", "Questionable", None, True),
     ]
     assert cap.report_entries(df.limit(0), "id", "body", []).count() == 0
 

@@ -92,7 +92,7 @@ def named_players(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
 u AS (SELECT k, n_name AS team, r_name || ' ' || seg AS player, 'Out' AS status, 'Left knee - soreness' AS reason, true AS submitted FROM c UNION ALL
-SELECT k, n_name, 'Ann Parker-' || seg, 'Questionable', NULL, true FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'New Town', NULL, NULL, NULL, false FROM c WHERE k % 3 = 0 UNION ALL SELECT k, 'New Town United', 'Bo ' || seg, 'Available', 'rest', true FROM c WHERE k % 3 = 1)
+SELECT k, n_name, 'Ann Moss-' || seg, 'Questionable', NULL, true FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'New Town', NULL, NULL, NULL, false FROM c WHERE k % 3 = 0 UNION ALL SELECT k, 'New Town United', 'Bo ' || seg, 'Available', 'rest', true FROM c WHERE k % 3 = 1)
 SELECT k, '08/05/26 05:30 PM' AS reported_at, '08/06/2026' AS game_date, 'AB@CDE' AS matchup, team, player, status, reason, submitted FROM u""")
 def report_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Reports written out of the tables and read again."""
@@ -101,7 +101,7 @@ def report_entries(spark: SparkSession, folder: str) -> DataFrame:
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
     parts = [
         F.lit(f"Injury Report: 08/05/26 05:30 PM\nPage 1\n{cap.COLUMN_HEADER.replace(' ', chr(10))}\nLost, Before Out 08/06/2026 07:00 (ET) AB@CDE"),
-        F.col("n_name"), F.concat(seg, F.lit(", "), F.col("r_name"), F.lit(" Out Left knee - soreness;")), F.when(k % 2 == 0, F.concat(F.lit("Parker- "), seg, F.lit(", Ann Questionable"))),
+        F.col("n_name"), F.concat(seg, F.lit(", "), F.col("r_name"), F.lit(" Out Left knee - soreness;")), F.when(k % 2 == 0, F.concat(F.lit("Moss- "), seg, F.lit(", Ann Questionable"))),
         F.when(k % 3 == 0, f"New Town {cap.PENDING}").when(k % 3 == 1, F.concat(F.lit("New Town United "), seg, F.lit(", Bo Available rest"))),
     ]
     reports = c.select(k.alias("k"), F.concat_ws("\n", *parts).alias("text"))
@@ -128,7 +128,7 @@ def market_props(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("market", "game_id", "player_id", F.col("implied_probability").alias("over_probability"), F.col("t.prop").alias("prop_type"), (F.col("t.line") + F.col("shift")).alias("line"), "captured_at")
 
 
-_PRICES = """WITH g AS (SELECT o_orderkey AS game_id, 'Home ' || o_custkey || ' Aces' AS h, 'Away ' || o_custkey || ' Lynx' AS a FROM orders),
+_PRICES = """WITH g AS (SELECT o_orderkey AS game_id, 'Home ' || o_custkey || ' Gulls' AS h, 'Away ' || o_custkey || ' Kites' AS a FROM orders),
 p AS (SELECT l_orderkey AS game_id, l_shipdate AS "at", l_discount AS p, CASE l_linenumber WHEN 1 THEN 'home' WHEN 2 THEN 'home' WHEN 3 THEN 'home' WHEN 4 THEN 'away' WHEN 5 THEN 'away' END AS side, l_linenumber FROM lineitem WHERE l_returnflag <> 'N')
 """
 
@@ -137,9 +137,9 @@ def _game_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Prices of winner markets with the side they are about: outcomes are names, or their first or last words."""
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     name = lambda first, last: F.concat_ws(" ", F.lit(first), F.col("o_custkey").cast("string"), F.lit(last))
-    games = orders.select(F.col("o_orderkey").alias("game_id"), name("Home", "Aces").alias("home_name"), name("Away", "Lynx").alias("away_name"))
+    games = orders.select(F.col("o_orderkey").alias("game_id"), name("Home", "Gulls").alias("home_name"), name("Away", "Kites").alias("away_name"))
     n = F.col("l_linenumber")
-    outcome = F.when(n == 1, F.lit("Home")).when(n == 2, "Aces").when(n == 3, name("Home", "Aces")).when(n == 4, "Lynx").when(n == 5, name("Away", "Lynx")).when(n == 6, "Draw")
+    outcome = F.when(n == 1, F.lit("Home")).when(n == 2, "Gulls").when(n == 3, name("Home", "Gulls")).when(n == 4, "Kites").when(n == 5, name("Away", "Kites")).when(n == 6, "Draw")
     s = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("game_id"), n.alias("n"), F.when(F.col("l_returnflag") == "N", "KXQUARTER-1").otherwise("KXGAME-1").alias("market"), outcome.alias("outcome"), F.col("l_discount").alias("implied_probability"), F.col("l_shipdate").alias("at"))
     return markets.game_prices(s, games, F.col("market").startswith("KXGAME-"))
 
