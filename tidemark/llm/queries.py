@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,15 @@ from tidemark.llm.lines import drop_repeated_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import Mixture, mix
 from tidemark.llm.packing import pack
+from tidemark.llm.prefix_trie import encoded, prefix_trie, rebuilt
 from tidemark.llm.shared import shared_dir
 from tidemark.llm.tiff import text_media
+from tidemark.llm.token_links import token_links
 from tidemark.llm.topk import top_k
 from tidemark.llm.toxicity import learn, toxicity
 from tidemark.llm.training_order import materialise
 from tidemark.llm.url_rules import judge, mine, tokens
+from tidemark.llm.warc import read_warcs, resolved, write_warcs
 
 #: English twice as much as the others in every domain, domain d0 three times, source src0 half.
 MIXTURE = Mixture(
@@ -81,6 +85,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return resolved(read_warcs(write_warcs(table(spark, sf_dir, "pages"), folder)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(encoded(table(spark, sf_dir, "conversations"))))
+
+
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture, op2_line_dedup, op3_toxicity, op4_minhash, op5_url_rules, op6_packing, op7_tiff, op8_licenses, op9_training_order, op10_topk, pipeline)
+    f.__name__: f for f in (op1_mixture, op2_line_dedup, op3_toxicity, op4_minhash, op5_url_rules, op6_packing, op7_tiff, op8_licenses, op9_training_order, op10_topk, op11_warc, op12_prefix_trie, op13_token_links, pipeline)
 }
 
 _LINES = """
