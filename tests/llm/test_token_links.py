@@ -91,3 +91,10 @@ def test_pairs_held_by_several_groups_of_a_document_count_once():
     groups = t.Groups(np.array([0]), np.array([5, 5, 6, 6]), np.array([0, 1, 3, 4]), np.array([7, 7, 8]), np.array([0, 1, 2, 3]))
     pairs, n = t.counted_again(groups, np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 2]))
     assert [(int(p) >> 32, int(p) & 0xFFFFFFFF, int(k)) for p, k in zip(pairs, n, strict=True)] == [(5, 7, 2)]
+
+
+def test_interned_rows_are_told_apart_by_both_columns():
+    keys = np.array([[1, 1], [2, 5], [1, 2], [1, 1], [2, 5], [1, 2]], np.uint64)
+    for own in (keys, keys[[0, 1, 3, 4]]):
+        of, first = t.interned(own)
+        assert (own[first[of]] == own).all() and len(first) == len({tuple(k) for k in own.tolist()})

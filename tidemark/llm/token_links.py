@@ -19,6 +19,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -29,7 +30,7 @@ from tidemark.llm.shared import give_back, materialize, mix64, shared_dir, shuff
 from tidemark.llm.wordpieces import Vocabulary, encoder, public_vocabulary
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 #: What a piece has for a space (fixed value).
 MARK = "▁"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -141,7 +142,8 @@ def tokens(texts: list[str | None], pair: Pair) -> Block:
     good = _same(spelt, a, doc_a, given, size) & _same(pieces.spelling, b, doc_b, given, size)
     a, doc_a, b, doc_b = a[good[doc_a]], doc_a[good[doc_a]], b[good[doc_b]], doc_b[good[doc_b]]
     ends_a, ends_b = np.cumsum(spelt.size[a]), np.cumsum(pieces.spelling.size[b])
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=False)
+    # No id is empty, so both lists grow.
+    cuts = ends_b[ends_a[np.searchsorted(ends_a, ends_b)] == ends_b]
     owner_a, owner_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     group_doc = np.empty(len(cuts), np.int64)
     group_doc[owner_a] = here[doc_a]
@@ -160,6 +162,16 @@ def _same(spelling: Spelling, ids: np.ndarray, doc: np.ndarray, given: np.ndarra
     return long
 
 
+def interned(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the different rows of two columns, and the first place of each."""
+    of, names = pd.factorize(keys[:, 0])
+    first = np.empty(len(names), np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    if (keys[first[of], 1] != keys[:, 1]).any():  # the first column alone doesn't tell all rows apart
+        _, first, of = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    return of.ravel(), first
+
+
 class Groups(NamedTuple):
     """The different groups of a block: ``of`` says which one each of the block's groups is; ids of the k-th are
     a[a_at[k]:a_at[k + 1]] and so on."""
@@ -185,9 +197,9 @@ def different(block: Block) -> Groups:
                 if n:
                     keys[:, k] += np.add.reduceat(words, start)
             keys[:, k] = mix64(keys[:, k])
-    _, first, of = np.unique(keys.view([("x", np.uint64), ("y", np.uint64)]).ravel(), return_index=True, return_inverse=True)
+    of, first = interned(keys)
     a, b = block.a[ranges(start_a[first], long_a[first])], block.b[ranges(start_b[first], long_b[first])]
-    return Groups(of.ravel(), a, np.concatenate([[0], np.cumsum(long_a[first])]), b, np.concatenate([[0], np.cumsum(long_b[first])]))
+    return Groups(of, a, np.concatenate([[0], np.cumsum(long_a[first])]), b, np.concatenate([[0], np.cumsum(long_b[first])]))
 
 
 def spelt_out(groups: Groups) -> list[bytes]:
