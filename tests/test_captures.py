@@ -65,6 +65,31 @@ def test_reports(spark):
     assert cap.report_entries(df.limit(0), "id", "body", []).count() == 0
 
 
+def test_reports_of_several_pages_and_large_ids(spark):
+    paged = f"""Injury Report: 08/05/26 05:30 PM {cap.COLUMN_HEADER} 08/06/2026 NBG@EPT North Bay Doe, Jane Out knee
+Injury Report: 08/05/26 05:30 PM Page 2 {cap.COLUMN_HEADER} North Bay Gulls O'Neil - Roe, Ann Marie Available - Eastport Out of nowhere, Smith Out"""
+    df = spark.createDataFrame([(2**60 + 1, paged), (None, paged), (2**60 + 3, "Report: too short")], "id long, body string")
+    rows = [tuple(r) for r in cap.report_entries(df, "id", "body", ["North Bay", "North Bay Gulls", "Eastport"]).collect()]
+    assert sorted({r[0] for r in rows if r[0]}) == [2**60 + 1] and len(rows) == 6
+    own = [r[4:] for r in rows if r[0]]
+    # The second page's head ends the first player's reason; a status without a name before it is a word.
+    assert own[0][:4] == ("North Bay", "Jane Doe", "Out", "knee")
+    assert own[1] == ("North Bay Gulls", "Ann Marie O'Neil-Roe", "Available", None, True)
+    assert own[2][:3] == ("Eastport", "Smith nowhere", "Out")
+
+
+def test_typed_words():
+    phrases = {"North": {("North", "Bay"): "team", ("North", "Bay", "Gulls"): "team"}, "NOT": {("NOT", "YET", "SUBMITTED"): "pending"}}
+    words = "North Bay Gulls North Bay North 08/06/2026 8/6/26 AB@CDE a@b AB@C Out NOT YET".split()
+    assert list(cap.typed_words(words, phrases)) == [("team", "North Bay Gulls"), ("team", "North Bay"), ("word", "North"), ("date", "08/06/2026"), ("word", "8/6/26"), ("matchup", "AB@CDE"), ("word", "a@b"), ("word", "AB@C"), ("status", "Out"), ("word", "NOT"), ("word", "YET")]
+
+
+def test_letters_of_all_scripts_fold(spark):
+    texts = ["Éñ Ångström", "e\u0301a\u030a", "ÑŃńǸ ЙЁ Ώή", "ở ộ ẫ", "が", "日本語 한글 ﬁ ß ø", "हिन्दी", "", None]
+    got = one(spark, texts, tx.fold)
+    assert got[:4] == ["en angstrom", "ea", "nnnn ие ωη", "o o a"] and got[4] == "か" and got[5] == "日本語 한글 ﬁ ß ø" and got[7:] == ["", None]
+
+
 def test_running_score(spark):
     rows = [(1, 1, None), (1, 2, "2 - 0"), (1, 3, "x"), (1, 4, "2 - 3"), (2, 1, "0 - 1")]
     out = plays.running_score(spark.createDataFrame(rows, "game int, n int, score string"), "game", "n", "score").orderBy("game", "n").collect()

@@ -33,3 +33,26 @@ def test_player_rates_windows_hold_short_games(tables):
 def test_player_market_window_holds_games_before_the_filter(tables):
     rows = {r["game_id"]: r for r in s.build("player_market", tables).run(CONTEXT).df.filter("player_id = 1").collect()}
     assert 0 not in rows and rows[1]["form3_rows"] == 1 and rows[3]["points_form3"] == pytest.approx(10.0)
+
+
+def test_who_sits_out_gains_no_rest(tables, spark):
+    """Rest is the team's: player 2 misses the second and third games, which the team plays."""
+    games = tables.player_games(None).filter("player_id = 1 or game_id not in (1, 2)")
+    own = s.Tables(lambda _: None, lambda _: games, bios=tables.bios)
+    rows = {(r["player_id"], r["game_id"]): r["rest_days"] for r in s.build("player_rates", own).run(CONTEXT).df.collect()}
+    assert rows[2, 3] == pytest.approx(1.0) and rows[2, 0] is None and rows[1, 3] == pytest.approx(1.0)
+
+
+def test_strategies_read_each_table_once_for_each_pass(spark):
+    """Mirrors don't join a frame with itself: a strategy with four of them reads its games as often as one with none."""
+    from tidemark.queries.strategies import CONTEXT as AT
+    from tidemark.queries.strategies import tables as ours
+
+    def scans(name):
+        made = s.build(name, ours(spark, "/root/testdata/sf0.001"))
+        # Up to the fitted step, before which what there is gets written.
+        made = p.Pipeline(name, tuple(x for x in made.steps if x.provenance.kind is not p.StepKind.FITTED), made.event_time, guarded=False)
+        plan = made.run(AT).df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation ["), plan.count("Join ")
+
+    assert scans("team_matchup") == scans("team_form") == scans("situational_baseline")

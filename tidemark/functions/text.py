@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,13 +24,20 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+@lru_cache
+def _bases() -> tuple[str, str]:
+    """Every letter that is another one with marks, and those others, in all scripts: by canonical decomposition."""
+    found = {}
+    for c in map(chr, range(0xA0, sys.maxunicode + 1)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M"))
+        if len(plain) == 1 and plain != c:
+            found[c] = plain
+    return "".join(found), "".join(found.values())
 
 
 def fold(text: Column) -> Column:
-    """Without the accents of Latin letters, in lower case."""
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
+    """Without accents and other marks, whether they are written into a letter or after it, in lower case."""
+    return F.lower(F.regexp_replace(F.translate(text, *_bases()), r"\p{M}+", ""))
 
 
 def name_candidates(name: Column, aliases: Mapping[str, str]) -> Column:

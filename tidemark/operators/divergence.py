@@ -16,10 +16,10 @@ def detect(quotes: DataFrame, venues: DataFrame, games: DataFrame, now: Column,
 
     ``quotes``: game_id, vendor, at, home_odds, away_odds; of each vendor the newest up to ``now`` counts.
     ``venues``: game_id, venue, fair_home, volume; ``games``: game_id, start_time.  A side's best price is the
-    one with the highest odds, ties to the smaller vendor; an edge is what the venue's fair price is above it.
+    one with the highest odds, ties to the smaller vendor, vendors without odds aside; an edge is what the venue's fair price is above it.
     """
     newest = quotes.filter(F.col("at") <= now).groupBy("game_id", "vendor").agg(F.max(F.struct("at", "home_odds", "away_odds")).alias("q"))
-    best = newest.groupBy("game_id").agg(*[F.min(F.struct((-F.col(f"q.{s}_odds")).alias("less"), "vendor")).alias(s) for s in SIDES])
+    best = newest.groupBy("game_id").agg(*[F.min(F.when(F.col(f"q.{s}_odds").isNotNull(), F.struct((-F.col(f"q.{s}_odds")).alias("less"), "vendor"))).alias(s) for s in SIDES])
     priced = venues.filter((F.col("volume") >= least_volume) & F.col("fair_home").isNotNull()).join(best, "game_id").join(games.select("game_id", "start_time"), "game_id")
     fair = {"home": F.col("fair_home"), "away": 1 - F.col("fair_home")}
     one = [F.struct(F.lit(s).alias("side"), F.col(f"{s}.vendor").alias("book_vendor"), (-F.col(f"{s}.less")).alias("book_odds"), fair[s].alias("venue_fair")) for s in SIDES]

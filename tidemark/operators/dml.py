@@ -35,6 +35,15 @@ def fill_null(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequ
     return joined.select(*[F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys], *[F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in columns])
 
 
+def update_changed(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str], stamp: str, now: Column) -> DataFrame:
+    """``columns`` of the old rows that ``new`` (one row for a key) has otherwise, with ``stamp``; rows that are the
+    same keep theirs, and keys that aren't there aren't added."""
+    joined = old.alias("o").join(new.withColumn("__there", F.lit(True)).alias("n"), _same(keys, "o", "n"), "left")
+    differs = F.col("n.__there").isNotNull() & changed({c: F.col(f"o.{c}") for c in columns}, {c: F.col(f"n.{c}") for c in columns})
+    made = {c: F.when(differs, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in columns} | {stamp: F.when(differs, now).otherwise(F.col(f"o.{stamp}"))}
+    return joined.select(*[made.get(c, F.col(f"o.{c}")).alias(c) for c in old.columns])
+
+
 def append_changes(log: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """The observations that differ from the one before (nulls equal): what a history table holds."""
     w = Window.partitionBy(*keys).orderBy(at)

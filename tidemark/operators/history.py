@@ -3,23 +3,25 @@
 All of them sort a key's rows once.  An aggregate over the last n rows is taken at the first row of each
 instant, where those n rows are all strictly earlier, and handed to the other rows of that instant.  Only
 bounded frames or running aggregates are used, so no history is held as an array (but for the exponential
-mean's bounded lookback).
+mean's bounded lookback).  With ``block_rows`` no task has more than so many rows of a key (see ``hot``).
 """
 
 from __future__ import annotations
 
 import bisect
-import heapq
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.operators import hot
+
 
 @dataclass(frozen=True)
 class History:
@@ -33,6 +35,9 @@ class History:
     def instant(self) -> Column:
         return F.unix_micros(F.col(self.time).cast("timestamp"))
 
+    def blocks(self, df: DataFrame, rows: int, *more: str) -> hot.Blocks:
+        return hot.Blocks(df, [*self.keys, *more], self.instant, self.tiebreak, rows)
+
     def by(self, *more: str):
         return Window.partitionBy(*self.keys, *more)
 
@@ -64,18 +69,28 @@ def _carry(df: DataFrame, history: History, made: Mapping[str, Column], more: Se
     return packed.select(*df.columns, *[F.col("__made")[n].alias(n) for n in made])
 
 
-def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, label: str = "roll") -> DataFrame:
+def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, label: str = "roll", block_rows: int | None = None) -> DataFrame:
     """Mean of each value over the last ``n`` earlier rows (nulls skipped), rows in the window, and its end."""
-    frame = history.rows().rowsBetween(-n, -1)
-    made = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(frame) for v in values}
-    made[f"{label}_rows"] = F.count(F.lit(1)).over(frame)
-    made[f"{label}_window_end"] = F.max(history.time).over(frame)
-    return _add(df, history, made)
 
+    def made(rows) -> dict[str, Column]:
+        frame = rows.rowsBetween(-n, -1)
+        means = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(frame) for v in values}
+        return {**means, f"{label}_rows": F.count(F.lit(1)).over(frame), f"{label}_window_end": F.max(history.time).over(frame)}
+
+    if not block_rows:
+        return _add(df, history, made(history.rows()))
+    cells = history.blocks(df, block_rows).bounded(n, lambda w: {f"__{k}": c for k, c in made(w).items()})
+    return cells.handed({k: F.col(f"__{k}") for k in made(history.rows())})
 
-def expanding(df: DataFrame, history: History, values: Sequence[str], season: str | None = None, label: str = "mean") -> DataFrame:
+
+def expanding(df: DataFrame, history: History, values: Sequence[str], season: str | None = None, label: str = "mean", block_rows: int | None = None) -> DataFrame:
     """Mean over all earlier rows, of the same season if one is named."""
     more = [season] if season else []
+    if block_rows:
+        cells = {f"__s_{v}": (F.sum, F.col(v).cast("double")) for v in values} | {f"__n_{v}": (F.sum, F.col(v).isNotNull().cast("long")) for v in values}
+        blocks = history.blocks(df, block_rows, *more).running({**cells, "__rows": (F.sum, F.lit(1).cast("long")), "__end": (F.max, F.col(history.time))})
+        made = {f"{v}_{label}": F.when(F.col(f"__n_{v}") > 0, F.col(f"__s_{v}") / F.col(f"__n_{v}")) for v in values}
+        return blocks.handed({**made, f"{label}_rows": F.coalesce("__rows", F.lit(0)), f"{label}_window_end": F.col("__end")})
     w = history.earlier(*more)
     made = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(w) for v in values}
     return df.withColumns({**made, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)})
@@ -122,9 +137,18 @@ def split_rolling(df: DataFrame, history: History, value: str, where: Column, n:
     return out.drop("__flag", *[f"__{k}" for k in own]).withColumn(f"{label}_rows", F.coalesce(f"{label}_rows", F.lit(0)).cast("long"))
 
 
-def streak(df: DataFrame, history: History, won: Column, season: str | None = None, name: str = "streak") -> DataFrame:
+def streak(df: DataFrame, history: History, won: Column, season: str | None = None, name: str = "streak", block_rows: int | None = None) -> DataFrame:
     """Signed length of the run of wins or losses before the row; a null result breaks it."""
     more = [season] if season else []
+    if block_rows:
+        blocks = history.blocks(df.withColumn("__won", won), block_rows, *more)
+        blocks.columns = df.columns
+        blocks = blocks.bounded(1, lambda w: {"__last": F.lag("__won").over(w), "__changed": ~F.col("__won").eqNullSafe(F.lag("__won").over(w))})
+        # Where the run of the row before began: the last place, up to that row, at which the result changed.
+        blocks = blocks.running({"__since": (F.max, F.when(F.col("__changed"), F.col("__rank"))), "__upto": (F.max, F.col("__rank"))})
+        run = F.col("__rank") - F.coalesce("__since", F.lit(0))
+        signed = F.when(F.col("__upto").isNull() | F.col("__last").isNull(), 0).when(F.col("__last"), run).otherwise(-run)
+        return blocks.handed({name: signed.cast("long")})
     rows = history.rows(*more)
     marked = df.withColumn("__won", won)
     changed = ~F.col("__won").eqNullSafe(F.lag("__won").over(rows))
@@ -135,8 +159,13 @@ def streak(df: DataFrame, history: History, won: Column, season: str | None = No
     return out.drop("__won", "__run", "__long").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
 
 
-def season_to_date(df: DataFrame, history: History, won: Column, season: str) -> DataFrame:
+def season_to_date(df: DataFrame, history: History, won: Column, season: str, block_rows: int | None = None) -> DataFrame:
     """Games, wins and share before the row in its season; the share counts games without a result."""
+    if block_rows:
+        one = F.lit(1).cast("long")
+        blocks = history.blocks(df, block_rows, season).running({"__games": (F.sum, one), "__wins": (F.sum, F.when(won, one).otherwise(0))})
+        games, wins = F.coalesce("__games", F.lit(0)), F.coalesce("__wins", F.lit(0))
+        return blocks.handed({"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)})
     w = history.earlier(season)
     games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
     return df.withColumns({"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)})
@@ -181,9 +210,20 @@ def head_to_head(df: DataFrame, history: History, won: Column, margin: str, pref
 
 
 def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns: Sequence[str], prefix: str = "opponent_") -> DataFrame:
-    """The opponent's columns of the same event; null where its row is missing."""
-    other = df.select(*event, F.col(own).alias(opponent), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
-    return df.join(other, [*event, opponent], "left").select(*df.columns, *[f"{prefix}{c}" for c in columns])
+    """The opponent's columns of the same event; null where its row is missing, or an id is null.
+
+    Both rows of a pair meet in one window, so ``df`` is gone through once however often it is mirrored.  They are a
+    pair when each names the other; of repeated rows of one side the largest counts.
+    """
+    us, them = F.col(own), F.col(opponent)
+    pair = Window.partitionBy(*event, F.least(us, them), F.greatest(us, them))
+    known = us.isNotNull() & them.isNotNull()
+    for c in event:
+        known = known & F.col(c).isNotNull()
+    told = F.struct(*[F.col(c) for c in columns])
+    smaller, larger = F.max(F.when(us <= them, told)).over(pair), F.max(F.when(us >= them, told)).over(pair)
+    met = df.withColumn("__other", F.when(known, F.when(us <= them, larger).otherwise(smaller)))
+    return met.select(*df.columns, *[F.col("__other")[c].alias(f"{prefix}{c}") for c in columns])
 
 
 def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str, value: str, tiebreak: str, median: bool = True) -> DataFrame:
@@ -218,69 +258,55 @@ def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str,
     return sums.select(*group, time, (F.col("__base") + s / n).alias("consensus"), spread.alias("spread"), n.cast("long").alias("vendors"))
 
 
+MOMENTS = ("consensus", "spread", "median", "vendors")
+
+
 def _medians(latest: DataFrame, group: Sequence[str], vendor: str, time: str) -> DataFrame:
     order = Window.partitionBy(*group).orderBy(time, vendor)
     marked = latest.select(*group, time, F.col(vendor).cast("string").alias("__vendor"), "__v", (F.row_number().over(order) == 1).alias("__first"), (~F.col(time).eqNullSafe(F.lead(time).over(order)) | F.lead(F.lit(1)).over(order).isNull()).alias("__last"))
     shown = [*group, time]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: dict[str | None, float] = {}
         ranked: list[float] = []
         for batch in batches:
             made: list[tuple] = []
-            for who, x, first, last in zip(batch["__vendor"], batch["__v"], batch["__first"], batch["__last"], strict=True):
+            kept: list[int] = []
+            for i, (who, x, first, last) in enumerate(zip(*(batch[c].to_pylist() for c in ("__vendor", "__v", "__first", "__last")), strict=True)):
                 if first:
                     now, ranked = {}, []
-                if x == x:
+                if x is not None and x == x:
                     if who in now:
                         del ranked[bisect.bisect_left(ranked, now[who])]
                     now[who] = x
                     bisect.insort(ranked, x)
-                made.append(_moments(ranked) if last else ())
-            out = batch.loc[[bool(m) for m in made], shown]
-            for i, c in enumerate(("consensus", "spread", "median", "vendors")):
-                out[c] = pd.array([m[i] for m in made if m], "Int64" if c == "vendors" else "Float64")
-            yield out
+                if last and ranked:
+                    kept.append(i)
+                    made.append(_moments(ranked))
+            own = batch.select(shown).take(pa.array(kept, pa.int64()))
+            new = [pa.array([m[i] for m in made], pa.int64() if c == "vendors" else pa.float64()) for i, c in enumerate(MOMENTS)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*shown, *MOMENTS])
 
     dealt = marked.repartition(*group).sortWithinPartitions(*group, time, F.desc("__first"), "__last")
     kinds = dict(latest.dtypes)
-    return dealt.mapInPandas(rows, ", ".join([*[f"`{c}` {kinds[c]}" for c in shown], "consensus double", "spread double", "median double", "vendors long"]))
+    return dealt.mapInArrow(rows, ", ".join([*[f"`{c}` {kinds[c]}" for c in shown], "consensus double", "spread double", "median double", "vendors long"]))
 
 
-def _moments(ranked: list[float]) -> tuple[float, float | None, float, int] | tuple[()]:
-    """Mean, sample deviation, median and number; nothing without values."""
+def _moments(ranked: list[float]) -> tuple[float, float | None, float, int]:
+    """Mean, sample deviation, median and number."""
     n = len(ranked)
-    if not n:
-        return ()
     mean = math.fsum(ranked) / n
     spread = math.sqrt(math.fsum((x - mean) ** 2 for x in ranked) / (n - 1)) if n > 1 else None
     return mean, spread, (ranked[(n - 1) // 2] + ranked[n // 2]) / 2, n
 
 
-def running_median(df: DataFrame, history: History, value: str, name: str) -> DataFrame:
+def running_median(df: DataFrame, history: History, value: str, name: str, block_rows: int = 65_536) -> DataFrame:
     """Median of all values of the key up to the row, itself included; nulls count for nothing.
 
-    Spark's median takes no ordered frame.  Rows go through a task in order, and only the values of the key at
-    hand are held, in two heaps.
+    Spark's median takes no ordered frame.  Numpy looks at blocks of ``block_rows`` rows (see ``hot``); the keys' sizes
+    are counted before, by a job.
     """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low, high = [], []
-        for batch in batches:
-            out = []
-            for first, x in zip(batch["__first"], batch["__x"], strict=True):
-                if first:
-                    low, high = [], []
-                if x == x:
-                    heapq.heappush(high, -heapq.heappushpop(low, -x))
-                    if len(high) > len(low):
-                        heapq.heappush(low, -heapq.heappop(high))
-                out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
-            yield batch.drop(columns=["__x", "__first"]).assign(**{name: pd.array(out, "Float64")})
-
-    marked = df.withColumn("__x", F.col(value).cast("double")).withColumn("__first", F.row_number().over(history.rows()) == 1)
-    dealt = marked.repartition(*history.keys).sortWithinPartitions(*history.keys, history.instant, F.desc("__first"), history.tiebreak)
-    return dealt.mapInPandas(rows, df.withColumn(name, F.lit(None).cast("double")).schema)
+    return hot.running_median(df, history.keys, history.instant, history.tiebreak, value, name, block_rows)
 
 
 @dataclass(frozen=True)
@@ -298,19 +324,22 @@ def trailing_fold(df: DataFrame, history: History, fold: Fold) -> DataFrame:
     """A fold of one's own over each key's strictly earlier rows: rows of one instant see the same state.
 
     Python for each row, so it is for what no window aggregate says; a task holds one state and one instant's rows.
+    Columns go through as they are.
     """
     order = history.rows()
     new = (F.row_number().over(order) == 1).alias("__first")
     begins = (~history.instant.eqNullSafe(F.lag(history.instant).over(order)) | (F.row_number().over(order) == 1)).alias("__begins")
     marked = df.select("*", new, begins)
-    names, added = df.columns, [f.name for f in df.sparkSession.createDataFrame([], fold.schema).schema]
+    names, added = df.columns, df.sparkSession.createDataFrame([], fold.schema).schema
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shown = None
         waiting: list[dict] = []
+        kinds = to_arrow_schema(added)
         for batch in batches:
             made = []
-            for row, first, starts in zip(batch[names].to_dict("records"), batch["__first"], batch["__begins"], strict=True):
+            own = batch.select(names)
+            for row, first, starts in zip(own.to_pylist(), batch["__first"].to_pylist(), batch["__begins"].to_pylist(), strict=True):
                 if starts:
                     for seen in [] if first else waiting:
                         state = fold.observe(state, seen)
@@ -320,14 +349,12 @@ def trailing_fold(df: DataFrame, history: History, fold: Fold) -> DataFrame:
                     shown = fold.emit(state)
                 waiting.append(row)
                 made.append(shown)
-            out = batch[names].copy()
-            for i, c in enumerate(added):
-                out[c] = pd.Series([m[i] for m in made], index=out.index)
-            yield out
+            new = [pa.array([m[i] for m in made], f.type) for i, f in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*names, *kinds.names])
 
-    schema = StructType([*df.schema.fields, *df.sparkSession.createDataFrame([], fold.schema).schema.fields])
+    schema = StructType([*df.schema.fields, *added.fields])
     dealt = marked.repartition(*history.keys).sortWithinPartitions(*history.keys, F.desc("__first"), history.instant, F.desc("__begins"), history.tiebreak)
-    return dealt.mapInPandas(rows, schema)
+    return dealt.mapInArrow(rows, schema)
 
 
 def change_only(df: DataFrame, history: History, value: str, least: float = 1e-9) -> DataFrame:

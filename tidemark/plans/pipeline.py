@@ -1,9 +1,10 @@
 """Feature pipelines: a chain of declared steps over one lazy plan, with a guard against leakage.
 
-Structure and declarations are checked on schemas, without a job.  What each step does to values (rows neither
-lost nor made, anchors not after the as-of instant, windows ended strictly before the row's event) is observed
-while the result is written, once, to the shared folder: no step runs again for its check.  Observed numbers can
-be too large where a task ran twice, so a step that looks bad is looked at again by a job of its own.
+Structure and declarations are checked on schemas and analysed plans, without a job.  What each step does to values
+(rows neither lost nor made, anchors not after the as-of instant, windows ended strictly before the row's event) is
+observed while the result is written to the shared folder: no step runs again for its check.  A fitted step looks at
+all rows twice, so what comes before it is written first.  Observed numbers can be too large where a task ran twice,
+so a step that looks bad is looked at again by a job of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import staging
+from tidemark.plans.plan_guard import SourceRules, rowwise
 from tidemark.plans.provenance import FeatureError, LeakageError, Provenance, StepContractError, StepKind, UndeclaredProvenanceError
 
 
@@ -152,6 +154,8 @@ class Pipeline:
     steps: tuple[Step, ...]
     event_time: str
     guarded: bool = True
+    #: What sources may read; None for whatever they like.
+    rules: SourceRules | None = None
     by_name: dict[str, int] = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -186,6 +190,9 @@ class Pipeline:
     def with_guard(self, guarded: bool = True) -> Pipeline:
         return replace(self, guarded=guarded)
 
+    def with_rules(self, rules: SourceRules | None) -> Pipeline:
+        return replace(self, rules=rules)
+
     def unguarded(self) -> Pipeline:
         return self.with_guard(False)
 
@@ -230,13 +237,25 @@ class Pipeline:
             return UndeclaredProvenanceError(f"{self.name}, after {name}: {bad}")
         return LeakageError(f"{self.name}, after {name}: {bad}") if bad else None
 
+    def _read(self, step: Step, df: DataFrame, context: Context, before: DataFrame | None) -> None:
+        """What the step's plan does, and what it reads beside the rows that it was given."""
+        kind = step.provenance.kind
+        if kind in (StepKind.ROW_LOCAL, StepKind.FILTER):
+            rowwise(before, df, step.name, filters=kind is StepKind.FILTER)
+        elif self.rules and kind is StepKind.SOURCE:
+            self.rules.check(df, context.as_of)
+
     def _apply(self, step: Step, frame: Frame, context: Context) -> Frame:
         p, have = step.provenance, set(frame.df.columns) if frame.df is not None else set()
         if (p.kind is StepKind.SOURCE) != (frame.df is None):
             raise StepContractError(f"{step.name}: a source comes first, and only there")
         if missing := set(step.needs) - have:
             raise StepContractError(f"{step.name} needs {sorted(missing)}")
+        if p.kind is StepKind.FITTED and self.guarded:
+            frame = replace(frame, df=staging.materialize(frame.df, f"{self.name}-{step.name}"))
         df = step.apply(frame.df, context)
+        if self.guarded:
+            self._read(step, df, context, frame.df)
         now = set(df.columns)
         if have - now:
             raise StepContractError(f"{step.name} dropped {sorted(have - now)}")

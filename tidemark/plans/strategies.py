@@ -186,7 +186,8 @@ def player_form(t: Tables, least_minutes: float = 10.0) -> p.Pipeline:
         p.source("load_player_games", t.player_games, "result_known_at", PLAYER_COLUMNS),
         p.keep("season_types", lambda x: c("season_type").isin(list(x.season_types)) if x.season_types else F.lit(True)),
         p.keep("seasons", lambda x: c("season").isin(list(x.seasons)) if x.seasons else F.lit(True)),
-        past("rest", PLAYER, lambda df: h.rest(df, PLAYER), ["rest_days", "is_back_to_back"]),
+        # The team's rest: who sits a game out gains none.
+        past("rest", TEAM, lambda df: h.rest(df, TEAM), ["rest_days", "is_back_to_back"]),
         rolling("form5", PLAYER, ["points", "minutes"], 5),
         p.lookup("bio", bios, ["position", "age"], "a player's birth date and position don't depend on results"),
         p.row_local("position_one_hot", lambda df: columns.one_hot(df, "position", ["BUILDING", "MACHINERY"]), ["position_is_BUILDING", "position_is_MACHINERY", "position_is_other"]),

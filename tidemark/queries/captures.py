@@ -13,6 +13,8 @@ from tidemark.plans.targets import drop_targets
 from tidemark.queries.catalog import LOG, QUERIES, game_log, long, query, rounded, table
 from tidemark.queries.strategies import _TEAM
 
+#: Names of teams that every task may hold.
+TEAMS = 10_000
 _TICKER = "'KXGAME-' || strftime(o_orderdate, '%y') || CASE WHEN o_orderkey % 13 = 0 THEN 'XXX' ELSE upper(strftime(o_orderdate, '%b')) END || CASE WHEN o_orderkey % 11 = 0 THEN '31' ELSE strftime(o_orderdate, '%d') END || CASE o_orderkey % 3 WHEN 0 THEN 'ABC' WHEN 1 THEN 'ABC-D12' ELSE '' END"
 
 
@@ -105,7 +107,9 @@ def report_entries(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 3 == 0, f"New Town {cap.PENDING}").when(k % 3 == 1, F.concat(F.lit("New Town United "), seg, F.lit(", Bo Available rest"))),
     ]
     reports = c.select(k.alias("k"), F.concat_ws("\n", *parts).alias("text"))
-    teams = [r["n_name"] for r in nations.select("n_name").limit(1000).collect()]  # a dimension of 25 names
+    teams = [r["n_name"] for r in nations.select("n_name").limit(TEAMS + 1).collect()]
+    if len(teams) > TEAMS:
+        raise ValueError(f"over {TEAMS} names are too many for each task to hold")
     return cap.report_entries(reports, "k", "text", [*teams, "New Town", "New Town United"])
 
 
@@ -175,7 +179,7 @@ def relinked(spark: SparkSession, folder: str) -> DataFrame:
 _IMPLIED = "CASE WHEN {0} > 0 THEN 100.0 / ({0} + 100) ELSE -{0}::DOUBLE / (-{0} + 100) END"
 
 
-@query(f"""WITH q AS (SELECT l_orderkey AS game_id, l_suppkey AS vendor, l_shipdate AS t, CAST(l_quantity * 10 - 255 AS INT) AS home, CAST(265 - l_quantity * 10 AS INT) AS away FROM lineitem),
+_DIVERGENCES = f"""WITH q AS (SELECT l_orderkey AS game_id, l_suppkey AS vendor, l_shipdate AS t, CAST(l_quantity * 10 - 255 AS INT) AS home, CAST(265 - l_quantity * 10 AS INT) AS away FROM lineitem),
 s AS (SELECT game_id, vendor, t, 'home' AS side, home AS odds FROM q UNION ALL SELECT game_id, vendor, t, 'away', away FROM q),
 n AS (SELECT * FROM q WHERE t <= TIMESTAMP '1999-01-01' QUALIFY row_number() OVER (PARTITION BY game_id, vendor ORDER BY t DESC, home DESC, away DESC) = 1),
 b AS (SELECT game_id, 'home' AS side, home AS odds, vendor FROM n UNION ALL SELECT game_id, 'away', away, vendor FROM n),
@@ -184,18 +188,28 @@ g AS (SELECT o_orderkey AS game_id, o_orderdate AS start_time, CASE WHEN o_order
 d AS (SELECT game_id, side, vendor, odds, {_IMPLIED.format("odds")} AS implied, CASE side WHEN 'home' THEN fair ELSE 1 - fair END AS fair, (epoch_us(TIMESTAMP '1999-01-01') - epoch_us(start_time)) / 60000000 AS minutes, start_time, home_won FROM top JOIN g USING (game_id)),
 f AS (SELECT * FROM d WHERE fair - implied > 0),
 r AS (SELECT f.game_id, f.side, arg_min(s.odds, (s.t, s.vendor, s.odds)) AS recheck_odds FROM f JOIN s ON s.game_id = f.game_id AND s.side = f.side AND s.t > TIMESTAMP '1999-01-01' GROUP BY ALL),
-c AS (SELECT f.game_id, f.side, arg_max(s.odds, (s.t, s.odds)) AS closing_odds FROM f JOIN s ON s.game_id = f.game_id AND s.side = f.side AND s.t < f.start_time GROUP BY ALL)
-SELECT game_id, side, vendor AS book_vendor, odds AS book_odds, round(fair - implied, 9) AS edge, minutes >= 0 AS in_play, round(minutes, 3) AS minutes_from_start, recheck_odds,
+c AS (SELECT f.game_id, f.side, arg_max(s.odds, (s.t, s.odds)) AS closing_odds FROM f JOIN s ON s.game_id = f.game_id AND s.side = f.side AND s.t < f.start_time GROUP BY ALL),
+graded AS (SELECT game_id, side, vendor AS book_vendor, odds AS book_odds, round(fair - implied, 9) AS edge, minutes >= 0 AS in_play, round(minutes, 3) AS minutes_from_start, recheck_odds,
   {_IMPLIED.format("recheck_odds")} <= implied AS survived, CASE WHEN home_won IS NOT NULL THEN closing_odds END AS closing_odds, CASE WHEN home_won IS NOT NULL THEN round({_IMPLIED.format("closing_odds")} - implied, 9) END AS clv, CASE WHEN closing_odds IS NOT NULL THEN home_won = (side = 'home') END AS won
-FROM f LEFT JOIN r USING (game_id, side) LEFT JOIN c USING (game_id, side)""")
-def divergence_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Found at one instant, looked at again at the book's next quote, graded at the close."""
+FROM f LEFT JOIN r USING (game_id, side) LEFT JOIN c USING (game_id, side))
+"""
+
+
+def _divergence_tables(spark: SparkSession, folder: str) -> tuple:
+    """Quotes, venues' prices, games, and the instant at which divergences are looked for."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     odds = {"home": F.col("l_quantity") * 10 - 255, "away": 265 - F.col("l_quantity") * 10}
     quotes = lines.select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("vendor"), F.col("l_shipdate").alias("at"), *[c.cast("int").alias(f"{s}_odds") for s, c in odds.items()])
     games = orders.select(F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("start_time"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 200_000).alias("home_won"))
     venues = orders.select(F.col("o_orderkey").alias("game_id"), F.lit("pm").alias("venue"), (F.col("o_custkey") % 100 / 100).alias("fair_home"), F.col("o_totalprice").alias("volume"))
-    found = divergence.detect(quotes, venues, games, F.lit("1999-01-01").cast("timestamp_ntz"), 100_000)
+    return quotes, venues, games, F.lit("1999-01-01").cast("timestamp_ntz")
+
+
+@query(f"{_DIVERGENCES} SELECT * FROM graded")
+def divergence_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Found at one instant, looked at again at the book's next quote, graded at the close."""
+    quotes, venues, games, now = _divergence_tables(spark, folder)
+    found = divergence.detect(quotes, venues, games, now, 100_000)
     graded = divergence.grade(divergence.recheck(found, quotes), quotes, games)
     out = graded.select("game_id", "side", "book_vendor", "book_odds", "edge", "in_play", F.round("minutes_from_start", 3).alias("minutes_from_start"), "recheck_odds", "survived", "closing_odds", "clv", "won")
     return rounded(out, 9)

@@ -56,11 +56,10 @@ def parsed_fields(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, 9)
 
 
-@query("""SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7FáàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ]*', 's')""")
+@query("""SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents""")
 def folded_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts of which each letter is one that the fold knows."""
-    plain = F.col("text").rlike(rf"\A[\x00-\x7F{tx.ACCENTED}]*\z")
-    return table(spark, folder, "documents").filter(plain).select("doc_id", tx.fold(F.col("text")).alias("folded"))
+    """Whole texts, of whatever script."""
+    return table(spark, folder, "documents").select("doc_id", tx.fold(F.col("text")).alias("folded"))
 
 
 _ALIASES = {"automobile": "cars", "building": "houses"}

@@ -203,3 +203,43 @@ def games_missed(spark: SparkSession, folder: str) -> DataFrame:
     met = log.join(ranked.select("team", "ts", "n"), ["team", "ts"])
     out = met.groupBy("user_id", "team").agg(F.min("n").alias("first"), F.count_if(F.col("n") <= 50).alias("played"), F.max("n").alias("tenure"))
     return out.select("user_id", "team", long(F.col("first") - 1).alias("missed_in_row"), long(F.least(F.lit(50), "tenure") - F.col("played")).alias("missed_of_50"))
+
+
+#: Kinds of events hold a fifth of all rows each: keys that no task should have whole.
+BY_TYPE = h.History(("event_type",), "ts", "event_id")
+BLOCK = 5_000
+_TYPE = "PARTITION BY event_type ORDER BY ts"
+_BEFORE = f"OVER ({_TYPE} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+
+
+@query(f"""{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) {_BEFORE} AS upto FROM log)
+SELECT a.event_id, round(avg(b.value), 6) AS value_roll, count(b.i) AS roll_rows FROM r a LEFT JOIN r b ON a.event_type = b.event_type AND b.i <= a.upto AND b.i > a.upto - 20 GROUP BY a.event_id""")
+def blocked_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean of a kind's last twenty values, from blocks of a key's rows."""
+    return rounded(h.rolling(game_log(spark, folder), BY_TYPE, ["value"], 20, block_rows=BLOCK).select("event_id", "value_roll", "roll_rows"))
+
+
+@query(f"""{LOG} SELECT event_id, round(avg(value) {_BEFORE}, 6) AS value_mean, count(*) {_BEFORE} AS mean_rows, max(ts) {_BEFORE} AS mean_window_end FROM log""")
+def blocked_expanding(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(h.expanding(game_log(spark, folder), BY_TYPE, ["value"], block_rows=BLOCK).select("event_id", "value_mean", "mean_rows", "mean_window_end"))
+
+
+@query(f"""{LOG}, a AS (SELECT event_id, count(*) {_BEFORE.replace("event_type", "event_type, season")} AS prior_games, CAST(coalesce(sum(CAST(won AS INT)) {_BEFORE.replace("event_type", "event_type, season")}, 0) AS BIGINT) AS prior_wins FROM log)
+SELECT *, CASE WHEN prior_games > 0 THEN round(prior_wins / prior_games, 6) END AS prior_pct FROM a""")
+def blocked_season(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(h.season_to_date(game_log(spark, folder), BY_TYPE, F.col("won"), "season", block_rows=BLOCK).select("event_id", "prior_games", "prior_wins", "prior_pct"))
+
+
+@query(f"""{LOG}, a AS (SELECT *, CASE WHEN won = lag(won) OVER w THEN 0 ELSE 1 END AS new FROM log WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY ts, event_id) * CASE WHEN won THEN 1 ELSE -1 END AS s FROM b),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id DESC) = 1)
+SELECT c.event_id, CAST(coalesce(k.s, 0) AS BIGINT) AS streak FROM c ASOF LEFT JOIN k ON c.event_type = k.event_type AND c.ts > k.ts""")
+def blocked_streak(spark: SparkSession, folder: str) -> DataFrame:
+    return h.streak(game_log(spark, folder), BY_TYPE, F.col("won"), block_rows=BLOCK).select("event_id", "streak")
+
+
+@query("""SELECT event_id, round(median(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS line FROM events""")
+def blocked_median(spark: SparkSession, folder: str) -> DataFrame:
+    """Running medians of keys that are too large for one block."""
+    return rounded(h.running_median(table(spark, folder, "events").select("event_id", "event_type", "ts", "value"), BY_TYPE, "value", "line", 1_000).select("event_id", "line"))

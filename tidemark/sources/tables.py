@@ -10,6 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.plan_guard import SourceRules
 from tidemark.plans.provenance import StepContractError, UndeclaredProvenanceError
 
 
@@ -48,6 +49,14 @@ class ParquetSource:
         kind = "timestamp_ntz" if rows.schema[known_at].dataType.typeName() == "timestamp_ntz" else "timestamp"
         return rows.filter(F.col(known_at) <= F.lit(instant.astimezone(timezone.utc).replace(tzinfo=None).isoformat()).cast(kind))
 
+    def query(self, sql: str, instant: datetime, invariant: Mapping[str, str] | None = None) -> DataFrame:
+        """SQL over the folder's tables, each as ``{name}``.  Its analysed plan may read timed tables only under a bound
+        by ``instant``, none of the forbidden ones, and others only with a reason (``invariant``, by name)."""
+        rules = SourceRules({n: "it holds the present state" for n in self.forbidden}, timed=self.timed, invariant=invariant or {})
+        known = {*self.timed, *self.forbidden, *rules.invariant}
+        views = {n: self.spark.read.parquet(f"{self.folder}/{n}.parquet") for n in sorted(known)}
+        return rules.check(self.spark.sql(sql, **views), instant)
+
     def time_invariant(self, name: str, justification: str) -> DataFrame:
         if not justification.strip():
             raise UndeclaredProvenanceError(f"reading all of {name} needs a justification")
