@@ -576,6 +576,13 @@ def test_text_media(spark):
     assert tiff.text_media(odd.limit(0)).count() == 0
 
 
+def test_tiff_ids_beside_nulls_keep_their_digits(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    rows = spark.createDataFrame([(i, str(i), tiff.write(b"\0" * 64)) for i in ids], "doc_id long, text string, data binary").coalesce(1)
+    assert [r["doc_id"] for r in tiff.text_media(rows).collect()] == ids
+    assert [r["id"] for r in tiff.read_pages(rows, "doc_id", "data").collect()] == ids
+
+
 # --- licences ------------------------------------------------------------------------------------------
 
 

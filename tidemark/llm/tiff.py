@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import slices
+
 #: Of a payload file: samples in a line, lines in a strip, lines in a page.
 WIDTH, STRIP, PAGE = 64, 512, 8192
 #: A page may claim so many bytes at most; more is an error, not memory.
@@ -195,19 +197,28 @@ def read_pages(files: DataFrame, id_column: str, data_column: str) -> DataFrame:
     gives none; other columns don't matter.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["id"], batch["data"], strict=True):
-                number = -1
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "data"):
+            for i, data in enumerate(batch["data"]):
+                own, number = batch["id"].slice(i, 1), -1
                 try:
-                    for number, page in enumerate(pages(data or b"")):
+                    for number, page in enumerate(pages(data.as_py() or b"")):
                         height, width, samples = page.shape
-                        yield pd.DataFrame({"id": [name], "page": [number], "width": [width], "height": [height], "samples": [samples], "bits": [8 * page.itemsize], "pixels": [page.astype(page.dtype.newbyteorder("<")).tobytes()], "error": [None]})
+                        yield _page_row(own, number, width, height, samples, 8 * page.itemsize, page.astype(page.dtype.newbyteorder("<")).tobytes(), None)
                 except ValueError as e:
-                    yield pd.DataFrame({"id": [name], "page": [number + 1], "width": [None], "height": [None], "samples": [None], "bits": [None], "pixels": [None], "error": [str(e)]})
+                    yield _page_row(own, number + 1, None, None, None, None, None, str(e))
 
     kind = files.schema[id_column].dataType.simpleString()
-    return files.select(F.col(id_column).alias("id"), F.col(data_column).alias("data")).mapInPandas(rows, f"id {kind}, page int, width int, height int, samples int, bits int, pixels binary, error string")
+    return files.select(F.col(id_column).alias("id"), F.col(data_column).alias("data")).mapInArrow(rows, f"id {kind}, {PAGE_ROW}")
+
+
+PAGE_ROW = "page int, width int, height int, samples int, bits int, pixels binary, error string"
+
+
+def _page_row(ident: pa.Array, *cells) -> pa.RecordBatch:
+    """One row, with the id as it came."""
+    kinds = [pa.int32()] * 5 + [pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([ident, *(pa.array([c], k) for c, k in zip(cells, kinds, strict=True))], names=["id", *(c.split()[0] for c in PAGE_ROW.split(", "))])
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -237,17 +248,19 @@ def text_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     give repeated rows; an empty table none; other columns don't matter.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    names = [c.split()[0] for c in MEDIA.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in MEDIA.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
             out = []
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"].to_pylist():
                 n, raw = payload(text)
                 stored = write(raw)
                 parts = [p[:, :, 0] for p in pages(stored)]
                 back = b"".join(p.tobytes() for p in parts)
-                out.append((None if pd.isna(name) else int(name), n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(parts)))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in MEDIA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(parts)))
+            cells = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds[1:])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *cells], names=names)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInPandas(rows, MEDIA)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(rows, MEDIA)
