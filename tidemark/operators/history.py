@@ -1,7 +1,8 @@
 """What was known before: trailing aggregates that never see rows of the same instant.
 
-All of them sort a key's rows once.  An aggregate over the last n rows is taken at the first row of each
-instant, where those n rows are all strictly earlier, and handed to the other rows of that instant.  Only
+All of them sort a key's rows once, and several of them one after another share that sort.  An aggregate over rows
+before is taken at the first row of each instant, where those rows are all strictly earlier, and handed to the other
+rows of that instant.  Only
 bounded frames or running aggregates are used, so no history is held as an array (but for the exponential
 mean's bounded lookback).  With ``block_rows`` no task has more than so many rows of a key (see ``hot``).
 """
@@ -42,31 +43,35 @@ class History:
         return Window.partitionBy(*self.keys, *more)
 
     def rows(self, *more: str):
-        return self.by(*more).orderBy(self.instant, self.tiebreak)
+        return self.by(*more).orderBy(self.time, self.tiebreak)
 
-    def earlier(self, *more: str):
-        """Everything at strictly earlier instants."""
-        return self.by(*more).orderBy(self.instant).rangeBetween(Window.unboundedPreceding, -1)
+    def before(self, *more: str):
+        """All rows before a row; at the first row of an instant those at strictly earlier instants."""
+        return self.rows(*more).rowsBetween(Window.unboundedPreceding, -1)
 
     def peers(self, *more: str):
-        return self.by(*more).orderBy(self.instant).rangeBetween(0, 0)
+        """The rows of an instant, in the order that ``rows`` has: no further sort."""
+        return self.by(*more, self.time).orderBy(self.tiebreak)
 
 
 def _add(df: DataFrame, history: History, made: Mapping[str, Column], more: Sequence[str] = ()) -> DataFrame:
     """Hands aggregates that hold for the first row of an instant to all of its rows."""
-    order = F.row_number().over(history.rows(*more))
-    packed = df.withColumn("__made", F.struct(*[c.alias(n) for n, c in made.items()])).withColumn("__row", order)
-    packed = packed.withColumn("__made", F.min_by("__made", "__row").over(history.peers(*more)))
+    packed = df.withColumn("__made", F.struct(*[c.alias(n) for n, c in made.items()]))
+    packed = packed.withColumn("__made", F.first("__made").over(history.peers(*more)))
     return packed.select(*df.columns, *[F.col("__made")[n].alias(n) for n in made])
 
 
 def _carry(df: DataFrame, history: History, made: Mapping[str, Column], more: Sequence[str] = (), when: Column | None = None) -> DataFrame:
     """The values at the last strictly earlier row (of those where ``when`` holds)."""
-    packed = df.withColumn("__row", F.row_number().over(history.rows(*more))).withColumn("__made", F.struct(*[c.alias(n) for n, c in made.items()]))
-    value = F.col("__made") if when is None else F.when(when, F.col("__made"))
-    order = F.col("__row") if when is None else F.when(when, F.col("__row"))
-    packed = packed.withColumn("__made", F.max_by(value, order).over(history.earlier(*more)))
-    return packed.select(*df.columns, *[F.col("__made")[n].alias(n) for n in made])
+    value = F.struct(*[c.alias(n) for n, c in made.items()])
+    last = F.last(F.when(when, value) if when is not None else value, ignorenulls=True).over(history.before(*more))
+    packed = _add(df, history, {"__last": last}, more)
+    return packed.select(*df.columns, *[F.col("__last")[n].alias(n) for n in made])
+
+
+def ended(df: DataFrame, history: History, name: str) -> DataFrame:
+    """The last strictly earlier instant, where a window over what was before ends."""
+    return _add(df, history, {name: F.max(history.time).over(history.before())})
 
 
 def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, label: str = "roll", block_rows: int | None = None) -> DataFrame:
@@ -91,9 +96,9 @@ def expanding(df: DataFrame, history: History, values: Sequence[str], season: st
         blocks = history.blocks(df, block_rows, *more).running({**cells, "__rows": (F.sum, F.lit(1).cast("long")), "__end": (F.max, F.col(history.time))})
         made = {f"{v}_{label}": F.when(F.col(f"__n_{v}") > 0, F.col(f"__s_{v}") / F.col(f"__n_{v}")) for v in values}
         return blocks.handed({**made, f"{label}_rows": F.coalesce("__rows", F.lit(0)), f"{label}_window_end": F.col("__end")})
-    w = history.earlier(*more)
+    w = history.before(*more)
     made = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(w) for v in values}
-    return df.withColumns({**made, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)})
+    return _add(df, history, {**made, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)}, more)
 
 
 def exponential(df: DataFrame, history: History, value: str, half_life: float, floor: float = 1e-6, label: str = "ewm") -> DataFrame:
@@ -166,15 +171,17 @@ def season_to_date(df: DataFrame, history: History, won: Column, season: str, bl
         blocks = history.blocks(df, block_rows, season).running({"__games": (F.sum, one), "__wins": (F.sum, F.when(won, one).otherwise(0))})
         games, wins = F.coalesce("__games", F.lit(0)), F.coalesce("__wins", F.lit(0))
         return blocks.handed({"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)})
-    w = history.earlier(season)
+    w = history.before(season)
     games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
-    return df.withColumns({"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)})
+    return _add(df, history, {"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)}, [season])
 
 
 def rest(df: DataFrame, history: History, back_to_back_hours: float = 36) -> DataFrame:
     """Days since the previous distinct instant, and whether it was less than so many hours ago."""
-    gap = history.instant - F.max(history.instant).over(history.earlier())
-    return df.withColumns({"rest_days": gap / 86_400_000_000, "is_back_to_back": F.coalesce(gap < int(back_to_back_hours * 3_600_000_000), F.lit(False))})
+    packed = _add(df, history, {"__before": F.max(history.time).over(history.before())})
+    gap = history.instant - F.unix_micros(F.col("__before").cast("timestamp"))
+    made = {"rest_days": gap / 86_400_000_000, "is_back_to_back": F.coalesce(gap < int(back_to_back_hours * 3_600_000_000), F.lit(False))}
+    return packed.withColumns(made).drop("__before")
 
 
 def rolling_rate(df: DataFrame, history: History, num: str, den: str, n: int, scale: float = 1.0, label: str = "rate") -> DataFrame:
@@ -203,10 +210,10 @@ def rolling_share(df: DataFrame, history: History, value: str, pool: Sequence[st
 def head_to_head(df: DataFrame, history: History, won: Column, margin: str, prefix: str = "h2h", season: str | None = None, n: int | None = None) -> DataFrame:
     """Games, wins, share and mean margin of the same ordered pair (``history.keys``) before the row."""
     more = [season] if season else []
-    w = history.earlier(*more) if n is None else history.rows(*more).rowsBetween(-n, -1)
+    w = history.before(*more) if n is None else history.rows(*more).rowsBetween(-n, -1)
     games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
     made = {f"{prefix}_games": games, f"{prefix}_wins": wins, f"{prefix}_pct": F.when(games > 0, wins / games), f"{prefix}_margin": F.avg(margin).over(w)}
-    return df.withColumns(made) if n is None else _add(df, history, made, more)
+    return _add(df, history, made, more)
 
 
 def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns: Sequence[str], prefix: str = "opponent_") -> DataFrame:

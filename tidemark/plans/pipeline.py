@@ -2,9 +2,9 @@
 
 Structure and declarations are checked on schemas and analysed plans, without a job.  What each step does to values
 (rows neither lost nor made, anchors not after the as-of instant, windows ended strictly before the row's event) is
-observed while the result is written to the shared folder: no step runs again for its check.  A fitted step looks at
-all rows twice, so what comes before it is written first.  Observed numbers can be too large where a task ran twice,
-so a step that looks bad is looked at again by a job of its own.
+observed while the result is written to the shared folder: no step runs again for its check, and nothing is observed
+that the plan shows already.  A fitted step looks at all rows twice, so what comes before it is written first.
+Observed numbers can be too large where a task ran twice, so what looks bad is looked at again by a job of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import staging
-from tidemark.plans.plan_guard import SourceRules, rowwise
+from tidemark.plans.plan_guard import SourceRules, carries, keeps_rows, rowwise
 from tidemark.plans.provenance import FeatureError, LeakageError, Provenance, StepContractError, StepKind, UndeclaredProvenanceError
 
 
@@ -45,12 +45,15 @@ class Frame:
     def __post_init__(self) -> None:
         if self.df is None:
             return
-        marks = {self.event_time, *self.anchors, *self.window_ends}
-        if missing := marks - set(self.df.columns):
+        if missing := self.marks - set(self.df.columns):
             raise StepContractError(f"there is no {sorted(missing)}")
-        for c in sorted(marks - {self.event_time}):
+        for c in sorted(self.marks - {self.event_time}):
             _instant(self.df, c)
 
+    @property
+    def marks(self) -> set[str]:
+        return {self.event_time, *self.anchors, *self.window_ends}
+
     @classmethod
     def empty(cls, spark: SparkSession, schema: str, event_time: str, anchors: Sequence[str] = (), window_ends: Sequence[str] = ()) -> Frame:
         return cls.from_rows(spark, [], schema, event_time, anchors, window_ends)
@@ -61,7 +64,7 @@ class Frame:
         return cls(spark.createDataFrame(rows, schema), event_time, tuple(anchors), tuple(window_ends))
 
     def select(self, *names: str) -> Frame:
-        lost = {self.event_time, *self.anchors, *self.window_ends} - set(names)
+        lost = self.marks - set(names)
         if lost:
             raise StepContractError(f"a selection must keep {sorted(lost)}")
         return replace(self, df=self.df.select(*names))
@@ -132,13 +135,21 @@ def violations(frame: Frame, context: Context) -> DataFrame:
     return frame.df.agg(*_counts(frame, context)).drop("rows")
 
 
-def _counts(frame: Frame, context: Context, of: Provenance | None = None) -> list:
-    """Rows, and how many break each rule, or only those about what a step declares."""
-    rules = _rules(frame, context)
-    if of is not None:
-        told = {*(f"late__{a}" for a in of.anchors), *(f"open__{w}" for w in of.window_ends)}
-        rules = {n: c for n, c in rules.items() if n in told}
-    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()]]
+def _rows():
+    return F.count(F.lit(1)).alias("rows")
+
+
+def _counts(frame: Frame, context: Context) -> list:
+    """Rows, and how many break each rule."""
+    return [_rows(), *[F.count_if(c).alias(n) for n, c in _rules(frame, context).items()]]
+
+
+def _broken(frame: Frame, context: Context):
+    """A bit for each rule that a row breaks."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(_rules(frame, context).values()):
+        out = out.bitwiseOR(F.when(c, 1 << min(i, 62)).otherwise(0).cast("long"))
+    return out
 
 
 def _seen(observation: Observation) -> dict | None:
@@ -148,6 +159,17 @@ def _seen(observation: Observation) -> dict | None:
         return None
 
 
+@dataclass(frozen=True)
+class _Watch:
+    """What is seen of a frame: ``whole``, or its rows alone; ``before``: of the frame that the step was given."""
+
+    step: Step | None
+    frame: Frame
+    seen: Observation
+    whole: bool
+    before: _Watch | None = None
+
+
 @dataclass(frozen=True)
 class Pipeline:
     name: str
@@ -202,37 +224,68 @@ class Pipeline:
         ``frame``: what to start from, where the first step isn't a source.
         """
         frame = frame or Frame(event_time=self.event_time)
-        watched: list[tuple[Step | None, Frame, Observation]] = []
-        chain = (None, *self.steps)
-        for step, following in zip(chain, [*self.steps, None], strict=True):
-            frame = self._apply(step, frame, context) if step else frame
-            if self.guarded and frame.df is not None:
-                seen = Observation()
-                plain = frame
-                # All rules before a filter could hide a row, and at the end; else those on what is new.
-                whole = step is None or following is None or following.provenance.kind is StepKind.FILTER
-                frame = replace(frame, df=frame.df.observe(seen, *_counts(frame, context, None if whole else step.provenance)))
-                watched.append((step, plain, seen))
-        if not watched:
+        if not self.guarded:
+            for step in self.steps:
+                frame = self._apply(step, frame, context)
+            return frame
+        return self._watched(context, frame)
+
+    def _watched(self, context: Context, frame: Frame) -> Frame:
+        """Rows are counted around steps of which the plan doesn't show that it keeps them; values are looked at
+        before a step that drops rows or makes marked columns anew, and at the end."""
+        watched: list[_Watch] = []
+        last: Step | None = None
+        counted: _Watch | None = None  # whose number of rows the frame has
+        fresh = frame.df is not None  # whether there are values that haven't been looked at
+
+        def look(frame: Frame, whole: bool, before: _Watch | None = None) -> Frame:
+            nonlocal counted, fresh
+            counted = _Watch(last, frame, Observation(), whole, before)
+            watched.append(counted)
+            fresh = fresh and not whole
+            if not whole:
+                return replace(frame, df=frame.df.observe(counted.seen, _rows()))
+            # What is observed is summed row by row without generated code, so it is one number for each row.
+            marked = frame.df.withColumn("__broken", _broken(frame, context)).observe(counted.seen, _rows(), F.bit_or("__broken").alias("broken"))
+            return replace(frame, df=marked.drop("__broken"))
+
+        for step in self.steps:
+            kind, before = step.provenance.kind, frame
+            if kind is StepKind.FITTED or kind is StepKind.FILTER and fresh:
+                before = look(before, fresh) if fresh or counted is None else before
+            frame = self._apply(step, before, context)
+            kept = kind is not StepKind.FILTER and before.df is not None and (kind is StepKind.ROW_LOCAL or keeps_rows(before.df, frame.df))
+            if before.df is not None and kind not in (StepKind.FITTED, StepKind.FILTER):
+                made_anew = fresh and not carries(before.df, frame.df, before.marks)
+                if made_anew or not kept and counted is None:
+                    before = look(before, fresh)
+                    frame = self._apply(step, before, context)
+            last, known = step, counted
+            fresh = fresh or kind is not StepKind.FILTER
+            if kind is StepKind.FILTER:
+                counted = None
+            elif not kept:
+                frame = look(frame, False, known if before.df is not None else None)
+        if frame.df is None:
             return frame
+        if fresh:
+            frame = look(frame, True)
         done = replace(frame, df=staging.materialize(frame.df, self.name))
-        before, above = None, None
-        for step, plain, seen in watched:
-            found = _seen(seen)
-            if found is None or self._wrong(step, found, before):
+        for w in watched:
+            found = _seen(w.seen)
+            if found is None or self._wrong(w, found, _seen(w.before.seen) if w.before else None):
                 # Nothing was seen where the plan shows that no row is left; what was seen twice is too much.
-                found = plain.df.agg(*_counts(plain, context)).first().asDict()
-                if wrong := self._wrong(step, found, above.df.count() if above else None):
+                found = w.frame.df.agg(*_counts(w.frame, context)).first().asDict()
+                if wrong := self._wrong(w, found, w.before.frame.df.agg(_rows()).first().asDict() if w.before else None):
                     raise wrong
-            before, above = found["rows"], plain
         return done
 
-    def _wrong(self, step: Step | None, found: dict, before: int | None) -> FeatureError | None:
-        """What the numbers after a step say, the rows before it being ``before``."""
-        name, rows = step.name if step else "start", found["rows"]
+    def _wrong(self, w: _Watch, found: dict, before: dict | None) -> FeatureError | None:
+        """What the numbers after a step say, beside those before it."""
+        name, rows = w.step.name if w.step else "start", found["rows"]
         bad = {k: n for k, n in found.items() if n and k != "rows"}
-        if before is not None and (rows > before if step.provenance.kind is StepKind.FILTER else rows != before):
-            return StepContractError(f"{self.name}: {name} made {rows} rows of {before}")
+        if w.before and before and rows != before["rows"]:
+            return StepContractError(f"{self.name}: {name} made {rows} rows of {before['rows']}")
         if any(k.startswith("no_") for k in bad):
             return UndeclaredProvenanceError(f"{self.name}, after {name}: {bad}")
         return LeakageError(f"{self.name}, after {name}: {bad}") if bad else None

@@ -7,7 +7,7 @@ as-of instant before anything mixes their rows, and whether a step that must be
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -220,3 +220,19 @@ def rowwise(before: DataFrame, after: DataFrame, step: str, filters: bool = Fals
         if kind not in allowed or not node.subqueries().isEmpty():
             raise StepContractError(f"{step} must look at one row at a time, and its plan has {kind if kind not in allowed else 'a subquery'}")
         (node,) = _list(node.children())
+
+
+def keeps_rows(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the plan shows that ``after`` has a row for each of ``before`` (expressions and windows do)."""
+    given, node = analysed(before), analysed(after)
+    while not node.fastEquals(given):
+        if _kind(node) not in ROWWISE | {"Window"}:
+            return False
+        (node,) = _list(node.children())
+    return True
+
+
+def carries(before: DataFrame, after: DataFrame, columns: Iterable[str]) -> bool:
+    """Whether ``columns`` of ``after`` are those of ``before`` and not made anew."""
+    old, new = ({a.name(): a.exprId().id() for a in _list(analysed(df).output())} for df in (before, after))
+    return all(new.get(c) == old.get(c) for c in columns)

@@ -46,7 +46,7 @@ def past(name: str, who: h.History, change: Callable[[DataFrame], DataFrame], ad
 
     def apply(df: DataFrame) -> DataFrame:
         out = change(df)
-        return out if end in out.columns else out.withColumn(end, F.max(who.time).over(who.earlier()))
+        return out if end in out.columns else h.ended(out, who, end)
 
     return p.windowed(name, apply, [*adds, end], [end], needs)
 
