@@ -143,14 +143,15 @@ def test_running_latest_without_median_is_the_same(spark):
         assert x[:2] == y[:2] and x[4] == y[4] and x[2] == pytest.approx(y[2], rel=1e-9, abs=1e-6) and x[3] == pytest.approx(y[3], rel=1e-6, abs=1e-2)
 
 
-def test_next_and_nearest_are_running_values(spark):
+@pytest.mark.parametrize("bucket", [None, 7, 1000])
+def test_next_and_nearest_are_running_values(spark, bucket):
     rng = random.Random(5)
     left = [(rng.choice("ab"), rng.randrange(300), i) for i in range(150)]
     right = [(rng.choice("ab"), rng.randrange(300), i, float(rng.randrange(50))) for i in range(120)]
     lf = spark.createDataFrame(left, "k string, s long, i long").withColumn("t", F.timestamp_seconds("s"))
     rf = spark.createDataFrame(right, "k string, s long, j long, v double").withColumn("u", F.timestamp_seconds("s"))
-    after = {r["i"]: r["next_v"] for r in asof.next_after(lf, rf, ["k"], "t", "u", "v", "j").collect()}
-    near = {r["i"]: r["nearest_v"] for r in asof.nearest_within(lf, rf, ["k"], "t", "u", "v", 5, "j").collect()}
+    after = {r["i"]: r["next_v"] for r in asof.next_after(lf, rf, ["k"], "t", "u", "v", "j", bucket).collect()}
+    near = {r["i"]: r["nearest_v"] for r in asof.nearest_within(lf, rf, ["k"], "t", "u", "v", 5, "j", bucket).collect()}
     for k, s, i in left:
         later = [(x, j, v) for q, x, j, v in right if q == k and x > s]
         assert after[i] == (min(later)[2] if later else None)

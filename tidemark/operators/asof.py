@@ -52,13 +52,41 @@ def _latest(keys: Sequence[str], *order: Column) -> Column:
     return F.last("__right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, tolerance_seconds: float, tiebreak: str) -> DataFrame:
+def _stream(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, got: Column, tiebreak: str, left_side: int, bucket_seconds: int | None) -> tuple[DataFrame, list[str]]:
+    """Both sides in one stream, and by what it is dealt out.  With buckets each one has, beside its own rows, the last
+    right row of the buckets before it and the first of those after it."""
+    ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(left_side).alias("__side"))
+    theirs = right.select(*keys, got.alias("__right"), _micros(F.col(right_time)).alias("__at"), F.lit(1 - left_side).alias("__side"), F.col(tiebreak).alias("__tie"))
+    if not bucket_seconds:
+        return theirs.unionByName(ours, allowMissingColumns=True), list(keys)
+    bucket = F.floor(F.col("__at") / (bucket_seconds * 1_000_000)).alias("__bucket")
+    ours, theirs = ours.select("*", bucket), theirs.select("*", bucket)
+    row, order = F.struct("__right", "__at", "__side", "__tie"), F.struct("__at", "__tie")
+    ends = theirs.groupBy(*keys, "__bucket").agg(F.max_by(row, order).alias("__last"), F.min_by(row, order).alias("__first"))
+    marks = ours.select(*keys, "__bucket").distinct().withColumn("__asked", F.lit(True))
+    both = marks.alias("m").join(ends.alias("e"), _same_keys([*keys, "__bucket"]), "full")
+    both = both.select(*[F.coalesce(f"m.{k}", f"e.{k}").alias(k) for k in [*keys, "__bucket"]], "m.__asked", "e.__last", "e.__first")
+    by = Window.partitionBy(*keys)
+    earlier = F.last("__last", ignorenulls=True).over(by.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.last("__first", ignorenulls=True).over(by.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    lent = both.withColumns({"__b": earlier, "__a": later}).filter("__asked").select(*keys, "__bucket", F.explode(F.array("__b", "__a")).alias("__x")).filter("__x is not null")
+    theirs = theirs.unionByName(lent.select(*keys, "__x.*", "__bucket"))
+    return theirs.unionByName(ours, allowMissingColumns=True), [*keys, "__bucket"]
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}"))
+    return out
+
+
+def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, tolerance_seconds: float, tiebreak: str, bucket_seconds: int | None = None) -> DataFrame:
     """``left`` with the value of the right row closest in time, at most ``tolerance_seconds`` away (ties: the earlier)."""
-    ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(1).alias("__side"))
-    theirs = right.select(*keys, F.struct(_micros(F.col(right_time)).alias("at"), F.col(value).alias("value")).alias("__right"), _micros(F.col(right_time)).alias("__at"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"))
-    stream = theirs.unionByName(ours, allowMissingColumns=True)
-    back = _latest(keys, F.col("__at"), F.col("__side"), F.col("__tie").asc_nulls_first())
-    ahead = _latest(keys, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_last())
+    got = F.struct(_micros(F.col(right_time)).alias("at"), F.col(value).alias("value"))
+    stream, parts = _stream(left, right, keys, left_time, right_time, got, tiebreak, 1, bucket_seconds)
+    back = _latest(parts, F.col("__at"), F.col("__side"), F.col("__tie").asc_nulls_first())
+    ahead = _latest(parts, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_last())
     both = stream.withColumns({"__back": back, "__ahead": ahead}).filter("__side = 1")
     gap_b, gap_a = F.col("__at") - F.col("__back.at"), F.col("__ahead.at") - F.col("__at")
     pick = F.when(gap_b.isNotNull() & (gap_a.isNull() | (gap_b <= gap_a)), F.col("__back")).otherwise(F.col("__ahead"))
@@ -66,12 +94,10 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return both.select("__left.*", F.when(near, pick["value"]).alias(f"nearest_{value}"))
 
 
-def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, tiebreak: str) -> DataFrame:
+def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, tiebreak: str, bucket_seconds: int | None = None) -> DataFrame:
     """``left`` with the first right value at a strictly later instant."""
-    ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(1).alias("__side"))
-    theirs = right.select(*keys, F.struct(F.col(value).alias("value")).alias("__right"), _micros(F.col(right_time)).alias("__at"), F.lit(0).alias("__side"), F.col(tiebreak).alias("__tie"))
-    stream = theirs.unionByName(ours, allowMissingColumns=True)
-    ahead = _latest(keys, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_first())
+    stream, parts = _stream(left, right, keys, left_time, right_time, F.struct(F.col(value).alias("value")), tiebreak, 1, bucket_seconds)
+    ahead = _latest(parts, F.desc("__at"), F.desc("__side"), F.col("__tie").desc_nulls_first())
     return stream.withColumn("__next", ahead).filter("__side = 1").select("__left.*", F.col("__next.value").alias(f"next_{value}"))
 
 

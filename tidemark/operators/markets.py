@@ -166,7 +166,7 @@ def race(standings: DataFrame, group: Sequence[str], team: str, wins: str, losse
 def zone_edges(players: DataFrame, defences: DataFrame, league: DataFrame, zone: str, least: int = 15, edge: float = 0.03) -> DataFrame:
     """Zones where a player and the defence met are both above the league's rate; ``*_made`` over ``*_tried``."""
     rate = lambda m, a: F.when(F.col(a) >= least, F.col(m) / F.col(a))
-    joined = players.join(defences, ["opponent", zone]).join(F.broadcast(league), zone)
+    joined = players.join(defences, ["opponent", zone]).join(league, zone)
     joined = joined.withColumns({"own_edge": rate("player_made", "player_tried") - F.col("league_rate"), "allowed_edge": rate("defence_made", "defence_tried") - F.col("league_rate")})
     return joined.filter((F.col("own_edge") > edge) & (F.col("allowed_edge") > edge)).withColumn("edge_sum", F.col("own_edge") + F.col("allowed_edge"))
 
@@ -177,6 +177,14 @@ def outcome_side(outcome: Column, home: Column, away: Column) -> Column:
     return F.when(F.array_contains(names(home), outcome), "home").when(F.array_contains(names(away), outcome), "away")
 
 
+def home_fills(fills: DataFrame, games: DataFrame) -> DataFrame:
+    """Fills (game_id, at, outcome, price, size) of a game's two outcomes as what they say of the home team: a price of
+    the other outcome is one less it.  ``games``: game_id, home_name, away_name; other outcomes, and null ones, go."""
+    met = fills.join(games.select("game_id", "home_name", "away_name"), "game_id")
+    home, away = F.col("outcome") == F.col("home_name"), F.col("outcome") == F.col("away_name")
+    return met.filter(home | away).withColumn("home_probability", F.when(home, F.col("price")).otherwise(1 - F.col("price"))).select(*fills.columns, "home_probability")
+
+
 def game_prices(snapshots: DataFrame, games: DataFrame, winners: Column) -> DataFrame:
     """Snapshots of the games' winner markets with the ``side`` they price.
 

@@ -55,7 +55,7 @@ def counts_per(df: DataFrame, key: str, expected: Mapping[str, int], check: str)
     spark = df.sparkSession
     want = spark.createDataFrame(list(expected.items()), "k string, want long")
     have = df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("have"))
-    off = F.broadcast(want).join(have, "k", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have <> want")
+    off = want.join(have, "k", "left").withColumn("have", F.coalesce("have", F.lit(0))).filter("have <> want")
     return _violations(off, check, F.col("k"), F.concat_ws("/", "have", "want"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,21 +27,26 @@ def _pivots(points: DataFrame, vector: str, n: int) -> list[list[float]]:
     return [list(r["v"]) for r in found]
 
 
-def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str], pivots: int = 64, sample: int = 1024) -> DataFrame:
+#: Cells that points are dealt to: the root of their number, between these.
+FEWEST, MOST = 64, 4096
+
+
+def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str], sample: int = 1024) -> DataFrame:
     """(__q, __p, distance): pairs among which are each query's ``k`` nearest points, exactly.
 
-    Points lie in cells around ``pivots`` of them.  The kth distance of a query to a bounded ``sample`` is one
+    Points lie in cells around some of them, the more the more points there are.  The kth distance of a query to a bounded ``sample`` is one
     that k points are known to keep, and by the triangle inequality only cells whose reach comes as close can
     hold nearer ones: queries go to those cells, points stay where they are.
     """
-    around = _pivots(points, vector, pivots)
-    if not around:
-        around = [[]]
-    lit = F.array(*[F.array(*[F.lit(float(x)) for x in p]).cast("array<double>") for p in around])
+    n = points.filter(F.col(vector).isNotNull()).count()
+    around = _pivots(points, vector, min(MOST, max(FEWEST, math.isqrt(n))))
+    # One row of at most ``MOST`` vectors.
+    pivots = F.broadcast(points.sparkSession.createDataFrame([(around or [[]],)], "__around array<array<double>>"))
+    lit = F.col("__around")
     groups = [*same, *other]
     own = points.select(F.col(ident).alias("__p"), F.col(vector).alias("__w"), *[F.col(c).alias(f"__p_{c}") for c in groups]).filter(F.col("__w").isNotNull())
     away = F.transform(lit, lambda p: distance(F.col("__w"), p))
-    placed = own.withColumn("__away", away).select("*", F.array_min("__away").alias("__reach"), (F.array_position("__away", F.array_min("__away")) - 1).cast("int").alias("__cell")).drop("__away")
+    placed = own.join(pivots).withColumn("__away", away).select("*", F.array_min("__away").alias("__reach"), (F.array_position("__away", F.array_min("__away")) - 1).cast("int").alias("__cell")).drop("__away", "__around")
     reach = placed.groupBy(*[f"__p_{c}" for c in same], "__cell").agg(F.max("__reach").alias("__radius"))
     # One row of at most ``sample`` points.
     some = own.orderBy(F.xxhash64("__p"), "__p").limit(sample).agg(F.collect_list(F.struct("*")).alias("__some"))
@@ -58,7 +64,7 @@ def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int
     bound = F.coalesce(F.get(known, F.lit(k - 1)), F.lit(float("inf")))
     asked = asked.join(F.broadcast(some)).withColumn("__bound", bound * (1 + 1e-9) + 1e-12).drop("__some")
     cells = F.posexplode(F.transform(lit, lambda p: distance(F.col("__v"), p))).alias("__cell", "__from")
-    going = asked.select("*", cells).join(reach.withColumnsRenamed({f"__p_{c}": f"__q_{c}" for c in same}), [*[f"__q_{c}" for c in same], "__cell"])
+    going = asked.join(pivots).select("*", cells).drop("__around").join(reach.withColumnsRenamed({f"__p_{c}": f"__q_{c}" for c in same}), [*[f"__q_{c}" for c in same], "__cell"])
     going = going.filter(F.coalesce(F.col("__from") - F.col("__radius") <= F.col("__bound"), F.lit(True))).drop("__from", "__radius")
     on = F.col("a.__cell") == F.col("b.__cell")
     pairs = going.alias("a").join(placed.alias("b"), on & meets(F.col))

@@ -32,6 +32,18 @@ class StepKind(Enum):
     FITTED = "fitted"
 
 
+#: What a step of each kind says of itself, beside the columns that it adds: this, and nothing else.
+SAYS = {
+    StepKind.SOURCE: "anchors",
+    StepKind.ASOF_JOIN: "anchors",
+    StepKind.TIME_INVARIANT_JOIN: "justification",
+    StepKind.WINDOWED: "window_ends",
+    StepKind.ROW_LOCAL: None,
+    StepKind.FILTER: None,
+    StepKind.FITTED: None,
+}
+
+
 @dataclass(frozen=True)
 class Provenance:
     """``adds``: columns; ``anchors``: when each row was observed; ``window_ends``: last instant in a window;
@@ -44,14 +56,14 @@ class Provenance:
     justification: str = ""
 
     def __post_init__(self) -> None:
-        observed = self.kind in (StepKind.SOURCE, StepKind.ASOF_JOIN)
-        if observed != bool(self.anchors):
-            raise UndeclaredProvenanceError(f"{self.kind.value}: anchors are for sources and as-of joins, and needed there")
-        if (self.kind is StepKind.WINDOWED) != bool(self.window_ends):
-            raise UndeclaredProvenanceError(f"{self.kind.value}: window ends are for windowed steps, and needed there")
-        if (self.kind is StepKind.TIME_INVARIANT_JOIN) != bool(self.justification.strip()):
-            raise UndeclaredProvenanceError(f"{self.kind.value}: a justification is for time-invariant joins, and needed there")
-        if self.kind is StepKind.FILTER and self.adds:
-            raise UndeclaredProvenanceError("a filter adds no columns")
-        if not {*self.anchors, *self.window_ends} <= {*self.adds}:
-            raise UndeclaredProvenanceError("anchors and window ends are among the added columns")
+        said = {name for name in ("anchors", "window_ends", "justification") if self._said(name)}
+        wanted = {SAYS[self.kind]} - {None}
+        if said != wanted:
+            raise UndeclaredProvenanceError(f"{self.kind.value}: it must say {sorted(wanted) or 'nothing more'}, and says {sorted(said) or 'nothing'}")
+        unknown = {*self.anchors, *self.window_ends} - {*self.adds}
+        if unknown or self.adds and self.kind is StepKind.FILTER:
+            raise UndeclaredProvenanceError(f"{self.kind.value}: {sorted(unknown) or 'columns'} can't be added by it")
+
+    def _said(self, name: str) -> bool:
+        value = getattr(self, name)
+        return bool(value.strip() if isinstance(value, str) else value)

@@ -28,7 +28,8 @@ PLAY_COLUMNS = (*(f"period_{i}_points" for i in (1, 2, 3, 4)), "overtime_points"
 class Tables:
     """Loaders: rows known by the context's instant.  ``quotes``: game_id, vendor, at, price, tie; ``fills``:
     game_id, at, price, tie; ``props``: player_id, at, line, tie; ``bios``: player_id, position, age; ``plays``:
-    game_id, team_id and ``PLAY_COLUMNS``; ``standings``: team_id, season, at, wins, losses, tie."""
+    game_id, team_id and ``PLAY_COLUMNS``; ``standings``: team_id, season, at, wins, losses, tie.  ``style``: the
+    dimensions that team games have; ``mix``: whether player games have ``MIX_COLUMNS``."""
 
     team_games: Callable[[p.Context], DataFrame]
     player_games: Callable[[p.Context], DataFrame] | None = None
@@ -38,6 +39,8 @@ class Tables:
     bios: Callable[[], DataFrame] | None = None
     plays: Callable[[], DataFrame] | None = None
     standings: Callable[[], DataFrame] | None = None
+    style: tuple[str, ...] = STYLE
+    mix: bool = False
 
 
 def past(name: str, who: h.History, change: Callable[[DataFrame], DataFrame], adds: Sequence[str], needs: Sequence[str] = ()) -> p.Step:
@@ -68,8 +71,8 @@ def row_local(name: str, made: Callable[[], dict], adds: Sequence[str], needs: S
 def situational_baseline(t: Tables) -> p.Pipeline:
     c = F.col
     steps = (
-        p.source("load_team_games", t.team_games, "result_known_at", ("game_id", "team_id", "opponent_team_id", "season", "season_type", START, "result_known_at", "is_franchise", "is_home", "points_scored", "points_allowed", *STYLE)),
-        row_local("coerce", lambda: {"pace": c("pace").cast("double")}, ()),
+        p.source("load_team_games", t.team_games, "result_known_at", ("game_id", "team_id", "opponent_team_id", "season", "season_type", START, "result_known_at", "is_franchise", "is_home", "points_scored", "points_allowed", *t.style)),
+        row_local("coerce", lambda: {v: c(v).cast("double") for v in t.style}, ()),
         p.keep("franchises", lambda _: c("is_franchise")),
         p.keep("season_types", lambda x: c("season_type").isin(list(x.season_types)) if x.season_types else F.lit(True)),
         p.keep("seasons", lambda x: c("season").isin(list(x.seasons)) if x.seasons else F.lit(True)),
@@ -121,11 +124,14 @@ def team_matchup(t: Tables) -> p.Pipeline:
 
 
 def team_style(t: Tables) -> p.Pipeline:
-    c, short = F.col, [f"{v}_style5" for v in STYLE]
+    """Trailing style vectors of both teams over as many dimensions as there are, their gaps and distance, and how far
+    a team's newest games are from its longer run."""
+    c, short = F.col, [f"{v}_style5" for v in t.style]
     return situational_baseline(t).renamed("team_style").with_steps(
-        rolling("style5", TEAM, STYLE, 5), rolling("style15", TEAM, STYLE, 15), mirror("opponent_style", short, "style5_window_end"),
+        rolling("style5", TEAM, t.style, 5), rolling("style15", TEAM, t.style, 15), mirror("opponent_style", short, "style5_window_end"),
+        row_local("style_gaps", lambda: {f"{v}_gap": c(f"{v}_style5") - c(f"opponent_{v}_style5") for v in t.style}, [f"{v}_gap" for v in t.style]),
         p.fitted("style_distance", lambda df: columns.style_distance(df, [(x, f"opponent_{x}") for x in short]), ["style_distance"]),
-        row_local("style_volatility", lambda: {"style_volatility": columns.style_volatility([(c(f"{v}_style5"), c(f"{v}_style15"), 1.0) for v in STYLE])}, ["style_volatility"]),
+        row_local("style_volatility", lambda: {"style_volatility": columns.style_volatility([(c(f"{v}_style5"), c(f"{v}_style15"), 1.0) for v in t.style])}, ["style_volatility"]),
     )
 
 
@@ -176,6 +182,8 @@ def with_standings(made: p.Pipeline, t: Tables) -> p.Pipeline:
     return made.with_steps(p.asof("standings", known, ["standings_observed_at", "standings_wins", "standings_losses", "standings_pct"], "standings_observed_at"))
 
 
+#: What a player's shots and rebounds are made of, and the share of the team's plays that end with the player.
+MIX_COLUMNS = ("attempts", "long_attempts", "free_attempts", "rebounds", "offensive_rebounds", "usage")
 PLAYER_COLUMNS = ("game_id", "player_id", "team_id", "season", "season_type", START, "result_known_at", "minutes", "points", "starter")
 
 
@@ -183,7 +191,7 @@ def player_form(t: Tables, least_minutes: float = 10.0) -> p.Pipeline:
     c = F.col
     bios = lambda df: df.join(t.bios(), ["player_id"], "left")
     steps = (
-        p.source("load_player_games", t.player_games, "result_known_at", PLAYER_COLUMNS),
+        p.source("load_player_games", t.player_games, "result_known_at", (*PLAYER_COLUMNS, *(MIX_COLUMNS if t.mix else ()))),
         p.keep("season_types", lambda x: c("season_type").isin(list(x.season_types)) if x.season_types else F.lit(True)),
         p.keep("seasons", lambda x: c("season").isin(list(x.seasons)) if x.seasons else F.lit(True)),
         # The team's rest: who sits a game out gains none.
@@ -203,12 +211,25 @@ def after_form(made: p.Pipeline, *steps: p.Step) -> p.Pipeline:
     return made
 
 
+def _mix() -> list[p.Step]:
+    """Shares of sums over ten games, not means of shares: of shots that are long or free, of rebounds that are
+    offensive; usage by minutes, and whether it was known."""
+    rate = lambda name, num, den: past(name, PLAYER, lambda df: h.rolling_rate(df, PLAYER, num, den, 10, label=name), [name])
+    return [
+        rate("long_attempts_share", "long_attempts", "attempts"), rate("free_attempts_share", "free_attempts", "attempts"), rate("offensive_rebounds_share", "offensive_rebounds", "rebounds"),
+        past("usage_weighted", PLAYER, lambda df: h.rolling_weighted(df, PLAYER, "usage", "minutes", 10, "usage_weighted"), ["usage_weighted"]),
+        p.row_local("flag_usage", lambda df: columns.flag_nulls(df, ["usage"]), ["usage_is_null"]),
+    ]
+
+
 def player_rates(t: Tables, least_minutes: float = 5.0) -> p.Pipeline:
+    """With the mixes of shots and rebounds and usage, where the player games have them."""
     c = F.col
     made = after_form(
         player_form(t).renamed("player_rates"),
         row_local("starts", lambda: {"started": c("starter").cast("double")}, ["started"]),
         past("per_36", PLAYER, lambda df: h.rolling_rate(df, PLAYER, "points", "minutes", 10, 36.0, "points_per_36"), ["points_per_36"]),
+        *(_mix() if t.mix else ()),
         past("weighted", PLAYER, lambda df: h.rolling_weighted(df, PLAYER, "points", "minutes", 10, "points_weighted"), ["points_weighted"]),
         past("share", PLAYER, lambda df: h.rolling_share(df, PLAYER, "minutes", ["team_id", "game_id"], 10, "minutes_share"), ["minutes_share"]),
         rolling("starts10", PLAYER, ["started"], 10),

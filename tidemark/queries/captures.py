@@ -158,6 +158,17 @@ def venue_series(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(markets.venue_series(_game_prices(spark, folder), ["game_id"], "at"), 9)
 
 
+@query("""SELECT l_orderkey AS game_id, l_linenumber AS n, l_shipdate AS "at", CASE WHEN l_linenumber = 3 THEN l_discount ELSE 1 - l_discount END AS home_probability FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber IN (3, 5)""")
+def home_fills(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills as what they say of the home team, whichever side was bought; those of other outcomes go."""
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    name = lambda first: F.concat_ws(" ", F.lit(first), F.col("o_custkey").cast("string"))
+    n = F.col("l_linenumber")
+    fills = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("game_id"), n.alias("n"), F.col("l_shipdate").alias("at"), F.col("l_discount").alias("price"), F.when(n == 3, name("Home")).when(n == 5, name("Away")).when(n == 6, "Draw").alias("outcome"))
+    games = orders.select(F.col("o_orderkey").alias("game_id"), name("Home").alias("home_name"), name("Away").alias("away_name"))
+    return rounded(markets.home_fills(fills, games).select("game_id", "n", "at", "home_probability"), 9)
+
+
 @query("""WITH r AS (SELECT l_suppkey AS k, avg(l_discount) * 8 AS rate, avg(l_tax) * 12 AS price, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT k, round(round(rate, 9) - round(price, 9), 3) AS gap FROM r WHERE round(price, 9) BETWEEN 0.03 AND 0.97 AND n >= 6 AND k NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) ORDER BY abs(round(round(rate, 9) - round(price, 9), 3)) DESC, k LIMIT 12""")
 def ranked_gaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -165,7 +165,7 @@ def substring_join(spark: SparkSession, folder: str) -> DataFrame:
     """Nations whose name holds a part's first letter: counted by letter first, so the loop is over 25 nations and few letters."""
     letters = table(spark, folder, "part").groupBy(F.substring(F.split_part("p_name", F.lit(" "), F.lit(1)), 1, 1).alias("letter")).agg(F.count("*").alias("n"))
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    return letters.join(F.broadcast(nations), F.expr("n_name ilike concat('%', letter, '%')")).groupBy("n_nationkey").agg(long(F.sum("n")).alias("parts"))
+    return letters.join(nations, F.expr("n_name ilike concat('%', letter, '%')")).groupBy("n_nationkey").agg(long(F.sum("n")).alias("parts"))
 
 
 @query("""WITH ids(c_custkey) AS (VALUES (1), (3), (7), (100000000)) SELECT CAST(ids.c_custkey AS BIGINT) AS c_custkey, count(o_orderkey) AS orders FROM ids LEFT JOIN orders ON o_custkey = ids.c_custkey GROUP BY 1""")
@@ -174,7 +174,7 @@ def requested_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     ids = requested(spark, [1, 3, 7, 100_000_000], "c_custkey")
     orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    return F.broadcast(ids).join(orders, "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+    return ids.join(orders, "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
 
 
 @query("""SELECT l_orderkey, rank, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank <= 2""")

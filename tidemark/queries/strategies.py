@@ -20,7 +20,14 @@ from tidemark.queries.catalog import game_log, query, rounded, table
 CONTEXT = p.Context(datetime(2024, 6, 1, tzinfo=timezone.utc))
 
 
-def tables(spark: SparkSession, folder: str) -> s.Tables:
+#: Ten dimensions out of a game's lines.
+WIDE = {
+    "price": "{0}.l_extendedprice / 1000", "discount": "{0}.l_discount", "tax": "{0}.l_tax", "quantity": "{0}.l_quantity", "line": "{0}.l_linenumber", "part": "{0}.l_partkey % 97",
+    "unit": "{0}.l_extendedprice / {0}.l_quantity", "saved": "{0}.l_extendedprice * {0}.l_discount / 1000", "taxed": "{0}.l_extendedprice * {0}.l_tax / 1000", "maker": "{0}.l_partkey % 7",
+}
+
+
+def tables(spark: SparkSession, folder: str, wide: bool = False) -> s.Tables:
     def team_games(context: p.Context) -> DataFrame:
         line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
         ends = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min(line).alias("a"), F.max(line).alias("b")).filter("a.l_suppkey <> b.l_suppkey")
@@ -31,15 +38,22 @@ def tables(spark: SparkSession, folder: str) -> s.Tables:
         )
 
         def side(own: str, other: str, home: str) -> dict[str, str]:
+            if wide:
+                return {"team_id": f"{own}.l_suppkey", "opponent_team_id": f"{other}.l_suppkey", "is_home": home, "points_scored": f"{own}.l_quantity", "points_allowed": f"{other}.l_quantity", **{k: f"{own}_{k}" for k in WIDE}}
             return {"team_id": f"{own}.l_suppkey", "opponent_team_id": f"{other}.l_suppkey", "is_home": home, "points_scored": f"{own}.l_quantity", "points_allowed": f"{other}.l_quantity", "price": f"{own}.l_extendedprice", "tempo": f"{own}.l_discount", "spread": f"{own}.l_tax"}
 
+        if wide:
+            games = games.withColumns({f"{x}_{k}": F.expr(v.format(x)).cast("double") for x in "ab" for k, v in WIDE.items()})
         both = rel.sides(games, {"home": side("a", "b", "yes"), "away": side("b", "a", "no")})
-        return both.select("game_id", "team_id", "opponent_team_id", "season", "season_type", "start_time", "result_known_at", (F.col("team_id") % 10 != 9).alias("is_franchise"), "is_home", "points_scored", "points_allowed", (F.col("price") / 1000).alias("pace"), "tempo", "spread")
+        shown = ["game_id", "team_id", "opponent_team_id", "season", "season_type", "start_time", "result_known_at", (F.col("team_id") % 10 != 9).alias("is_franchise"), "is_home", "points_scored", "points_allowed"]
+        return both.select(*shown, *WIDE) if wide else both.select(*shown, (F.col("price") / 1000).alias("pace"), "tempo", "spread")
 
     def player_games(context: p.Context) -> DataFrame:
         log = game_log(spark, folder)
         known = (F.col("ts").cast("timestamp") + F.expr("interval 3 hours")).alias("result_known_at")
-        return log.select(F.col("event_id").alias("game_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 10).alias("team_id"), "season", F.lit("regular-season").alias("season_type"), F.col("ts").cast("timestamp").alias("start_time"), known, F.col("k").alias("minutes"), F.col("value").alias("points"), (F.col("event_type") == "click").alias("starter"))
+        shots, boards, e = F.floor(F.col("value") / 5), F.col("event_id") % 9, F.col("event_id")
+        mixed = [shots.alias("attempts"), F.least(shots, e % 6).alias("long_attempts"), (e % 4).alias("free_attempts"), boards.alias("rebounds"), F.least(boards, e % 4).alias("offensive_rebounds"), F.when(e % 13 != 0, F.col("value") / 100).alias("usage")]
+        return log.select(*(mixed if wide else ()), F.col("event_id").alias("game_id"), F.col("user_id").alias("player_id"), (F.col("user_id") % 10).alias("team_id"), "season", F.lit("regular-season").alias("season_type"), F.col("ts").cast("timestamp").alias("start_time"), known, F.col("k").alias("minutes"), F.col("value").alias("points"), (F.col("event_type") == "click").alias("starter"))
 
     def quotes() -> DataFrame:
         return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("vendor"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_discount").alias("price"), F.col("l_extendedprice").alias("tie"))
@@ -63,11 +77,11 @@ def tables(spark: SparkSession, folder: str) -> s.Tables:
         o = table(spark, folder, "orders")
         return o.select((F.col("o_custkey") % 100).alias("team_id"), F.year("o_orderdate").alias("season"), F.col("o_orderdate").cast("timestamp").alias("at"), F.floor(F.col("o_totalprice") / 10_000).alias("wins"), (F.col("o_custkey") % 7).alias("losses"), F.col("o_orderkey").alias("tie"))
 
-    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios, shaped, standings)
+    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios, shaped, standings, tuple(WIDE) if wide else s.STYLE, wide)
 
 
-def _run(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return s.build(name, tables(spark, folder)).run(CONTEXT).df
+def _run(spark: SparkSession, folder: str, name: str, wide: bool = False) -> DataFrame:
+    return s.build(name, tables(spark, folder, wide)).run(CONTEXT).df
 
 
 _TEAM = """WITH e AS (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)) AS a, max((l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)) AS b FROM lineitem GROUP BY 1),
@@ -231,6 +245,39 @@ def player_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_run(spark, folder, "player_rates").select("game_id", "player_id", "points_per_36", "points_per_36_is_null", "points_weighted", "minutes_share", "started_starts10"), 9)
 
 
+_WIDE = {k: v.format("l") for k, v in WIDE.items()}
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS k, lineitem AS l FROM lineitem), e AS (SELECT l_orderkey, arg_min(l, k) AS a, arg_max(l, k) AS b FROM l GROUP BY 1),
+g AS (SELECT o_orderkey AS game_id, o_orderdate AS start_time, a, b FROM e JOIN orders ON e.l_orderkey = o_orderkey WHERE a.l_suppkey <> b.l_suppkey),
+t AS (SELECT game_id, start_time, a.l_suppkey AS team_id, b.l_suppkey AS opponent_team_id, a AS l FROM g UNION ALL SELECT game_id, start_time, b.l_suppkey, a.l_suppkey, b FROM g),
+"""
+    + f"""f AS (SELECT game_id, start_time, team_id, opponent_team_id, {", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in _WIDE.items())} FROM t WHERE team_id % 10 <> 9),
+r AS (SELECT *, count(*) OVER w AS earlier, row_number() OVER (PARTITION BY team_id ORDER BY start_time, game_id) AS n FROM f WINDOW w AS (PARTITION BY team_id ORDER BY start_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING))"""
+    + _last("a5", 5, **{f"{v}5": f"avg(x.{v})" for v in WIDE}) + _last("a15", 15, **{f"{v}15": f"avg(x.{v})" for v in WIDE})
+    + f""", z AS (SELECT r.game_id, r.team_id, r.opponent_team_id, {", ".join(f"{v}5, {v}15" for v in WIDE)} FROM r JOIN a5 USING (game_id, team_id) JOIN a15 USING (game_id, team_id)),
+d AS (SELECT {", ".join(f"CASE WHEN stddev_samp({v}5) > 0 THEN stddev_samp({v}5) ELSE 1 END AS {v}_d" for v in WIDE)} FROM z)
+SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5 - o.{v}5, 6) AS {v}_gap" for v in WIDE)}, CASE WHEN z.price5 IS NOT NULL AND o.price5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in WIDE)}), 6) END AS style_distance,
+  round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in WIDE)}) / 10), 6) AS style_volatility
+FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id CROSS JOIN d"""
+)
+def team_style_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Style in ten dimensions: the gaps of both teams' vectors, their distance, and how settled a team is."""
+    out = _run(spark, folder, "team_style", wide=True)
+    return rounded(out.select("game_id", "team_id", *[f"{v}_gap" for v in WIDE], "style_distance", "style_volatility"), 6)
+
+
+@query("""WITH l AS (SELECT event_id AS game_id, user_id AS player_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS minutes, floor(value / 5) AS shots, event_id % 9 AS boards, CASE WHEN event_id % 13 <> 0 THEN value / 100 END AS usage FROM events),
+w AS (SELECT game_id, player_id, minutes, usage IS NULL AS usage_is_null, sum(least(shots, event_id % 6)) OVER o / nullif(sum(shots) OVER o, 0) AS long_share, sum(event_id % 4) OVER o / nullif(sum(shots) OVER o, 0) AS free_share, sum(least(boards, event_id % 4)) OVER o / nullif(sum(boards) OVER o, 0) AS offensive,
+  sum(CASE WHEN minutes > 0 THEN minutes * usage END) OVER o / nullif(sum(CASE WHEN minutes > 0 AND usage IS NOT NULL THEN minutes END) OVER o, 0) AS usage_w FROM l WINDOW o AS (PARTITION BY player_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT game_id, player_id, round(long_share, 9) AS long_attempts_share, round(free_share, 9) AS free_attempts_share, round(offensive, 9) AS offensive_rebounds_share, round(usage_w, 9) AS usage_weighted, usage_is_null FROM w WHERE minutes >= 5""")
+def player_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """What players' shots and rebounds are made of over their last ten games, and their usage."""
+    out = _run(spark, folder, "player_rates", wide=True)
+    return rounded(out.select("game_id", "player_id", "long_attempts_share", "free_attempts_share", "offensive_rebounds_share", "usage_weighted", "usage_is_null"), 9)
+
+
 @query("""SELECT 'clean' AS frame, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS open UNION ALL SELECT 'planted', count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20'), count(*) FILTER (WHERE event_type = 'error') FROM events""")
 def guard_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows break the guard's rules: on a sound frame, and on one with planted leaks."""

@@ -71,7 +71,7 @@ def name_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """The first rung on which a name is known: as it is, by alias, turned round, and that by alias."""
     known = spark.createDataFrame([("cars", 1), ("building", 2), ("houses", 3), ("machinery", 4)], "key string, id int")
     rungs = table(spark, folder, "customer").select("c_custkey", F.explode(tx.name_candidates(F.col("c_mktsegment"), _ALIASES)).alias("c")).select("c_custkey", "c.*")
-    return rungs.join(F.broadcast(known), "key").groupBy("c_custkey").agg(F.min_by("id", "priority").alias("id"))
+    return rungs.join(known, "key").groupBy("c_custkey").agg(F.min_by("id", "priority").alias("id"))
 
 
 @query("""SELECT o_orderkey, CAST(CASE WHEN date_diff('day', DATE '1998-02-01', make_date(1998, month(o_orderdate), least(day(o_orderdate), 28))) > 60 THEN make_date(1997, month(o_orderdate), least(day(o_orderdate), 28)) ELSE make_date(1998, month(o_orderdate), least(day(o_orderdate), 28)) END AS VARCHAR) AS day FROM orders""")

@@ -34,11 +34,19 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def _goes_with_the_driver(spark: SparkSession, path: str) -> None:
+    """What is at ``path`` is deleted when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here, nothing runs twice,
-    and Spark forgets how the rows were dealt, so that joins on them get exchanges it can split."""
+    and Spark forgets how the rows were dealt, so that joins on them get exchanges it can split.  The table is there
+    as long as the driver is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.select("*").write.parquet(path)
+    _goes_with_the_driver(spark, path)
     return spark.read.schema(df.schema).parquet(path)
