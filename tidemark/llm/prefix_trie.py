@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import by_size, materialize, partitions
 
 #: A bucket with at most so many sequences and turns is finished by one task.
-LOCAL_SEQUENCES, LOCAL_TURNS = 2_000, 100_000
+LOCAL_SEQUENCES, LOCAL_TURNS = 256, 25_000
 #: Large buckets of a level that are handed to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: Bytes of member ids that are joined into one row.

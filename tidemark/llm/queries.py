@@ -60,7 +60,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter("doc_id is not null")
     poor = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block"))
     labelled = pages.select("page_id", tokens(F.col("url")).alias("items")).join(poor, "page_id").select("items", "block")
-    return judge(pages, mine(labelled))
+    return judge(pages, mine(labelled, confidence=0.5, odds_ratio=3.0))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Judging URLs by given rules, then by association rules mined from labels.
 
-Tokens of a URL are its scheme, all its host's suffixes and its first label, all path segments by position
-(digits as #), query keys and whether it has a fragment.  Spark's FP-growth mines which combinations of tokens go with
+Tokens of a URL are its scheme, all its host's suffixes and its first label, the words of its host and of its path,
+all path segments by position (digits as #), query keys and whether it has a fragment.  Spark's FP-growth mines which combinations of tokens go with
 blocked pages; rules are pruned by support and confidence, none may be worse than no rule, and none stays that a
 part of it makes needless; their number has no bound.  Each rule stands in an inverted index under its rarest
 token, so a URL meets only rules of which it holds that token.
@@ -69,8 +69,9 @@ def tokens(url: F.Column) -> F.Column:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query:"), F.substring_index(s, "=", 1)))
     scheme = F.concat(F.lit("scheme:"), F.substring_index(F.coalesce(url, F.lit("")), "://", 1))
+    said = lambda kind, c: F.transform(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != ""), lambda w: F.concat(F.lit(kind), w))
     fragment = F.when(F.coalesce(url, F.lit("")).contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(scheme, F.concat(F.lit("first:"), F.get(labels, 0))), suffixes, placed, keys, fragment))
+    return F.array_distinct(F.concat(F.array(scheme, F.concat(F.lit("first:"), F.get(labels, 0))), suffixes, placed, keys, fragment, said("word:", host(url)), said("in:", path(url))))
 
 
 @dataclass(frozen=True, eq=False)
@@ -107,10 +108,12 @@ def _minimal(itemsets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> Mined | list:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, odds_ratio: float = 0.0) -> Mined | list:
     """The rules in ``labelled`` (items: array of tokens, block: boolean); an empty list without labelled pages.
 
-    A rule goes only if a part of its tokens gives the same verdict with at least its confidence.
+    A rule goes only if a part of its tokens gives the same verdict with at least its confidence.  ``odds_ratio``: how
+    far the odds of a rule's verdict must be above those of all pages, which asks the same of a rare verdict as of a
+    common one.
     """
     mark = F.when(F.col("block"), BLOCK).otherwise(ALLOW)
     known = labelled.filter(F.col("items").isNotNull() & F.col("block").isNotNull())
@@ -138,7 +141,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     share = F.when(F.col("mined") == BLOCK, marks.get(BLOCK, 0) / total).otherwise(marks.get(ALLOW, 0) / total)
     odds = lambda p: F.when(p < 1, p / (1 - p)).otherwise(float("inf"))
     rules = rules.filter((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * share) & (F.col("confidence") > F.col("below")))
-    rules = rules.select("need", F.expr("substring(mined, 2)").alias("mined"), "confidence", F.when(share < 1, odds(F.col("confidence")) / odds(share)).otherwise(1.0).alias("gain"))
+    rules = rules.select("need", F.expr("substring(mined, 2)").alias("mined"), "confidence", F.when(share < 1, odds(F.col("confidence")) / odds(share)).otherwise(1.0).alias("gain")).filter(F.col("gain") >= odds_ratio)
     known_items = F.broadcast(alias.filter("token = item").select("item", "n"))
     rarest = rules.withColumn("item", F.explode("need")).join(known_items, "item").groupBy("need", "mined").agg(F.min(F.struct("n", "item")).alias("rarest"), F.first("confidence").alias("confidence"), F.first("gain").alias("gain"))
     return Mined(alias, materialize(rarest.select(F.col("rarest.item").alias("token"), "need", "mined", "confidence", "gain"), "rules"))
