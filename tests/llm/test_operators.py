@@ -360,7 +360,28 @@ def test_url_tokens_are_whole(spark):
     url = "http://a.b.c.d.e.net/p/q/r/s/casino/x7"
     (row,) = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url")).alias("items")).collect()
     hosts = {"host:net", "host:e.net", "host:d.e.net", "host:c.d.e.net", "host:b.c.d.e.net", "host:a.b.c.d.e.net"}
-    assert set(row["items"]) == {"scheme:http", "first:a", *hosts, "path0:p", "path1:q", "path2:r", "path3:s", "path4:casino", "path5:x#"}
+    words = {*(f"word:{w}" for w in ("a", "b", "c", "d", "e", "net")), *(f"in:{w}" for w in ("p", "q", "r", "s", "casino", "x"))}
+    assert set(row["items"]) == {"scheme:http", "first:a", *hosts, *words, "path0:p", "path1:q", "path2:r", "path3:s", "path4:casino", "path5:x#"}
+
+
+def test_words_of_urls_are_tokens(spark):
+    url = "http://spam-farm.best-casino7.example/Win_now/42-free%20é?q=word"
+    (row,) = spark.createDataFrame([(url,)], "url string").select(url_rules.tokens(F.col("url")).alias("items")).collect()
+    assert {"word:spam", "word:farm", "word:casino", "in:win", "in:now", "in:free", "in:é"} <= set(row["items"]) and not any("word:q" in t or t == "in:" for t in row["items"])
+
+
+def test_rare_verdicts_have_rules_by_their_odds(spark):
+    """One page in ten is bad, half of those with one word: a confidence of 0.75 says nothing of it, its odds do."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1000):
+        hit = rng.random() < 0.1
+        rows.append((i, f"http://{'spam-' if hit else ''}h{i % 7}.net/p{i % 11}", rng.random() < (0.55 if hit else 0.05)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    labelled = pages.select(url_rules.tokens(F.col("url")).alias("items"), "block")
+    assert not any(v == "block" for _, v, _ in url_rules.mine(labelled))
+    mined = url_rules.mine(labelled, confidence=0.5, odds_ratio=3.0)
+    assert {r["verdict"] for r in url_rules.judge(pages, mined).filter("url like '%spam-%'").collect()} == {"block"}
 
 
 def test_mined_url_rules_of_deep_paths_and_middle_labels(spark):

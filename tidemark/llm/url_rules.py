@@ -164,7 +164,10 @@ def judge(pages: DataFrame, mined: Mined | list, rules: Sequence[Rule] = RULES,
         index = by_size(mined.rules, BROADCAST)
         met = held.withColumn("token", F.explode("items")).join(index, "token").filter(F.size(F.array_except("need", "items")) == 0)
         best = met.groupBy(F.col("url").alias("known")).agg(F.max(F.struct("gain", "confidence", F.size("need"), "mined")).alias("best")).select("known", "best.mined")
-        rows = rows.join(best, F.when(F.col("found").isNull(), url) == F.col("known"), "left")
+        # Pages that a given rule judges have nothing to look up, and would all have the same key.
+        asked = F.col("found").isNull() & url.isNotNull()
+        judged = rows.filter(~asked).withColumns({"known": F.lit(None).cast("string"), "mined": F.lit(None).cast("string")})
+        rows = rows.filter(asked).join(best, url == F.col("known"), "left").unionByName(judged)
         learnt = F.col("mined")
     by = F.when(F.col("found").isNotNull(), "rule").when(learnt.isNotNull(), "mined").otherwise("default")
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", learnt, F.lit(default)).alias("verdict"), by.alias("by"))
