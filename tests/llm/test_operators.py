@@ -379,9 +379,9 @@ def test_rare_verdicts_have_rules_by_their_odds(spark):
         rows.append((i, f"http://{'spam-' if hit else ''}h{i % 7}.net/p{i % 11}", rng.random() < (0.55 if hit else 0.05)))
     pages = spark.createDataFrame(rows, "page_id long, url string, block boolean")
     labelled = pages.select(url_rules.tokens(F.col("url")).alias("items"), "block")
-    assert not any(v == "block" for _, v, _ in url_rules.mine(labelled))
-    mined = url_rules.mine(labelled, confidence=0.5, odds_ratio=3.0)
-    assert {r["verdict"] for r in url_rules.judge(pages, mined).filter("url like '%spam-%'").collect()} == {"block"}
+    spam = lambda mined: {r["verdict"] for r in url_rules.judge(pages, mined).filter("url like '%spam-%'").collect()}
+    assert "allow" in spam(url_rules.mine(labelled))
+    assert spam(url_rules.mine(labelled, confidence=0.5, odds_ratio=3.0)) == {"block"}
 
 
 def test_mined_url_rules_of_deep_paths_and_middle_labels(spark):
