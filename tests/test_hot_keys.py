@@ -40,6 +40,17 @@ def test_blocks_give_what_windows_give(spark, rows):
     equal(h.streak(df, BY, F.col("won"), block_rows=rows), h.streak(df, BY, F.col("won")))
 
 
+@pytest.mark.parametrize("rows", [30, 10_000])
+def test_other_bounded_windows_of_blocks(spark, rows):
+    df = frame(spark, 400, seed=5).withColumn("w", F.col("i") % 4)
+    pairs = [
+        lambda b: h.dispersion(df, BY, "v", 6, block_rows=b), lambda b: h.slope(df, BY, "v", 6, block_rows=b), lambda b: h.rolling_rate(df, BY, "v", "w", 5, 36.0, block_rows=b),
+        lambda b: h.rolling_weighted(df, BY, "v", "w", 5, block_rows=b), lambda b: h.rolling_share(df, BY, "v", ["k", "season"], 5, block_rows=b), lambda b: h.exponential(df, BY, "v", 1.0, 1e-3, block_rows=b),
+    ]
+    for made in pairs:
+        equal(made(rows), made(None))
+
+
 def test_a_window_fits_its_block(spark):
     with pytest.raises(ValueError, match="too small"):
         h.rolling(frame(spark), BY, ["v"], 5, block_rows=4)

@@ -74,6 +74,15 @@ def ended(df: DataFrame, history: History, name: str) -> DataFrame:
     return _add(df, history, {name: F.max(history.time).over(history.before())})
 
 
+def _bounded(df: DataFrame, history: History, n: int, made: Callable[[Any], Mapping[str, Column]], block_rows: int | None) -> DataFrame:
+    """Hands out ``made`` (of an ordered window, looking at most ``n`` rows back), from blocks if asked for."""
+    if not block_rows:
+        return _add(df, history, made(history.rows()))
+    names = list(made(history.rows()))
+    blocks = history.blocks(df, block_rows).bounded(n, lambda w: {f"__made_{k}": c for k, c in made(w).items()})
+    return blocks.handed({k: F.col(f"__made_{k}") for k in names})
+
+
 def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, label: str = "roll", block_rows: int | None = None) -> DataFrame:
     """Mean of each value over the last ``n`` earlier rows (nulls skipped), rows in the window, and its end."""
 
@@ -82,10 +91,7 @@ def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, labe
         means = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(frame) for v in values}
         return {**means, f"{label}_rows": F.count(F.lit(1)).over(frame), f"{label}_window_end": F.max(history.time).over(frame)}
 
-    if not block_rows:
-        return _add(df, history, made(history.rows()))
-    cells = history.blocks(df, block_rows).bounded(n, lambda w: {f"__{k}": c for k, c in made(w).items()})
-    return cells.handed({k: F.col(f"__{k}") for k in made(history.rows())})
+    return _bounded(df, history, n, made, block_rows)
 
 
 def expanding(df: DataFrame, history: History, values: Sequence[str], season: str | None = None, label: str = "mean", block_rows: int | None = None) -> DataFrame:
@@ -101,35 +107,41 @@ def expanding(df: DataFrame, history: History, values: Sequence[str], season: st
     return _add(df, history, {**made, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)}, more)
 
 
-def exponential(df: DataFrame, history: History, value: str, half_life: float, floor: float = 1e-6, label: str = "ewm") -> DataFrame:
+def exponential(df: DataFrame, history: History, value: str, half_life: float, floor: float = 1e-6, label: str = "ewm", block_rows: int | None = None) -> DataFrame:
     """Weights halve every ``half_life`` rows back, counted over null rows too, and end below ``floor``."""
     decay = 0.5 ** (1 / half_life)
     lookback = max(1, math.floor(math.log(floor) / math.log(decay)) + 1)
-    frame = history.rows().rowsBetween(-lookback, -1)
-    past = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(frame)
+    past = lambda rows: {"__past": F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(rows.rowsBetween(-lookback, -1))}
     start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1.0).alias("w"))
 
     def step(a: Column, x: Column) -> Column:
         w = F.when(x["v"].isNull(), 0.0).otherwise(a["w"])
         return F.struct((a["num"] + w * F.coalesce(x["v"], F.lit(0.0))).alias("num"), (a["den"] + w).alias("den"), (a["w"] * decay).alias("w"))
 
-    packed = _add(df, history, {"__past": past})
+    packed = _bounded(df, history, lookback, past, block_rows)
     mean = F.aggregate(F.reverse("__past"), start, step, lambda a: F.when(a["den"] > 0, a["num"] / a["den"]))
     return packed.withColumns({f"{value}_{label}": mean, f"{label}_rows": F.size("__past").cast("long")}).drop("__past")
 
 
-def dispersion(df: DataFrame, history: History, value: str, n: int, label: str = "sd") -> DataFrame:
+def dispersion(df: DataFrame, history: History, value: str, n: int, label: str = "sd", block_rows: int | None = None) -> DataFrame:
     """Sample standard deviation over the last ``n`` earlier rows; null under two values."""
-    return _add(df, history, {f"{value}_{label}": F.stddev_samp(F.col(value).cast("double")).over(history.rows().rowsBetween(-n, -1))})
+    made = lambda rows: {f"{value}_{label}": F.stddev_samp(F.col(value).cast("double")).over(rows.rowsBetween(-n, -1))}
+    return _bounded(df, history, n, made, block_rows)
 
 
-def slope(df: DataFrame, history: History, value: str, n: int, label: str = "slope") -> DataFrame:
+def slope(df: DataFrame, history: History, value: str, n: int, label: str = "slope", block_rows: int | None = None) -> DataFrame:
     """Least-squares slope of the last ``n`` rows' values on their place among those that aren't null."""
-    place = F.count(value).over(history.rows().rowsBetween(Window.unboundedPreceding, 0))
-    df2 = df.withColumn("__place", place.cast("double"))
-    frame = history.rows().rowsBetween(-n, -1)
-    fit = F.when(F.count(value).over(frame) >= 2, F.regr_slope(F.col(value).cast("double"), F.col("__place")).over(frame))
-    return _add(df2, history, {f"{value}_{label}": fit}).drop("__place")
+    # Places may be counted from anywhere: a block counts its own.
+    place = lambda rows: {"__place": F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).cast("double")}
+
+    def made(rows) -> dict[str, Column]:
+        frame = rows.rowsBetween(-n, -1)
+        return {f"{value}_{label}": F.when(F.count(value).over(frame) >= 2, F.regr_slope(F.col(value).cast("double"), F.col("__place")).over(frame))}
+
+    if block_rows:
+        blocks = history.blocks(df, block_rows).bounded(n, place, made)
+        return blocks.handed({f"{value}_{label}": F.col(f"{value}_{label}")})
+    return _add(df.withColumns(place(history.rows())), history, made(history.rows())).drop("__place")
 
 
 def split_rolling(df: DataFrame, history: History, value: str, where: Column, n: int, label: str = "split") -> DataFrame:
@@ -184,27 +196,34 @@ def rest(df: DataFrame, history: History, back_to_back_hours: float = 36) -> Dat
     return packed.withColumns(made).drop("__before")
 
 
-def rolling_rate(df: DataFrame, history: History, num: str, den: str, n: int, scale: float = 1.0, label: str = "rate") -> DataFrame:
+def rolling_rate(df: DataFrame, history: History, num: str, den: str, n: int, scale: float = 1.0, label: str = "rate", block_rows: int | None = None) -> DataFrame:
     """scale * sum(num) / sum(den) over the last ``n`` earlier rows where both are known; null for a zero sum."""
-    frame = history.rows().rowsBetween(-n, -1)
     both = F.col(num).isNotNull() & F.col(den).isNotNull()
-    top, bottom = (F.sum(F.when(both, F.col(c).cast("double"))).over(frame) for c in (num, den))
-    return _add(df, history, {label: F.when(bottom != 0, scale * top / bottom)})
+
+    def made(rows) -> dict[str, Column]:
+        top, bottom = (F.sum(F.when(both, F.col(c).cast("double"))).over(rows.rowsBetween(-n, -1)) for c in (num, den))
+        return {label: F.when(bottom != 0, scale * top / bottom)}
+
+    return _bounded(df, history, n, made, block_rows)
 
 
-def rolling_weighted(df: DataFrame, history: History, value: str, weight: str, n: int, label: str = "wmean") -> DataFrame:
+def rolling_weighted(df: DataFrame, history: History, value: str, weight: str, n: int, label: str = "wmean", block_rows: int | None = None) -> DataFrame:
     """sum(w x) / sum(w) over the last ``n`` earlier rows with w > 0 and x known."""
-    frame = history.rows().rowsBetween(-n, -1)
     good = F.col(value).isNotNull() & (F.col(weight) > 0)
     x, w = F.col(value).cast("double"), F.col(weight).cast("double")
-    bottom = F.sum(F.when(good, w)).over(frame)
-    return _add(df, history, {label: F.when(bottom > 0, F.sum(F.when(good, w * x)).over(frame) / bottom)})
+
+    def made(rows) -> dict[str, Column]:
+        frame = rows.rowsBetween(-n, -1)
+        bottom = F.sum(F.when(good, w)).over(frame)
+        return {label: F.when(bottom > 0, F.sum(F.when(good, w * x)).over(frame) / bottom)}
+
+    return _bounded(df, history, n, made, block_rows)
 
 
-def rolling_share(df: DataFrame, history: History, value: str, pool: Sequence[str], n: int, label: str = "share") -> DataFrame:
+def rolling_share(df: DataFrame, history: History, value: str, pool: Sequence[str], n: int, label: str = "share", block_rows: int | None = None) -> DataFrame:
     """Own sum over the sum of all rows of the same pool (such as team and game), both over the last ``n`` rows."""
     pooled = df.withColumn("__pool", F.sum(value).over(Window.partitionBy(*pool)))
-    return rolling_rate(pooled, history, value, "__pool", n, label=label).drop("__pool")
+    return rolling_rate(pooled, history, value, "__pool", n, label=label, block_rows=block_rows).drop("__pool")
 
 
 def head_to_head(df: DataFrame, history: History, won: Column, margin: str, prefix: str = "h2h", season: str | None = None, n: int | None = None) -> DataFrame:

@@ -66,14 +66,17 @@ class Blocks:
     def window(self):
         return Window.partitionBy(*self.keys, "__block").orderBy("__rank")
 
-    def bounded(self, n: int, made: Callable[[Window], Mapping[str, Column]]) -> Blocks:
-        """With columns over a window that reaches at most ``n`` rows back: each block has the ``n`` before it."""
+    def bounded(self, n: int, *made: Callable[[Window], Mapping[str, Column]]) -> Blocks:
+        """With columns over a window that reaches at most ``n`` rows back: each block has the ``n`` before it.  Of
+        several ``made`` the later ones may use what the ones before gave."""
         if n > self.rows:
             raise ValueError(f"a block of {self.rows} rows is too small for a window of {n}")
         here, after = (F.struct((F.col("__block") + k).alias("block"), F.lit(bool(k)).alias("lent")) for k in (0, 1))
         lent = F.when(F.col("__rank") % self.rows >= self.rows - n, F.array(here, after)).otherwise(F.array(here))
         both = self.df.withColumn("__in", F.explode(lent)).withColumn("__block", F.col("__in.block"))
-        return self._with(both.withColumns(made(self.window())).filter("not __in.lent").drop("__in"))
+        for columns in made:
+            both = both.withColumns(columns(self.window()))
+        return self._with(both.filter("not __in.lent").drop("__in"))
 
     def running(self, cells: Mapping[str, tuple[Callable[[Column], Column], Column]]) -> Blocks:
         """With columns that are an aggregate (sum or max) of a value over all rows of the key before the row."""
