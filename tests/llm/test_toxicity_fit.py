@@ -4,7 +4,9 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemark.llm import toxicity as tox
@@ -78,6 +80,16 @@ def test_weights_are_those_of_plain_counts(fitted):
     assert dict(lexicon.weights) == pytest.approx(want, abs=1e-3) and any("grobnik" in p or p.strip().startswith("gro") for p in want)
 
 
+def test_counts_may_be_handed_on_in_parts(spark, fitted, monkeypatch):
+    _, bad, _ = fitted
+    whole = pd.concat(tox._patterns(iter([pd.DataFrame({"text": bad})])))
+    monkeypatch.setattr(tox, "HELD", 40)
+    parts = list(tox._patterns(iter([pd.DataFrame({"text": bad[:9]}), pd.DataFrame({"text": bad[9:]})])))
+    assert len(parts) > 5
+    sums = pd.concat(parts).groupby("p").agg({"docs": "sum", "n": "sum", "before": lambda x: reduce(int.__or__, map(int, x))})
+    assert sums.sort_index().to_dict() == whole.set_index("p").sort_index().to_dict()
+
+
 def test_exceptions_are_phrases_of_clean_texts(fitted):
     lexicon, bad, good = fitted
     matcher = tox.Matcher(tox.Lexicon(lexicon.weights))

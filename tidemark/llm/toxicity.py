@@ -32,6 +32,8 @@ TOXIC, CLEAN = 4000, 8000
 SHORTEST, LONGEST, SUPPORT, LEAST, CONTEXTS = 3, 10, 8, 2.5, 4
 #: A longer entry stays beside its beginning only if its weight is so much larger.
 LARGER = 2.5
+#: Entries that a task counts before it hands them on.
+HELD = 50_000
 #: Score from which a text is rejected.
 REJECT = 0.7
 #: What is used where labels teach nothing (fixed values).
@@ -177,10 +179,18 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: str, id_column: str, text
 
 
 def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with each word and word beginning, how often it stands there, and a set of the words before it."""
+    """Documents with each word and word beginning, how often it stands there, and a set of the words before it: sums
+    over some texts at a time, so that a task holds no more than about ``HELD`` entries."""
     docs: Counter = Counter()
     times: Counter = Counter()
     before: dict[str, int] = {}
+
+    def summed() -> pd.DataFrame:
+        out = pd.DataFrame({"p": list(docs), "docs": list(docs.values()), "n": [times[p] for p in docs], "before": [before[p] for p in docs]})
+        for held in (docs, times, before):
+            held.clear()
+        return out
+
     for batch in batches:
         for text in batch["text"]:
             words = fold(text).split()
@@ -196,8 +206,12 @@ def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     times[p] += n
                     before[p] = before.get(p, 0) | bits
             docs.update(here)
+            if len(docs) >= HELD:
+                yield summed()
+        give_back()
     if docs:
-        yield pd.DataFrame({"p": list(docs), "docs": list(docs.values()), "n": [times[p] for p in docs], "before": [before[p] for p in docs]})
+        yield summed()
+    give_back()
 
 
 def _closed(found: DataFrame) -> DataFrame:
@@ -252,6 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: str = "toxic", id_column: s
                     if (then := folded.find(" ", after + 1)) > 0:
                         own.add(folded[start : then + 1])
                 counts.update((p, y) for p in own)
+            give_back()
         if counts:
             yield pd.DataFrame({"p": [p for p, _ in counts], "y": [y for _, y in counts], "n": list(counts.values())})
 
