@@ -10,16 +10,16 @@ from tidemark.queries.catalog import long, query, rounded, table
 from tidemark.queries.strategies import _GAMES, CONTEXT, tables
 
 
-@query("""WITH s AS (SELECT l_suppkey AS team, l_partkey % 20 AS player, l_orderkey AS game, l_returnflag AS source, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber = 6 END AS out, l_quantity AS points, l_discount AS assists, CASE WHEN l_linenumber <> 4 THEN l_tax END AS minutes, l_linenumber, l_extendedprice FROM lineitem),
+@query("""WITH s AS (SELECT l_suppkey AS team, l_partkey % 20 AS player, l_orderkey AS game, l_returnflag AS source, CASE WHEN l_linenumber % 5 <> 0 THEN l_linenumber = 6 END AS out, l_quantity AS points, round(l_discount * 100) AS assists, CASE WHEN l_linenumber <> 4 THEN round(l_tax * 100) END AS minutes, l_linenumber, l_extendedprice FROM lineitem),
 o AS (SELECT * FROM s WHERE out IS NOT TRUE QUALIFY row_number() OVER (PARTITION BY player, game ORDER BY CASE source WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_extendedprice) = 1),
-m AS (SELECT team, player, count(*) AS games_played, avg(points) AS points, avg(assists) AS assists, round(avg(minutes), 9) AS minutes FROM o GROUP BY ALL)
+m AS (SELECT team, player, count(*) AS games_played, avg(points) AS points, avg(assists) AS assists, avg(minutes) AS minutes FROM o GROUP BY ALL)
 SELECT team, player, games_played, round(points, 6) AS points, round(assists, 6) AS assists, round(minutes, 6) AS minutes, row_number() OVER (PARTITION BY team ORDER BY minutes DESC NULLS LAST, player) AS place FROM m""")
 def team_rosters(spark: SparkSession, folder: str) -> DataFrame:
     """Every team's players out of who played, a game of several sources counted once."""
     n = F.col("l_linenumber")
     played = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("team"), (F.col("l_partkey") % 20).alias("player"), F.col("l_orderkey").alias("game"), F.col("l_returnflag").alias("source"), F.when(n % 5 != 0, n == 6).alias("out"),
-        F.col("l_quantity").alias("points"), F.col("l_discount").alias("assists"), F.when(n != 4, F.col("l_tax")).alias("minutes"), n, "l_extendedprice",
+        F.col("l_quantity").alias("points"), F.round(F.col("l_discount") * 100).alias("assists"), F.when(n != 4, F.round(F.col("l_tax") * 100)).alias("minutes"), n, "l_extendedprice",
     )
     out = r.roster(played, "team", "player", "game", "source", ["R", "A"], "out", ["points", "assists", "minutes"], "minutes", n, F.col("l_extendedprice"))
     return rounded(out.withColumn("place", long("place")), 6)

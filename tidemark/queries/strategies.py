@@ -258,14 +258,14 @@ r AS (SELECT *, count(*) OVER w AS earlier, row_number() OVER (PARTITION BY team
     + _last("a5", 5, **{f"{v}5": f"avg(x.{v})" for v in WIDE}) + _last("a15", 15, **{f"{v}15": f"avg(x.{v})" for v in WIDE})
     + f""", z AS (SELECT r.game_id, r.team_id, r.opponent_team_id, {", ".join(f"{v}5, {v}15" for v in WIDE)} FROM r JOIN a5 USING (game_id, team_id) JOIN a15 USING (game_id, team_id)),
 d AS (SELECT {", ".join(f"CASE WHEN stddev_samp({v}5) > 0 THEN stddev_samp({v}5) ELSE 1 END AS {v}_d" for v in WIDE)} FROM z)
-SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5 - o.{v}5, 6) AS {v}_gap" for v in WIDE)}, CASE WHEN z.price5 IS NOT NULL AND o.price5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in WIDE)}), 6) END AS style_distance,
-  round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in WIDE)}) / 10), 6) AS style_volatility
+SELECT z.game_id, z.team_id, {", ".join(f"round(z.{v}5 - o.{v}5, 9) AS {v}_gap" for v in WIDE)}, CASE WHEN z.price5 IS NOT NULL AND o.price5 IS NOT NULL THEN round(sqrt({" + ".join(f"pow((z.{v}5 - o.{v}5) / {v}_d, 2)" for v in WIDE)}), 9) END AS style_distance,
+  round(sqrt(({" + ".join(f"pow(z.{v}5 - z.{v}15, 2)" for v in WIDE)}) / 10), 9) AS style_volatility
 FROM z LEFT JOIN z o ON o.game_id = z.game_id AND o.team_id = z.opponent_team_id CROSS JOIN d"""
 )
 def team_style_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Style in ten dimensions: the gaps of both teams' vectors, their distance, and how settled a team is."""
     out = _run(spark, folder, "team_style", wide=True)
-    return rounded(out.select("game_id", "team_id", *[f"{v}_gap" for v in WIDE], "style_distance", "style_volatility"), 6)
+    return rounded(out.select("game_id", "team_id", *[f"{v}_gap" for v in WIDE], "style_distance", "style_volatility"), 9)
 
 
 @query("""WITH l AS (SELECT event_id AS game_id, user_id AS player_id, ts, event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS minutes, floor(value / 5) AS shots, event_id % 9 AS boards, CASE WHEN event_id % 13 <> 0 THEN value / 100 END AS usage FROM events),

@@ -212,16 +212,21 @@ _TYPE = "PARTITION BY event_type ORDER BY ts"
 _BEFORE = f"OVER ({_TYPE} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
 
 
+def _cents(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers, whose sums are exact in whatever order they are taken."""
+    return game_log(spark, folder).withColumn("value", F.round(F.col("value") * 100))
+
+
 @query(f"""{LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) {_BEFORE} AS upto FROM log)
-SELECT a.event_id, round(avg(b.value), 6) AS value_roll, count(b.i) AS roll_rows FROM r a LEFT JOIN r b ON a.event_type = b.event_type AND b.i <= a.upto AND b.i > a.upto - 20 GROUP BY a.event_id""")
+SELECT a.event_id, round(avg(round(b.value * 100)), 6) AS value_roll, count(b.i) AS roll_rows FROM r a LEFT JOIN r b ON a.event_type = b.event_type AND b.i <= a.upto AND b.i > a.upto - 20 GROUP BY a.event_id""")
 def blocked_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """The mean of a kind's last twenty values, from blocks of a key's rows."""
-    return rounded(h.rolling(game_log(spark, folder), BY_TYPE, ["value"], 20, block_rows=BLOCK).select("event_id", "value_roll", "roll_rows"))
+    return rounded(h.rolling(_cents(spark, folder), BY_TYPE, ["value"], 20, block_rows=BLOCK).select("event_id", "value_roll", "roll_rows"))
 
 
-@query(f"""{LOG} SELECT event_id, round(avg(value) {_BEFORE}, 6) AS value_mean, count(*) {_BEFORE} AS mean_rows, max(ts) {_BEFORE} AS mean_window_end FROM log""")
+@query(f"""{LOG} SELECT event_id, round(avg(round(value * 100)) {_BEFORE}, 6) AS value_mean, count(*) {_BEFORE} AS mean_rows, max(ts) {_BEFORE} AS mean_window_end FROM log""")
 def blocked_expanding(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(h.expanding(game_log(spark, folder), BY_TYPE, ["value"], block_rows=BLOCK).select("event_id", "value_mean", "mean_rows", "mean_window_end"))
+    return rounded(h.expanding(_cents(spark, folder), BY_TYPE, ["value"], block_rows=BLOCK).select("event_id", "value_mean", "mean_rows", "mean_window_end"))
 
 
 @query(f"""{LOG}, a AS (SELECT event_id, count(*) {_BEFORE.replace("event_type", "event_type, season")} AS prior_games, CAST(coalesce(sum(CAST(won AS INT)) {_BEFORE.replace("event_type", "event_type, season")}, 0) AS BIGINT) AS prior_wins FROM log)
