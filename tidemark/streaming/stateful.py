@@ -44,20 +44,30 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "at long, row string", self.schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        first = None
         for row in rows:
             kept = tuple(row[f] for f in self.fields)
             self.waiting.updateValue((row["at"], repr(kept)), kept)
-            self.handle.registerTimer(math.ceil(row["at"] / 1000))
+            first = row["at"] if first is None else min(first, row["at"])
+        if first is not None:
+            self.handle.registerTimer(math.ceil(first / 1000))
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        # The first of a key's timers sees to all that the watermark has passed.
+        # A timer sees to all that the watermark has passed, and sets the next one.
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         due: dict[int, list[tuple]] = {}
-        for (at, text), row in list(self.waiting.iterator()):
+        held = list(self.waiting.iterator())
+        later = [at for (at, _), _ in held if at > until * 1000]
+        for (at, text), row in held:
             if at <= until * 1000:
                 due.setdefault(at, []).append(tuple(row))
-                self.waiting.removeKey((at, text))
+                if later:
+                    self.waiting.removeKey((at, text))
+        if later:
+            self.handle.registerTimer(math.ceil(min(later) / 1000))
+        elif held:
+            self.waiting.clear()
         for at in sorted(due):
             yield from self.over(key, at // 1000)
             yield from self.seen(key, at, due[at])
