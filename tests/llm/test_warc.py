@@ -124,3 +124,15 @@ def test_what_an_attempt_left_is_never_read(spark):
 def test_no_pages_no_archives(spark):
     folder, made = written(spark, [])
     assert made.count() == 0 and warc.resolved(warc.read_warcs(made)).count() == 0
+
+
+def test_same_rows_as_sql(spark):
+    import duckdb
+    from tidemark.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    ours = QUERIES["op11_warc"](spark, folder)
+    theirs = con.sql(ORACLE_SQL["op11_warc"]).fetchall()
+    assert sorted(map(tuple, ours.collect()), key=str) == sorted(theirs, key=str) and len(theirs) > 20

@@ -150,4 +150,11 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY l0, l1, l2 ORDER BY key) AS upto FROM
 SELECT doc_id, lang, source, CAST(e AS INT) AS epoch FROM c, unnest(range(1, full_epochs + 1 + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS u(e)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture": _MIXTURE, "op2_line_dedup": _LINES}
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+t AS (SELECT payload, max(page_id) AS stored FROM p WHERE strlen(payload) >= 1000 GROUP BY payload)
+SELECT page_id, CAST(strlen(p.payload) AS BIGINT) AS payload_bytes, sha1(p.payload) AS payload_digest, CASE WHEN stored <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM p LEFT JOIN t ON t.payload = p.payload
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixture": _MIXTURE, "op2_line_dedup": _LINES, "op11_warc": _WARC}
