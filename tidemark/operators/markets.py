@@ -43,8 +43,10 @@ def last_before(quotes: DataFrame, keys: Sequence[str], at: str, cutoff: str, va
 
 
 def divergences(prices: DataFrame, venue_volume: str, book: str, venue_fair: str, book_implied: str, keys: Sequence[str], least_volume: float = 1000) -> DataFrame:
-    """Where the venue's fair price is above the best book's implied one, on venues with enough volume."""
-    best = prices.filter(F.col(venue_volume) >= least_volume).groupBy(*keys).agg(F.min_by(F.struct(book, book_implied, venue_fair), F.struct(book_implied, book)).alias("b"))
+    """Where the venue's fair price is above the best book's implied one, on venues with enough volume; ties go to the
+    smaller book, then to the smaller fair price, and what isn't known comes last."""
+    order = F.struct(*[c for n in (book_implied, book, venue_fair) for c in (F.col(n).isNull().alias(f"{n}_unknown"), F.col(n))])
+    best = prices.filter(F.col(venue_volume) >= least_volume).groupBy(*keys).agg(F.min_by(F.struct(book, book_implied, venue_fair), order).alias("b"))
     return best.select(*keys, "b.*").withColumn("edge", F.col(venue_fair) - F.col(book_implied)).filter("edge > 0")
 
 
