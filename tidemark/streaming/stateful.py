@@ -7,8 +7,10 @@ ends by timers too.  Streams that use it need Spark's RocksDB state store (``use
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -32,23 +34,40 @@ def _implied(odds: int) -> float:
     return 100 / (odds + 100) if odds > 0 else -odds / (-odds + 100)
 
 
+#: Rows that wait together as one value of the state store.
+TOGETHER = 1000
+
+
 class InOrder(StatefulProcessor):
     """Keeps rows until the watermark has passed their instant (``at``, in microseconds), then hands a key's rows of
-    each instant to ``seen``, in order.  Rows that are the same are one."""
+    each instant to ``seen``, in order.  Rows that are the same are one.
+
+    Each word between Python and the state store is a round trip, so rows wait many to a value, and what is known of a
+    key (``state``, of JSON's kinds) is read once when a timer fires and written once after it.
+    """
 
     def __init__(self, schema: str):
-        self.schema = schema
+        self.fields = [c.split()[0] for c in schema.split(", ")]
+        self.cells = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, row string", self.schema)
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.known = handle.getValueState("known", "state string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = None
+        first, part = None, []
         for row in rows:
-            kept = tuple(row[f] for f in self.fields)
-            self.waiting.updateValue((row["at"], repr(kept)), kept)
-            first = row["at"] if first is None else min(first, row["at"])
+            if self.cells is None:
+                self.cells = itemgetter(*[row.__fields__.index(f) for f in ("at", *self.fields)])
+            part.append(self.cells(row))
+            if first is None or part[-1][0] < first:
+                first = part[-1][0]
+            if len(part) == TOGETHER:
+                self.waiting.appendValue((json.dumps(part),))
+                part = []
+        if part:
+            self.waiting.appendValue((json.dumps(part),))
         if first is not None:
             self.handle.registerTimer(math.ceil(first / 1000))
         yield from ()
@@ -56,37 +75,53 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         # A timer sees to all that the watermark has passed, and sets the next one.
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        due: dict[int, list[tuple]] = {}
-        held = list(self.waiting.iterator())
-        later = [at for (at, _), _ in held if at > until * 1000]
-        for (at, text), row in held:
-            if at <= until * 1000:
-                due.setdefault(at, []).append(tuple(row))
-                if later:
-                    self.waiting.removeKey((at, text))
-        if later:
-            self.handle.registerTimer(math.ceil(min(later) / 1000))
-        elif held:
+        due: dict[int, dict[str, tuple]] = {}
+        later = []
+        for (text,) in self.waiting.get():
+            for at, *row in json.loads(text):
+                if at <= until * 1000:
+                    due.setdefault(at, {})[repr(row)] = tuple(row)
+                else:
+                    later.append((at, *row))
+        if due and later:
+            self.waiting.put([(json.dumps(later[i : i + TOGETHER]),) for i in range(0, len(later), TOGETHER)])
+        elif due:
             self.waiting.clear()
+        if later:
+            self.handle.registerTimer(math.ceil(min(later, key=itemgetter(0))[0] / 1000))
+        found = self.known.get()
+        state = json.loads(found[0]) if found else {}
+        ends = state.get("ends")
         for at in sorted(due):
-            yield from self.over(key, at // 1000)
-            yield from self.seen(key, at, due[at])
-        yield from self.over(key, until)
-
-    def seen(self, key: Any, at: int, rows: list[tuple]) -> Iterator[Row]:
+            yield from self.over(key, at // 1000, state)
+            yield from self.seen(key, at, [row for _, row in sorted(due[at].items())], state)
+        yield from self.over(key, until, state)
+        self._remember(found, state, ends, until)
+
+    def _remember(self, found: tuple | None, state: dict, ends: int | None, until: int) -> None:
+        """Writes what has changed; a key has one timer for its end (``ends``, in milliseconds)."""
+        now = state.get("ends")
+        if now != ends:
+            if ends is not None and ends > until:
+                self.handle.deleteTimer(ends)
+            if now is not None:
+                self.handle.registerTimer(now)
+        text = json.dumps(state) if state else None
+        if text is None and found:
+            self.known.clear()
+        elif text is not None and (not found or text != found[0]):
+            self.known.update((text,))
+
+    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
         yield from ()
 
-    def over(self, key: Any, until: int) -> Iterator[Row]:
+    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
         """What ends by an instant (in milliseconds) at which nothing need have come."""
         yield from ()
 
     def close(self) -> None:
         pass
 
-    @property
-    def fields(self) -> list[str]:
-        return [c.split()[0] for c in self.schema.split(", ")]
-
 
 class Consensus(InOrder):
     """Every vendor's latest value, and their mean, deviation and number after each instant.  A key that has been
@@ -96,31 +131,25 @@ class Consensus(InOrder):
         super().__init__("vendor string, tie double, value double")
         self.idle = idle
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.latest = handle.getMapState("latest", "vendor string", "value double")
-        self.last = handle.getValueState("last", "at long")
-
-    def seen(self, key: Any, at: int, rows: list[tuple]) -> Iterator[Row]:
+    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
         newest: dict[str, tuple] = {}
         for vendor, tie, value in rows:
             if vendor not in newest or (tie is not None and (newest[vendor][0] is None or tie > newest[vendor][0])):
                 newest[vendor] = (tie, value)
+        latest = dict(state.get("latest", ()))
         for vendor, (_, value) in newest.items():
             if value is not None and value == value:
-                self.latest.updateValue((vendor,), (value,))
-        self.last.update((at,))
-        self.handle.registerTimer(math.ceil(at / 1000) + self.idle * 1000)
-        values = [v[0] for v in self.latest.values()]
+                latest[vendor] = value
+        state.update(latest=list(latest.items()), ends=math.ceil(at / 1000) + self.idle * 1000)
+        values = list(latest.values())
         if values:
             mean = math.fsum(values) / len(values)
             spread = math.sqrt(math.fsum((x - mean) ** 2 for x in values) / (len(values) - 1)) if len(values) > 1 else None
             yield Row(key=key[0], at=at, consensus=mean, spread=spread, vendors=len(values))
 
-    def over(self, key: Any, until: int) -> Iterator[Row]:
-        if self.last.exists() and math.ceil(self.last.get()[0] / 1000) + self.idle * 1000 <= until:
-            self.latest.clear()
-            self.last.clear()
+    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
+        if state and state["ends"] <= until:
+            state.clear()
         yield from ()
 
 
@@ -137,7 +166,6 @@ def running_consensus(stream: DataFrame, key: str, vendor: str, time: str, value
 
 #: A row of a game: a book's quote, a venue's price (when divergences are looked for), the game's start, its result.
 EVENT = "kind string, who string, home int, away int, fair double, volume double, won boolean"
-FOUND = "venue string, side string, vendor string, odds int, implied double, fair double, edge double, at long, recheck_odds int"
 GRADED = "game_id long, venue string, side string, book_vendor string, book_odds int, book_implied double, venue_fair double, edge double, observed_at long, recheck_odds int, survived boolean, closing_odds int, clv double, won boolean"
 
 
@@ -149,54 +177,43 @@ class Divergences(InOrder):
         super().__init__(EVENT)
         self.least_volume, self.patience = least_volume, patience
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.quotes = handle.getMapState("quotes", "vendor string", "home int, away int")
-        self.found = handle.getListState("found", FOUND)
-        self.closing = handle.getMapState("closing", "side string", "at long, odds int")
-        self.start = handle.getValueState("start", "at long")
-
-    def seen(self, key: Any, at: int, rows: list[tuple]) -> Iterator[Row]:
+    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
         events = [dict(zip(self.fields, r, strict=True)) for r in rows]
-        started = self.start.get()[0] if self.start.exists() else None
         quotes = [e for e in events if e["kind"] == "quote"]
-        self._recheck(at, quotes)
+        self._recheck(at, quotes, state)
+        newest = dict(state.get("quotes", ()))
         for e in sorted(quotes, key=lambda e: (e["who"], e["home"] is not None, e["home"] or 0, e["away"] is not None, e["away"] or 0)):
-            self.quotes.updateValue((e["who"],), (e["home"], e["away"]))
+            newest[e["who"]] = (e["home"], e["away"])
+        if newest:
+            state["quotes"] = list(newest.items())
         for e in events:
             if e["kind"] == "start":
-                started = at
-                self.start.update((at,))
-                self.handle.registerTimer(math.ceil(at / 1000) + self.patience * 1000)
-        if started is None or at < started:
-            self._close(at, quotes)
+                state.update(start=at, ends=math.ceil(at / 1000) + self.patience * 1000)
+        if "start" not in state or at < state["start"]:
+            self._close(quotes, state)
         for e in events:
             if e["kind"] == "venue":
-                self._detect(at, e)
+                self._detect(at, e, newest, state)
         for e in events:
             if e["kind"] == "result":
-                yield from self._graded(key[0], e["won"])
+                yield from self._graded(key[0], e["won"], state)
 
-    def _recheck(self, at: int, quotes: list[dict]) -> None:
+    def _recheck(self, at: int, quotes: list[dict], state: dict) -> None:
         """The first quote of a side at an instant after the one at which it was found."""
-        held = [tuple(f) for f in self.found.get()] if self.found.exists() else []
-        out = []
-        for f in held:
-            offered = [(q["who"], q[f[1]]) for q in quotes if q[f[1]] is not None] if f[8] is None and at > f[7] else []
-            out.append((*f[:8], min(offered)[1] if offered else f[8]))
-        if out != held:
-            self.found.put(out)
-
-    def _close(self, at: int, quotes: list[dict]) -> None:
+        for f in state.get("found", ()):
+            offered = [(q["who"], q[f["side"]]) for q in quotes if q[f["side"]] is not None] if f["again"] is None and at > f["at"] else []
+            if offered:
+                f["again"] = min(offered)[1]
+
+    def _close(self, quotes: list[dict], state: dict) -> None:
         for side in SIDES:
             offered = [q[side] for q in quotes if q[side] is not None]
             if offered:
-                self.closing.updateValue((side,), (at, max(offered)))
+                state.setdefault("closing", {})[side] = max(offered)
 
-    def _detect(self, at: int, e: dict) -> None:
+    def _detect(self, at: int, e: dict, books: dict, state: dict) -> None:
         if e["fair"] is None or e["volume"] is None or e["volume"] < self.least_volume:
             return
-        books = {v[0]: tuple(q) for v, q in self.quotes.iterator()}
         for k, side in enumerate(SIDES):
             offered = [(-q[k], v) for v, q in books.items() if q[k] is not None]
             if offered:
@@ -204,20 +221,21 @@ class Divergences(InOrder):
                 fair = e["fair"] if side == "home" else 1 - e["fair"]
                 edge = fair - _implied(-less)
                 if edge > 0:
-                    self.found.appendValue((e["who"], side, vendor, -less, _implied(-less), fair, edge, at, None))
+                    state.setdefault("found", []).append({"venue": e["who"], "side": side, "vendor": vendor, "odds": -less, "fair": fair, "edge": edge, "at": at, "again": None})
 
-    def _graded(self, game: int, won: bool | None) -> Iterator[Row]:
-        closing = {s[0]: c[1] for s, c in self.closing.iterator()}
-        for venue, side, vendor, odds, implied, fair, edge, at, again in self.found.get() if self.found.exists() else ():
+    def _graded(self, game: int, won: bool | None, state: dict) -> Iterator[Row]:
+        closing = state.get("closing", {})
+        for f in state.get("found", ()):
+            side, again, implied = f["side"], f["again"], _implied(f["odds"])
             close = closing.get(side) if won is not None else None
             known = close is not None
-            yield Row(game_id=game, venue=venue, side=side, book_vendor=vendor, book_odds=odds, book_implied=implied, venue_fair=fair, edge=edge, observed_at=at, recheck_odds=again, survived=_implied(again) <= _implied(odds) if again is not None else None, closing_odds=close, clv=_implied(close) - implied if known else None, won=won == (side == "home") if known else None)
-        for state in (self.quotes, self.found, self.closing, self.start):
-            state.clear()
+            survived = _implied(again) <= implied if again is not None else None
+            yield Row(game_id=game, venue=f["venue"], side=side, book_vendor=f["vendor"], book_odds=f["odds"], book_implied=implied, venue_fair=f["fair"], edge=f["edge"], observed_at=f["at"], recheck_odds=again, survived=survived, closing_odds=close, clv=_implied(close) - implied if known else None, won=won == (side == "home") if known else None)
+        state.clear()
 
-    def over(self, key: Any, until: int) -> Iterator[Row]:
-        if self.start.exists() and math.ceil(self.start.get()[0] / 1000) + self.patience * 1000 <= until:
-            yield from self._graded(key[0], None)
+    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
+        if "start" in state and state["ends"] <= until:
+            yield from self._graded(key[0], None, state)
 
 
 def events_of(quotes: DataFrame, venues: DataFrame, games: DataFrame) -> DataFrame:
