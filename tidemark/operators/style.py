@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,58 +19,103 @@ def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
     return out.withColumns(made).select(*df.columns, *made)
 
 
-def distance(a, b):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+#: Rows of a block of points and of one of queries, at most about so many.
+POINTS, QUERIES = 131_072, 65_536
+#: Blocks that points are dealt to, at least, if there are enough of them.
+FEWEST = 32
+#: Distances that a task looks at together.
+CELLS = 1 << 22
 
 
-def _pivots(points: DataFrame, vector: str, n: int) -> list[list[float]]:
-    """At most ``n`` vectors, the first by a hash."""
-    found = points.select(F.col(vector).alias("v")).filter("v is not null").orderBy(F.xxhash64("v")).limit(n).collect()
-    return [list(r["v"]) for r in found]
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
-#: Cells that points are dealt to: the root of their number, between these.
-FEWEST, MOST = 64, 4096
+def _codes(a: pa.Table, b: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the two tables' values in ``columns``, equal where these are; and which rows have no null there."""
+    out, known = np.zeros(len(a) + len(b), dtype=np.int64), np.ones(len(a) + len(b), dtype=bool)
+    for c in columns:
+        codes = pa.chunked_array([*a[c].chunks, *b[c].chunks], type=a[c].type).combine_chunks().dictionary_encode().indices
+        known &= codes.is_valid().to_numpy(zero_copy_only=False)
+        out = np.unique(np.stack([out, codes.fill_null(-1).to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+    return out[: len(a)], out[len(a) :], known[: len(a)], known[len(a) :]
 
 
-def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str], sample: int = 1024) -> DataFrame:
+def _nearest(k: int, same: Sequence[str], other: Sequence[str]):
+    """A block of queries against a block of points: ``k`` pairs for each query, by distance and point.
+
+    A product of matrices says for all pairs how far apart they are but for its rounding; those that this leaves in
+    question are measured again, component after component.
+    """
+
+    def task(asked: pa.Table, points: pa.Table) -> pa.Table:
+        q_ids, p_ids = asked["__q"], points["__p"]
+        found: list[tuple] = []
+        if len(asked) and len(points):
+            points = points.rename_columns([c.replace("__p_", "__g_") for c in points.column_names])
+            asked = asked.rename_columns([c.replace("__q_", "__g_") for c in asked.column_names])
+            qs, ps, q_known, p_known = _codes(asked, points, [f"__g_{c}" for c in same])
+            qo, po, q_faces, p_faces = _codes(asked, points, [f"__g_{c}" for c in other])
+            q_known, p_known = q_known & q_faces, p_known & p_faces
+            one = pa.chunked_array([*q_ids.chunks, *p_ids.chunks], type=p_ids.type).combine_chunks()
+            places = np.unique(one.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            qi, pi = places[: len(asked)], places[len(asked) :]
+            v, w = _matrix(asked["__v"]), _matrix(points["__w"])
+            for g in np.unique(qs[q_known]):
+                mine, theirs = np.flatnonzero((qs == g) & q_known), np.flatnonzero((ps == g) & p_known)
+                if not len(theirs):
+                    continue
+                x, at, far, of = w[theirs], pi[theirs], po[theirs], (w[theirs] ** 2).sum(axis=1)
+                step = max(1, CELLS // len(theirs))
+                for i in range(0, len(mine), step):
+                    m = mine[i : i + step]
+                    own = (v[m] ** 2).sum(axis=1)
+                    d = of - 2 * (v[m] @ x.T)
+                    d += own[:, None]
+                    out = qi[m][:, None] == at
+                    if other:
+                        out |= qo[m][:, None] == far
+                    d[out] = np.inf
+                    kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k <= d.shape[1] else np.full(len(m), np.inf)
+                    # What the product's rounding may hide, many times over.
+                    slack = 1e-11 * (own + of.max())
+                    r, c = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
+                    total = np.zeros(len(r))
+                    for j in range(v.shape[1]):
+                        total += (x[c, j] - v[m[r], j]) ** 2
+                    order = np.lexsort((at[c], total, r))
+                    r, c, total = r[order], c[order], total[order]
+                    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    found.append((m[r[first]], theirs[c[first]], np.sqrt(total[first])))
+        a, b, d = (np.concatenate([f[i] for f in found]) if found else np.array([], dtype=t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"__q": q_ids.take(pa.array(a)), "__p": p_ids.take(pa.array(b)), "distance": pa.array(d, pa.float64())})
+
+    return task
+
+
+def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str]) -> DataFrame:
     """(__q, __p, distance): pairs among which are each query's ``k`` nearest points, exactly.
 
-    Points lie in cells around some of them, the more the more points there are.  The kth distance of a query to a bounded ``sample`` is one
-    that k points are known to keep, and by the triangle inequality only cells whose reach comes as close can
-    hold nearer ones: queries go to those cells, points stay where they are.
+    All pairs are looked at, which in many dimensions no bound spares: blocks of queries meet blocks of points, each
+    pair of them in a task, by products of matrices.  Vectors that are null, or hold what is null or not finite, take
+    no part, and only those of equal length meet.
     """
-    n = points.filter(F.col(vector).isNotNull()).count()
-    around = _pivots(points, vector, min(MOST, max(FEWEST, math.isqrt(n))))
-    # One row of at most ``MOST`` vectors.
-    pivots = F.broadcast(points.sparkSession.createDataFrame([(around or [[]],)], "__around array<array<double>>"))
-    lit = F.col("__around")
-    groups = [*same, *other]
-    own = points.select(F.col(ident).alias("__p"), F.col(vector).alias("__w"), *[F.col(c).alias(f"__p_{c}") for c in groups]).filter(F.col("__w").isNotNull())
-    away = F.transform(lit, lambda p: distance(F.col("__w"), p))
-    placed = own.join(pivots).withColumn("__away", away).select("*", F.array_min("__away").alias("__reach"), (F.array_position("__away", F.array_min("__away")) - 1).cast("int").alias("__cell")).drop("__away", "__around")
-    reach = placed.groupBy(*[f"__p_{c}" for c in same], "__cell").agg(F.max("__reach").alias("__radius"))
-    # One row of at most ``sample`` points.
-    some = own.orderBy(F.xxhash64("__p"), "__p").limit(sample).agg(F.collect_list(F.struct("*")).alias("__some"))
-    asked = queries.select(F.col(ident).alias("__q"), F.col(vector).alias("__v"), *[F.col(c).alias(f"__q_{c}") for c in groups]).filter(F.col("__v").isNotNull())
-
-    def meets(p) -> Column:
-        held = p("__p") != F.col("__q")
-        for c in same:
-            held = held & (p(f"__p_{c}") == F.col(f"__q_{c}"))
-        for c in other:
-            held = held & (p(f"__p_{c}") != F.col(f"__q_{c}"))
-        return held
-
-    known = F.array_sort(F.filter(F.transform(F.filter("__some", lambda x: F.coalesce(meets(lambda c: x[c]), F.lit(False))), lambda x: distance(x["__w"], F.col("__v"))), lambda d: d.isNotNull()))
-    bound = F.coalesce(F.get(known, F.lit(k - 1)), F.lit(float("inf")))
-    asked = asked.join(F.broadcast(some)).withColumn("__bound", bound * (1 + 1e-9) + 1e-12).drop("__some")
-    cells = F.posexplode(F.transform(lit, lambda p: distance(F.col("__v"), p))).alias("__cell", "__from")
-    going = asked.join(pivots).select("*", cells).drop("__around").join(reach.withColumnsRenamed({f"__p_{c}": f"__q_{c}" for c in same}), [*[f"__q_{c}" for c in same], "__cell"])
-    going = going.filter(F.coalesce(F.col("__from") - F.col("__radius") <= F.col("__bound"), F.lit(True))).drop("__from", "__radius")
-    on = F.col("a.__cell") == F.col("b.__cell")
-    pairs = going.alias("a").join(placed.alias("b"), on & meets(F.col))
-    return pairs.select("__q", "__p", "__bound", distance(F.col("__w"), F.col("__v")).alias("distance")).filter("distance <= __bound")
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    known = [*same, *other]
+    asked = queries.filter(whole).select(F.col(ident).alias("__q"), F.col(vector).alias("__v"), F.size(vector).alias("__size"), *[F.col(c).alias(f"__q_{c}") for c in known])
+    own = points.filter(whole).select(F.col(ident).alias("__p"), F.col(vector).alias("__w"), F.size(vector).alias("__size"), *[F.col(c).alias(f"__p_{c}") for c in known])
+    asked, own = (df.filter(F.col(c).isNotNull()) for df, c in ((asked, "__q"), (own, "__p")))
+    n_points, n_queries = own.count(), asked.count()
+    n = max(math.ceil(n_points / POINTS), min(FEWEST, math.ceil(n_points / 1024)), 1)
+    m = max(math.ceil(n_queries / QUERIES), 1)
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    asked = asked.withColumn("__b", F.pmod(F.xxhash64("__q"), F.lit(m)).cast("int")).withColumn("__a", every(n))
+    own = own.withColumn("__a", F.pmod(F.xxhash64("__p"), F.lit(n)).cast("int")).withColumn("__b", every(m))
+    by = ("__a", "__b", "__size")
+    kind = f"__q {asked.schema['__q'].dataType.simpleString()}, __p {own.schema['__p'].dataType.simpleString()}, distance double"
+    return asked.groupBy(*by).cogroup(own.groupBy(*by)).applyInArrow(_nearest(k, same, other), kind)
 
 
 def neighbours(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, within: Sequence[str] = ()) -> DataFrame:
