@@ -25,3 +25,11 @@ def test_uniqueness_meets_block_by_block(spark):
     assert "Join" not in out._jdf.queryExecution().analyzed().toString()
     want = {i: min(math.dist(v, w) for _, h, w in rows if h and h != g) for i, g, v in rows if i % 20 == 0 and g}
     assert {r["i"]: r["uniqueness"] for r in out.collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_neighbours_among_copies(spark):
+    rows, df = vectors(spark)
+    out = style.neighbours(df.filter("i % 20 = 0"), df, "i", "v", 5, ["g"])
+    assert "Join" not in out._jdf.queryExecution().analyzed().toString()
+    want = sorted((i, n, j) for i, g, v in rows if i % 20 == 0 and g for n, (_, j) in enumerate(sorted((math.dist(v, w), j) for j, h, w in rows if h == g and j != i)[:5], 1))
+    assert sorted((r["i"], r["rank"], r["neighbour"]) for r in out.collect()) == want
