@@ -81,3 +81,11 @@ def test_a_task_that_dies_leaves_nothing(spark, folder):
 
 def test_nothing_there(spark, folder):
     assert spark.read.format("captures").load(folder).count() == 0
+
+
+def test_many_small_captures_are_few_tasks(spark, folder):
+    taken = spark.range(300).selectExpr("cast(id as string) provider", "timestamp_seconds(id) captured_at", "array(cast(id as string), 'x') pages").coalesce(2)
+    taken.write.format("captures").mode("append").save(folder)
+    read = spark.read.format("captures").load(folder)
+    assert read.rdd.getNumPartitions() <= 64
+    assert sorted((r["provider"], r["page"], r["body"]) for r in read.collect()) == sorted((str(i), k, b) for i in range(300) for k, b in enumerate([str(i), "x"]))

@@ -1,7 +1,7 @@
 """Captures as a data source: what clients recorded, written whole and read again in batch or as a stream.
 
 A capture is one compressed JSON document (schema_version, provider, captured_at, pages).  ``captures`` is a Spark
-data source: a partition is a file, a stream's offset the name of the last file, as names begin with the time at
+data source: a partition is some files, a stream's offset the name of the last file, as names begin with the time at
 which they were written.  Writing goes to names that readers don't look at; the commit moves them, an abort deletes
 them, so a task that was killed in the middle leaves nothing behind.
 """
@@ -27,17 +27,41 @@ ENDING = ".capture.json.gz"
 
 def _listed(path: str) -> list[str]:
     """Names of the captures in a folder, in order."""
+    return [name for name, _ in _sized(path)]
+
+
+def _sized(path: str) -> list[tuple[str, int]]:
+    """Captures in a folder with their bytes, in order of their names."""
     system, root = fs.FileSystem.from_uri(path)
     found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.base_name.endswith(ENDING))
+    return sorted((f.base_name, f.size) for f in found if f.base_name.endswith(ENDING))
+
+
+#: Parts that captures are dealt to, at least, if there are so many; and bytes of a part, about, where there are more.
+FEWEST, PART = 64, 8 << 20
 
 
 @dataclass
-class CaptureFile(InputPartition):
-    name: str
+class CaptureFiles(InputPartition):
+    names: list[str]
 
     def __post_init__(self) -> None:
-        super().__init__(self.name)
+        super().__init__(tuple(self.names))
+
+
+def _parts(files: list[tuple[str, int]]) -> list[CaptureFiles]:
+    """Captures next to each other as parts of about equal bytes; a task holds one capture of its part at a time."""
+    total = sum(size for _, size in files)
+    each = min(PART, total / FEWEST)
+    parts: list[list[str]] = []
+    held = each
+    for name, size in files:
+        if held >= each:
+            parts.append([])
+            held = 0
+        parts[-1].append(name)
+        held += size
+    return [CaptureFiles(names) for names in parts]
 
 
 def pages_of(name: str, data: bytes, version: int = VERSION) -> Iterator[tuple]:
@@ -61,17 +85,19 @@ class _Reading:
     def __init__(self, options):
         self.path, self.version = options["path"], int(options.get("version", VERSION))
 
-    def read(self, partition: CaptureFile | None) -> Iterator[tuple]:
+    def read(self, partition: CaptureFiles | None) -> Iterator[tuple]:
         if partition is None:  # there are no files
             return
         system, root = fs.FileSystem.from_uri(self.path)
-        with system.open_input_stream(f"{root}/{partition.name}", compression=None) as stream:
-            yield from pages_of(partition.name, stream.read(), self.version)
+        for name in partition.names:
+            with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                data = stream.read()
+            yield from pages_of(name, data, self.version)
 
 
 class CaptureReader(_Reading, DataSourceReader):
-    def partitions(self) -> Sequence[CaptureFile]:
-        return [CaptureFile(n) for n in _listed(self.path)]
+    def partitions(self) -> Sequence[CaptureFiles]:
+        return _parts(_sized(self.path))
 
 
 class CaptureStreamReader(_Reading, DataSourceStreamReader):
@@ -81,8 +107,8 @@ class CaptureStreamReader(_Reading, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"file": max(_listed(self.path), default="")}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[CaptureFile]:
-        return [CaptureFile(n) for n in _listed(self.path) if start["file"] < n <= end["file"]]
+    def partitions(self, start: dict, end: dict) -> Sequence[CaptureFiles]:
+        return _parts([(n, size) for n, size in _sized(self.path) if start["file"] < n <= end["file"]])
 
     def commit(self, end: dict) -> None:
         """Captures stay; there is nothing to let go."""
