@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,16 +92,20 @@ def cluster_bootstrap(pairs: DataFrame, cluster: str, x: str, y: str, resamples:
     """
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     sums = pairs.filter(X.isNotNull() & Y.isNotNull()).groupBy(cluster).agg(F.count("*").cast("double").alias("n"), F.sum(X).alias("sx"), F.sum(Y).alias("sy"), F.sum(X * X).alias("sxx"), F.sum(Y * Y).alias("syy"), F.sum(X * Y).alias("sxy"))
+    # Sums are few and small, but each makes thousands of draws: as many tasks as a shuffle has, not as few as it has bytes.
+    sums = sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), cluster)
     drawn = sums.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
     name = F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(cluster).cast("string"))
-    u = (F.conv(F.substring(F.md5(name), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
-    times, total, p = F.lit(0), 0.0, 0.36787944117144233  # Poisson(1) at 0 (fixed value)
-    for k in range(1, 12):
+    # The draw is u = (the first ten digits + 0.5) / 2^40, and hexadecimal digits are in order as texts too.
+    u, total, p = F.substring(F.md5(name), 1, 10), 0.0, 0.36787944117144233  # Poisson(1) at 0 (fixed value)
+    times = None
+    for k in range(11):
         total += p
-        times = times + (u > total).cast("int")
-        p /= k
-    times = F.when(F.col("resample") == 0, 1).otherwise(times)
-    s = {c: F.sum(F.col(c) * times) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")}
+        under = u <= f"{math.floor(total * (1 << 40) - 0.5):010x}"
+        times = F.when(under, k) if times is None else times.when(under, k)
+        p /= k + 1
+    drawn = drawn.withColumn("times", F.when(F.col("resample") == 0, 1).otherwise(times.otherwise(11)))
+    s = {c: F.sum(F.col(c) * F.col("times")) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")}
     by = drawn.groupBy("resample").agg(*[c.alias(k) for k, c in s.items()])
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     var = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
