@@ -12,16 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.history import dealt
+
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], tiebreak: str, bucket_seconds: int | None = None, prefix: str = "") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], tiebreak: str, bucket_seconds: int | None = None, prefix: str = "", tasks: int | None = None) -> DataFrame:
     """``left`` with ``columns`` of ``right`` and the instant they were observed at (``{prefix}observed_at``).
 
     No earlier row: nulls.  Among right rows of one instant the one with the largest ``tiebreak`` counts.
-    Keys must not be null to match.
+    Keys must not be null to match.  ``tasks``: see ``dealt``.
     """
     got = F.struct(F.col(right_time).alias("observed_at"), *[F.col(c) for c in columns])
     ours = left.select(*keys, F.struct(*left.columns).alias("__left"), _micros(F.col(left_time)).alias("__at"), F.lit(0).alias("__side"))
@@ -36,7 +38,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
         carried = carried.select(*keys, "__right", F.lit(None).cast("long").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tiebreak].dataType).alias("__tie"), "__bucket")
         theirs = theirs.unionByName(carried)
     parts = [*keys, "__bucket"] if bucket_seconds else list(keys)
-    stream = theirs.unionByName(ours, allowMissingColumns=True)
+    stream = dealt(theirs.unionByName(ours, allowMissingColumns=True), tasks, *parts)
     order = Window.partitionBy(*parts).orderBy(F.col("__at").asc_nulls_first(), "__side", F.col("__tie").asc_nulls_first())
     seen = F.last("__right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     known = F.lit(True)

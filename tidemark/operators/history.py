@@ -3,8 +3,8 @@
 All of them sort a key's rows once, and several of them one after another share that sort.  An aggregate over rows
 before is taken at the first row of each instant, where those rows are all strictly earlier, and handed to the other
 rows of that instant.  Only
-bounded frames or running aggregates are used, so no history is held as an array (but for the exponential
-mean's bounded lookback).  With ``block_rows`` no task has more than so many rows of a key (see ``hot``).
+bounded frames or running aggregates are used, so no history is held as an array.  What ``together`` is asked for
+shares its passes.  With ``block_rows`` no task has more than so many rows of a key (see ``hot``).
 """
 
 from __future__ import annotations
@@ -61,12 +61,45 @@ def _add(df: DataFrame, history: History, made: Mapping[str, Column], more: Sequ
     return packed.select(*df.columns, *[F.col("__made")[n].alias(n) for n in made])
 
 
-def _carry(df: DataFrame, history: History, made: Mapping[str, Column], more: Sequence[str] = (), when: Column | None = None) -> DataFrame:
-    """The values at the last strictly earlier row (of those where ``when`` holds)."""
-    value = F.struct(*[c.alias(n) for n, c in made.items()])
-    last = F.last(F.when(when, value) if when is not None else value, ignorenulls=True).over(history.before(*more))
-    packed = _add(df, history, {"__last": last}, more)
-    return packed.select(*df.columns, *[F.col("__last")[n].alias(n) for n in made])
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in ``tasks`` parts, if that is more than a shuffle of the session has: then a task's share
+    stays the same however many rows there are.  Windows, joins and groups by these keys or more go on with it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(tasks, *keys) if tasks and tasks > least else df
+
+
+@dataclass(frozen=True)
+class Past:
+    """What is known before each row, to be made with others in one pass (``together``).
+
+    ``adds``: the columns in the end; ``made``: aggregates of a window over a key's rows in order, as they hold at
+    the first row of an instant, in parts by ``more`` too; ``apart`` and then ``steps``: columns of each row that they
+    need, the former by windows of their own; ``then``: columns out of ``made``.
+    """
+
+    adds: tuple[str, ...]
+    made: Callable[[Any], Mapping[str, Column]]
+    more: tuple[str, ...] = ()
+    apart: Callable[[], Mapping[str, Column]] | None = None
+    steps: Callable[[Any], Mapping[str, Column]] | None = None
+    then: Callable[[], Mapping[str, Column]] | None = None
+
+
+def together(df: DataFrame, history: History, pasts: Sequence[Past], ends: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """``df`` with the columns of all ``pasts``, and as each of ``ends`` the last strictly earlier instant: one sort and
+    one pass for all that has the same parts, while rows are still narrow."""
+    out = dealt(df, tasks, history.keys[0])
+    if ends:
+        last = Past(tuple(ends), lambda rows: {"__ended": F.max(history.time).over(rows.rowsBetween(Window.unboundedPreceding, -1))}, then=lambda: {e: F.col("__ended") for e in ends})
+        pasts = [*pasts, last]
+    for more in sorted({x.more for x in pasts}, key=len, reverse=True):
+        mine, rows = [x for x in pasts if x.more == more], history.rows(*more)
+        for columns in ({n: c for x in mine if x.apart for n, c in x.apart().items()}, {n: c for x in mine if x.steps for n, c in x.steps(rows).items()}):
+            out = out.withColumns(columns) if columns else out
+        out = _add(out, history, {n: c for x in mine for n, c in x.made(rows).items()}, more)
+    made = {n: c for x in pasts if x.then for n, c in x.then().items()}
+    out = out.withColumns(made) if made else out
+    return out.select(*df.columns, *[c for x in pasts for c in x.adds])
 
 
 def ended(df: DataFrame, history: History, name: str) -> DataFrame:
@@ -85,13 +118,16 @@ def _bounded(df: DataFrame, history: History, n: int, made: Callable[[Any], Mapp
 
 def rolling(df: DataFrame, history: History, values: Sequence[str], n: int, label: str = "roll", block_rows: int | None = None) -> DataFrame:
     """Mean of each value over the last ``n`` earlier rows (nulls skipped), rows in the window, and its end."""
+    return _bounded(df, history, n, past_rolling(history, values, n, label).made, block_rows)
+
 
+def past_rolling(history: History, values: Sequence[str], n: int, label: str) -> Past:
     def made(rows) -> dict[str, Column]:
         frame = rows.rowsBetween(-n, -1)
         means = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(frame) for v in values}
         return {**means, f"{label}_rows": F.count(F.lit(1)).over(frame), f"{label}_window_end": F.max(history.time).over(frame)}
 
-    return _bounded(df, history, n, made, block_rows)
+    return Past((*[f"{v}_{label}" for v in values], f"{label}_rows", f"{label}_window_end"), made)
 
 
 def expanding(df: DataFrame, history: History, values: Sequence[str], season: str | None = None, label: str = "mean", block_rows: int | None = None) -> DataFrame:
@@ -102,56 +138,110 @@ def expanding(df: DataFrame, history: History, values: Sequence[str], season: st
         blocks = history.blocks(df, block_rows, *more).running({**cells, "__rows": (F.sum, F.lit(1).cast("long")), "__end": (F.max, F.col(history.time))})
         made = {f"{v}_{label}": F.when(F.col(f"__n_{v}") > 0, F.col(f"__s_{v}") / F.col(f"__n_{v}")) for v in values}
         return blocks.handed({**made, f"{label}_rows": F.coalesce("__rows", F.lit(0)), f"{label}_window_end": F.col("__end")})
-    w = history.before(*more)
-    made = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(w) for v in values}
-    return _add(df, history, {**made, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)}, more)
+    return together(df, history, [past_expanding(history, values, season, label)])
+
+
+def past_expanding(history: History, values: Sequence[str], season: str | None, label: str) -> Past:
+    def made(rows) -> dict[str, Column]:
+        w = rows.rowsBetween(Window.unboundedPreceding, -1)
+        means = {f"{v}_{label}": F.avg(F.col(v).cast("double")).over(w) for v in values}
+        return {**means, f"{label}_rows": F.count(F.lit(1)).over(w), f"{label}_window_end": F.max(history.time).over(w)}
+
+    return Past((*[f"{v}_{label}" for v in values], f"{label}_rows", f"{label}_window_end"), made, (season,) if season else ())
 
 
 def exponential(df: DataFrame, history: History, value: str, half_life: float, floor: float = 1e-6, label: str = "ewm", block_rows: int | None = None) -> DataFrame:
     """Weights halve every ``half_life`` rows back, counted over null rows too, and end below ``floor``."""
-    decay = 0.5 ** (1 / half_life)
-    lookback = max(1, math.floor(math.log(floor) / math.log(decay)) + 1)
-    past = lambda rows: {"__past": F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(rows.rowsBetween(-lookback, -1))}
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.lit(1.0).alias("w"))
+    lookback, asked = _lookback(half_life, floor), past_exponential(value, half_life, floor, label)
+    if not block_rows:
+        return together(df, history, [asked])
+    blocks = history.blocks(df, block_rows).bounded(lookback, asked.steps, lambda w: {f"__made_{k}": c for k, c in asked.made(w).items()})
+    return blocks.handed({k: F.col(f"__made_{k}") for k in asked.adds})
+
 
-    def step(a: Column, x: Column) -> Column:
-        w = F.when(x["v"].isNull(), 0.0).otherwise(a["w"])
-        return F.struct((a["num"] + w * F.coalesce(x["v"], F.lit(0.0))).alias("num"), (a["den"] + w).alias("den"), (a["w"] * decay).alias("w"))
+def _lookback(half_life: float, floor: float) -> int:
+    return max(1, math.floor(math.log(floor) / math.log(0.5 ** (1 / half_life))) + 1)
 
-    packed = _bounded(df, history, lookback, past, block_rows)
-    mean = F.aggregate(F.reverse("__past"), start, step, lambda a: F.when(a["den"] > 0, a["num"] / a["den"]))
-    return packed.withColumns({f"{value}_{label}": mean, f"{label}_rows": F.size("__past").cast("long")}).drop("__past")
+
+def past_exponential(value: str, half_life: float, floor: float, label: str) -> Past:
+    """Sums over a bounded frame, no list of it: a row is weighed by its place in a span of rows that is as long as the
+    frame, and as a frame meets two spans at most, those of even and of odd number are summed for themselves."""
+    n, decay = _lookback(half_life, floor), 0.5 ** (1 / half_life)
+    x, at, odd = F.col(value).cast("double"), f"__place_{label}", (F.floor(F.col(f"__place_{label}") / n) % 2).cast("int")
+
+    def steps(rows) -> dict[str, Column]:
+        return {at: F.row_number().over(rows)}
+
+    def made(rows) -> dict[str, Column]:
+        frame = rows.rowsBetween(-n, -1)
+        weight = F.pow(F.lit(decay), n - F.col(at) % n)
+        sums = {(k, name): F.coalesce(F.sum(F.when((odd == k) & x.isNotNull(), c)).over(frame), F.lit(0.0)) for k in (0, 1) for name, c in (("num", weight * x), ("den", weight))}
+        # From the span's end to the row before this one; the span before is one span further.
+        here, there = F.pow(F.lit(decay), F.col(at) % n - n - 1), F.pow(F.lit(decay), F.col(at) % n - 1)
+        num, den = (F.when(odd == 0, here * sums[0, c] + there * sums[1, c]).otherwise(there * sums[0, c] + here * sums[1, c]) for c in ("num", "den"))
+        return {f"{value}_{label}": F.when(den > 0, num / den), f"{label}_rows": F.count(F.lit(1)).over(frame)}
+
+    return Past((f"{value}_{label}", f"{label}_rows"), made, steps=steps)
 
 
 def dispersion(df: DataFrame, history: History, value: str, n: int, label: str = "sd", block_rows: int | None = None) -> DataFrame:
     """Sample standard deviation over the last ``n`` earlier rows; null under two values."""
-    made = lambda rows: {f"{value}_{label}": F.stddev_samp(F.col(value).cast("double")).over(rows.rowsBetween(-n, -1))}
-    return _bounded(df, history, n, made, block_rows)
+    return _bounded(df, history, n, past_dispersion(value, n, label).made, block_rows)
+
+
+def past_dispersion(value: str, n: int, label: str) -> Past:
+    return Past((f"{value}_{label}",), lambda rows: {f"{value}_{label}": F.stddev_samp(F.col(value).cast("double")).over(rows.rowsBetween(-n, -1))})
 
 
 def slope(df: DataFrame, history: History, value: str, n: int, label: str = "slope", block_rows: int | None = None) -> DataFrame:
     """Least-squares slope of the last ``n`` rows' values on their place among those that aren't null."""
-    # Places may be counted from anywhere: a block counts its own.
-    place = lambda rows: {"__place": F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).cast("double")}
+    asked = past_slope(value, n, label)
+    if block_rows:
+        blocks = history.blocks(df, block_rows).bounded(n, asked.steps, asked.made)
+        return blocks.handed({f"{value}_{label}": F.col(f"{value}_{label}")})
+    return together(df, history, [asked])
+
+
+def past_slope(value: str, n: int, label: str) -> Past:
+    at = f"__place_{label}"
+
+    def steps(rows) -> dict[str, Column]:
+        # Places may be counted from anywhere: a block counts its own.
+        return {at: F.count(value).over(rows.rowsBetween(Window.unboundedPreceding, 0)).cast("double")}
 
     def made(rows) -> dict[str, Column]:
         frame = rows.rowsBetween(-n, -1)
-        return {f"{value}_{label}": F.when(F.count(value).over(frame) >= 2, F.regr_slope(F.col(value).cast("double"), F.col("__place")).over(frame))}
+        return {f"{value}_{label}": F.when(F.count(value).over(frame) >= 2, F.regr_slope(F.col(value).cast("double"), F.col(at)).over(frame))}
 
-    if block_rows:
-        blocks = history.blocks(df, block_rows).bounded(n, place, made)
-        return blocks.handed({f"{value}_{label}": F.col(f"{value}_{label}")})
-    return _add(df.withColumns(place(history.rows())), history, made(history.rows())).drop("__place")
+    return Past((f"{value}_{label}",), made, steps=steps)
 
 
 def split_rolling(df: DataFrame, history: History, value: str, where: Column, n: int, label: str = "split") -> DataFrame:
     """Mean over the last ``n`` earlier rows for which ``where`` holds."""
     flagged = df.withColumn("__flag", F.coalesce(where, F.lit(False)))
-    frame = history.rows("__flag").rowsBetween(-(n - 1), 0)
-    own = {f"{value}_{label}": F.avg(F.col(value).cast("double")).over(frame), f"{label}_rows": F.count(F.lit(1)).over(frame)}
-    packed = flagged.withColumns({f"__{k}": c for k, c in own.items()})
-    out = _carry(packed, history, {k: F.col(f"__{k}") for k in own}, when=F.col("__flag"))
-    return out.drop("__flag", *[f"__{k}" for k in own]).withColumn(f"{label}_rows", F.coalesce(f"{label}_rows", F.lit(0)).cast("long"))
+    return together(flagged, history, past_splits(history, value, "__flag", n, {label: True})).drop("__flag")
+
+
+def past_splits(history: History, value: str, flag: str, n: int, labels: Mapping[str, bool]) -> list[Past]:
+    """Means over the last ``n`` earlier rows where ``flag`` is what a label says; all labels share a sort."""
+    mean, many = f"__{flag}_mean{n}", f"__{flag}_rows{n}"
+
+    def apart() -> dict[str, Column]:
+        frame = history.rows(flag).rowsBetween(-(n - 1), 0)
+        return {mean: F.avg(F.col(value).cast("double")).over(frame), many: F.count(F.lit(1)).over(frame)}
+
+    def past(label: str, wanted: bool) -> Past:
+        def made(rows) -> dict[str, Column]:
+            w = rows.rowsBetween(Window.unboundedPreceding, -1)
+            return {f"__last_{label}": F.last(F.when(F.col(flag) == wanted, F.struct(F.col(mean).alias("mean"), F.col(many).alias("rows"))), ignorenulls=True).over(w)}
+
+        def then() -> dict[str, Column]:
+            got = F.col(f"__last_{label}")
+            return {f"{value}_{label}": got["mean"], f"{label}_rows": F.coalesce(got["rows"], F.lit(0)).cast("long")}
+
+        return Past((f"{value}_{label}", f"{label}_rows"), made, apart=apart, then=then)
+
+    return [past(label, wanted) for label, wanted in labels.items()]
 
 
 def streak(df: DataFrame, history: History, won: Column, season: str | None = None, name: str = "streak", block_rows: int | None = None) -> DataFrame:
@@ -166,14 +256,23 @@ def streak(df: DataFrame, history: History, won: Column, season: str | None = No
         run = F.col("__rank") - F.coalesce("__since", F.lit(0))
         signed = F.when(F.col("__upto").isNull() | F.col("__last").isNull(), 0).when(F.col("__last"), run).otherwise(-run)
         return blocks.handed({name: signed.cast("long")})
-    rows = history.rows(*more)
-    marked = df.withColumn("__won", won)
-    changed = ~F.col("__won").eqNullSafe(F.lag("__won").over(rows))
-    run = F.sum(changed.cast("int")).over(rows.rowsBetween(Window.unboundedPreceding, 0))
-    marked = marked.withColumn("__run", run).withColumn("__long", F.row_number().over(history.rows(*more, "__run")))
-    signed = F.when(F.col("__won").isNull(), 0).when(F.col("__won"), F.col("__long")).otherwise(-F.col("__long"))
-    out = _carry(marked, history, {name: signed}, more)
-    return out.drop("__won", "__run", "__long").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
+    return together(df.withColumn("__won", won), history, [past_streak("__won", season, name)]).drop("__won")
+
+
+def past_streak(won: str, season: str | None, name: str) -> Past:
+    rank, last, since = (f"__{x}_{name}" for x in ("rank", "last", "since"))
+
+    def steps(rows) -> dict[str, Column]:
+        before = F.lag(won).over(rows)
+        return {rank: F.row_number().over(rows), last: before, since: ~F.col(won).eqNullSafe(before)}
+
+    def made(rows) -> dict[str, Column]:
+        # Where the run of the row before began: the last place, up to that row, at which the result changed.
+        began = F.max(F.when(F.col(since), F.col(rank))).over(rows.rowsBetween(Window.unboundedPreceding, -1))
+        run = F.col(rank) - F.coalesce(began, F.lit(1))
+        return {name: F.when(F.col(last).isNull(), 0).when(F.col(last), run).otherwise(-run).cast("long")}
+
+    return Past((name,), made, (season,) if season else (), steps=steps)
 
 
 def season_to_date(df: DataFrame, history: History, won: Column, season: str, block_rows: int | None = None) -> DataFrame:
@@ -183,17 +282,29 @@ def season_to_date(df: DataFrame, history: History, won: Column, season: str, bl
         blocks = history.blocks(df, block_rows, season).running({"__games": (F.sum, one), "__wins": (F.sum, F.when(won, one).otherwise(0))})
         games, wins = F.coalesce("__games", F.lit(0)), F.coalesce("__wins", F.lit(0))
         return blocks.handed({"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)})
-    w = history.before(season)
-    games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
-    return _add(df, history, {"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)}, [season])
+    return together(df, history, [past_season(won, season)])
+
+
+def past_season(won: Column, season: str) -> Past:
+    def made(rows) -> dict[str, Column]:
+        w = rows.rowsBetween(Window.unboundedPreceding, -1)
+        games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
+        return {"prior_games": games, "prior_wins": wins, "prior_pct": F.when(games > 0, wins / games)}
+
+    return Past(("prior_games", "prior_wins", "prior_pct"), made, (season,))
 
 
 def rest(df: DataFrame, history: History, back_to_back_hours: float = 36) -> DataFrame:
     """Days since the previous distinct instant, and whether it was less than so many hours ago."""
-    packed = _add(df, history, {"__before": F.max(history.time).over(history.before())})
-    gap = history.instant - F.unix_micros(F.col("__before").cast("timestamp"))
-    made = {"rest_days": gap / 86_400_000_000, "is_back_to_back": F.coalesce(gap < int(back_to_back_hours * 3_600_000_000), F.lit(False))}
-    return packed.withColumns(made).drop("__before")
+    return together(df, history, [past_rest(history, back_to_back_hours)])
+
+
+def past_rest(history: History, back_to_back_hours: float = 36) -> Past:
+    def then() -> dict[str, Column]:
+        gap = history.instant - F.unix_micros(F.col("__before").cast("timestamp"))
+        return {"rest_days": gap / 86_400_000_000, "is_back_to_back": F.coalesce(gap < int(back_to_back_hours * 3_600_000_000), F.lit(False))}
+
+    return Past(("rest_days", "is_back_to_back"), lambda rows: {"__before": F.max(history.time).over(rows.rowsBetween(Window.unboundedPreceding, -1))}, then=then)
 
 
 def rolling_rate(df: DataFrame, history: History, num: str, den: str, n: int, scale: float = 1.0, label: str = "rate", block_rows: int | None = None) -> DataFrame:
@@ -228,14 +339,19 @@ def rolling_share(df: DataFrame, history: History, value: str, pool: Sequence[st
 
 def head_to_head(df: DataFrame, history: History, won: Column, margin: str, prefix: str = "h2h", season: str | None = None, n: int | None = None) -> DataFrame:
     """Games, wins, share and mean margin of the same ordered pair (``history.keys``) before the row."""
-    more = [season] if season else []
-    w = history.before(*more) if n is None else history.rows(*more).rowsBetween(-n, -1)
-    games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
-    made = {f"{prefix}_games": games, f"{prefix}_wins": wins, f"{prefix}_pct": F.when(games > 0, wins / games), f"{prefix}_margin": F.avg(margin).over(w)}
-    return _add(df, history, made, more)
+    return together(df, history, [past_head_to_head(won, margin, prefix, season, n)])
+
+
+def past_head_to_head(won: Column, margin: str, prefix: str, season: str | None = None, n: int | None = None) -> Past:
+    def made(rows) -> dict[str, Column]:
+        w = rows.rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
+        games, wins = F.count(F.lit(1)).over(w), F.coalesce(F.sum(F.when(won, 1).otherwise(0)).over(w), F.lit(0))
+        return {f"{prefix}_games": games, f"{prefix}_wins": wins, f"{prefix}_pct": F.when(games > 0, wins / games), f"{prefix}_margin": F.avg(margin).over(w)}
+
+    return Past(tuple(f"{prefix}_{x}" for x in ("games", "wins", "pct", "margin")), made, (season,) if season else ())
 
 
-def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns: Sequence[str], prefix: str = "opponent_") -> DataFrame:
+def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns: Sequence[str], prefix: str = "opponent_", tasks: int | None = None) -> DataFrame:
     """The opponent's columns of the same event; null where its row is missing, or an id is null.
 
     Both rows of a pair meet in one window, so ``df`` is gone through once however often it is mirrored.  They are a
@@ -248,7 +364,7 @@ def mirror(df: DataFrame, event: Sequence[str], own: str, opponent: str, columns
         known = known & F.col(c).isNotNull()
     told = F.struct(*[F.col(c) for c in columns])
     smaller, larger = F.max(F.when(us <= them, told)).over(pair), F.max(F.when(us >= them, told)).over(pair)
-    met = df.withColumn("__other", F.when(known, F.when(us <= them, larger).otherwise(smaller)))
+    met = dealt(df, tasks, *event).withColumn("__other", F.when(known, F.when(us <= them, larger).otherwise(smaller)))
     return met.select(*df.columns, *[F.col("__other")[c].alias(f"{prefix}{c}") for c in columns])
 
 

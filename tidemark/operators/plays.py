@@ -26,10 +26,10 @@ def play_aggregate(plays: DataFrame, game: str, team: str, order: str, period: s
     told = told.withColumn("__run", F.sum("__changed").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     p, left, x = F.col(period), clock_seconds(F.col(clock)), F.col(points)
     parts = {f"period_{n}_points": p == n for n in (1, 2, 3, 4)} | {"overtime_points": p >= 5, "clutch_points": (p >= 4) & (left <= 300)}
-    runs = told.groupBy(game, team, "__run").agg(F.sum(x).alias("__points"), *[F.sum(F.when(c, x)).alias(n) for n, c in parts.items()])
-    teams = runs.groupBy(game, team).agg(*[F.sum(n).alias(n) for n in parts], F.max("__points").alias("largest_run"))
-    games = told.groupBy(game).agg(F.sum(F.coalesce("__turn", F.lit(0))).alias("lead_changes"), F.max(F.abs("__margin")).alias("largest_lead"))
-    return teams.join(games, game)
+    leads = {"lead_changes": (F.sum, F.coalesce("__turn", F.lit(0))), "largest_lead": (F.max, F.abs("__margin"))}
+    runs = told.groupBy(game, team, "__run").agg(F.sum(x).alias("__points"), *[F.sum(F.when(c, x)).alias(n) for n, c in parts.items()], *[f(c).alias(n) for n, (f, c) in leads.items()])
+    teams = runs.groupBy(game, team).agg(*[F.sum(n).alias(n) for n in parts], F.max("__points").alias("largest_run"), *[f(n).alias(n) for n, (f, _) in leads.items()])
+    return teams.filter(F.col(game).isNotNull()).withColumns({n: f(n).over(Window.partitionBy(game)) for n, (f, _) in leads.items()})
 
 
 def running_score(events: DataFrame, game: str, order: str, score: str) -> DataFrame:

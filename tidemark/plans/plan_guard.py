@@ -223,10 +223,10 @@ def rowwise(before: DataFrame, after: DataFrame, step: str, filters: bool = Fals
 
 
 def keeps_rows(before: DataFrame, after: DataFrame) -> bool:
-    """Whether the plan shows that ``after`` has a row for each of ``before`` (expressions and windows do)."""
+    """Whether the plan shows that ``after`` has a row for each of ``before`` (expressions, windows and another deal do)."""
     given, node = analysed(before), analysed(after)
     while not node.fastEquals(given):
-        if _kind(node) not in ROWWISE | {"Window"}:
+        if _kind(node) not in ROWWISE | {"Window", "RepartitionByExpression"}:
             return False
         (node,) = _list(node.children())
     return True

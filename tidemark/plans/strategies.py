@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,7 +29,8 @@ class Tables:
     """Loaders: rows known by the context's instant.  ``quotes``: game_id, vendor, at, price, tie; ``fills``:
     game_id, at, price, tie; ``props``: player_id, at, line, tie; ``bios``: player_id, position, age; ``plays``:
     game_id, team_id and ``PLAY_COLUMNS``; ``standings``: team_id, season, at, wins, losses, tie.  ``style``: the
-    dimensions that team games have; ``mix``: whether player games have ``MIX_COLUMNS``."""
+    dimensions that team games have; ``mix``: whether player games have ``MIX_COLUMNS``; ``tasks``: how many tasks games
+    and quotes are dealt to at least."""
 
     team_games: Callable[[p.Context], DataFrame]
     player_games: Callable[[p.Context], DataFrame] | None = None
@@ -41,6 +42,7 @@ class Tables:
     standings: Callable[[], DataFrame] | None = None
     style: tuple[str, ...] = STYLE
     mix: bool = False
+    tasks: int | None = None
 
 
 def past(name: str, who: h.History, change: Callable[[DataFrame], DataFrame], adds: Sequence[str], needs: Sequence[str] = ()) -> p.Step:
@@ -54,23 +56,40 @@ def past(name: str, who: h.History, change: Callable[[DataFrame], DataFrame], ad
     return p.windowed(name, apply, [*adds, end], [end], needs)
 
 
+def pasts(name: str, who: h.History, made: Callable[[], Mapping[str, Sequence[h.Past]]], adds: Sequence[str], ends: Sequence[str], tasks: int | None = None, needs: Sequence[str] = ()) -> p.Step:
+    """Windowed columns that are made in one pass: ``made`` has them by name, and each name in ``ends`` gets the last
+    earlier instant of ``who`` as its window's end."""
+    last = [f"{n}_window_end" for n in ends]
+
+    def apply(df: DataFrame) -> DataFrame:
+        return h.together(df, who, [x for parts in made().values() for x in parts], last, tasks)
+
+    return p.windowed(name, apply, [*adds, *last], [*[c for c in adds if c.endswith("_window_end")], *last], needs)
+
+
+def averaged(name: str, values: Sequence[str]) -> list[str]:
+    """The columns of a rolling mean."""
+    return [*[f"{v}_{name}" for v in values], f"{name}_rows", f"{name}_window_end"]
+
+
 def rolling(name: str, who: h.History, values: Sequence[str], n: int) -> p.Step:
     return past(name, who, lambda df: h.rolling(df, who, values, n, name), [*[f"{v}_{name}" for v in values], f"{name}_rows"], values)
 
 
-def mirror(name: str, made: Sequence[str], end: str) -> p.Step:
-    """The opponent's columns of the same game, with the end of the window they come from."""
-    adds = [f"opponent_{c}" for c in (*made, end)]
-    return p.windowed(name, lambda df: h.mirror(df, ["game_id"], "team_id", "opponent_team_id", [*made, end]), adds, [f"opponent_{end}"], [*made, end])
+def mirror(name: str, made: Sequence[str], ends: Sequence[str], tasks: int | None = None) -> p.Step:
+    """The opponent's columns of the same game, with the ends of the windows they come from."""
+    told = [*made, *ends]
+    return p.windowed(name, lambda df: h.mirror(df, ["game_id"], "team_id", "opponent_team_id", told, tasks=tasks), [f"opponent_{c}" for c in told], [f"opponent_{e}" for e in ends], told)
 
 
 def row_local(name: str, made: Callable[[], dict], adds: Sequence[str], needs: Sequence[str] = ()) -> p.Step:
     return p.row_local(name, lambda df: df.withColumns(made()), adds, needs)
 
 
-def situational_baseline(t: Tables) -> p.Pipeline:
+def _games(t: Tables) -> tuple[p.Step, ...]:
+    """A team's games, with what a row alone says."""
     c = F.col
-    steps = (
+    return (
         p.source("load_team_games", t.team_games, "result_known_at", ("game_id", "team_id", "opponent_team_id", "season", "season_type", START, "result_known_at", "is_franchise", "is_home", "points_scored", "points_allowed", *t.style)),
         row_local("coerce", lambda: {v: c(v).cast("double") for v in t.style}, ()),
         p.keep("franchises", lambda _: c("is_franchise")),
@@ -78,78 +97,106 @@ def situational_baseline(t: Tables) -> p.Pipeline:
         p.keep("seasons", lambda x: c("season").isin(list(x.seasons)) if x.seasons else F.lit(True)),
         row_local("home_away", lambda: {"venue": columns.home_away(c("is_home"))}, ["venue"]),
         row_local("outcome", lambda: dict(zip(("margin", "won"), columns.outcome(c("points_scored"), c("points_allowed")), strict=True)), ["margin", "won"]),
-        past("rest", TEAM, lambda df: h.rest(df, TEAM), ["rest_days", "is_back_to_back"]),
     )
-    return p.Pipeline("situational_baseline", steps, START)
 
 
-def team_form(t: Tables) -> p.Pipeline:
-    form, prior = [f"{v}_form5" for v in FORM], ("prior_games", "prior_wins", "prior_pct")
-    return situational_baseline(t).renamed("team_form").with_steps(
-        past("season_to_date", TEAM, lambda df: h.season_to_date(df, TEAM, F.col("won"), "season"), prior),
-        rolling("form5", TEAM, FORM, 5), rolling("pace5", TEAM, ["pace"], 5),
-        mirror("opponent_record", prior, "season_to_date_window_end"), mirror("opponent_form", form, "form5_window_end"), mirror("opponent_pace", ["pace_pace5"], "pace5_window_end"),
+REST = ("rest_days", "is_back_to_back")
+PRIOR = ("prior_games", "prior_wins", "prior_pct")
+
+
+def situational_baseline(t: Tables) -> p.Pipeline:
+    return p.Pipeline("situational_baseline", (*_games(t), pasts("rest", TEAM, lambda: {"rest": [h.past_rest(TEAM)]}, REST, ["rest"], t.tasks)), START)
+
+
+def _form(
+    t: Tables, name: str, own: Sequence[p.Step] = (), more: Callable[[], Mapping[str, Sequence[h.Past]]] = dict, adds: Sequence[str] = (), ends: Sequence[str] = (), needs: Sequence[str] = (),
+    told: Sequence[str] = (), told_ends: Sequence[str] = (), after: Sequence[p.Step] = (),
+) -> p.Pipeline:
+    """Rest, record and form of both teams, and with them, as all that looks at a team's games is one pass and what a
+    game's teams tell each other another: ``own`` steps before that pass, ``more`` of it (``adds``, ``ends``),
+    ``told`` beside the form, and steps ``after``.  What is fitted on all rows comes first: what is before it gets
+    written, and rows are narrow there."""
+    form = [f"{v}_form5" for v in FORM]
+
+    def made() -> Mapping[str, Sequence[h.Past]]:
+        return {"season_to_date": [h.past_season(F.col("won"), "season")], "form5": [h.past_rolling(TEAM, FORM, 5, "form5")], "pace5": [h.past_rolling(TEAM, ["pace"], 5, "pace5")], **more()}
+
+    made_here = [*PRIOR, *averaged("form5", FORM), *averaged("pace5", ["pace"]), *adds]
+    steps = (
+        *situational_baseline(t).steps, p.fitted("scale_rest", lambda df: columns.fit_scale(df, ["rest_days"]), ["rest_days_scaled"]),
+        *own, pasts("team_history", TEAM, made, made_here, ["season_to_date", *ends], t.tasks, [*FORM, "pace", *needs]),
+        mirror("opponent", [*PRIOR, *form, "pace_pace5", *told], ["season_to_date_window_end", "form5_window_end", "pace5_window_end", *told_ends], t.tasks),
         p.row_local("flag_rest", lambda df: columns.flag_nulls(df, ["rest_days"]), ["rest_days_is_null"]),
         p.row_local("venue_one_hot", lambda df: columns.one_hot(df, "venue", ["home", "away"]), ["venue_is_home", "venue_is_away", "venue_is_other"]),
         p.row_local("season_type_one_hot", lambda df: columns.one_hot(df, "season_type", ["regular-season", "post-season"]), ["season_type_is_regular-season", "season_type_is_post-season", "season_type_is_other"]),
-        p.fitted("scale_rest", lambda df: columns.fit_scale(df, ["rest_days"]), ["rest_days_scaled"]),
+        *after,
     )
+    return p.Pipeline(name, steps, START)
+
+
+def team_form(t: Tables) -> p.Pipeline:
+    return _form(t, "team_form")
 
 
 def team_form_multi(t: Tables) -> p.Pipeline:
-    return team_form(t).renamed("team_form_multi").with_steps(
-        rolling("form10", TEAM, FORM, 10), rolling("form20", TEAM, FORM, 20),
-        past("season_mean", TEAM, lambda df: h.expanding(df, TEAM, FORM, "season", "season_mean"), [*[f"{v}_season_mean" for v in FORM], "season_mean_rows"]),
-        past("ewm5", TEAM, lambda df: h.exponential(df, TEAM, "margin", 5.0, label="ewm5"), ["margin_ewm5", "ewm5_rows"]),
-        past("sd10", TEAM, lambda df: h.dispersion(df, TEAM, "margin", 10, "sd10"), ["margin_sd10"]),
-        past("slope10", TEAM, lambda df: h.slope(df, TEAM, "margin", 10, "slope10"), ["margin_slope10"]),
-        past("home10", TEAM, lambda df: h.split_rolling(df, TEAM, "margin", F.col("is_home"), 10, "home10"), ["margin_home10", "home10_rows"]),
-        past("road10", TEAM, lambda df: h.split_rolling(df, TEAM, "margin", ~F.col("is_home"), 10, "road10"), ["margin_road10", "road10_rows"]),
-        past("streak", TEAM, lambda df: h.streak(df, TEAM, F.col("won"), "season"), ["streak"]),
-        row_local("margin_profile", lambda: {k: v.cast("int") for k, v in columns.margin_profile(F.col("margin")).items()}, ["blowout_win", "blowout_loss", "close_game"]),
-        rolling("profile10", TEAM, ["blowout_win", "blowout_loss", "close_game"], 10),
-    )
+    profile = ["blowout_win", "blowout_loss", "close_game"]
+
+    def more() -> Mapping[str, Sequence[h.Past]]:
+        return {
+            "form10": [h.past_rolling(TEAM, FORM, 10, "form10")], "form20": [h.past_rolling(TEAM, FORM, 20, "form20")], "season_mean": [h.past_expanding(TEAM, FORM, "season", "season_mean")],
+            "ewm5": [h.past_exponential("margin", 5.0, 1e-6, "ewm5")], "sd10": [h.past_dispersion("margin", 10, "sd10")], "slope10": [h.past_slope("margin", 10, "slope10")],
+            "venue10": h.past_splits(TEAM, "margin", "is_home", 10, {"home10": True, "road10": False}), "streak": [h.past_streak("won", "season", "streak")], "profile10": [h.past_rolling(TEAM, profile, 10, "profile10")],
+        }
+
+    adds = [*averaged("form10", FORM), *averaged("form20", FORM), *averaged("season_mean", FORM), "margin_ewm5", "ewm5_rows", "margin_sd10", "margin_slope10", "margin_home10", "home10_rows", "margin_road10", "road10_rows", "streak", *averaged("profile10", profile)]
+    own = [row_local("margin_profile", lambda: {k: v.cast("int") for k, v in columns.margin_profile(F.col("margin")).items()}, profile)]
+    return _form(t, "team_form_multi", own, more, adds, ["ewm5", "sd10", "slope10", "home10", "road10", "streak"], profile)
 
 
 def team_matchup(t: Tables) -> p.Pipeline:
     c = F.col
     played = ("games", "wins", "pct", "margin")
-    return team_form(t).renamed("team_matchup").with_steps(
-        mirror("opponent_rest", ["rest_days", "is_back_to_back"], "rest_window_end"),
+    met = pasts(
+        "head_to_head", PAIR, lambda: {"h2h_season": [h.past_head_to_head(c("won"), "margin", "h2h_season", "season")], "h2h_all": [h.past_head_to_head(c("won"), "margin", "h2h_all")]},
+        [f"{n}_{x}" for n in ("h2h_season", "h2h_all") for x in played], ["h2h_season", "h2h_all"], t.tasks,
+    )
+    after = (
         row_local("rest_advantage", lambda: columns.rest_advantage(c("rest_days"), c("opponent_rest_days"), c("is_back_to_back"), c("opponent_is_back_to_back")), ["rest_advantage", "back_to_back_edge"]),
         row_local("pace_interaction", lambda: columns.pair_profile(c("pace_pace5"), c("opponent_pace_pace5"), "pace"), ["pace_mean", "pace_min", "pace_max", "pace_gap"]),
-        past("h2h_season", PAIR, lambda df: h.head_to_head(df, PAIR, c("won"), "margin", "h2h_season", "season"), [f"h2h_season_{x}" for x in played]),
-        past("h2h_all", PAIR, lambda df: h.head_to_head(df, PAIR, c("won"), "margin", "h2h_all"), [f"h2h_all_{x}" for x in played]),
-    )
+    )
+    return _form(t, "team_matchup", own=[met], told=REST, told_ends=["rest_window_end"], after=after)
 
 
 def team_style(t: Tables) -> p.Pipeline:
     """Trailing style vectors of both teams over as many dimensions as there are, their gaps and distance, and how far
     a team's newest games are from its longer run."""
     c, short = F.col, [f"{v}_style5" for v in t.style]
-    return situational_baseline(t).renamed("team_style").with_steps(
-        rolling("style5", TEAM, t.style, 5), rolling("style15", TEAM, t.style, 15), mirror("opponent_style", short, "style5_window_end"),
+    made = lambda: {"rest": [h.past_rest(TEAM)], "style5": [h.past_rolling(TEAM, t.style, 5, "style5")], "style15": [h.past_rolling(TEAM, t.style, 15, "style15")]}
+    steps = (
+        *_games(t), pasts("team_history", TEAM, made, [*REST, *averaged("style5", t.style), *averaged("style15", t.style)], ["rest"], t.tasks, t.style), mirror("opponent_style", short, ["style5_window_end"], t.tasks),
         row_local("style_gaps", lambda: {f"{v}_gap": c(f"{v}_style5") - c(f"opponent_{v}_style5") for v in t.style}, [f"{v}_gap" for v in t.style]),
-        p.fitted("style_distance", lambda df: columns.style_distance(df, [(x, f"opponent_{x}") for x in short]), ["style_distance"]),
         row_local("style_volatility", lambda: {"style_volatility": columns.style_volatility([(c(f"{v}_style5"), c(f"{v}_style15"), 1.0) for v in t.style])}, ["style_volatility"]),
+        p.fitted("style_distance", lambda df: columns.style_distance(df, [(x, f"opponent_{x}") for x in short]), ["style_distance"]),
     )
+    return p.Pipeline("team_style", steps, START)
 
 
 def team_market(t: Tables) -> p.Pipeline:
     c = F.col
 
     def odds(df: DataFrame) -> DataFrame:
-        series = h.running_latest(t.quotes(), ["game_id"], "vendor", "at", "price", "tie", median=False).withColumnsRenamed({"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors"})
-        return asof.asof_join(df, series, ["game_id"], START, "at", ["book_consensus", "book_spread", "book_vendors"], "at", prefix="").withColumnRenamed("observed_at", "book_observed_at")
+        quotes = h.dealt(t.quotes(), t.tasks, "game_id")
+        series = h.running_latest(quotes, ["game_id"], "vendor", "at", "price", "tie", median=False).withColumnsRenamed({"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors"})
+        return asof.asof_join(df, series, ["game_id"], START, "at", ["book_consensus", "book_spread", "book_vendors"], "at", prefix="", tasks=t.tasks).withColumnRenamed("observed_at", "book_observed_at")
 
     def fills(df: DataFrame) -> DataFrame:
-        return asof.asof_join(df, t.fills().withColumnRenamed("price", "prediction"), ["game_id"], START, "at", ["prediction"], "tie").withColumnRenamed("observed_at", "prediction_observed_at")
+        return asof.asof_join(df, t.fills().withColumnRenamed("price", "prediction"), ["game_id"], START, "at", ["prediction"], "tie", tasks=t.tasks).withColumnRenamed("observed_at", "prediction_observed_at")
 
-    return team_form(t).renamed("team_market").with_steps(
+    return _form(t, "team_market", own=(
         p.asof("book", odds, ["book_consensus", "book_spread", "book_vendors", "book_observed_at"], "book_observed_at"),
         p.asof("prediction", fills, ["prediction", "prediction_observed_at"], "prediction_observed_at"),
         row_local("divergence", lambda: columns.market_divergence(c("prediction"), c("book_consensus"), c("book_consensus") - c("book_spread")), ["divergence", "movement", "abs_divergence"]),
-    )
+    ))
 
 
 def team_play_shape(t: Tables) -> p.Pipeline:
@@ -157,18 +204,17 @@ def team_play_shape(t: Tables) -> p.Pipeline:
     c, key = F.col, ["game_id", "team_id"]
     shares = [f"period_{i}_share" for i in (1, 2, 3, 4)] + ["second_half_share", "clutch_share"]
     swings = ["run_per_lead", "went_to_overtime", "lead_changes_per_100"]
-    made = team_form(t).renamed("team_play_shape")
-    games = made.steps[0]
-    load = lambda x: t.team_games(x).join(t.plays().select(*key, *PLAY_COLUMNS), key, "left")
-    made = made.replace_step(games.name, p.source(games.name, load, "result_known_at", (*games.provenance.adds, *PLAY_COLUMNS)))
     periods = lambda: [c(f"period_{i}_points") for i in (1, 2, 3, 4)]
-    return made.with_steps(
+    own = (
         p.row_local("no_plays", lambda df: columns.fill_nulls(df, {"overtime_points": 0}), ()),
         row_local("scoring_profile", lambda: columns.scoring_profile(periods(), c("clutch_points")), shares),
         row_local("game_volatility", lambda: {k: v.cast("double") for k, v in columns.volatility(c("largest_run"), c("largest_lead"), c("overtime_points"), c("lead_changes"), c("points_scored") + c("points_allowed")).items()}, swings),
-        rolling("shape10", TEAM, [*shares, *swings], 10),
-        past("run_sd10", TEAM, lambda df: h.dispersion(df, TEAM, "run_per_lead", 10, "sd10"), ["run_per_lead_sd10"]),
-    )
+    )
+    more = lambda: {"shape10": [h.past_rolling(TEAM, [*shares, *swings], 10, "shape10")], "run_sd10": [h.past_dispersion("run_per_lead", 10, "sd10")]}
+    made = _form(t, "team_play_shape", own, more, [*averaged("shape10", [*shares, *swings]), "run_per_lead_sd10"], ["run_sd10"], [*shares, *swings])
+    games = made.steps[0]
+    load = lambda x: t.team_games(x).join(t.plays().select(*key, *PLAY_COLUMNS), key, "left")
+    return made.replace_step(games.name, p.source(games.name, load, "result_known_at", (*games.provenance.adds, *PLAY_COLUMNS)))
 
 
 def with_standings(made: p.Pipeline, t: Tables) -> p.Pipeline:

@@ -15,7 +15,7 @@ from tidemark.operators import plays
 from tidemark.operators import relational as rel
 from tidemark.plans import pipeline as p
 from tidemark.plans import strategies as s
-from tidemark.queries.catalog import game_log, query, rounded, table
+from tidemark.queries.catalog import game_log, query, rounded, table, tasks
 
 CONTEXT = p.Context(datetime(2024, 6, 1, tzinfo=timezone.utc))
 
@@ -77,7 +77,7 @@ def tables(spark: SparkSession, folder: str, wide: bool = False) -> s.Tables:
         o = table(spark, folder, "orders")
         return o.select((F.col("o_custkey") % 100).alias("team_id"), F.year("o_orderdate").alias("season"), F.col("o_orderdate").cast("timestamp").alias("at"), F.floor(F.col("o_totalprice") / 10_000).alias("wins"), (F.col("o_custkey") % 7).alias("losses"), F.col("o_orderkey").alias("tie"))
 
-    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios, shaped, standings, tuple(WIDE) if wide else s.STYLE, wide)
+    return s.Tables(team_games, player_games, quotes, lambda: quotes().drop("vendor"), props, bios, shaped, standings, tuple(WIDE) if wide else s.STYLE, wide, tasks(table(spark, folder, "lineitem")))
 
 
 def _run(spark: SparkSession, folder: str, name: str, wide: bool = False) -> DataFrame:

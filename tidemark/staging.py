@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Actions on frames made within it delete what they have shuffled when they end."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Actions on frames made within it delete what they have shuffled when they end."""
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def _goes_with_the_driver(spark: SparkSession, path: str) -> None:
     """What is at ``path`` is deleted when the driver ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +49,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     as long as the driver is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    # Instants as whole numbers: Spark's default for them is an array of bytes.
+    with shuffles_dropped(spark), _held(spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"):
         df.select("*").write.parquet(path)
     _goes_with_the_driver(spark, path)
     return spark.read.schema(df.schema).parquet(path)
