@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import odds
 from tidemark.operators import markets
 from tidemark.operators import relational as rel
-from tidemark.queries.catalog import query, rounded, table
+from tidemark.operators.history import dealt
+from tidemark.queries.catalog import query, rounded, table, tasks
 
 @query("""SELECT l_orderkey AS game_id, l_shipdate AS captured_at, l_suppkey AS vendor, l_linenumber AS n, l_discount AS spread, l_tax AS total, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_extendedprice) AS INT) AS rank
 FROM lineitem QUALIFY rank <= 100""")
@@ -152,7 +153,9 @@ def recheck_queue(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT l_orderkey AS game, l_returnflag AS source, CAST(sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS summed, o_custkey AS final FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING sum(l_quantity) FILTER (WHERE l_linestatus = 'F') IS DISTINCT FROM o_custkey""")
 def check_plays_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Each source's scoring plays against the final score, each for itself; no plays is not the same as the score."""
-    joined = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    n = tasks(lines)
+    joined = dealt(lines, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     sums = joined.groupBy(F.col("l_orderkey").alias("game"), F.col("l_returnflag").alias("source"), F.col("o_custkey").alias("final")).agg(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).cast("long").alias("summed"))
     return sums.filter(~F.col("summed").eqNullSafe(F.col("final"))).select("game", "source", "summed", "final")
 
