@@ -77,5 +77,9 @@ def run_checks(found: Sequence[DataFrame], acknowledged: DataFrame) -> DataFrame
 
 
 def stale(found: DataFrame, acknowledged: DataFrame) -> DataFrame:
-    """Acknowledgements that nothing matches any more."""
-    return acknowledged.join(found, ["check", "key"], "left_anti")
+    """Acknowledgements that nothing matches any more.
+
+    They are written by hand, so they go to what was found, of which only what they match is dealt out.
+    """
+    matched = found.select("check", "key").join(F.broadcast(acknowledged.select("check", "key")), ["check", "key"], "left_semi")
+    return acknowledged.join(matched, ["check", "key"], "left_anti")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import columns as c
 from tidemark.operators import quality as ql
 from tidemark.operators import style
-from tidemark.queries.catalog import LOG, game_log, long, query, rounded, table
+from tidemark.operators.history import dealt
+from tidemark.queries.catalog import LOG, game_log, long, query, rounded, table, tasks
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +142,8 @@ _DUPLICATES = "SELECT 'duplicate' AS \"check\", concat(l_orderkey, '|', l_linenu
 
 @query(_DUPLICATES)
 def check_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return ql.duplicates(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", "duplicate")
+    lines = table(spark, folder, "lineitem")
+    return ql.duplicates(dealt(lines, tasks(lines), "l_orderkey"), ["l_orderkey", "l_linenumber"], "l_partkey", "duplicate")
 
 
 _TOTALS = "SELECT 'totals' AS \"check\", CAST(o_orderkey AS VARCHAR) AS key, CAST(sum(CAST(l_quantity AS BIGINT)) - o_custkey AS VARCHAR) AS detail FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey HAVING abs(sum(CAST(l_quantity AS BIGINT)) - o_custkey) > 500"
@@ -151,7 +153,8 @@ _TOTALS = "SELECT 'totals' AS \"check\", CAST(o_orderkey AS VARCHAR) AS key, CAS
 def check_totals(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key_"), F.col("o_custkey").alias("total"))
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key_"), "l_quantity")
-    return ql.reconcile(orders, lines, "key_", "total", F.col("l_quantity").cast("long"), "totals", 500)
+    n = tasks(lines)
+    return ql.reconcile(dealt(orders, n, "key_"), dealt(lines, n, "key_"), "key_", "total", F.col("l_quantity").cast("long"), "totals", 500)
 
 
 @query("""WITH l AS (SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS last FROM lineitem GROUP BY 1)
@@ -210,4 +213,4 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_KNOWN}, {_FOUND} SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM f WHERE a."check" = f."check" AND a.key = f.key)""")
 def stale_acknowledgements(spark: SparkSession, folder: str) -> DataFrame:
     found = _found(spark, folder)
-    return ql.stale(found[0].unionByName(found[1]).unionByName(found[2]).select("check", "key").distinct(), _acknowledged(spark))
+    return ql.stale(found[0].unionByName(found[1]).unionByName(found[2]), _acknowledged(spark))
