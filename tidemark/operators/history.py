@@ -166,19 +166,25 @@ def _lookback(half_life: float, floor: float) -> int:
 def past_exponential(value: str, half_life: float, floor: float, label: str) -> Past:
     """Sums over a bounded frame, no list of it: a row is weighed by its place in a span of rows that is as long as the
     frame, and as a frame meets two spans at most, those of even and of odd number are summed for themselves."""
-    n, decay = _lookback(half_life, floor), 0.5 ** (1 / half_life)
-    x, at, odd = F.col(value).cast("double"), f"__place_{label}", (F.floor(F.col(f"__place_{label}") / n) % 2).cast("int")
+    n, decay, x = _lookback(half_life, floor), 0.5 ** (1 / half_life), F.col(value).cast("double")
+    at, cell = f"__place_{label}", lambda k, name: f"__{name}{k}_{label}"
 
     def steps(rows) -> dict[str, Column]:
-        return {at: F.row_number().over(rows)}
+        place = F.row_number().over(rows)
+        weight = F.pow(F.lit(decay), n - place % n)
+        own = lambda k, c: F.when((F.floor(place / n) % 2 == k) & x.isNotNull(), c)
+        return {at: place, **{cell(k, name): own(k, c) for k in (0, 1) for name, c in (("num", weight * x), ("den", weight))}}
 
     def made(rows) -> dict[str, Column]:
-        frame = rows.rowsBetween(-n, -1)
-        weight = F.pow(F.lit(decay), n - F.col(at) % n)
-        sums = {(k, name): F.coalesce(F.sum(F.when((odd == k) & x.isNotNull(), c)).over(frame), F.lit(0.0)) for k in (0, 1) for name, c in (("num", weight * x), ("den", weight))}
+        frame, even = rows.rowsBetween(-n, -1), F.floor(F.col(at) / n) % 2 == 0
         # From the span's end to the row before this one; the span before is one span further.
         here, there = F.pow(F.lit(decay), F.col(at) % n - n - 1), F.pow(F.lit(decay), F.col(at) % n - 1)
-        num, den = (F.when(odd == 0, here * sums[0, c] + there * sums[1, c]).otherwise(there * sums[0, c] + here * sums[1, c]) for c in ("num", "den"))
+
+        def total(name: str) -> Column:
+            sums = [F.coalesce(F.sum(cell(k, name)).over(frame), F.lit(0.0)) for k in (0, 1)]
+            return sums[0] * F.when(even, here).otherwise(there) + sums[1] * F.when(even, there).otherwise(here)
+
+        num, den = total("num"), total("den")
         return {f"{value}_{label}": F.when(den > 0, num / den), f"{label}_rows": F.count(F.lit(1)).over(frame)}
 
     return Past((f"{value}_{label}", f"{label}_rows"), made, steps=steps)
