@@ -107,9 +107,12 @@ def current_injuries(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{_REPORTS}, s AS (SELECT user_id AS player, count(*) AS games, avg(value) AS points FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_type <> 'error' GROUP BY 1)
 SELECT c.player, c.team, c.status, coalesce(games, 0) AS games, round(points, 1) AS points FROM c LEFT JOIN s USING (player)""")
 def injury_impact(spark: SparkSession, folder: str) -> DataFrame:
-    """Who is listed, with what they do in a season; players without games stay.  A mean is rounded to nine digits
-    first, so that one half-way between two tenths goes up whatever the order of its sum."""
-    season = table(spark, folder, "events").filter((F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")) & (F.col("event_type") != "error")).groupBy(F.col("user_id").alias("player")).agg(F.count("*").alias("games"), F.round(F.round(F.avg("value"), 9), 1).alias("points"))
+    """Who is listed, with what they do in a season; players without games stay.  A player's values are added in the
+    order of their events and tenths are counted in ten times the mean, so that a mean half-way between two tenths goes
+    where SQL's does, however the rows are dealt."""
+    log = table(spark, folder, "events").filter((F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")) & (F.col("event_type") != "error"))
+    so_far = F.sum("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    season = log.withColumn("so_far", so_far).groupBy(F.col("user_id").alias("player")).agg(F.count("*").alias("games"), (F.round(F.max_by("so_far", "event_id") / F.count("value") * 10) / 10).alias("points"))
     return _current(spark, folder).join(season, "player", "left").select("player", "team", "status", F.coalesce("games", F.lit(0)).cast("long").alias("games"), "points")
 
 
