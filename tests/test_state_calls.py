@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 from unittest.mock import MagicMock
 
+import pandas as pd
 from pyspark.sql import Row
 
 from tidemark.streaming import stateful as st
@@ -56,3 +57,31 @@ def test_calls_do_not_grow_with_rows():
     end = [Row(game_id=1, at=i * 1000, kind=k, who="pm", home=None, away=None, fair=0.9, volume=10.0, won=True) for i, k in ((300, "venue"), (301, "start"), (302, "result"))]
     few, many = (calls(st.Divergences(1, 60), made[:n] + end, (1,)) for n in (5, 200))
     assert few == many <= 8
+
+
+def games(n):
+    """Frames of ``n`` games' rows as a stream hands them over: columns are texts."""
+    kinds = [("quote", "v", "150", "-170", None, None, None), ("venue", "pm", None, None, "0.9", "10.0", None), ("venue", "nan", None, None, "0.9", "NaN", None), ("venue", "null", None, None, "0.9", None, None), ("start", None, None, None, None, None, None), ("result", None, None, None, None, None, "true")]
+    rows = [(g, 10**6 * (g + i), *k) for i, k in enumerate(kinds) for g in range(n)]
+    return pd.DataFrame(rows, columns=["game_id", "at", "kind", "who", "home", "away", "fair", "volume", "won"])
+
+
+def test_calls_do_not_grow_with_the_keys_of_a_part():
+    made = {n: st.Divergences(1, 60) for n in (5, 100)}
+    few, many = (calls(p, [games(n)], (7,)) for n, p in made.items())
+    assert few == many <= 8
+
+
+def test_keys_of_a_part_have_their_own_state():
+    store, processor = Store(), st.Divergences(1, 60)
+    processor.init(store)
+    instant = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    list(processor.handleInputRows((7,), iter([games(9)]), instant(0)))
+    found = []
+    for ms in (2_500, 7_200, 60_000):  # some games are over, some begun, some to come
+        found += list(processor.handleExpiredTimer((7,), instant(ms), SimpleNamespace(getExpiryTimeInMs=lambda: 1)))
+        found += list(processor.handleExpiredTimer((7,), instant(ms), SimpleNamespace(getExpiryTimeInMs=lambda: 1)))  # fires with it
+    out = pd.concat(found)
+    # NaN is above every least volume, as in batch; null isn't.
+    assert sorted(zip(out["game_id"], out["venue"], out["side"], out["won"], strict=True)) == [(g, v, "home", True) for g in range(9) for v in ("nan", "pm")]
+    assert not any(store.held.values())

@@ -10,10 +10,13 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 from operator import itemgetter
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,86 +39,115 @@ def _implied(odds: int) -> float:
 
 #: Rows that wait together as one value of the state store.
 TOGETHER = 1000
+#: What gives a column's values back from texts.
+READ = {"string": str, "int": int, "double": float, "boolean": lambda x: x in (True, "true")}
+#: Parts that keys are dealt to; each has one state.  A checkpoint can't be gone on with under another number.
+PARTS = 4096
 
 
 class InOrder(StatefulProcessor):
     """Keeps rows until the watermark has passed their instant (``at``, in microseconds), then hands a key's rows of
     each instant to ``seen``, in order.  Rows that are the same are one.
 
-    Each word between Python and the state store is a round trip, so rows wait many to a value, and what is known of a
-    key (``state``, of JSON's kinds) is read once when a timer fires and written once after it.
+    Each word between Python and the state store is a round trip, so keys (``ident``) share a state in parts: rows wait
+    many to a value, and what is known of a part's keys (a dictionary for each, of JSON's kinds, gone once it is empty)
+    is read once when a timer fires and written once after it.  Rows come and go as pandas frames, as turning each into
+    a ``Row`` costs more than all that is done with it; ``_parted`` makes their columns (of ``schema``) texts, as pandas
+    doesn't tell null from NaN.
     """
 
-    def __init__(self, schema: str):
-        self.fields = [c.split()[0] for c in schema.split(", ")]
-        self.cells = None
+    def __init__(self, ident: str, schema: str):
+        columns = [c.split() for c in schema.split(", ")]
+        self.fields = [ident, "at", *[c for c, _ in columns]]
+        self.read = [READ[kind] for _, kind in columns]
+        self.done: set[tuple] = set()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "rows string")
         self.known = handle.getValueState("known", "state string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first, part = None, []
-        for row in rows:
-            if self.cells is None:
-                self.cells = itemgetter(*[row.__fields__.index(f) for f in ("at", *self.fields)])
-            part.append(self.cells(row))
-            if first is None or part[-1][0] < first:
-                first = part[-1][0]
-            if len(part) == TOGETHER:
-                self.waiting.appendValue((json.dumps(part),))
-                part = []
+        for frame in rows:
+            cells = list(zip(*[np.atleast_1d(frame[f]).tolist() for f in self.fields], strict=True))
+            least = min(map(itemgetter(1), cells))
+            first = least if first is None else min(first, least)
+            part += cells
+            while len(part) >= TOGETHER:
+                self.waiting.appendValue((json.dumps(part[:TOGETHER]),))
+                part = part[TOGETHER:]
         if part:
             self.waiting.appendValue((json.dumps(part),))
         if first is not None:
             self.handle.registerTimer(math.ceil(first / 1000))
         yield from ()
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        # A timer sees to all that the watermark has passed, and sets the next one.
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        # A timer sees to all that the watermark has passed, for those that fire with it too, and sets the next one.
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        due: dict[int, dict[str, tuple]] = {}
+        if (key, until) in self.done:
+            return
+        self.done.add((key, until))
+        due, later = self._waited(until)
+        found = self.known.get()
+        state = json.loads(found[0]) if found else {"wake": None, "keys": []}
+        wake, keys, out = state["wake"], dict(state["keys"]), []
+        for ident in [*keys, *[i for i in due if i not in keys]]:
+            own = keys.setdefault(ident, {})
+            for at, rows in self._instants(due.get(ident, ())):
+                out += self.over(ident, at // 1000, own)
+                out += self.seen(ident, at, rows, own)
+            out += self.over(ident, until, own)
+            if not own:
+                del keys[ident]
+        comes = [math.ceil(min(later, key=itemgetter(1))[1] / 1000)] if later else []
+        nearest = min([*comes, *[own["ends"] for own in keys.values() if "ends" in own]], default=None)
+        self._set(wake, nearest, until)
+        text = json.dumps({"wake": nearest, "keys": list(keys.items())}) if keys or nearest is not None else None
+        if text is None and found:
+            self.known.clear()
+        elif text is not None and (not found or text != found[0]):
+            self.known.update((text,))
+        if out:
+            yield pd.DataFrame(out, columns=out[0].__fields__, dtype=object)
+
+    def _waited(self, until: int) -> tuple[dict[Any, list[list]], list[list]]:
+        """Rows by key that the watermark has passed, and the others, which go on waiting."""
+        due: dict[Any, list[list]] = {}
         later = []
         for (text,) in self.waiting.get():
-            for at, *row in json.loads(text):
-                if at <= until * 1000:
-                    due.setdefault(at, {})[repr(row)] = tuple(row)
+            for row in json.loads(text):
+                if row[1] > until * 1000:
+                    later.append(row)
+                elif row[0] in due:
+                    due[row[0]].append(row)
                 else:
-                    later.append((at, *row))
+                    due[row[0]] = [row]
         if due and later:
             self.waiting.put([(json.dumps(later[i : i + TOGETHER]),) for i in range(0, len(later), TOGETHER)])
         elif due:
             self.waiting.clear()
-        if later:
-            self.handle.registerTimer(math.ceil(min(later, key=itemgetter(0))[0] / 1000))
-        found = self.known.get()
-        state = json.loads(found[0]) if found else {}
-        ends = state.get("ends")
-        for at in sorted(due):
-            yield from self.over(key, at // 1000, state)
-            yield from self.seen(key, at, [row for _, row in sorted(due[at].items())], state)
-        yield from self.over(key, until, state)
-        self._remember(found, state, ends, until)
-
-    def _remember(self, found: tuple | None, state: dict, ends: int | None, until: int) -> None:
-        """Writes what has changed; a key has one timer for its end (``ends``, in milliseconds)."""
-        now = state.get("ends")
-        if now != ends:
-            if ends is not None and ends > until:
-                self.handle.deleteTimer(ends)
-            if now is not None:
-                self.handle.registerTimer(now)
-        text = json.dumps(state) if state else None
-        if text is None and found:
-            self.known.clear()
-        elif text is not None and (not found or text != found[0]):
-            self.known.update((text,))
-
-    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
+        return due, later
+
+    def _instants(self, rows: Sequence[list]) -> Iterator[tuple[int, list[tuple]]]:
+        """A key's different rows by instant, in order; those of one instant in the order of how they are written."""
+        for at, together in groupby(sorted(rows, key=itemgetter(1)), key=itemgetter(1)):
+            cells = [[None if x is None else read(x) for read, x in zip(self.read, row[2:], strict=True)] for row in together]
+            yield at, [tuple(row) for row in cells] if len(cells) == 1 else [tuple(row) for _, row in sorted({repr(row): row for row in cells}.items())]
+
+    def _set(self, wake: int | None, nearest: int | None, until: int) -> None:
+        """A part has one timer (in milliseconds) for the nearest that comes or ends."""
+        if nearest != wake:
+            if wake is not None and wake > until:
+                self.handle.deleteTimer(wake)
+            if nearest is not None:
+                self.handle.registerTimer(nearest)
+
+    def seen(self, ident: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
         yield from ()
 
-    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
+    def over(self, ident: Any, until: int, state: dict) -> Iterator[Row]:
         """What ends by an instant (in milliseconds) at which nothing need have come."""
         yield from ()
 
@@ -123,15 +155,27 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _parted(stream: DataFrame, ident: str, schema: str, lateness: str) -> GroupedData:
+    """Rows with ``ident``, ``time`` and columns of ``schema``, grouped by parts of keys, for state that those share."""
+    # pandas has no instants beyond these; they move the watermark as its own bounds would.
+    time = F.greatest(F.least("time", F.lit("2262-01-01").cast("timestamp")), F.lit("1678-01-01").cast("timestamp"))
+    texts = [F.col(c).cast(kind).cast("string").alias(c) for c, kind in (c.split() for c in schema.split(", "))]
+    told = stream.select(ident, time.alias("time"), _micros(F.col("time")).alias("at"), *texts).filter(F.col(ident).isNotNull() & F.col("at").isNotNull())
+    return told.withWatermark("time", lateness).withColumn("__part", F.pmod(F.xxhash64(ident), F.lit(PARTS)).cast("int")).groupBy("__part")
+
+
+QUOTE = "vendor string, tie double, value double"
+
+
 class Consensus(InOrder):
     """Every vendor's latest value, and their mean, deviation and number after each instant.  A key that has been
     silent for ``idle`` seconds is forgotten."""
 
     def __init__(self, idle: int):
-        super().__init__("vendor string, tie double, value double")
+        super().__init__("key", QUOTE)
         self.idle = idle
 
-    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
+    def seen(self, ident: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
         newest: dict[str, tuple] = {}
         for vendor, tie, value in rows:
             if vendor not in newest or (tie is not None and (newest[vendor][0] is None or tie > newest[vendor][0])):
@@ -145,9 +189,9 @@ class Consensus(InOrder):
         if values:
             mean = math.fsum(values) / len(values)
             spread = math.sqrt(math.fsum((x - mean) ** 2 for x in values) / (len(values) - 1)) if len(values) > 1 else None
-            yield Row(key=key[0], at=at, consensus=mean, spread=spread, vendors=len(values))
+            yield Row(key=ident, at=at, consensus=mean, spread=spread, vendors=len(values))
 
-    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
+    def over(self, ident: Any, until: int, state: dict) -> Iterator[Row]:
         if state and state["ends"] <= until:
             state.clear()
         yield from ()
@@ -156,10 +200,9 @@ class Consensus(InOrder):
 def running_consensus(stream: DataFrame, key: str, vendor: str, time: str, value: str, tiebreak: str, lateness: str, idle: int = 7 * 86_400) -> DataFrame:
     """key, at, consensus, spread, vendors: as ``operators.history.running_latest`` gives them, once the watermark has
     passed; rows later than ``lateness`` are lost, as in any stream."""
-    kind = stream.schema[key].dataType.simpleString()
-    told = stream.select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("time"), _micros(F.col(time)).alias("at"), F.col(vendor).cast("string").alias("vendor"), F.col(tiebreak).cast("double").alias("tie"), F.col(value).cast("double").alias("value"))
-    out = told.filter("key is not null and at is not null").withWatermark("time", lateness).groupBy("key").transformWithState(Consensus(idle), f"key {kind}, at long, consensus double, spread double, vendors long", "append", "EventTime")
-    return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias("at"), "consensus", "spread", "vendors")
+    told = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("time"), F.col(vendor).alias("vendor"), F.col(tiebreak).alias("tie"), F.col(value).alias("value"))
+    out = _parted(told, "key", QUOTE, lateness).transformWithStateInPandas(Consensus(idle), "key string, at long, consensus double, spread double, vendors long", "append", "EventTime")
+    return out.select(F.col("key").cast(stream.schema[key].dataType).alias(key), F.timestamp_micros("at").alias("at"), "consensus", "spread", "vendors")
 
 
 # --- divergences ---------------------------------------------------------------------------------------
@@ -174,54 +217,54 @@ class Divergences(InOrder):
     quote, graded with the result; ``patience`` seconds after the start those without one are given as they are."""
 
     def __init__(self, least_volume: float, patience: int):
-        super().__init__(EVENT)
+        super().__init__("game_id", EVENT)
         self.least_volume, self.patience = least_volume, patience
 
-    def seen(self, key: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
-        events = [dict(zip(self.fields, r, strict=True)) for r in rows]
-        quotes = [e for e in events if e["kind"] == "quote"]
+    def seen(self, ident: Any, at: int, rows: list[tuple], state: dict) -> Iterator[Row]:
+        quotes = [(who, home, away) for kind, who, home, away, *_ in rows if kind == "quote"]
         self._recheck(at, quotes, state)
         newest = dict(state.get("quotes", ()))
-        for e in sorted(quotes, key=lambda e: (e["who"], e["home"] is not None, e["home"] or 0, e["away"] is not None, e["away"] or 0)):
-            newest[e["who"]] = (e["home"], e["away"])
-        if newest:
+        for who, *prices in sorted(quotes, key=lambda q: (q[0], q[1] is not None, q[1] or 0, q[2] is not None, q[2] or 0)) if len(quotes) > 1 else quotes:
+            newest[who] = prices
+        if quotes:
             state["quotes"] = list(newest.items())
-        for e in events:
-            if e["kind"] == "start":
-                state.update(start=at, ends=math.ceil(at / 1000) + self.patience * 1000)
+        if any(kind == "start" for kind, *_ in rows):
+            state.update(start=at, ends=math.ceil(at / 1000) + self.patience * 1000)
         if "start" not in state or at < state["start"]:
             self._close(quotes, state)
-        for e in events:
-            if e["kind"] == "venue":
-                self._detect(at, e, newest, state)
-        for e in events:
-            if e["kind"] == "result":
-                yield from self._graded(key[0], e["won"], state)
-
-    def _recheck(self, at: int, quotes: list[dict], state: dict) -> None:
+        for kind, who, _, _, fair, volume, _ in rows:
+            if kind == "venue":
+                self._detect(at, who, fair, volume, newest, state)
+        for kind, *_, won in rows:
+            if kind == "result":
+                yield from self._graded(ident, won, state)
+
+    def _recheck(self, at: int, quotes: list[tuple], state: dict) -> None:
         """The first quote of a side at an instant after the one at which it was found."""
-        for f in state.get("found", ()):
-            offered = [(q["who"], q[f["side"]]) for q in quotes if q[f["side"]] is not None] if f["again"] is None and at > f["at"] else []
-            if offered:
-                f["again"] = min(offered)[1]
-
-    def _close(self, quotes: list[dict], state: dict) -> None:
-        for side in SIDES:
-            offered = [q[side] for q in quotes if q[side] is not None]
+        for f in state.get("found", ()) if quotes else ():
+            if f["again"] is None and at > f["at"]:
+                k = SIDES.index(f["side"]) + 1
+                offered = [(q[0], q[k]) for q in quotes if q[k] is not None]
+                if offered:
+                    f["again"] = min(offered)[1]
+
+    def _close(self, quotes: list[tuple], state: dict) -> None:
+        for k, side in enumerate(SIDES, 1):
+            offered = [q[k] for q in quotes if q[k] is not None]
             if offered:
                 state.setdefault("closing", {})[side] = max(offered)
 
-    def _detect(self, at: int, e: dict, books: dict, state: dict) -> None:
-        if e["fair"] is None or e["volume"] is None or e["volume"] < self.least_volume:
+    def _detect(self, at: int, venue: str, fair: float | None, volume: float | None, books: dict, state: dict) -> None:
+        if fair is None or volume is None or volume < self.least_volume:
             return
         for k, side in enumerate(SIDES):
             offered = [(-q[k], v) for v, q in books.items() if q[k] is not None]
             if offered:
                 less, vendor = min(offered)
-                fair = e["fair"] if side == "home" else 1 - e["fair"]
-                edge = fair - _implied(-less)
+                own = fair if side == "home" else 1 - fair
+                edge = own - _implied(-less)
                 if edge > 0:
-                    state.setdefault("found", []).append({"venue": e["who"], "side": side, "vendor": vendor, "odds": -less, "fair": fair, "edge": edge, "at": at, "again": None})
+                    state.setdefault("found", []).append({"venue": venue, "side": side, "vendor": vendor, "odds": -less, "fair": own, "edge": edge, "at": at, "again": None})
 
     def _graded(self, game: int, won: bool | None, state: dict) -> Iterator[Row]:
         closing = state.get("closing", {})
@@ -233,9 +276,9 @@ class Divergences(InOrder):
             yield Row(game_id=game, venue=f["venue"], side=side, book_vendor=f["vendor"], book_odds=f["odds"], book_implied=implied, venue_fair=f["fair"], edge=f["edge"], observed_at=f["at"], recheck_odds=again, survived=survived, closing_odds=close, clv=_implied(close) - implied if known else None, won=won == (side == "home") if known else None)
         state.clear()
 
-    def over(self, key: Any, until: int, state: dict) -> Iterator[Row]:
+    def over(self, ident: Any, until: int, state: dict) -> Iterator[Row]:
         if "start" in state and state["ends"] <= until:
-            yield from self._graded(key[0], None, state)
+            yield from self._graded(ident, None, state)
 
 
 def events_of(quotes: DataFrame, venues: DataFrame, games: DataFrame) -> DataFrame:
@@ -256,8 +299,7 @@ def events_of(quotes: DataFrame, venues: DataFrame, games: DataFrame) -> DataFra
 
 def divergences(events: DataFrame, least_volume: float, lateness: str, patience: int = 86_400) -> DataFrame:
     """``events`` (of ``events_of``) as graded divergences: what ``operators.divergence`` gives for them in batch."""
-    told = events.withColumn("at", _micros(F.col("time"))).withWatermark("time", lateness)
-    out = told.groupBy("game_id").transformWithState(Divergences(least_volume, patience), GRADED, "append", "EventTime")
+    out = _parted(events, "game_id", EVENT, lateness).transformWithStateInPandas(Divergences(least_volume, patience), GRADED, "append", "EventTime")
     return out.withColumn("observed_at", F.timestamp_micros("observed_at"))
 
 
