@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tidemark.operators import style
+from tidemark.registry import QUERIES
 
 KIND = "i long, g string, v array<double>"
 
@@ -33,3 +34,13 @@ def test_neighbours_among_copies(spark):
     assert "Join" not in out._jdf.queryExecution().analyzed().toString()
     want = sorted((i, n, j) for i, g, v in rows if i % 20 == 0 and g for n, (_, j) in enumerate(sorted((math.dist(v, w), j) for j, h, w in rows if h == g and j != i)[:5], 1))
     assert sorted((r["i"], r["rank"], r["neighbour"]) for r in out.collect()) == want
+
+
+def test_every_vector_has_its_uniqueness(spark):
+    """The registered query asks for all rows of its table; a number that is there with two labels meets itself, as in SQL."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").filter("label is not null").count()
+    assert QUERIES["uniqueness"](spark, folder).count() == rows
+    twice = spark.createDataFrame([(1, "a", [0.0, 1.0]), (1, "b", [0.0, 1.0]), (1, "c", [0.0, 2.0]), (2, "b", [0.0, 4.0])], KIND)
+    out = style.uniqueness(twice, twice, "i", "g", "v")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0.0), (2, 2.0)]

@@ -21,15 +21,15 @@ def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
 
 #: Rows of a block of points and of one of queries, at most about so many.
 POINTS, QUERIES = 131_072, 65_536
-#: Blocks that points are dealt to, at least, if there are enough of them.
+#: Pairs of blocks, at least, if there are enough rows.
 FEWEST = 32
 #: Distances that a task looks at together.
 CELLS = 1 << 22
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    """Vectors of one length as rows of doubles."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
 
 
@@ -46,8 +46,10 @@ def _codes(a: pa.Table, b: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray
 def _nearest(k: int, same: Sequence[str], other: Sequence[str]):
     """A block of queries against a block of points: ``k`` pairs for each query, by distance and point.
 
-    A product of matrices says for all pairs how far apart they are but for its rounding; those that this leaves in
-    question are measured again, component after component.
+    A product of matrices of single precision, about the points' centre and in units of the largest component, says for
+    all pairs how far apart they are, but for its rounding and for what the query's own length adds; those that this
+    leaves in question are measured again, component after component.  Points lie by ``other``, so that those which a
+    query may not meet are a slice.
     """
 
     def task(asked: pa.Table, points: pa.Table) -> pa.Table:
@@ -67,21 +69,29 @@ def _nearest(k: int, same: Sequence[str], other: Sequence[str]):
                 mine, theirs = np.flatnonzero((qs == g) & q_known), np.flatnonzero((ps == g) & p_known)
                 if not len(theirs):
                     continue
-                x, at, far, of = w[theirs], pi[theirs], po[theirs], (w[theirs] ** 2).sum(axis=1)
+                mine, theirs = mine[np.argsort(qo[mine], kind="stable")], theirs[np.argsort(po[theirs], kind="stable")]
+                x, at, far = w[theirs], pi[theirs], po[theirs]
+                centre = x.mean(axis=0)
+                unit = max(np.abs(x - centre).max(initial=0), np.abs(v[mine] - centre).max(initial=0)) or 1.0
+                about, asks = (((y - centre) / unit).astype(np.float32) for y in (x, v[mine]))
+                of, own = (np.square(y, dtype=np.float64).sum(axis=1) for y in (about, asks))
+                known_by, by_id = np.vstack([-2 * about.T, of.astype(np.float32)]), np.argsort(at, kind="stable")
+                # What the product's rounding may hide of the distances that are compared, and somewhat more.
+                slack = 6 * (v.shape[1] + 4) * 2.0**-24 * (own + of.max())
                 step = max(1, CELLS // len(theirs))
                 for i in range(0, len(mine), step):
                     m = mine[i : i + step]
-                    own = (v[m] ** 2).sum(axis=1)
-                    d = of - 2 * (v[m] @ x.T)
-                    d += own[:, None]
-                    out = qi[m][:, None] == at
-                    if other:
-                        out |= qo[m][:, None] == far
-                    d[out] = np.inf
-                    kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k <= d.shape[1] else np.full(len(m), np.inf)
-                    # What the product's rounding may hide, many times over.
-                    slack = 1e-11 * (own + of.max())
-                    r, c = np.nonzero((d <= (kth + slack)[:, None]) & (d < np.inf))
+                    d = np.hstack([asks[i : i + step], np.ones((len(m), 1), np.float32)]) @ known_by
+                    if not other:
+                        _close_off(d, qi[m], at, by_id)
+                    else:
+                        firsts = np.flatnonzero(np.diff(qo[m], prepend=-1))
+                        for first, last in zip(firsts, [*firsts[1:], len(m)], strict=True):
+                            d[first:last, slice(*np.searchsorted(far, [qo[m[first]], qo[m[first]] + 1]))] = np.inf
+                    kth = np.fmin.reduce(d, axis=1) if k == 1 else np.partition(d, k - 1, axis=1)[:, k - 1] if k <= d.shape[1] else np.full(len(m), np.inf)
+                    # Of too few points all are near.
+                    near = np.minimum(kth + slack[i : i + step], np.finfo(np.float32).max).astype(np.float32)
+                    r, c = np.divmod(np.flatnonzero(d <= near[:, None]), d.shape[1])
                     total = np.zeros(len(r))
                     for j in range(v.shape[1]):
                         total += (x[c, j] - v[m[r], j]) ** 2
@@ -95,6 +105,14 @@ def _nearest(k: int, same: Sequence[str], other: Sequence[str]):
     return task
 
 
+def _close_off(d: np.ndarray, asked: np.ndarray, at: np.ndarray, by_id: np.ndarray) -> None:
+    """No row meets itself: the distances of rows (``asked``) to points of their own number (``at``) become infinite."""
+    first, last = (np.searchsorted(at, asked, side, sorter=by_id) for side in ("left", "right"))
+    while (more := np.flatnonzero(first < last)).size:
+        d[more, by_id[first[more]]] = np.inf
+        first = first + 1
+
+
 def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int, same: Sequence[str], other: Sequence[str]) -> DataFrame:
     """(__q, __p, distance): pairs among which are each query's ``k`` nearest points, exactly.
 
@@ -108,8 +126,9 @@ def _near(queries: DataFrame, points: DataFrame, ident: str, vector: str, k: int
     own = points.filter(whole).select(F.col(ident).alias("__p"), F.col(vector).alias("__w"), F.size(vector).alias("__size"), *[F.col(c).alias(f"__p_{c}") for c in known])
     asked, own = (df.filter(F.col(c).isNotNull()) for df, c in ((asked, "__q"), (own, "__p")))
     n_points, n_queries = own.count(), asked.count()
-    n = max(math.ceil(n_points / POINTS), min(FEWEST, math.ceil(n_points / 1024)), 1)
-    m = max(math.ceil(n_queries / QUERIES), 1)
+    # As few copies of rows as give so many pairs of blocks.
+    n = max(math.ceil(n_points / POINTS), min(math.ceil(math.sqrt(FEWEST * n_points / max(n_queries, 1))), FEWEST, math.ceil(n_points / 1024)), 1)
+    m = max(math.ceil(n_queries / QUERIES), min(math.ceil(FEWEST / n), math.ceil(n_queries / 1024)), 1)
     every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     asked = asked.withColumn("__b", F.pmod(F.xxhash64("__q"), F.lit(m)).cast("int")).withColumn("__a", every(n))
     own = own.withColumn("__a", F.pmod(F.xxhash64("__p"), F.lit(n)).cast("int")).withColumn("__b", every(m))

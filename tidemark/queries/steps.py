@@ -122,10 +122,11 @@ def nearest_in_style(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.withColumn("rank", long("rank")), 5)
 
 
-@query(f"""{_ENDS} SELECT q.vec_id, round(min(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 5) AS uniqueness FROM q JOIN embeddings e ON e.label <> q.label GROUP BY 1""")
+@query("""SELECT q.vec_id, round(min(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 5) AS uniqueness FROM embeddings q JOIN embeddings e ON e.label <> q.label GROUP BY 1""")
 def uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return rounded(style.uniqueness(e.filter("vec_id % 20 = 0"), e, "vec_id", "label", "v"), 5)
+    """Every vector's distance to the nearest one of another label."""
+    e = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    return rounded(style.uniqueness(e, e, "vec_id", "label", "v"), 5)
 
 
 _PARTS = """o AS (SELECT DISTINCT 'orphan' AS "check", CAST(l_orderkey AS VARCHAR) AS key, 'no parent' AS detail FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F'))"""
