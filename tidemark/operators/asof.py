@@ -48,6 +48,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return out.select("__left.*", *[F.col(f"__seen.{c}").alias(f"{prefix}{c}") for c in ["observed_at", *columns]])
 
 
+def last_at(moments: DataFrame, right: DataFrame, keys: Sequence[str], moment: str, right_time: str, columns: Sequence[str], tiebreak: str, tasks: int | None = None) -> DataFrame:
+    """(keys, moment, columns, observed_at): what ``asof_join`` finds for each of ``moments``, as a table of its own;
+    moments without an earlier row give no row."""
+    met = dealt(right, tasks, *keys).join(dealt(moments.select(*keys, moment), tasks, *keys).distinct(), list(keys)).filter(F.col(right_time) < F.col(moment))
+    newest = F.max_by(F.struct(*columns, F.col(right_time).alias("observed_at")), F.struct(right_time, tiebreak)).alias("__newest")
+    return met.groupBy(*keys, moment).agg(newest).select(*keys, moment, "__newest.*")
+
+
+def told_at(left: DataFrame, told: DataFrame, keys: Sequence[str], moment: str, columns: Sequence[str]) -> DataFrame:
+    """``left`` with ``columns`` of what is told of its keys and moment (``last_at``, ``history.latest_at``), or nulls.
+    Only keys are joined by, so that rows which are dealt by them stay where they are."""
+    rows = told.groupBy(*keys).agg(F.collect_list(F.struct(F.col(moment).alias("__moment"), *columns)).alias("__told"))
+    met = left.join(rows, list(keys), "left")
+    one = F.get(F.filter("__told", lambda x: x["__moment"] == F.col(moment)), F.lit(0))
+    return met.withColumn("__one", one).select(*left.columns, *[F.col("__one")[c].alias(c) for c in columns])
+
+
 def _latest(keys: Sequence[str], *order: Column) -> Column:
     """The last right row before a row in ``order``: a running value, where a frame that looks ahead would be
     gone through again for each row."""

@@ -406,6 +406,20 @@ def running_latest(df: DataFrame, group: Sequence[str], vendor: str, time: str,
     return sums.select(*group, time, (F.col("__base") + s / n).alias("consensus"), spread.alias("spread"), n.cast("long").alias("vendors"))
 
 
+def latest_at(moments: DataFrame, quotes: DataFrame, group: Sequence[str], moment: str, vendor: str, time: str, value: str, tiebreak: str, tasks: int | None = None) -> DataFrame:
+    """(group, moment, consensus, spread, vendors, observed_at): what ``running_latest`` says last before each of
+    ``moments``; those before which there is no value give no row.
+
+    Quotes meet the moments first, so that those from a moment on go before anything is grouped, and all that follows
+    goes on with the one shuffle by ``group``.
+    """
+    met = dealt(quotes, tasks, *group).join(dealt(moments.select(*group, moment), tasks, *group).distinct(), list(group)).filter(F.col(time) < F.col(moment))
+    once = met.groupBy(*group, moment, vendor, time).agg(F.max_by(F.col(value).cast("double"), tiebreak).alias("__v"))
+    latest = once.groupBy(*group, moment, vendor).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__v"), F.max(time).alias("observed_at"))
+    out = latest.groupBy(*group, moment).agg(F.avg("__v").alias("consensus"), F.stddev_samp("__v").alias("spread"), F.count("__v").alias("vendors"), F.max("observed_at").alias("observed_at"))
+    return out.filter("vendors > 0")
+
+
 MOMENTS = ("consensus", "spread", "median", "vendors")
 
 

@@ -182,17 +182,20 @@ def team_style(t: Tables) -> p.Pipeline:
 
 
 def team_market(t: Tables) -> p.Pipeline:
-    c = F.col
+    """What a game's quotes and fills say before its start is found for the game, of narrow rows, and is looked up last,
+    where a game's rows lie together: so it goes through no other shuffle."""
+    c, key = F.col, ["game_id"]
 
     def odds(df: DataFrame) -> DataFrame:
-        quotes = h.dealt(t.quotes(), t.tasks, "game_id")
-        series = h.running_latest(quotes, ["game_id"], "vendor", "at", "price", "tie", median=False).withColumnsRenamed({"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors"})
-        return asof.asof_join(df, series, ["game_id"], START, "at", ["book_consensus", "book_spread", "book_vendors"], "at", prefix="", tasks=t.tasks).withColumnRenamed("observed_at", "book_observed_at")
+        names = {"consensus": "book_consensus", "spread": "book_spread", "vendors": "book_vendors", "observed_at": "book_observed_at"}
+        told = h.latest_at(df, t.quotes(), key, START, "vendor", "at", "price", "tie", t.tasks).withColumnsRenamed(names)
+        return asof.told_at(df, told, key, START, list(names.values()))
 
     def fills(df: DataFrame) -> DataFrame:
-        return asof.asof_join(df, t.fills().withColumnRenamed("price", "prediction"), ["game_id"], START, "at", ["prediction"], "tie", tasks=t.tasks).withColumnRenamed("observed_at", "prediction_observed_at")
+        told = asof.last_at(df, t.fills().withColumnRenamed("price", "prediction"), key, START, "at", ["prediction"], "tie", t.tasks).withColumnRenamed("observed_at", "prediction_observed_at")
+        return asof.told_at(df, told, key, START, ["prediction", "prediction_observed_at"])
 
-    return _form(t, "team_market", own=(
+    return _form(t, "team_market", after=(
         p.asof("book", odds, ["book_consensus", "book_spread", "book_vendors", "book_observed_at"], "book_observed_at"),
         p.asof("prediction", fills, ["prediction", "prediction_observed_at"], "prediction_observed_at"),
         row_local("divergence", lambda: columns.market_divergence(c("prediction"), c("book_consensus"), c("book_consensus") - c("book_spread")), ["divergence", "movement", "abs_divergence"]),
